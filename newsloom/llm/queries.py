@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.llm import license_scan, url_filter, warc
+from newsloom.llm.ann import search
+from newsloom.llm.chat_tools import format_chats
 from newsloom.llm.common import table
 from newsloom.llm.decontaminate import find_leaks
 from newsloom.llm.mixing import mixed
@@ -27,6 +30,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -39,17 +54,30 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_license_scan": op2_license_scan,
+    "op3_ann": op3_ann,
+    "op4_url_filter": op4_url_filter,
     "op5_token_store": op5_token_store,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
+    "op8_warc": op8_warc,
+    "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
 }
 
 #: DuckDB SQL, where it can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op4_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE}
