@@ -186,21 +186,33 @@ class Reader:
         return [np.frombuffer(self.decompress(data[int(self.offsets[i]) - at : int(self.offsets[i + 1]) - at]), f"<u{self.width}").astype("<u4") for i in range(first, last)]
 
 
-def train_dictionary(docs: DataFrame, tokenizer_json: str, width: int, end_id: int) -> bytes:
-    """From at most SAMPLE_DOCS short documents, those of least hash; empty where there are too few to train on."""
+def train_dictionary(docs: DataFrame, tokenizer_json, end_id: int) -> tuple[int, bytes]:
+    """(id width in bytes, dictionary), made in one task from at most SAMPLE_DOCS short documents, those of least hash.
+
+    The dictionary is empty where there are too few documents to train on. tokenizer_json: a broadcast of the JSON.
+    """
     short = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
     rows = short.count()
     order = F.xxhash64("doc_id", "text")
     share = min(1.0, 2.0 * SAMPLE_DOCS / max(1, rows))
     chosen = short.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, "doc_id").limit(SAMPLE_DOCS)
-    texts = [r.text for r in chosen.select("text").collect()]
-    samples = [np.append(x, end_id).astype(f"<u{width}").tobytes() for x in Encoder(tokenizer_json).encode(pa.array(texts, pa.string()))]
-    if len(samples) < 8 or sum(map(len, samples)) < 4096:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 4), samples).as_bytes()
-    except zstandard.ZstdError:  # the samples have too little in common
-        return b""
+
+    def train(batches):
+        own = encoder(tokenizer_json.value)
+        samples = [np.append(x, np.uint32(end_id)) for batch in batches for x in own.encode(batch.column(0))]
+        width = 2 if max(own.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        samples = [x.astype(f"<u{width}").tobytes() for x in samples]
+        total, dictionary = sum(map(len, samples)), b""
+        if len(samples) >= 8 and total >= 4096:
+            try:
+                dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, total // 4), samples).as_bytes()
+            except zstandard.ZstdError:  # the samples have too little in common
+                pass
+        yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([dictionary], pa.binary())], names=["width", "dictionary"])
+
+    # The sample is bounded, so one task holds it; without any documents that task still runs.
+    made = chosen.select("text").repartition(1).mapInArrow(train, "width int, dictionary binary").first()
+    return (made.width, bytes(made.dictionary)) if made else (4, b"")
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str | None = None, end_id: int = 0, order: list | None = None) -> DataFrame:
@@ -214,17 +226,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str | None = None, e
     out = out or new_dir(spark, "tokens")
     batch_rows(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
-        tokenizer_json = f.read()
-    from tokenizers import Tokenizer
-
-    width = 2 if max(Tokenizer.from_str(tokenizer_json).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        shared = spark.sparkContext.broadcast(f.read())
     keys = order or [F.col("doc_id")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *[k.alias(f"order_{i}") for i, k in enumerate(keys)])
     keys = [f"order_{i}" for i in range(len(keys))]
-    dictionary = train_dictionary(rows, tokenizer_json, width, end_id)
+    width, dictionary = train_dictionary(rows, shared, end_id)
     digest = hashlib.sha256(dictionary).hexdigest()
     write_file(f"{out}/shards/dictionary-{digest[:16]}.bin", dictionary)
-    shared = spark.sparkContext.broadcast(tokenizer_json)
 
     def write(batches):
         context, made, shard = TaskContext.get(), 0, None

@@ -110,17 +110,28 @@ def parse(data: bytes) -> dict:
 
 
 def train_dictionary(pages: DataFrame, date: str) -> bytes:
+    """Made in one task from at most SAMPLE_RECORDS records; empty where there are too few to train on."""
     short = pages.where(F.octet_length("html") <= SAMPLE_BYTES)
     order = F.xxhash64("page_id", "url")
     share = min(1.0, 2.0 * SAMPLE_RECORDS / max(1, short.select("page_id").count()))
     chosen = short.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, "page_id").limit(SAMPLE_RECORDS)
-    samples = [record(r.page_id, r.url, r.html.encode(), sha1_base32(r.html.encode()), None, False, date) for r in chosen.collect()]
-    if len(samples) < 8 or sum(map(len, samples)) < 16384:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 4), samples).as_bytes()
-    except zstandard.ZstdError:  # the samples have too little in common
-        return b""
+
+    def train(batches):
+        samples = []
+        for batch in batches:
+            for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+                payload = html.encode("utf-8", "surrogatepass")
+                samples.append(record(page_id, url, payload, sha1_base32(payload), None, False, date))
+        total, dictionary = sum(map(len, samples)), b""
+        if len(samples) >= 8 and total >= 16384:
+            try:
+                dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, total // 4), samples).as_bytes()
+            except zstandard.ZstdError:  # the samples have too little in common
+                pass
+        yield pa.RecordBatch.from_arrays([pa.array([dictionary], pa.binary())], names=["dictionary"])
+
+    made = chosen.select("page_id", "url", "html").repartition(1).mapInArrow(train, "dictionary binary").first()
+    return bytes(made.dictionary) if made else b""
 
 
 def write_archives(pages: DataFrame, out: str | None = None, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
