@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.predicates import content_gate
+from newsloom.functions.similarity import norm_url
 from newsloom.operators.dedup import cut_lineage, dedup_batch, sweep
 from newsloom.operators.lifecycle import forget
 from newsloom.operators.listing import enabled_sources, hint_posts, unseen
@@ -37,6 +38,13 @@ def feed_items(docs: DataFrame, sources: DataFrame, limit: int = 10) -> DataFram
     return read_rss(rss, limit).unionByName(read_atom(atom, limit))
 
 
+def _first_of_address(items: DataFrame) -> DataFrame:
+    """Of items whose normalised addresses are equal the first of its feed; the others count as seen."""
+    order = F.struct("position", "link", *[c for c in items.columns if c not in ("position", "link")])
+    one = items.groupBy(norm_url(F.col("link")).alias("_url")).agg(F.min(order).alias("item"))
+    return one.select(*[F.col(f"item.{c}").alias(c) for c in items.columns])
+
+
 def ingest(store: Store, docs: DataFrame, pages: DataFrame, as_of, run_id: str, limit: int = 10, family: str = "e5_base", days: int = 30, **lists) -> Ingested:
     """Reads feeds, gates, enriches, gates again, drops what was seen, removes duplicates, stores posts, ledger, records.
 
@@ -51,7 +59,7 @@ def ingest(store: Store, docs: DataFrame, pages: DataFrame, as_of, run_id: str,
     texts = extract_articles(pages).select("url", "article_text")
     second = content_gate(enrich(passed, texts), **lists)
     good = cut_lineage(second.where("reject_reason is null").drop("reject_reason"))
-    fresh = cut_lineage(unseen(good, ledger, posts))
+    fresh = cut_lineage(_first_of_address(unseen(good, ledger, posts)))
     new, existing = insert_new_posts(posts, fresh, as_of)
     new = cut_lineage(new)
     kept, matches = dedup_batch(new, posts, family, as_of, days)
