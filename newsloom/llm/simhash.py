@@ -137,7 +137,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, seed:
     copies cost one row each. One row for each row of docs; rows that share a doc_id each keep theirs. A null doc_id
     takes part, but is never smallest: its component_id is null only if no id is reachable. No rows in, no rows out.
     """
-    marked = stored(fingerprints(docs.select("doc_id", text_of().alias("text")), shingle, seed).drop("text"), "fingerprints")
+    return _placed(docs.select("doc_id", text_of().alias("text")), threshold, shingle, seed).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _placed(docs: DataFrame, threshold: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """The columns of docs but text, the fingerprint as a number, and component_id."""
+    marked = stored(fingerprints(docs, shingle, seed).drop("text"), "fingerprints")
     points = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "points")
     labels = connected_components(linked_pairs(points, threshold))
     placed = points.join(labels, points["fingerprint"] == labels["node"], "left").select(
@@ -145,15 +152,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, seed:
     )
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     moved = placed.join(least, "label").select("fingerprint", "component_id")
-    return marked.join(stored(moved, "components"), "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return marked.join(stored(moved, "components"), "fingerprint")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents of docs whose doc_id is the smallest of their component; rows that repeat whole are kept once.
+    """The documents of docs whose doc_id is the smallest of their component; rows of equal doc_id and text are kept once.
 
-    A document without an id stays unless it is linked to one with an id.
+    A document without an id stays unless it is linked to one with an id. Rows are told apart by 128 hashed bits of id
+    and text, by which the texts are shuffled once.
     """
-    kept = near_duplicates(docs, **options).select("component_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["component_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    key = {"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64(F.lit(1), "text", "doc_id")}
+    own = docs.select(F.col("doc_id"), text_of().alias("text"), *[v.alias(k) for k, v in key.items()])
+    kept = _placed(own, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
+    return docs.withColumns(key).join(kept, list(key), "left_semi").dropDuplicates(list(key)).drop(*key)
