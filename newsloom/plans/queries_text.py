@@ -193,15 +193,17 @@ def post_text(spark, sf_dir):
     return listing.sanitize_posts(own).select("id", "ai_title", "ai_text")
 
 
-@query(S + "select id, case when raw_title = '' then case when trim(raw_description) = '' then '' else raw_description end else case when trim(raw_description, ' \n\t') = '' then replace(trim(raw_title), '*', '') else replace(trim(raw_title), '*', '') || '\n\n' || raw_description end end || '\n\n#news' as plain from posts where length(raw_description) < 3000 and trim(replace(raw_title, '*', '')) <> ''")
+@query(S + """, m as (select id, replace(trim(raw_title), '*', '') || case when trim(raw_description, ' \n\t\r') = '' then '' else '\n\n' || raw_description end || '\n\n#news' as plain
+    from posts where trim(replace(raw_title, '*', '')) <> '')
+    select id, case when length(plain) > 4096 then left(plain, 4093) || '...' else plain end as plain from m""")
 def messages(spark, sf_dir):
-    own = views.posts(spark, sf_dir).where("length(raw_description) < 3000 and trim(replace(raw_title, '*', '')) <> ''")
+    own = views.posts(spark, sf_dir).where("trim(replace(raw_title, '*', '')) <> ''")
     return own.select("id", T.message_plain(F.col("raw_title"), F.col("raw_description"), F.lit("#news")).alias("plain"))
 
 
-@query(S + "select id, '<b>' || replace(replace(replace(raw_title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</b>' as header from posts where length(raw_title) < 500")
+@query(S + "select id, '<b>' || replace(replace(replace(raw_title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</b>' as header from posts")
 def message_headers(spark, sf_dir):
-    own = views.posts(spark, sf_dir).where("length(raw_title) < 500")
+    own = views.posts(spark, sf_dir)
     caption = T.message_html(F.col("raw_title"), F.col("raw_description"), F.lit("#a"))
     return own.select("id", F.regexp_extract(caption, r"(?s)^<b>.*?</b>", 0).alias("header"))
 
