@@ -63,30 +63,47 @@ def argument_errors(schemas: dict, name: Column, arguments: Column) -> Column:
 def depths(calls: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """(conv, id, depth): 0 for calls that wait for none, else one more than the deepest they wait for; null on cycles.
 
-    Rounds settle all calls whose dependencies are settled, so a call comes after all it waits for in the order of depth.
-    Dependencies that are no calls of the conversation hold nothing up. Each round is written to the shared folder.
+    Dependencies that are no calls of the conversation hold nothing up. Chains of calls that wait for one other each are
+    followed to their end by pointer doubling, in rounds that grow with the logarithm of a chain's length. Calls that
+    wait for several are settled in rounds of their own, over chains as single steps, once all they wait for are.
+    Every round is written to the shared folder and reads only the round before, so plans do not grow.
     """
-    nodes = calls.groupBy("conv", "id").agg(F.flatten(F.collect_set("after")).alias("after"))
-    nodes = stored(nodes.select("conv", "id", F.array_distinct("after").alias("after")), "calls")
-    waits = nodes.select("conv", "id", F.explode("after").alias("dep"))
-    there = nodes.select(F.col("conv").alias("c"), F.col("id").alias("dep_id"))
-    waits = stored(waits.join(there, F.col("conv").eqNullSafe(F.col("c")) & (F.col("dep") == F.col("dep_id")), "left_semi"), "waits")
-    waiting = waits.select("conv", "id").distinct().withColumnsRenamed({"conv": "c", "id": "i"})
-    free = nodes.select("conv", "id").join(waiting, F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i")), "left_anti")
-    settled = newest = stored(free.withColumn("depth", F.lit(0)), "depths")
-    for _ in range(max_depth):
-        if waits.isEmpty():
+    at = lambda left, right: F.col("conv").eqNullSafe(F.col("c")) & (F.col(left) == F.col(right))
+    nodes = calls.select("conv", "id").distinct()
+    pairs = calls.select("conv", "id", F.explode("after").alias("dep")).distinct()
+    there = nodes.select(F.col("conv").alias("c"), F.col("id").alias("i"))
+    waits = stored(pairs.join(there, at("dep", "i"), "left_semi"), "waits")
+    counted = waits.groupBy(F.col("conv").alias("c"), F.col("id").alias("i")).agg(F.count("*").alias("n"), F.min("dep").alias("dep"))
+    nodes = stored(nodes.join(counted, at("id", "i"), "left").select("conv", "id", F.coalesce("n", F.lit(0)).alias("n"), "dep"), "calls")
+    chain = stored(nodes.where("n = 1").select("conv", "id", F.col("dep").alias("to"), F.lit(1).alias("steps"), F.lit(True).alias("moved")), "chain")
+    for _ in range(max(1, chain.count()).bit_length() + 1):
+        ahead = chain.select(F.col("conv").alias("c"), F.col("id").alias("i"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        chain = stored(chain.join(ahead, at("to", "i"), "left").select("conv", "id", F.coalesce("next", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")), "chain")
+        if chain.where("moved").isEmpty():
             break
-        done = settled.select(F.col("conv").alias("c"), F.col("id").alias("i"), "depth")
-        state = waits.join(done, F.col("conv").eqNullSafe(F.col("c")) & (F.col("dep") == F.col("i")), "left")
-        ready = state.groupBy("conv", "id").agg(F.max("depth").alias("deepest"), F.bool_or(F.col("depth").isNull()).alias("open")).where("not open")
-        newest = stored(ready.select("conv", "id", (F.col("deepest") + 1).alias("depth")), "depths")
-        if newest.isEmpty():
+    ends = chain.where("not moved").select(F.col("conv").alias("c"), F.col("id").alias("i"), "to", "steps")  # others run in circles
+    newest = stored(nodes.where("n = 0").select("conv", "id", F.lit(0).alias("depth")), "depths")
+    settled = [newest]
+    several = waits.join(nodes.where("n > 1").select(F.col("conv").alias("c"), F.col("id").alias("i")), at("id", "i"), "left_semi")
+    several = several.join(ends, at("dep", "i"), "left").select("conv", "id", F.coalesce("to", "dep").alias("dep"), F.coalesce("steps", F.lit(0)).alias("steps"), F.lit(None).cast("int").alias("known"))
+    several = stored(several, "waits")
+    for _ in range(max_depth):
+        if several.isEmpty() or newest.isEmpty():
             break
-        settled = settled.unionAll(newest)
+        done = newest.select(F.col("conv").alias("c"), F.col("id").alias("i"), "depth")
+        state = stored(several.join(done, at("dep", "i"), "left").select("conv", "id", "dep", "steps", F.coalesce("known", F.col("depth") + F.col("steps")).alias("known")), "waits")
+        whole = state.groupBy("conv", "id").agg(F.max("known").alias("deepest"), F.bool_or(F.col("known").isNull()).alias("open")).where("not open")
+        newest = stored(whole.select("conv", "id", (F.col("deepest") + 1).alias("depth")), "depths")
+        settled.append(newest)
         gone = newest.select(F.col("conv").alias("c"), F.col("id").alias("i"))
-        waits = stored(waits.join(gone, F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i")), "left_anti"), "waits")
-    return settled
+        several = stored(state.join(gone, at("id", "i"), "left_anti"), "waits")
+    known = settled[0]
+    for part in settled[1:]:
+        known = known.unionByName(part)
+    known = stored(known, "depths") if len(settled) > 1 else known
+    start = known.select(F.col("conv").alias("c"), F.col("id").alias("i"), "depth")
+    follow = ends.withColumnsRenamed({"c": "conv", "i": "id"}).join(start, at("to", "i")).select("conv", "id", (F.col("depth") + F.col("steps")).cast("int").alias("depth"))
+    return stored(known.select("conv", "id", F.col("depth").cast("int").alias("depth")).unionByName(follow), "depths")
 
 
 def link_tools(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:

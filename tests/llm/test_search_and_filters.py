@@ -224,3 +224,23 @@ def test_canonical_json(spark, text, expected):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(text,)], "t string").select(chat_tools.canonical(F.col("t"))).first()[0] == expected
+
+
+def test_depths_equal_longest_paths(spark):
+    rng = np.random.default_rng(11)
+    rows, expected = [], {}
+    for conv in range(4):
+        after = {f"n{i}": [f"n{j}" for j in range(i) if rng.random() < (0.12, 0.0, 0.04, 0.3)[conv]] for i in range(25)}
+        if conv == 1:
+            after = {f"n{i}": [f"n{i - 1}"] if i else [] for i in range(60)}  # one long chain
+        after |= {"x": ["y"], "y": ["x"], "z": ["x", "n0"], "w": ["nowhere"], "self": ["self"]}
+        depth: dict = {"w": 0}
+        while True:
+            new = {k: max((depth[d] for d in v), default=-1) + 1 for k, v in after.items() if k not in depth and all(d in depth for d in v)}
+            if not new:
+                break
+            depth |= new
+        rows += [(conv, k, v) for k, v in after.items()]
+        expected |= {(conv, k): d for k, d in depth.items()}
+    got = chat_tools.depths(spark.createDataFrame(rows, "conv long, id string, after array<string>")).collect()
+    assert {(r.conv, r.id): r.depth for r in got} == expected
