@@ -79,9 +79,15 @@ def base_labels(docs: DataFrame, phrases=PHRASES) -> DataFrame:
     )
 
 
-def blocks(docs: DataFrame, *keys: str) -> DataFrame:
-    """Keys and `words` of every block: lines, long ones cut so that any STRIDE words in a row lie in one block."""
-    lines = docs.select(*keys, F.explode(F.split(text_of(), r"[\r\n]+")).alias("_line"))
+def blocks(docs: DataFrame, *keys: str, across: bool = False) -> DataFrame:
+    """Keys and `words` of every block: lines, long ones cut so that any STRIDE words in a row lie in one block.
+
+    across: the whole text is one more line, so that what is wrapped over lines lies in one block too.
+    """
+    split = F.split(text_of(), r"[\r\n]+")
+    if across:
+        split = F.when(F.size(split) > 1, F.concat(split, F.array(text_of()))).otherwise(split)
+    lines = docs.select(*keys, F.explode(split).alias("_line"))
     lines = lines.select(*keys, words(F.col("_line")).alias("_words")).where(F.size("_words") > 0)
     n = F.size("_words")
     starts = F.when(n <= 2 * STRIDE, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - STRIDE - 1, F.lit(STRIDE)))
@@ -89,10 +95,10 @@ def blocks(docs: DataFrame, *keys: str) -> DataFrame:
     return cut.select(*keys, F.slice("_words", F.col("_start") + 1, 2 * STRIDE).alias("words"))
 
 
-def template_links(docs: DataFrame, *keys: str, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+def template_links(docs: DataFrame, *keys: str, templates=TEMPLATES, containment: float = CONTAINMENT, across: bool = False) -> DataFrame:
     """keys, label, containment for every block of docs and template whose containment reaches the threshold.
 
-    Words are ordered by how many documents have them, rarest first. A block and a template that share enough words
+    Blocks are lines, and with `across` the windows of the whole text besides. Words are ordered by how many documents have them, rarest first. A block and a template that share enough words
     share one in the first |T| - o + 1 of the template's and the first |B| - o + 1 of the block's (prefix filter; o: words
     that the threshold needs, B: the block's words that any template has, as no others can be shared). Blocks with
     fewer than o such words go (length filter), and pairs whose first shared word stands too late to leave o (positional
@@ -119,7 +125,7 @@ def template_links(docs: DataFrame, *keys: str, templates=TEMPLATES, containment
     least = min(need for _, _, need in sets)
     heads = sorted({p[0] for p in prefixes}, key=rank.get)
     table = spark.createDataFrame(prefixes, "word string, t_at int, label string, t_words array<string>, need int")
-    found = blocks(docs, *keys).select(*keys, F.array_intersect(F.lit(order), F.col("words")).alias("b_words")).where(F.size("b_words") >= least)
+    found = blocks(docs, *keys, across=across).select(*keys, F.array_intersect(F.lit(order), F.col("words")).alias("b_words")).where(F.size("b_words") >= least)
     prefix = F.slice("b_words", F.lit(1), F.size("b_words") - least + 1)
     found = found.select(*keys, "b_words", F.explode(F.array_intersect(prefix, F.lit(heads))).alias("word"))
     found = found.join(F.broadcast(table), "word")  # bounded by MAX_TEMPLATE_WORDS
@@ -136,10 +142,10 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, contain
 
     base_labels: of the phrases that stand in the text, word by word; labels: those and the templates'; both distinct,
     sorted, comma-joined, empty if there are none. score: 1 if a phrase is there, else the best containment that reached
-    the threshold, else 0. A null text is an empty one. Rows that repeat give equal rows; a null doc_id stays null.
+    the threshold, else 0. Templates are looked for in lines and across them. A null text is an empty one. Rows that repeat give equal rows; a null doc_id stays null.
     """
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("_key", F.xxhash64("text"))
-    links = template_links(rows, "doc_id", "_key", templates=templates, containment=containment)
+    links = template_links(rows, "doc_id", "_key", templates=templates, containment=containment, across=True)
     best = links.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_hash")).agg(F.collect_set("label").alias("_found"), F.max("containment").alias("_best"))
     based = base_labels(rows, phrases).drop("text")
     out = based.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")

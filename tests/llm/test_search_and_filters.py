@@ -58,6 +58,38 @@ def test_license_join_equals_brute_force(spark):
     assert got == expected
 
 
+def test_license_headers_wrapped_over_lines(spark):
+    headers = {
+        "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""",
+        "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:""",
+        "gpl": """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or""",
+        "mpl-2": """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        "apache-2": """// you may not use this file except in compliance with the License.\r
+// You may obtain a copy of the License at\r
+//\r
+//     http://www.apache.org/licenses/LICENSE-2.0""",
+    }
+    far = "\n".join(f"line {i} of a file" for i in range(50))
+    rows = [(i, t, None, None) for i, t in enumerate([*headers.values(), *(f"{far}\n{t}\n{far}" for t in headers.values())])]
+    got = {r.doc_id: (r.labels, r.score, r.base_labels) for r in license_scan.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {i: (label, 1.0, "") for i, label in enumerate([*headers, *headers])}
+
+
+def test_license_line_spread_wide_is_still_found(spark):
+    line = "all " + "x " * 60 + "rights " + "x " * 62 + "reserved"  # 125 words: one line, but no window of the text
+    got = license_scan.scan_licenses(docs(spark, [(1, "y " * 64 + "\n" + line + "\n" + "y " * 64, None, None)])).collect()
+    assert [(r.labels, r.score) for r in got] == [("all-rights-reserved", 1.0)]
+
+
 def test_license_empty(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
