@@ -139,13 +139,14 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK,
     """query_id, rank, vec_id, score: the k nearest of each query, which are the rows whose vec_id `every` divides.
 
     score is the inner product in double precision; nearest first, ties to the smaller vec_id; a query's own row (all
-    rows of its id) is no candidate. Equal vectors are one class in a block of the index, of which the k + 1 smallest
-    ids are kept, as no other can be among the nearest; so copies neither crowd a block's shortlist nor are lost. A
-    repeated id counts once for each query, by its best score.
+    rows of its id) is no candidate. Rows that repeat are one. Equal vectors are one class in a block of the index, of
+    which the k + 1 smallest ids are kept, as no other can be among the nearest; so copies neither crowd a block's
+    shortlist nor are lost. A repeated id with several vectors counts once for each query, by its best score, and a
+    block's shortlist grows by its repeats, so that it holds as many ids.
     """
     spark = rows.sparkSession
     batch_rows(spark, block_rows)
-    good = stored(valid_vectors(rows), "vectors")
+    good = stored(valid_vectors(rows).distinct(), "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
     total = good.count()
     if not total:
@@ -189,18 +190,25 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK,
                 lead = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(ids) else np.zeros(0, int)
                 sizes = np.diff(np.append(lead, len(ids)))
                 lead_codes = codes[:, lead]
+                repeats = len(ids) - len(np.unique(ids))
+                shortlist = rerank + repeats
                 out = []
                 for query_id, query in zip(np.frombuffer(query_ids, "<i8"), np.frombuffer(queries, "<f8").reshape(-1, dim)):
                     table = best.tables(query)
                     score = np.zeros(len(lead), np.float32)
                     for row, byte in zip(table, lead_codes):
                         score += row[byte]
-                    top = np.argpartition(-score, rerank)[:rerank] if len(score) > rerank else np.arange(len(score))
+                    top = np.argpartition(-score, shortlist)[:shortlist] if len(score) > shortlist else np.arange(len(score))
                     exact = (own[lead[top]] * query).sum(1)
                     near = np.repeat(exact, sizes[top])
                     at = np.repeat(lead[top] - (np.cumsum(sizes[top]) - sizes[top]), sizes[top]) + np.arange(len(near))
                     other = ids[at] != query_id
                     near, at = near[other], at[other]
+                    if repeats:  # the best row of each id
+                        by_id = np.lexsort((-near, ids[at]))
+                        near, at = near[by_id], at[by_id]
+                        first = np.flatnonzero(np.diff(ids[at], prepend=ids[at[:1]] - 1))
+                        near, at = near[first], at[first]
                     if len(near) > k:
                         low = np.partition(near, len(near) - k)[len(near) - k]
                         near, at = near[near >= low], at[near >= low]

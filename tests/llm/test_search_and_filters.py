@@ -121,6 +121,46 @@ def test_search_edges(spark):
     assert len(copies) > 10 and copies == list(range(1000, 1000 + len(copies)))  # ties go to the smaller ids
 
 
+def nearest(rows, k=20):
+    """All pairs: the k nearest distinct ids of each query."""
+    out = {}
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        best: dict = {}
+        for own in (np.array(v, np.float32).astype(np.float64) for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float((np.array(v, np.float32).astype(np.float64) * own).sum()))
+        out[q] = sorted(best, key=lambda i: (-round(best[i], 9), i))[:k]
+    return out
+
+
+def found_ids(rows):
+    got: dict = {}
+    for r in rows.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_search_with_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    own = rng.normal(size=(60, 8)).astype(np.float32).tolist()
+    every = [(i, own[i]) for i in range(60)] * 2  # each row twice
+    copies = every + [(100, own[0])] * 25 + [(i, own[0]) for i in range(101, 130)]  # a class whose smallest id repeats
+    several = [(i, (np.array(own[i % 60]) * f).tolist()) for i in range(40) for f in (1, 1.01, 1.02)]  # an id with several vectors
+    for rows in (every, copies, several):
+        got = found_ids(ann.search(vectors(spark, [(i, v, 1, 0.0) for i, v in rows]).coalesce(1)))
+        assert got == nearest(rows)
+
+
+def test_search_shortlist_counts_ids(spark):
+    rng = np.random.default_rng(6)
+    near = np.array([1.0] + [0.0] * 7)
+    rows = [(20, near.tolist())] + [(1, (near * 3 + rng.normal(0, 0.01, 8)).tolist()) for _ in range(200)]  # one id crowds the best rows
+    rows += [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(2, 20)] + [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(21, 30)]
+    got = found_ids(ann.search(vectors(spark, [(i, v, 1, 0.0) for i, v in rows]).coalesce(1), rerank=24))
+    assert len(got[20]) == 20 and len(set(got[20])) == 20 and got[20][0] == 1
+
+
 def test_search_empty_and_few(spark):
     assert ann.search(vectors(spark, [])).count() == 0
     few = ann.search(vectors(spark, [(20, [1.0, 0.0], 1, 0.0), (1, [0.5, 0.0], 1, 0.0), (2, [1.0, 1.0], 1, 0.0)])).orderBy("rank").collect()
