@@ -50,14 +50,22 @@ class Encoder:
 
     Where the tokenizer splits texts the byte-level way and has no normalizer, each piece between spaces is encoded once
     and remembered, which gives the ids of the whole text; other texts and tokenizers are encoded whole.
+
+    special: special tokens that stand in a text are those tokens, as the library has it by default; else they are plain
+    characters.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, special: bool = False):
         from tokenizers import Tokenizer
 
+        #: For pieces, in which nothing may be read as an added token, and for whole texts.
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.for_whole = Tokenizer.from_str(tokenizer_json) if special else self.tokenizer
         spec = json.loads(tokenizer_json)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"]] if special else []
+        #: Texts to encode whole.
+        self.odd = "|".join([UNSAFE_SPACE, *added])
         split = spec.get("pre_tokenizer") or {}
         self.by_piece = not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not any(not t.get("special") for t in spec.get("added_tokens", []))
         #: A byte-level token is written with one character for each byte that it stands for.
@@ -69,7 +77,7 @@ class Encoder:
         self.ids, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.for_whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes pieces not met before. Those that begin and end so that a split between them is certain go as joined
@@ -101,7 +109,7 @@ class Encoder:
             return []
         if not self.by_piece:
             return self.whole(texts.to_pylist())
-        odd = np.flatnonzero(pc.match_substring_regex(texts, UNSAFE_SPACE).to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
         if len(self.known) > CACHE:
             self.clear()
         split = pc.split_pattern(texts, " ")
@@ -138,7 +146,7 @@ def encoder(tokenizer_json: str) -> Encoder:
     key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(tokenizer_json)
+        _encoders[key] = Encoder(tokenizer_json, special=True)
     return _encoders[key]
 
 

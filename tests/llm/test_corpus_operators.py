@@ -108,6 +108,20 @@ def test_token_files(spark, sf_dir, tokenizer_path):
     assert token_store.read_tokens(spark, token_store.write_tokens(docs.limit(0), tokenizer_path)).count() == 0
 
 
+def test_special_tokens_in_texts(spark, tokenizer_path):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path)  # as it comes
+    rng = np.random.default_rng(1)
+    bits = ["a", "The", "'s", " ", "  ", "\n", "é", "12", ".", "|", "<|endoftext|>", "<|endoftext|", "endoftext|>"]
+    texts = ["end of text <|endoftext|> next", "<|endoftext|>", "no such", "a <|endoftext|>b <|endoftext|>"] + ["".join(rng.choice(bits, rng.integers(1, 20))) for _ in range(1000)]
+    expected = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in token_store.encoder(open(tokenizer_path, encoding="utf-8").read()).encode(pa.array(texts))] == expected
+    shards = token_store.write_tokens(frame(spark, list(enumerate(texts[:50]))), tokenizer_path)
+    out = sorted(token_store.read_tokens(spark, shards, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.ids for r in out] == [x + [0] for x in expected[:50]] and out[0].ids[:6] == [437, 286, 2420, 220, 50256, 1306]
+
+
 def test_shards_roll_over(spark, tokenizer_path, monkeypatch):
     monkeypatch.setattr(token_store, "SHARD_DOCS", 7)
     docs = frame(spark, [(i, f"text {i}") for i in range(40)]).coalesce(1)
