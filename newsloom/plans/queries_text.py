@@ -183,7 +183,7 @@ def extract_articles(spark, sf_dir):
 @query()
 def enrich_items(spark, sf_dir):
     own = views.pages(spark, sf_dir)
-    items = own.select("page_id", F.col("url").alias("link"), F.when(F.col("page_id") % 2 == 0, F.lit("short")).otherwise(F.substring("html", 200, 300)).alias("description"))
+    items = own.select("page_id", F.col("url").alias("link"), F.when(F.col("page_id") % 2 == 0, F.lit("short")).otherwise(F.col("html")).alias("description"))
     return pages.enrich(items, pages.extract_articles(own, markers=[]).select("url", "article_text"), markers=[]).select("page_id", "description")
 
 
