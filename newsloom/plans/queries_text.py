@@ -300,7 +300,8 @@ def reprocess(spark, sf_dir):
 
 @query()
 def boilerplate_paragraphs(spark, sf_dir):
-    parts = views.pages(spark, sf_dir).select("page_id", F.posexplode(pages.paragraphs(F.col("html"))).alias("at", "p"))
+    every = F.regexp_extract_all("html", F.lit(r"(?is)<(?:p|h2|h3)[^>]*>(.*?)</(?:p|h2|h3)>"), F.lit(1))
+    parts = views.pages(spark, sf_dir).select("page_id", F.posexplode(F.transform(every, lambda p: pages.clean_html(p))).alias("at", "p"))
     return parts.select("page_id", "at", T.is_boilerplate_par(F.col("p")).alias("boilerplate"), T.has_url(F.col("p")).alias("url"), T.is_cta(F.col("p")).alias("cta"), T.strip_links(F.col("p")).alias("stripped"))
 
 

@@ -17,3 +17,10 @@ def test_enrich_items_has_whole_descriptions(spark, tmp_path):
     written(spark, tmp_path, "pages", [(1, "http://a.example/1", text + "The end.")], PAGES)
     (row,) = queries_text.enrich_items(spark, str(tmp_path)).collect()
     assert row.description.startswith("A plain sentence") and row.description.endswith("The end.")
+
+
+def test_boilerplate_paragraphs_judges_every_paragraph(spark, tmp_path):
+    written(spark, tmp_path, "pages", [(1, "u", "<p> </p><p>short</p>" + "<p>A paragraph of some length here.</p>" * 100)], PAGES)
+    rows = queries_text.boilerplate_paragraphs(spark, str(tmp_path)).orderBy("at").collect()
+    assert [r["at"] for r in rows] == list(range(102)) and rows[1].stripped == "short"
+    assert [r.boilerplate for r in rows] == [True] + [False] * 101
