@@ -219,7 +219,7 @@ REPLY = "with a as (select conv_id, turn, text, conv_id % 4 as k from conversati
 
 
 def _replies(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'").where(~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("\\")))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'")
     strict = F.to_json(F.struct(F.lit("t").alias("title"), F.col("text").alias("text"), F.array(F.lit("a"), F.lit("#b")).alias("hashtags")))
     partial = F.to_json(F.struct(F.col("text").alias("text"), F.lit("x y").alias("hashtags")))
     broken = F.concat(F.lit('{"title": "t", "text": "'), F.replace(F.col("text"), F.lit("\n"), F.lit("\\n")), F.lit('", "hashtags": ["a"]'))

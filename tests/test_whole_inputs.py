@@ -24,3 +24,11 @@ def test_boilerplate_paragraphs_judges_every_paragraph(spark, tmp_path):
     rows = queries_text.boilerplate_paragraphs(spark, str(tmp_path)).orderBy("at").collect()
     assert [r["at"] for r in rows] == list(range(102)) and rows[1].stripped == "short"
     assert [r.boilerplate for r in rows] == [True] + [False] * 101
+
+
+def test_replies_with_quotes_and_backslashes_are_parsed(spark, tmp_path):
+    text = 'he said "no" and C:\\new'
+    written(spark, tmp_path, "conversations", [(i, 1, "assistant", text) for i in range(4)], TURNS)
+    got = {r.conv_id: (r.parse_path, r.text) for r in queries_text.parse_replies(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    assert got[0] == got[1] == ("strict", text) and got[2] == ("partial", text)
