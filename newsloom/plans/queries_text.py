@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import predicates, similarity
@@ -261,10 +262,12 @@ def _xml(c):
 
 
 def _feed_docs(spark, sf_dir):
-    """An RSS document for each ten posts of a source: the documents' size is bounded, however many posts a source has."""
+    """RSS documents of at most ten posts of a source each: their size is bounded, however many posts a source has."""
     own = views.posts(spark, sf_dir).where(~F.col("raw_title").rlike(r"[\x00-\x08\x0b-\x1f]"))
-    item = F.concat(F.lit("<item><title>"), _xml(F.col("raw_title")), F.lit("</title><link>"), "source_url", F.lit("</link><description>"), _xml(F.substring("raw_description", 1, 100)), F.lit("</description><category>"), "source", F.lit("</category></item>"))
-    grouped = own.withColumn("part", F.floor(F.col("id") / 200)).groupBy("source", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("x")))), lambda s: s["x"]), "").alias("items"))
+    item = F.concat(F.lit("<item><title>"), _xml(F.col("raw_title")), F.lit("</title><link>"), "source_url", F.lit("</link><description>"), _xml(F.regexp_replace("raw_description", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")), F.lit("</description><category>"), "source", F.lit("</category></item>"))
+    own = own.select("id", "source", item.alias("x"), F.floor(F.col("id") / 200).alias("part"))
+    place = F.row_number().over(Window.partitionBy("source", "part").orderBy("id", "x"))
+    grouped = own.withColumn("doc", F.floor((place - 1) / 10)).groupBy("source", "part", "doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "x"))), lambda s: s["x"]), "").alias("items"))
     return grouped.select("source", "part", F.concat(F.lit("<rss version=\"2.0\"><channel>"), "items", F.lit("</channel></rss>")).alias("xml"))
 
 

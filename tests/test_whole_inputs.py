@@ -32,3 +32,9 @@ def test_replies_with_quotes_and_backslashes_are_parsed(spark, tmp_path):
     got = {r.conv_id: (r.parse_path, r.text) for r in queries_text.parse_replies(spark, str(tmp_path)).collect()}
     assert set(got) == {0, 1, 2, 3}
     assert got[0] == got[1] == ("strict", text) and got[2] == ("partial", text)
+
+
+def test_read_rss_reads_every_post_of_a_hot_source(spark, tmp_path):
+    written(spark, tmp_path, "documents", [(i, f"Title {i}. " + "word " * 60, "en", "src1", 9) for i in range(70)], DOCS)
+    rows = queries_text.read_rss(spark, str(tmp_path)).collect()
+    assert sorted(r.title for r in rows) == sorted(f"Title {i}" for i in range(70))
