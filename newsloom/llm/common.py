@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,23 @@ def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def slices(batches, column: int, max_bytes: int, max_rows: int = 1 << 16):
+    """Arrow batches cut into parts of at most so many bytes of the given text column and so many rows, one row at least.
+
+    Spark itself bounds the batches it hands over by bytes (64 MB unless set otherwise); this bounds what is worked on at
+    a time, without a setting of the session.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, min(at + max_rows, int(np.searchsorted(ends, before + max_bytes, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: `spark.checkpoint.dir`.
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch_rows, filesystem, new_dir, read_file, text_of, write_file
+from newsloom.llm.common import filesystem, new_dir, read_file, slices, text_of, write_file
 
 MAGIC, END = b"NLIDS01\n", b"NLIDSEND"
 HEAD = struct.Struct("<8sB32s")
@@ -36,36 +36,55 @@ SHARD_BYTES, SHARD_DOCS = 64 << 20, 50_000
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2_000, 8_000, 64 << 10
 LEVEL = 3
 
-#: A space after one of these characters always starts a new piece of a byte-level tokenizer's split; one after anything
-#: else (white space, characters of less certain class) or at the start may not.
-UNSAFE_SPACE = r"(^|[^\x21-\x7e\x{c0}-\x{24f}]) "
-#: A piece that begins with its space and ends with a character after which a space always starts a new piece.
-SURE_PIECE = re.compile(r"(?s) .*[\x21-\x7e\xc0-\u024f]\Z")
-#: Different pieces whose ids a Python worker remembers; it starts anew beyond.
-CACHE = 2_000_000
+#: A space after one of these characters always starts a new piece of a byte-level tokenizer's split. A piece that begins
+#: with a space and ends with one can be told apart again after it was joined with others.
+SURE_PIECE = re.compile(rb"(?s) .*(?:[\x21-\x7e]|[\xc3-\xc8][\x80-\xbf])\Z")
+#: What a Python worker remembers of pieces that it met: so many, and none longer than so many bytes. It starts anew beyond.
+CACHE, CACHED_BYTES = 2_000_000, 64
+#: Bytes of text that are encoded at a time, unless one text is longer.
+TEXT_BYTES = 4 << 20
 
 
-class Encoder:
-    """Whole texts to ids by a tokenizer of the tokenizers library, given as its JSON.
+def sure_starts(data: np.ndarray) -> np.ndarray:
+    """Where in UTF-8 bytes a piece of the byte-level split begins for certain, whatever stands around: a flag each.
+
+    That is at a space or line end after a visible character (ASCII, or U+00C0 to U+023F), at an ASCII mark after a
+    letter, and at an ASCII letter after a single line end. Beginnings that are less certain are not flagged.
+    """
+    ascii_letter = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
+    graph = (data >= 0x21) & (data <= 0x7E)
+    mark = graph & ~ascii_letter & ~((data >= 0x30) & (data <= 0x39))
+    visible, letter = graph, ascii_letter
+    if len(data) and data.max() >= 0x80:
+        lead = np.concatenate([[np.uint8(0)], data[:-1]])
+        second = (data >= 0x80) & (data < 0xC0) & (lead >= 0xC3) & (lead <= 0xC8)
+        visible = graph | second
+        letter = ascii_letter | second & ~((lead == 0xC3) & ((data == 0x97) | (data == 0xB7)))  # the signs of times and division
+    line_end = data == 0x0A
+    starts = np.zeros(len(data), bool)
+    starts[1:] = ((data[1:] == 0x20) | line_end[1:]) & visible[:-1] | mark[1:] & letter[:-1]
+    starts[2:] |= ascii_letter[2:] & line_end[1:-1] & visible[:-2]
+    return starts
 
-    Where the tokenizer splits texts the byte-level way and has no normalizer, each piece between spaces is encoded once
-    and remembered, which gives the ids of the whole text; other texts and tokenizers are encoded whole.
 
-    special: special tokens that stand in a text are those tokens, as the library has it by default; else they are plain
-    characters.
+class Encoder:
+    """Whole texts to ids by a tokenizer of the tokenizers library, given as its JSON, as its own encode does by default.
+
+    Where the tokenizer splits texts the byte-level way and has no normalizer, texts are cut at `sure_starts`, and each
+    different piece is encoded once and remembered, which gives the ids of the whole text. Texts that hold a special
+    token, and other tokenizers' texts, are encoded whole.
     """
 
-    def __init__(self, tokenizer_json: str, special: bool = False):
+    def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        #: For pieces, in which nothing may be read as an added token, and for whole texts.
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
-        self.for_whole = Tokenizer.from_str(tokenizer_json) if special else self.tokenizer
+        #: For pieces, in which nothing is to be read as a special token.
+        self.for_pieces = Tokenizer.from_str(tokenizer_json)
+        self.for_pieces.encode_special_tokens = True
         spec = json.loads(tokenizer_json)
-        added = [re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"]] if special else []
         #: Texts to encode whole.
-        self.odd = "|".join([UNSAFE_SPACE, *added])
+        self.odd = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"])
         split = spec.get("pre_tokenizer") or {}
         self.by_piece = not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not any(not t.get("special") for t in spec.get("added_tokens", []))
         #: A byte-level token is written with one character for each byte that it stands for.
@@ -73,31 +92,31 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.for_whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[bytes]) -> None:
         """Encodes pieces not met before. Those that begin and end so that a split between them is certain go as joined
         texts, which the library encodes faster, and are told apart by how many bytes each token stands for."""
-        sure = [i for i, p in enumerate(pieces) if SURE_PIECE.match(p)]
-        alone = sorted(set(range(len(pieces))) - set(sure))
-        order = [pieces[i] for i in sure] + [pieces[i] for i in alone]
-        texts = ["".join(order[k : min(k + 64, len(sure))]) for k in range(0, len(sure), 64)]
-        joined = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sure = [p for p in pieces if SURE_PIECE.match(p)]
+        joint = set(sure)
+        alone = [p for p in pieces if p not in joint]
+        texts = [b"".join(sure[k : k + 64]).decode() for k in range(0, len(sure), 64)]
+        joined = [e.ids for e in self.for_pieces.encode_batch_fast(texts, add_special_tokens=False)]
         got = np.fromiter(itertools.chain.from_iterable(joined), np.uint32)
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in order[: len(sure)]), np.int64, len(sure)))
+        ends = np.cumsum(np.fromiter(map(len, sure), np.int64, len(sure)))
         reached = np.cumsum(self.token_bytes[got])
         last = np.searchsorted(reached, ends, "right")
         if len(sure) and not (reached[last - 1] == ends).all():
             raise AssertionError("a token spans two pieces")
         counts = np.diff(np.concatenate([[0], last]))
-        single = [e.ids for e in self.tokenizer.encode_batch_fast(order[len(sure) :], add_special_tokens=False)]
+        single = [e.ids for e in self.for_pieces.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)]
         counts = np.concatenate([counts, np.fromiter(map(len, single), np.int64, len(single))])
         got = np.concatenate([got, np.fromiter(itertools.chain.from_iterable(single), np.uint32)])
-        self.known.update(zip(order, range(len(self.counts), len(self.counts) + len(order))))
+        self.known.update(zip(sure + alone, range(len(self.counts), len(self.counts) + len(pieces))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, got])
@@ -105,34 +124,35 @@ class Encoder:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; none may be null."""
         texts = texts.cast(pa.large_string())
-        if not len(texts):
-            return []
         if not self.by_piece:
             return self.whole(texts.to_pylist())
-        odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
-        if len(self.known) > CACHE:
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        if offsets[0] == offsets[-1]:
+            return [np.zeros(0, np.uint32) for _ in range(len(texts))]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = sure_starts(data)
+        starts[offsets[offsets < len(data)]] = True
+        cuts = np.append(np.flatnonzero(starts), len(data))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        if len(self.known) + len(own) > CACHE:
             self.clear()
-        split = pc.split_pattern(texts, " ")
-        offsets = split.offsets.to_numpy()
-        coded = split.values.dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64) * 2 + 1
-        code[offsets[:-1]] -= 1  # a text's first piece has no space before it
-        used = np.zeros(2 * len(coded.dictionary), bool)
-        used[code] = True
-        keys = np.flatnonzero(used)
-        words = coded.dictionary.to_pylist()
-        pieces = [" " + words[k >> 1] if k & 1 else words[k >> 1] for k in keys.tolist()]
-        found = [self.known.get(p, -1) for p in pieces]
-        if -1 in found:
-            self.learn([p for p, at in zip(pieces, found) if at < 0])
-            found = [self.known[p] for p in pieces]
-        place = np.zeros(len(used), np.int64)
-        place[keys] = found
-        piece = place[code]
+        found = list(map(self.known.get, own))
+        if None in found:
+            new = [p for p, at in zip(own, found) if at is None]
+            self.learn(new)
+            found = list(map(self.known.get, own))
+            for long in [p for p in new if len(p) > CACHED_BYTES]:
+                del self.known[long]
+        piece = np.array(found, np.int64)[coded.indices.to_numpy()]
         counts = self.counts[piece]
         ends = np.cumsum(counts)
         flat = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[piece] - ends + counts, counts)]
-        result = np.split(flat, ends[offsets[1:-1] - 1])
+        reached = np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)].tolist()
+        result = [flat[i:j] for i, j in itertools.pairwise(reached)]
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)) if self.odd else []
         for i, ids in zip(odd, self.whole(texts.take(pa.array(odd)).to_pylist()) if len(odd) else []):
             result[i] = ids
         return result
@@ -146,7 +166,7 @@ def encoder(tokenizer_json: str) -> Encoder:
     key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(tokenizer_json, special=True)
+        _encoders[key] = Encoder(tokenizer_json)
     return _encoders[key]
 
 
@@ -219,15 +239,14 @@ def train_dictionary(docs: DataFrame, tokenizer_json, end_id: int) -> tuple[int,
 
     The dictionary is empty where there are too few documents to train on. tokenizer_json: a broadcast of the JSON.
     """
-    short = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    rows = short.count()
     order = F.xxhash64("doc_id", "text")
-    share = min(1.0, 2.0 * SAMPLE_DOCS / max(1, rows))
-    chosen = short.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, "doc_id").limit(SAMPLE_DOCS)
+    share = min(1.0, 2.0 * SAMPLE_DOCS / max(1, docs.count()))
+    drawn = docs.select("doc_id", "text").where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    chosen = drawn.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(order, "doc_id").limit(SAMPLE_DOCS)
 
     def train(batches):
         own = encoder(tokenizer_json.value)
-        samples = [np.append(x, np.uint32(end_id)) for batch in batches for x in own.encode(batch.column(0))]
+        samples = [np.append(x, np.uint32(end_id)) for batch in slices(batches, 0, TEXT_BYTES) for x in own.encode(batch.column(0))]
         width = 2 if max(own.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         samples = [x.astype(f"<u{width}").tobytes() for x in samples]
         total, dictionary = sum(map(len, samples)), b""
@@ -252,7 +271,6 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str | None = None, e
     """
     spark = docs.sparkSession
     out = out or new_dir(spark, "tokens")
-    batch_rows(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     keys = order or [F.col("doc_id")]
@@ -265,7 +283,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str | None = None, e
     def write(batches):
         context, made, shard = TaskContext.get(), 0, None
         listed = []
-        for batch in batches:
+        for batch in slices(batches, 1, TEXT_BYTES):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(shared.value).encode(batch.column(1))):
                 if shard is None:
                     shard = Shard(f"{out}/shards/part-{context.partitionId():06d}-{made:04d}-{context.taskAttemptId()}.ids", width, dictionary)
