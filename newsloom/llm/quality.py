@@ -19,17 +19,22 @@ TREES, DEPTH, LASSO = 12, 3, 0.002
 STATISTICS = ("log_chars", "log_words", "word_length", "distinct_words", "upper_share", "letter_share", "digit_share", "space_share", "mark_share", "bar_share", "shout_share", "sentence_rate", "line_rate", "repeat_share")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers that describe a text; all are finite, and zero for an empty one. No id, label, language or source enters."""
+def words_of(text: Column) -> Column:
+    """What stands between white space, lower-cased."""
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
+
+
+def statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Numbers that describe a text; all are finite, and zero for an empty one. No id, label, language or source enters.
+
+    words: the column of its `words_of`, made in a step before, so that it is not made anew for each number.
+    """
     chars = F.length(text)
     over = F.greatest(chars, F.lit(1))
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     n = F.size(words)
     left = lambda pattern: F.length(F.regexp_replace(text, pattern, "")) / over
     count = lambda mark: (chars - F.length(F.replace(text, F.lit(mark), F.lit("")))) / over
-    before = F.slice(words, 1, F.greatest(n - 1, F.lit(0)))
-    after = F.slice(words, 2, F.greatest(n - 1, F.lit(0)))
-    same = F.aggregate(F.zip_with(before, after, lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
+    same = F.size(F.filter(words, lambda w, i: w == F.get(words, i + 1)))
     return {
         "log_chars": F.log1p(chars),
         "log_words": F.log1p(n),
@@ -105,8 +110,9 @@ def _tight(path: list[tuple[str, bool, float]]) -> tuple:
     return tuple(sorted((n, g, t) for (n, g), t in kept.items()))
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumns(statistics(text_of(text)))
+def with_statistics(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the columns STATISTICS; null texts count as empty. `rows` has no columns of these names, nor `_words`."""
+    return rows.withColumn("_words", words_of(text_of(text))).withColumns(statistics(text_of(text), F.col("_words"))).drop("_words")
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = FIT_ROWS, seed: int = 5) -> RuleModel:
@@ -115,14 +121,17 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
     A forest of shallow trees proposes the rules; a lasso logistic regression over their truth values weighs them, and
     those of weight zero go. Where one class alone is labelled the score is its share, drawn a little towards 1/2.
     """
-    known = labels.where(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.min(target).alias("low"), F.max(target).alias("high")).where("low = high")
-    chosen = docs.where(fold() != 0).select("doc_id", text_of().alias("text")).join(known.select("doc_id", F.col("low").alias("label")), "doc_id")
-    total = known.count()
-    share = min(1.0, 1.3 * rows / max(1, total))
+    known = labels.where(F.col(target).isin(0, 1) & (fold() != 0)).groupBy("doc_id").agg(F.min(target).alias("low"), F.max(target).alias("high")).where("low = high")
     order = F.xxhash64("doc_id", F.lit(seed))
-    chosen = chosen.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    data = with_statistics(chosen).select(order.alias("order"), F.col("label").cast("double").alias("label"), *STATISTICS)
-    data = stored(data.orderBy("order").limit(rows) if share < 1 else data, "statistics")
+    share = min(1.0, 1.3 * rows / max(1, known.count()))
+    known = known.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("doc_id", F.col("low").alias("label"), order.alias("order"))
+    if share < 1:
+        known = known.orderBy("order", "doc_id").limit(rows)
+    # At most about 1.3 * rows ids and labels meet the documents where these lie, so that no text is shuffled.
+    chosen = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")
+    data = stored(with_statistics(chosen).select("order", F.col("label").cast("double").alias("label"), *STATISTICS), "statistics")
+    if data.count() > rows:  # ids that repeat in docs
+        data = stored(data.orderBy("order", *STATISTICS).limit(rows), "statistics")
     counts = {int(r.label): r["count"] for r in data.groupBy("label").count().collect()}
     n = sum(counts.values())
     prior = (counts.get(1, 0) + 1) / (n + 2)
@@ -144,22 +153,30 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
 
 
 def scored(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 if the score reaches the threshold) to docs; null texts count as empty."""
-    made = [c for c in STATISTICS if c in docs.columns]
-    if made:  # a clash of names: the caller's columns are set aside and given back
-        docs = docs.withColumnsRenamed({c: f"{c}__given" for c in made})
-    out = with_statistics(docs).withColumn("score", model.score()).drop(*STATISTICS)
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnsRenamed({f"{c}__given": c for c in made})
+    """(doc: the row as it was given, score 0 to 1, predicted: 1 if the score reaches the threshold).
+
+    Null and empty texts get a score like others; rows that repeat get equal scores. The given row travels as one
+    struct, so its columns may have any names.
+    """
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_of().alias("text"))
+    out = with_statistics(own).select("doc", model.score().alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs, by a model fitted outside the held-out fold."""
+    """doc_id, held_out, score, predicted for every row of docs, by a model fitted outside the held-out fold.
+
+    Null texts are empty texts, which get a score too; null ids stay null; rows that repeat get rows each; labels for
+    ids that docs lacks are ignored. No usable labels: every score is 1/2. No docs, no rows.
+    """
     model = fit(docs, labels, **options)
     out = scored(docs.select("doc_id", "text"), model, threshold)
-    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc.doc_id", (fold("doc.doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The documents, all columns, whose score reaches the threshold; a filter, so nothing is shuffled."""
-    score = scored(docs, fit(docs, labels, **options), threshold)
-    return score.where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents, all columns as given, whose score reaches the threshold; a filter, so nothing is shuffled.
+
+    Nulls, repeats and missing labels as in `score_quality`; columns of docs may have any names, `score` included.
+    """
+    return scored(docs, fit(docs, labels, **options), threshold).where("predicted = 1").select("doc.*")

@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, mixing, quality, simhash, token_store
+from newsloom.llm import common, decontaminate, mixing, quality, simhash, token_store
 from newsloom.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,6 +57,39 @@ def test_quality_rules_are_paths(spark):
     assert got == {"a <= 1.5", "a <= 1.5 and b <= 2", "a <= 1.5 and b > 2", "a <= 0.5 and b > 2", "a <= 1.5 and a > 0.5 and b > 2", "a > 1.5"}
 
 
+def test_statistics_equal_plain_python(spark):
+    """The numbers and a compiled score, by hand."""
+    import math
+    import re
+
+    import regex
+
+    texts = ["", " ", "a", "The the  THE cat. Sat!|\n1 2, 3", "Äß é— x x", "\u00a0tab\tx x\r\nx", "A" * 5000 + " b" * 5000]
+    names = list(quality.STATISTICS)
+    rows = quality.with_statistics(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()
+    model = quality.RuleModel(0.25, [quality.Rule((("log_words", True, 0.5), ("bar_share", False, 0.0)), 1.5), quality.Rule((("repeat_share", True, 0.2),), -2.0)])
+    scores = [r.score for r in quality.scored(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).orderBy("doc.i").collect()]
+    for text, row, score in zip(texts, rows, scores):
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+        n, over = len(words), max(1, len(text))
+        share = lambda pattern: len(regex.findall(pattern, text)) / over
+        same = sum(a == b for a, b in zip(words, words[1:])) / max(1, n - 1)
+        expected = [
+            math.log1p(len(text)), math.log1p(n), len(text) / max(1, n), len(set(words)) / max(1, n), share(r"\p{Lu}"), share(r"\p{L}"), share("[0-9]"),
+            share(r"[ \t\n\x0b\f\r]"), share(r"[^\p{L}\p{N} \t\n\x0b\f\r.,]"), share(r"\|"), share("!"), share(r"\."), share("\n"), same,
+        ]
+        assert [row[k] for k in names] == pytest.approx(expected, abs=1e-12), text[:30]
+        total = 0.25 + 1.5 * (math.log1p(n) > 0.5 and "|" not in text) - 2.0 * (same > 0.2)
+        assert score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12)
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    docs = frame(spark, [(1, "x"), (2, None), (2, None), (None, "y")]).withColumns({"score": F.lit(99.0), "predicted": F.lit("p"), "_words": F.lit(1), "doc": F.lit(2), "a.b": F.lit(3), "order": F.lit(4), "label": F.lit(5)})
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.accepted(docs, labels)
+    assert kept.schema == docs.schema and sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+
+
 def test_quality_edges(spark):
     docs = frame(spark, [(1, None), (2, ""), (None, "x y"), (3, "word " * 60_000), (1, None)]).withColumnRenamed("n_chars", "digit_share")
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
@@ -74,15 +108,22 @@ def test_encoder_equals_the_library(tokenizer_path):
 
     own = token_store.Encoder(open(tokenizer_path, encoding="utf-8").read())
     whole = Tokenizer.from_file(tokenizer_path)
-    whole.encode_special_tokens = True
     rng = np.random.default_rng(0)
-    bits = ["a", "the", "The", "'s", "don't", " ", "  ", "\n", "\n ", "\t", "é", "ß", "日本", " ", " ", "1", "12", ".", "!!", "***", "|", "<|endoftext|>", "\x00", "\x1c", "\u0085", "I'll", "😀", "́"]
+    bits = ["Mi", "z\n", "n,", "×", "÷", "ÿ", "ɏ", "ɐ", "(", "\r\n", "\n\n","a", "the", "The", "'s", "don't", " ", "  ", "\n", "\n ", "\t", "é", "ß", "日本", " ", " ", "1", "12", ".", "!!", "***", "|", "<|endoftext|>", "\x00", "\x1c", "\u0085", "I'll", "😀", "́"]
     texts = ["", " ", " a", "a ", "\n x", "a  b"] + ["".join(rng.choice(bits, rng.integers(1, 30))) for _ in range(3000)] + [" ".join(rng.choice(bits, 30)) for _ in range(300)]
     expected = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert own.by_piece
-    for _ in range(2):
-        for t, got, ids in zip(texts, own.encode(pa.array(texts)), expected):
+    for given in (pa.array(texts), pa.array(["x", *texts, "y"]).slice(1, len(texts))):
+        for t, got, ids in zip(texts, own.encode(given), expected):
             assert got.tolist() == ids, repr(t)
+    assert own.encode(pa.array([], pa.string())) == [] and [len(x) for x in own.encode(pa.array(["", ""]))] == [0, 0]
+
+
+def test_slices_bound_bytes_and_rows():
+    batch = pa.record_batch({"i": list(range(9)), "t": ["a" * 5, None, "", "b" * 30, "c", "d" * 9, "e", "f", "g"]})
+    got = list(common.slices([batch, batch.slice(0, 0)], 1, 10, 3))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
+    assert [b.num_rows for b in got] == [3, 1, 2, 3]
 
 
 def test_token_files(spark, sf_dir, tokenizer_path):
