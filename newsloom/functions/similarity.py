@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,12 +87,34 @@ def distinctive(c: Column) -> Column:
     return Title.of(c).distinct
 
 
-def common_words(a: Title, b: Title) -> Column:
-    return F.size(F.array_intersect(a.distinct, b.distinct))
+@dataclass(frozen=True)
+class Pair:
+    """What verdicts need of two titles; columns of a table if they were computed there once for each pair."""
+
+    equal: Column
+    common: Column
+    jaccard: Column
+    contradict: Column
+    meaningful: Column
+    similar: Column
+
+    @staticmethod
+    def of(a: Title, b: Title) -> Pair:
+        return Pair(_match(a, b), F.size(F.array_intersect(a.distinct, b.distinct)), _jaccard(a.distinct, b.distinct), _contradict(a, b), _meaningful(a, b), _similar(a, b))
+
+    @staticmethod
+    def at(prefix: str) -> Pair:
+        return Pair(*(F.col(f"{prefix}_{f.name}") for f in fields(Pair)))
+
+
+def pair_columns(df, prefix: str, a: Title, b: Title):
+    """Adds the parts of a pair, so that each is computed once, whatever is asked of them."""
+    own = Pair.of(a, b)
+    return df.withColumns({f"{prefix}_{f.name}": getattr(own, f.name) for f in fields(Pair)})
 
 
 def distinctive_common(a: Column, b: Column) -> Column:
-    return common_words(Title.of(a), Title.of(b))
+    return F.size(F.array_intersect(Title.of(a).distinct, Title.of(b).distinct))
 
 
 def distinctive_jaccard(a: Column, b: Column) -> Column:
@@ -113,7 +135,7 @@ def _contradict(a: Title, b: Title) -> Column:
 
 def _meaningful(a: Title, b: Title) -> Column:
     shared = F.array_intersect(a.distinct, b.distinct)
-    return (F.size(shared) < 4) | ~F.forall(shared, lambda w: w.isin(FRANCHISE_WORDS))
+    return (F.size(shared) < 4) | (F.size(F.array_except(shared, F.array(*[F.lit(w) for w in FRANCHISE_WORDS]))) > 0)
 
 
 def _similar(a: Title, b: Title) -> Column:
@@ -128,22 +150,21 @@ def _similar(a: Title, b: Title) -> Column:
     return F.when(_match(a, b), True).when((a.norm == "") | (b.norm == ""), False).when(inside, True).when(~some, False).otherwise(F.coalesce(half | most, F.lit(False)))
 
 
-def _strong(a: Title, b: Title, family: str) -> Column:
-    common, jaccard = common_words(a, b), _jaccard(a.distinct, b.distinct)
+def _strong(p: Pair, family: str) -> Column:
     if family == "e5_large":
-        enough = (common >= 5) | ((common >= 4) & (jaccard >= 0.45))
+        enough = (p.common >= 5) | ((p.common >= 4) & (p.jaccard >= 0.45))
     elif family == "bge":
-        enough = (common >= 5) | ((common >= 4) & (jaccard >= 0.50) & _meaningful(a, b))
+        enough = (p.common >= 5) | ((p.common >= 4) & (p.jaccard >= 0.50) & p.meaningful)
     else:
-        enough = (common >= 4) & (jaccard >= 0.55)
-    return F.when(_match(a, b), True).when(_contradict(a, b), False).otherwise(enough)
+        enough = (p.common >= 4) & (p.jaccard >= 0.55)
+    return F.when(p.equal, True).when(p.contradict, False).otherwise(enough)
 
 
-def _medium(a: Title, b: Title, family: str) -> Column:
+def _medium(p: Pair, family: str) -> Column:
     if family not in MEDIUM_JACCARD:
         return F.lit(False)
-    enough = _similar(a, b) & (common_words(a, b) >= 3) & (_jaccard(a.distinct, b.distinct) >= MEDIUM_JACCARD[family])
-    return F.when(_strong(a, b, family) | _contradict(a, b), False).otherwise(enough)
+    enough = p.similar & (p.common >= 3) & (p.jaccard >= MEDIUM_JACCARD[family])
+    return F.when(_strong(p, family) | p.contradict, False).otherwise(enough)
 
 
 def titles_match(a: Column, b: Column) -> Column:
@@ -155,54 +176,71 @@ def titles_similar(a: Column, b: Column) -> Column:
 
 
 def titles_strong(a: Column, b: Column, family: str = "e5_base") -> Column:
-    return _strong(Title.of(a), Title.of(b), family)
+    return _strong(Pair.of(Title.of(a), Title.of(b)), family)
 
 
 def titles_medium(a: Column, b: Column, family: str) -> Column:
-    return _medium(Title.of(a), Title.of(b), family)
+    return _medium(Pair.of(Title.of(a), Title.of(b)), family)
 
 
 def meaningful_overlap(a: Column, b: Column) -> Column:
     return _meaningful(Title.of(a), Title.of(b))
 
 
+#: Characters of a description's normal form that are compared, and bytes that it needs for that.
+LEAD, LEAD_BYTES = 220, 60
+
+
+def lead_columns(df, prefix: str, column: Column):
+    """Adds the beginning of a description as a title's parts; those too short to compare have no normal form."""
+    uncut = F.substring(norm_title(column), 1, LEAD)
+    df = df.withColumn(f"{prefix}_uncut", uncut)
+    df = df.withColumn(f"{prefix}_lead", F.when(F.octet_length(f"{prefix}_uncut") >= LEAD_BYTES, F.col(f"{prefix}_uncut")))
+    return title_columns(df, prefix, F.col(f"{prefix}_lead")).drop(f"{prefix}_uncut", f"{prefix}_lead")
+
+
+def leads_similar(a: Title, b: Title) -> Column:
+    return (a.norm != "") & (b.norm != "") & _similar(a, b)
+
+
 def descriptions_similar(a: Column, b: Column) -> Column:
     """Of the first 220 characters of the normal forms, if both have 60 bytes or more."""
-    left, right = (F.substring(norm_title(c), 1, 220) for c in (a, b))
-    return F.when((F.octet_length(left) < 60) | (F.octet_length(right) < 60), False).otherwise(_similar(Title.of(left), Title.of(right)))
+    left, right = (F.substring(norm_title(c), 1, LEAD) for c in (a, b))
+    return F.when((F.octet_length(left) < LEAD_BYTES) | (F.octet_length(right) < LEAD_BYTES), False).otherwise(_similar(Title.of(left), Title.of(right)))
 
 
 def content_matches(new_title: Column, new_desc: Column, old_title: Column, old_desc: Column) -> Column:
     return titles_similar(new_title, old_title) | descriptions_similar(new_desc, old_desc)
 
 
-def lexical_class(a: Title, b: Title, family: str) -> Column:
+def lexical_class(p: Pair, family: str) -> Column:
     """3 equal or strong, 2 medium, 1 similar, 0 otherwise."""
-    return F.when(_strong(a, b, family), 3).when(_medium(a, b, family), 2).when(_similar(a, b), 1).otherwise(0)
+    return F.when(_strong(p, family), 3).when(_medium(p, family), 2).when(p.similar, 1).otherwise(0)
 
 
-def match_rank(a: Title, b: Title, family: str, confidence: Column) -> Column:
+def match_rank(p: Pair, family: str, confidence: Column) -> Column:
     """A struct that orders matches, best largest."""
-    return F.struct(lexical_class(a, b, family).alias("lexical"), common_words(a, b).alias("common"), confidence.alias("confidence"))
+    return F.struct(lexical_class(p, family).alias("lexical"), p.common.alias("common"), confidence.alias("confidence"))
 
 
-def lexical_verdict(a: Title, b: Title, family: str) -> Column:
+def lexical_verdict(p: Pair, family: str) -> Column:
     """struct(class, confidence, explanation), or null where the titles are no duplicates lexically."""
-    common = common_words(a, b)
-    percent = F.round(_jaccard(a.distinct, b.distinct) * 100).cast("int")
+    percent = F.round(p.jaccard * 100).cast("int")
     make = lambda kind, confidence, text: F.struct(F.lit(kind).alias("class"), confidence.cast("int").alias("confidence"), text.alias("explanation"))
     return (
-        F.when(_match(a, b), make("equal", F.lit(98), F.lit("equal normalised titles")))
-        .when(_strong(a, b, family), make("strong", F.least(88 + common, F.lit(98)), F.format_string("similar titles: %d common words, %d%% of the vocabulary", common, percent)))
-        .when(_medium(a, b, family), make("medium", F.least(84 + common, F.lit(94)), F.format_string("related titles: %d common words", common)))
+        F.when(p.equal, make("equal", F.lit(98), F.lit("equal normalised titles")))
+        .when(_strong(p, family), make("strong", F.least(88 + p.common, F.lit(98)), F.format_string("similar titles: %d common words, %d%% of the vocabulary", p.common, percent)))
+        .when(_medium(p, family), make("medium", F.least(84 + p.common, F.lit(94)), F.format_string("related titles: %d common words", p.common)))
     )
 
 
-def heuristic_score(a: Title, b: Title, a_desc: Column, b_desc: Column, family: str) -> Column:
-    """Of a shortlist: 100 equal, 90 strong, 75 medium, 60 similar; 3 a common word; 40 or 20 for the descriptions."""
-    titles = F.when(_match(a, b), 100).when(_strong(a, b, family), 90).when(_medium(a, b, family), 75).when(_similar(a, b), 60).otherwise(0)
-    described = F.when(descriptions_similar(a_desc, b_desc), 40).when(_similar(a, b), 20).otherwise(0)
-    return titles + common_words(a, b) * 3 + described
+def heuristic_score(p: Pair, described: Column, family: str) -> Column:
+    """Of a shortlist: 100 equal, 90 strong, 75 medium, 60 similar; 3 a common word; 40 or 20 for the descriptions.
+
+    described: whether the descriptions are similar.
+    """
+    titles = F.when(p.equal, 100).when(_strong(p, family), 90).when(_medium(p, family), 75).when(p.similar, 60).otherwise(0)
+    return titles + p.common * 3 + F.when(described, 40).when(p.similar, 20).otherwise(0)
 
 
 def encoder_family(model_id: Column) -> Column:
@@ -233,22 +271,25 @@ def norm(a: Column) -> Column:
 
 def classify_duplicate(family: str, full: Column, title: Column, a: Title, b: Title, a_desc: Column, b_desc: Column, thresholds: dict | None = None) -> Column:
     """The semantic decision: by title class, or by similarities of enough distinctive words."""
+    return decide_duplicate(Pair.of(a, b), family, full, title, descriptions_similar(a_desc, b_desc), thresholds)
+
+
+def decide_duplicate(p: Pair, family: str, full: Column, title: Column, described: Column, thresholds: dict | None = None) -> Column:
     t = thresholds or THRESHOLDS[family]
     full, title = F.round(full, 6), F.round(title, 6)
-    common, similar = common_words(a, b), _similar(a, b)
     weak = F.lit(False)
     if family in ("e5_large", "bge"):
-        dominant = (common >= t["common_high"]) & (title >= 0.82) & (full >= 0.68) & _meaningful(a, b)
-        weak = (common < 5) & (_jaccard(a.distinct, b.distinct) < 0.35) & ~dominant
+        dominant = (p.common >= t["common_high"]) & (title >= 0.82) & (full >= 0.68) & p.meaningful
+        weak = (p.common < 5) & (p.jaccard < 0.35) & ~dominant
     enough = (
         (full >= t["full_strong"])
-        | ((full >= t["full_with_title"]) & (title >= t["title"]) & (common >= t["common_title"]))
-        | (similar & (common >= t["common_similar"]) & ((full >= t["similar_full"]) | (title >= t["similar_title"])))
-        | ((common >= t["common_high"]) & (full >= t["full_with_lexical"]) & (title >= round(t["title"] - 0.06, 6)))
+        | ((full >= t["full_with_title"]) & (title >= t["title"]) & (p.common >= t["common_title"]))
+        | (p.similar & (p.common >= t["common_similar"]) & ((full >= t["similar_full"]) | (title >= t["similar_title"])))
+        | ((p.common >= t["common_high"]) & (full >= t["full_with_lexical"]) & (title >= round(t["title"] - 0.06, 6)))
         | ((full >= t["full_with_lexical"]) & (title >= t["title"]))
-        | ((full >= t["full_with_lexical"]) & descriptions_similar(a_desc, b_desc))
+        | ((full >= t["full_with_lexical"]) & described)
     )
-    return F.when(_strong(a, b, family) | _medium(a, b, family), True).when((common < t["common"]) | weak, False).otherwise(enough)
+    return F.when(_strong(p, family) | _medium(p, family), True).when((p.common < t["common"]) | weak, False).otherwise(enough)
 
 
 def semantic_confidence(full: Column) -> Column:

@@ -7,59 +7,55 @@ shared distinctive words than LEAST_COMMON can only match by equal titles, which
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.predicates import is_hint_content, is_link_roundup
 from newsloom.functions.similarity import (
     LEAST_COMMON,
+    Pair,
     Title,
-    classify_duplicate,
     cosine,
+    decide_duplicate,
+    descriptions_similar,
     heuristic_score,
+    lead_columns,
+    leads_similar,
     lexical_verdict,
     match_rank,
     norm_title,
+    pair_columns,
     semantic_confidence,
     title_columns,
 )
+from newsloom.steps import cut_lineage
 
+#: Newest posts that a new one is compared with where comparisons are dear.
+HISTORY = 200
 MATCH = ("new_id", "kept_id", "kept_title", "reason", "confidence", "explanation")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the session's shared checkpoint folder and reads it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    path = os.path.join(base, "newsloom", f"rounds-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _display(posts: DataFrame) -> DataFrame:
     return posts.withColumn("kept_title", F.coalesce("ai_title", "raw_title"))
 
 
+def _two_newest(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of each key the two newest rows; tasks keep two of a key before they shuffle, so a hot key costs no more."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("id")))
+    return rows.withColumn("_place", place).where("_place <= 2").drop("_place")
+
+
 def match_exact(new: DataFrame, history: DataFrame) -> DataFrame:
-    """Equal normalised titles, whatever age or status; the newest kept post counts; confidence 100.
+    """Equal normalised titles, whatever age or status; the newest kept post other than the new one counts; confidence 100.
 
-    History is reduced to one row for each title before the join, so titles that many posts have cost one row.
+    History is reduced to its two newest posts for each title before the join: one of them is another post.
     """
-    kept = _display(history).groupBy(norm_title(F.col("raw_title")).alias("norm")).agg(
-        F.max(F.struct("created_at", "id")).alias("newest"), F.max_by("kept_title", F.struct("created_at", "id")).alias("kept_title"),
-        F.min(F.struct("created_at", "id")).alias("oldest"),
-    )
+    kept = _display(history).select(norm_title(F.col("raw_title")).alias("norm"), "created_at", "id", "kept_title").where("norm <> ''")
+    two = _two_newest(kept, "norm").groupBy("norm").agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "kept_title")), asc=False).alias("two"))
     own = new.select(F.col("id").alias("new_id"), norm_title(F.col("raw_title")).alias("norm")).where("norm <> ''")
-    found = own.join(kept, "norm").where(F.col("newest.id") != F.col("new_id"))
-    return found.select("new_id", F.col("newest.id").alias("kept_id"), "kept_title", F.lit("exact").alias("reason"), F.lit(100).alias("confidence"), F.lit("equal normalised titles").alias("explanation"))
+    other = F.get(F.filter("two", lambda k: k["id"] != F.col("new_id")), F.lit(0))
+    found = own.join(two, "norm").select("new_id", other.alias("k")).where("k is not null")
+    return found.select("new_id", F.col("k.id").alias("kept_id"), F.col("k.kept_title").alias("kept_title"), F.lit("exact").alias("reason"), F.lit(100).alias("confidence"), F.lit("equal normalised titles").alias("explanation"))
 
 
 def _bounded(history: DataFrame, as_of=None, days: int = 0, limit: int | None = None, status=None) -> DataFrame:
@@ -110,24 +106,41 @@ def candidate_pairs(new: DataFrame, history: DataFrame, least: int) -> DataFrame
     return out.where("new_id <> kept_id").select("new_id", "kept_id").distinct()
 
 
-def _attach(pairs: DataFrame, new: DataFrame, history: DataFrame, vectors: bool = False) -> DataFrame:
-    """Pairs with the title parts of both sides; a null rewritten title gives nulls."""
+def _attach(pairs: DataFrame, new: DataFrame, history: DataFrame, vectors: bool = False, leads: bool = False) -> DataFrame:
+    """Pairs with what verdicts need: the parts of the new title against the kept raw (nr) and rewritten (na) title.
+
+    Titles are taken apart once a post and compared once a pair. vectors: the embeddings too; leads: whether the new
+    description is like the raw (nr_described) and like the rewritten one (na_described; na_either: that, or the raw one
+    where there is none).
+    """
     extra = ["embedding", "title_embedding"] if vectors else []
-    n = title_columns(new.select(F.col("id").alias("new_id"), "raw_title", "raw_description", *extra), "n", F.col("raw_title"))
-    n = n.select("new_id", F.col("raw_description").alias("n_desc"), "n_norm", "n_words", "n_distinct", *[F.col(x).alias(f"n_{x}") for x in extra])
+    n = title_columns(new.select(F.col("id").alias("new_id"), "raw_title", "raw_description", F.col("created_at").alias("n_created_at"), *[F.col(x).alias(f"n_{x}") for x in extra]), "n", F.col("raw_title"))
     more = [c for c in ("ai_embedding", "ai_title_embedding") if vectors and c in history.columns]
-    k = _display(history).select(F.col("id").alias("kept_id"), "kept_title", "raw_title", "raw_description", "ai_title", "ai_text", "created_at", *extra, *more)
+    k = _display(history).select(
+        F.col("id").alias("kept_id"), "kept_title", "raw_title", "raw_description", "ai_title", "ai_text", "created_at",
+        *[F.col(x).alias(f"r_{x}") for x in extra], *[F.col(x).alias(x.replace("ai_", "a_", 1)) for x in more],
+    )
     k = title_columns(title_columns(k, "r", F.col("raw_title")), "a", F.col("ai_title"))
-    k = k.withColumnsRenamed({"raw_description": "r_desc", "ai_text": "a_desc"} | {x: f"r_{x}" for x in extra} | {x: x.replace("ai_", "a_", 1) for x in more}).drop("raw_title")
-    return pairs.join(n, "new_id").join(k, "kept_id")
+    if leads:
+        n = lead_columns(n, "nd", F.col("raw_description"))
+        k = lead_columns(lead_columns(k, "rd", F.col("raw_description")), "ad", F.col("ai_text")).withColumn("no_text", F.col("ai_text").isNull())
+    k = k.withColumn("rewritten", F.trim(F.coalesce("ai_title", F.lit(""))) != "")
+    out = pairs.join(n.drop("raw_title", "raw_description"), "new_id").join(k.drop("raw_title", "raw_description", "ai_title", "ai_text"), "kept_id")
+    out = pair_columns(pair_columns(out, "nr", Title.at("n"), Title.at("r")), "na", Title.at("n"), Title.at("a"))
+    if leads:
+        out = out.withColumns({"nr_described": leads_similar(Title.at("nd"), Title.at("rd")), "na_described": leads_similar(Title.at("nd"), Title.at("ad"))})
+        out = out.withColumn("na_either", F.when(F.col("no_text"), F.col("nr_described")).otherwise(F.col("na_described")))
+    gone = [f"{p}_{x}" for p in ("n", "r", "a", "nd", "rd", "ad") for x in ("words", "distinct")] + [f"{p}_norm" for p in ("a", "nd", "rd", "ad")]
+    return out.drop(*gone)
 
 
 def lexical_edges(pairs: DataFrame, family: str) -> DataFrame:
     """Of attached pairs the lexical duplicates, with verdict and rank; the rank uses the kept raw title."""
-    new, raw, ai = Title.at("n"), Title.at("r"), Title.at("a")
-    rewritten = F.when(F.trim(F.coalesce("ai_title", F.lit(""))) != "", lexical_verdict(new, ai, family))
-    out = pairs.withColumn("verdict", F.coalesce(lexical_verdict(new, raw, family), rewritten)).where("verdict is not null")
-    return out.withColumn("rank", match_rank(new, raw, family, F.col("verdict.confidence")))
+    raw, ai = Pair.at("nr"), Pair.at("na")
+    verdict = F.coalesce(lexical_verdict(raw, family), F.when(F.col("rewritten"), lexical_verdict(ai, family)))
+    out = pairs.withColumn("verdict", verdict).where("verdict is not null")
+    out = out.withColumn("rank", match_rank(raw, family, F.col("verdict.confidence")))
+    return out.drop(*[c for c in pairs.columns if c.startswith(("nr_", "na_"))])
 
 
 def best_match(matches: DataFrame) -> DataFrame:
@@ -143,7 +156,7 @@ def _as_matches(best: DataFrame, reason: str, confidence: Column, explanation: C
 def match_lexical(new: DataFrame, history: DataFrame, family: str = "e5_base", as_of=None, days: int = 0, limit: int | None = None, status=None) -> DataFrame:
     """The best lexical match of each new post; link roundups take no part on either side."""
     own, kept = new.where(~is_link_roundup(F.col("raw_title"))), _newest_of_title(_bounded(history, as_of, days, limit, status))
-    pairs = candidate_pairs(own, kept, LEAST_COMMON[family]).unionByName(_equal_pairs(own, kept)).distinct()
+    pairs = candidate_pairs(own, kept, LEAST_COMMON[family]).unionByName(_equal_pairs(own, kept, family)).distinct()
     best = best_match(lexical_edges(_attach(pairs, own, kept), family))
     return _as_matches(best, "lexical", F.col("verdict.confidence"), F.col("verdict.explanation"))
 
@@ -151,18 +164,22 @@ def match_lexical(new: DataFrame, history: DataFrame, family: str = "e5_base", a
 def _newest_of_title(history: DataFrame) -> DataFrame:
     """The two newest posts of each pair of raw and rewritten title: the best lexical match is always one of them."""
     rows = history.withColumn("_raw", norm_title(F.col("raw_title"))).withColumn("_ai", norm_title(F.col("ai_title")))
-    place = F.row_number().over(Window.partitionBy("_raw", "_ai").orderBy(F.desc("created_at"), F.desc("id")))
-    return rows.withColumn("_place", place).where("_place <= 2").drop("_raw", "_ai", "_place")
+    return _two_newest(rows, "_raw", "_ai").drop("_raw", "_ai")
 
 
-def _equal_pairs(new: DataFrame, history: DataFrame) -> DataFrame:
-    """New posts with the newest other post of equal raw or rewritten title."""
+def _equal_pairs(new: DataFrame, history: DataFrame, family: str | None) -> DataFrame:
+    """New posts with other posts of equal raw or rewritten title: with the two best by rank, then the newest, of each
+    title, one of which is another post; without a family with all of them."""
     own = new.select(F.col("id").alias("new_id"), norm_title(F.col("raw_title")).alias("norm")).where("norm <> ''")
-    titles = history.select("id", "created_at", F.explode(F.array("raw_title", "ai_title")).alias("title")).where("title is not null")
-    order = F.struct("created_at", "id")
-    kept = titles.select(norm_title(F.col("title")).alias("norm"), order.alias("at")).groupBy("norm").agg(F.max("at").alias("newest"), F.min("at").alias("oldest"))
-    found = own.join(kept, "norm").select("new_id", F.when(F.col("newest.id") != F.col("new_id"), F.col("newest.id")).otherwise(F.col("oldest.id")).alias("kept_id"))
-    return found.where("new_id <> kept_id")
+    norms = F.array_distinct(F.array(norm_title(F.col("raw_title")), norm_title(F.col("ai_title"))))
+    kept = history.select("id", "created_at", "raw_title", F.explode(norms).alias("norm")).where("norm <> ''")
+    if family is not None:
+        rows = title_columns(title_columns(kept, "n", F.col("norm")), "r", F.col("raw_title"))
+        rows = pair_columns(rows, "nr", Title.at("n"), Title.at("r"))
+        rank = match_rank(Pair.at("nr"), family, F.coalesce(lexical_verdict(Pair.at("nr"), family)["confidence"], F.lit(98)))
+        best = F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("rank"), F.desc("created_at"), F.desc("id")))
+        kept = rows.select("norm", "id", "created_at", rank.alias("rank")).withColumn("_place", best).where("_place <= 2")
+    return own.join(kept.select("norm", F.col("id").alias("kept_id")), "norm").where("new_id <> kept_id").select("new_id", "kept_id")
 
 
 def semantic_scores(pairs: DataFrame) -> DataFrame:
@@ -172,36 +189,49 @@ def semantic_scores(pairs: DataFrame) -> DataFrame:
         out = out.withColumn("ai_full", cosine(F.col("n_embedding"), F.col("a_embedding"))).withColumn("ai_title_sim", cosine(F.col("n_title_embedding"), F.col("a_title_embedding")))
     else:  # rewritten texts without vectors of their own
         out = out.withColumn("ai_full", F.lit(None).cast("double")).withColumn("ai_title_sim", F.lit(None).cast("double"))
-    rewritten = F.col("ai_title").isNotNull() & F.coalesce(F.col("ai_full") > F.col("raw_full"), F.lit(False))
+    rewritten = F.col("rewritten") & F.coalesce(F.col("ai_full") > F.col("raw_full"), F.lit(False))
     return out.withColumn("by_rewrite", rewritten).withColumn("full_sim", F.when(rewritten, F.col("ai_full")).otherwise(F.col("raw_full"))).withColumn("title_sim", F.when(rewritten, F.col("ai_title_sim")).otherwise(F.col("raw_title_sim")))
 
 
 def semantic_edges(pairs: DataFrame, family: str, thresholds: dict | None = None) -> DataFrame:
-    new, raw, ai = Title.at("n"), Title.at("r"), Title.at("a")
-    scored = semantic_scores(pairs)
-    decide = lambda other, desc: classify_duplicate(family, F.col("full_sim"), F.col("title_sim"), new, other, F.col("n_desc"), F.col(desc), thresholds)
-    out = scored.withColumn("is_duplicate", F.when(F.col("by_rewrite"), decide(ai, "a_desc")).otherwise(decide(raw, "r_desc"))).withColumn("confidence", semantic_confidence(F.col("full_sim")))
-    return out.withColumn("rank", match_rank(new, raw, family, F.col("confidence")))
+    """Attached pairs with is_duplicate, confidence and rank."""
+    decide = lambda p, described: decide_duplicate(Pair.at(p), family, F.col("full_sim"), F.col("title_sim"), F.col(described), thresholds)
+    out = semantic_scores(pairs).withColumn("is_duplicate", F.when(F.col("by_rewrite"), decide("na", "na_described")).otherwise(decide("nr", "nr_described")))
+    out = out.withColumn("confidence", semantic_confidence(F.col("full_sim")))
+    return out.withColumn("rank", match_rank(Pair.at("nr"), family, F.col("confidence"))).drop(*[c for c in pairs.columns if c.endswith("embedding")])
+
 
+def match_semantic(new: DataFrame, history: DataFrame, family: str = "e5_base", thresholds: dict | None = None, as_of=None, days: int = 0, limit: int | None = HISTORY, status=None) -> DataFrame:
+    """The best semantic match of each new post, by cosine of full and title embeddings and the decision cascade.
 
-def match_semantic(new: DataFrame, history: DataFrame, family: str = "e5_base", thresholds: dict | None = None, as_of=None, days: int = 0, limit: int | None = None, status=None) -> DataFrame:
-    """The best semantic match of each new post, by cosine of full and title embeddings and the decision cascade."""
+    Only the `limit` newest posts of the window are compared. Without a limit every post is, and of those that share
+    only a title too short for candidate words the two best by title.
+    """
     own, kept = new.where(~is_link_roundup(F.col("raw_title"))), _bounded(history, as_of, days, limit, status)
-    pairs = candidate_pairs(own, kept, LEAST_COMMON[family]).unionByName(_equal_pairs(own, kept)).distinct()
-    edges = semantic_edges(_attach(pairs, own, kept, True), family, thresholds).where("is_duplicate")
+    pairs = candidate_pairs(own, kept, LEAST_COMMON[family]).unionByName(_equal_pairs(own, kept, None if limit else family)).distinct()
+    edges = semantic_edges(_attach(pairs, own, kept, True, True), family, thresholds).where("is_duplicate").select("new_id", "kept_id", "kept_title", "created_at", "title_sim", "confidence", "rank")
     text = F.format_string("semantic similarity %d%% (titles %d%%)", "confidence", F.round(F.col("title_sim") * 100).cast("int"))
     return _as_matches(best_match(edges), "semantic", F.col("confidence"), text)
 
 
-def shortlist(new: DataFrame, history: DataFrame, family: str = "e5_base", k: int = 50) -> DataFrame:
-    """(new_id, kept_id, score, place): all pairs of positive heuristic score, best first, and at least the k best."""
-    pairs = candidate_pairs(new, history, 1)
-    own = _attach(pairs, new, history)
-    new_t, raw, ai = Title.at("n"), Title.at("r"), Title.at("a")
-    by_raw = heuristic_score(new_t, raw, F.col("n_desc"), F.col("r_desc"), family)
-    by_ai = F.when(F.col("ai_title").isNotNull(), heuristic_score(new_t, ai, F.col("n_desc"), F.coalesce("a_desc", "r_desc"), family))
-    scored = own.withColumn("score", F.greatest(by_raw, by_ai))
-    place = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("score"), F.desc("kept_id")))
+def shortlist(new: DataFrame, history: DataFrame, family: str = "e5_base", k: int = 50, as_of=None, days: int = 0, limit: int | None = HISTORY) -> DataFrame:
+    """(new_id, kept_id, score, place): pairs of positive heuristic score with the `limit` newest posts of the window, best
+    first, ties to the newer post; and, where fewer than k are positive, pairs of score zero up to k in all.
+
+    With a limit every new post is held against each of those few posts, so the work grows with the new posts alone.
+    Without one only pairs that share a distinctive word or a title are scored, and all of them are returned.
+    """
+    kept = dedup_candidates(history, as_of, days, limit)
+    if limit:
+        kept = cut_lineage(kept)
+        pairs = new.select(F.col("id").alias("new_id")).join(F.broadcast(kept.select(F.col("id").alias("kept_id"))), F.col("new_id") != F.col("kept_id"))
+    else:
+        pairs = candidate_pairs(new, kept, 1).unionByName(_equal_pairs(new, kept, family)).distinct()
+    own = _attach(pairs, new, kept, leads=True)
+    by_raw = heuristic_score(Pair.at("nr"), F.col("nr_described"), family)
+    by_ai = F.when(F.col("rewritten"), heuristic_score(Pair.at("na"), F.col("na_either"), family))
+    scored = own.select("new_id", "kept_id", "created_at", F.greatest(by_raw, by_ai).alias("score"))
+    place = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("score"), F.desc("created_at"), F.desc("kept_id")))
     return scored.withColumn("place", place).where((F.col("score") > 0) | (F.col("place") <= k)).select("new_id", "kept_id", "score", "place")
 
 
@@ -213,56 +243,93 @@ def compare_pairs(pairs: DataFrame, family: str = "e5_base", thresholds: dict |
     for name, (a, b) in sims.items():
         if name not in pairs.columns:
             own = own.withColumn(name, cosine(F.col(a), F.col(b)) if a in pairs.columns else F.lit(0.0))
-    verdict = lexical_verdict(Title.at("n"), Title.at("r"), family)
-    own = own.withColumn("class", F.coalesce(verdict["class"], F.lit("none")))
-    own = own.withColumn("is_duplicate", classify_duplicate(family, F.col("full_sim"), F.col("title_sim"), Title.at("n"), Title.at("r"), F.col("new_desc"), F.col("kept_desc"), thresholds)).withColumn("confidence", semantic_confidence(F.col("full_sim")))
-    return own.drop(*[f"{p}_{x}" for p in "nr" for x in ("norm", "words", "distinct")])
+    own = pair_columns(own, "nr", Title.at("n"), Title.at("r"))
+    own = own.withColumn("class", F.coalesce(lexical_verdict(Pair.at("nr"), family)["class"], F.lit("none")))
+    described = descriptions_similar(F.col("new_desc"), F.col("kept_desc"))
+    own = own.withColumn("is_duplicate", decide_duplicate(Pair.at("nr"), family, F.col("full_sim"), F.col("title_sim"), described, thresholds)).withColumn("confidence", semantic_confidence(F.col("full_sim")))
+    return own.drop(*[c for c in own.columns if c not in pairs.columns and c not in ("class", "full_sim", "title_sim", "is_duplicate", "confidence")])
 
 
 def dedup_report(new: DataFrame, history: DataFrame, family: str = "e5_base", thresholds: dict | None = None) -> DataFrame:
     """(new_id, kept_id, full_sim, title_sim, class, is_duplicate, confidence) of every candidate pair."""
     pairs = candidate_pairs(new, history, LEAST_COMMON[family])
-    edges = semantic_edges(_attach(pairs, new, history, True), family, thresholds)
-    verdict = lexical_verdict(Title.at("n"), Title.at("r"), family)
+    edges = semantic_edges(_attach(pairs, new, history, True, True), family, thresholds)
+    verdict = lexical_verdict(Pair.at("nr"), family)
     return edges.select("new_id", "kept_id", F.round("full_sim", 6).alias("full_sim"), F.round("title_sim", 6).alias("title_sim"), F.coalesce(verdict["class"], F.lit("none")).alias("class"), "is_duplicate", "confidence")
 
 
-def match_edges(posts: DataFrame, family: str = "e5_base", semantic: bool = False, thresholds: dict | None = None) -> DataFrame:
-    """Undirected edges (a, b), a < b, between posts of which one is a duplicate of the other.
+def story_classes(posts: DataFrame, semantic: bool = False) -> DataFrame:
+    """(id, at, norm, head) of every post: its place (created_at, id), its normalised title and its class's first place.
 
-    Posts of equal normalised title are a class: its members are linked to the class's smallest id in a star, and only
-    that member meets other classes, so cliques never become all pairs.
+    A class holds posts that match the same others: equal raw and rewritten titles, for the semantic decision equal
+    descriptions and vectors too. Posts without a title match nothing as new ones, so each is its own class.
     """
-    rows = posts.withColumn("_norm", norm_title(F.col("raw_title")))
-    heads = rows.where("_norm <> ''").groupBy("_norm").agg(F.min("id").alias("head"))
-    star = rows.join(heads, "_norm").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    single = posts.join(heads.select(F.col("head").alias("id")), "id", "left_semi")
-    own = single.where(~is_link_roundup(F.col("raw_title")))
-    pairs = candidate_pairs(own, own, LEAST_COMMON[family]).unionByName(_equal_pairs(own, own)).distinct()
-    attached = _attach(pairs, own, own, semantic)
+    more = [c for c in ("embedding", "title_embedding", "ai_embedding", "ai_title_embedding") if c in posts.columns]
+    parts = [norm_title(F.col("raw_title")), norm_title(F.col("ai_title"))]
+    if semantic:
+        parts += [norm_title(F.col("raw_description")), norm_title(F.col("ai_text")), *[F.to_json(F.struct(c)) for c in more]]
+    rows = posts.select("id", F.struct("created_at", "id").alias("at"), parts[0].alias("norm"), F.sha2(F.concat_ws("\x00", *parts), 256).alias("key"))
+    heads = rows.where("norm <> ''").groupBy("key").agg(F.min("at").alias("head"))
+    return rows.join(heads, "key", "left").select("id", "at", "norm", F.coalesce("head", "at").alias("head"))
+
+
+def class_pairs(posts: DataFrame, classes: DataFrame, family: str, semantic: bool = False, thresholds: dict | None = None) -> DataFrame:
+    """(a, b), a < b: heads of classes with different titles of which one is a duplicate of the other."""
+    single = posts.join(classes.where("id = head.id").select("id"), "id", "left_semi").where(~is_link_roundup(F.col("raw_title")))
+    pairs = candidate_pairs(single, single, LEAST_COMMON[family]).unionByName(_equal_pairs(single, single, None)).distinct()
+    attached = _attach(pairs, single, single, semantic, semantic).where("n_norm <> r_norm or n_norm = ''")
     edges = semantic_edges(attached, family, thresholds).where("is_duplicate") if semantic else lexical_edges(attached, family)
-    both = edges.select(F.least("new_id", "kept_id").alias("a"), F.greatest("new_id", "kept_id").alias("b"))
-    return star.unionByName(both).distinct()
+    new, kept = F.struct(F.col("n_created_at").alias("created_at"), F.col("new_id").alias("id")), F.struct("created_at", F.col("kept_id").alias("id"))
+    return edges.select(F.least(new, kept).alias("a"), F.greatest(new, kept).alias("b")).distinct()
 
 
-def greedy_kept(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:
-    """(id, kept): in order of id a node is kept unless an earlier kept node is its neighbour.
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    In rounds: undecided nodes without undecided earlier neighbours are kept, their later neighbours go. Nodes without
-    edges never enter the rounds. Each round is written to the shared folder.
+
+def match_edges(posts: DataFrame, family: str = "e5_base", semantic: bool = False, thresholds: dict | None = None) -> DataFrame:
+    """Undirected edges (a, b), a < b, that connect whatever posts are duplicates of each other.
+
+    Of equal titles, which would be cliques, each post is linked to its class's head and each head to the first post of
+    that title; classes of different titles are linked by their heads.
+    """
+    classes = cut_lineage(story_classes(posts, semantic))
+    first = classes.where("norm <> ''").groupBy("norm").agg(F.min("at.id").alias("first"))
+    stars = classes.where("id <> head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"))
+    titles = classes.where("id = head.id").join(first, "norm").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    pairs = class_pairs(posts, classes, family, semantic, thresholds).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    every = stars.unionByName(titles).unionByName(pairs)
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def greedy_kept(nodes: DataFrame, edges: DataFrame, groups: DataFrame | None = None, max_rounds: int = 1_000) -> DataFrame:
+    """(id, kept): in order of id a node is kept unless an earlier kept node is its neighbour, or of its group.
+
+    groups: (id, group), all of a group being neighbours; ids may be of any ordered type. In rounds: undecided nodes
+    without undecided earlier neighbours are kept, their later neighbours go. Nodes without edges or fellows never enter
+    the rounds. Each round is written to the shared folder.
     """
     open_edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if groups is None:
+        groups = nodes.select("id", F.lit(None).cast("string").alias("group")).limit(0)
+    fellows = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1 and group is not null")
+    open_groups = cut_lineage(groups.join(fellows, "group", "left_semi").select("id", "group").distinct())
     gone = None
     for _ in range(max_rounds):
-        if open_edges.isEmpty():
+        if open_edges.isEmpty() and open_groups.isEmpty():
             break
-        later = open_edges.select(F.col("b").alias("a")).distinct()
-        first = open_edges.select("a").distinct().join(later, "a", "left_anti")
-        dropped = cut_lineage(open_edges.join(first, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        least = open_groups.groupBy("group").agg(F.min("id").alias("least"))
+        later = open_edges.select(F.col("b").alias("id")).unionByName(open_groups.join(least, "group").where("id > least").select("id")).distinct()
+        first = open_edges.select(F.col("a").alias("id")).unionByName(least.select(F.col("least").alias("id"))).distinct().join(later, "id", "left_anti")
+        first = cut_lineage(first)
+        beside = open_groups.join(open_groups.join(first, "id", "left_semi").select("group").distinct(), "group", "left_semi").select("id").join(first, "id", "left_anti")
+        after = open_edges.join(first.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
+        dropped = cut_lineage(after.unionByName(beside).distinct())
         gone = dropped if gone is None else gone.unionByName(dropped)
-        settled = first.withColumnRenamed("a", "id").unionByName(dropped)
+        settled = cut_lineage(first.unionByName(dropped))
         rest = open_edges.join(settled.withColumnRenamed("id", "a"), "a", "left_anti")
-        open_edges = cut_lineage(rest.join(dropped.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+        open_edges = cut_lineage(rest.join(settled.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+        open_groups = cut_lineage(open_groups.join(settled, "id", "left_anti"))
     else:
         raise RuntimeError(f"not settled after {max_rounds} rounds")
     if gone is None:
@@ -270,41 +337,73 @@ def greedy_kept(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1_000) ->
     return nodes.select("id").join(gone.distinct().withColumn("_gone", F.lit(True)), "id", "left").select("id", F.col("_gone").isNull().alias("kept"))
 
 
+def _first_come(posts: DataFrame, family: str, semantic: bool, thresholds: dict | None) -> DataFrame:
+    """(id, survivor, kept): in order of (created_at, id) a post is kept unless an earlier kept post is its duplicate.
+
+    Of a class only its head can be kept, and of a title one post; so classes are decided, never their members' pairs.
+    """
+    classes = cut_lineage(story_classes(posts, semantic))
+    pairs = cut_lineage(class_pairs(posts, classes, family, semantic, thresholds))
+    heads = classes.where("id = head.id").select(F.col("head").alias("id"), F.when(F.col("norm") != "", F.col("norm")).alias("group"))
+    live = cut_lineage(greedy_kept(heads.select("id"), pairs, heads).where("kept").select(F.col("id").alias("b")))
+    titled = heads.join(live, F.col("id") == F.col("b")).where("group is not null").select("group", "b")
+    near = _both(pairs).join(live, "b").select("a", "b").unionByName(heads.join(titled, "group").select(F.col("id").alias("a"), "b"))
+    near = near.groupBy(F.col("a").alias("_head")).agg(F.min("b").alias("_near"))
+    out = classes.join(near, F.col("head") == F.col("_head"), "left").join(live, F.col("at") == F.col("b"), "left")
+    kept = F.col("b").isNotNull()
+    return out.select("id", F.when(kept, F.col("id")).otherwise(F.col("_near.id")).alias("survivor"), kept.alias("kept"))
+
+
 def dedup_batch(new: DataFrame, history: DataFrame, family: str = "e5_base", as_of=None, days: int = 30, limit: int | None = None, semantic: bool = False, thresholds: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(new posts kept, matches of the others): exact, then lexical, then semantic matches with history; then, in order
-    of id, first come first kept within the batch. Each stage sees only what the stages before left."""
+    of (created_at, id), first come first kept within the batch. Each stage sees only what the stages before left."""
     rest, found = new, None
-    stages = [match_exact(rest, history)]
-    for stage in ("exact", "lexical", "semantic" if semantic else None):
-        if stage is None:
-            continue
-        if stage == "lexical":
-            stages = [match_lexical(rest, history, family, as_of, days, limit)]
-        elif stage == "semantic":
-            stages = [match_semantic(rest, history, family, thresholds, as_of, days, limit)]
-        hit = cut_lineage(stages[0])
+    for stage in ("exact", "lexical", "semantic")[: 3 if semantic else 2]:
+        if stage == "exact":
+            hit = match_exact(rest, history)
+        elif stage == "lexical":
+            hit = match_lexical(rest, history, family, as_of, days, limit)
+        else:
+            hit = match_semantic(rest, history, family, thresholds, as_of, days, limit or HISTORY)
+        hit = cut_lineage(hit)
         found = hit if found is None else found.unionByName(hit)
         rest = rest.join(hit.select(F.col("new_id").alias("id")), "id", "left_anti")
     rest = cut_lineage(rest)
-    edges = cut_lineage(match_edges(rest, family, semantic, thresholds))
-    kept = cut_lineage(greedy_kept(rest, edges))
-    lost = kept.where("not kept").select(F.col("id").alias("new_id"))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "new_id", "b": "kept_id"})
-    winner = both.join(lost, "new_id").join(kept.where("kept").select(F.col("id").alias("kept_id")), "kept_id").groupBy("new_id").agg(F.min("kept_id").alias("kept_id"))
+    decided = cut_lineage(_first_come(rest, family, semantic, thresholds))
     titles = _display(rest).select(F.col("id").alias("kept_id"), "kept_title")
+    winner = decided.where("not kept").select(F.col("id").alias("new_id"), F.col("survivor").alias("kept_id"))
     inside = winner.join(titles, "kept_id").select("new_id", "kept_id", "kept_title", F.lit("batch").alias("reason"), F.lit(98).alias("confidence"), F.lit("matches an earlier post of the batch").alias("explanation"))
-    return rest.join(kept.where("kept").select("id"), "id", "left_semi"), found.unionByName(inside)
+    return rest.join(decided.where("kept").select("id"), "id", "left_semi"), found.unionByName(inside)
+
+
+def _by_class(classes: DataFrame, pairs: DataFrame, *aggregates: Column) -> DataFrame:
+    """Classes with `own`, the aggregates over all posts of the same title, and `other`, over those of neighbouring classes."""
+    own = classes.where("norm <> ''").groupBy("norm").agg(F.struct(*aggregates).alias("own"))
+    each = classes.groupBy(F.col("head").alias("b")).agg(*aggregates)
+    names = [c for c in each.columns if c != "b"]
+    other = _both(pairs).join(each, "b").groupBy(F.col("a").alias("head")).agg(F.struct(*[F.max(c).alias(c) for c in names]).alias("other"))
+    return classes.join(own, "norm", "left").join(other, "head", "left")
 
 
 def sweep(posts: DataFrame, new_ids: DataFrame, family: str = "e5_base", semantic: bool = False, thresholds: dict | None = None, edges: DataFrame | None = None) -> DataFrame:
     """Posts left after the sweep of the new ones (status new or processing), ascending: a post goes if any live post
-    matches. For edges that hold either way round that is: it has a match outside the swept set, or a larger one inside."""
-    edges = match_edges(posts, family, semantic, thresholds) if edges is None else edges
+    matches. For edges that hold either way round that is: it has a match outside the swept set, or a larger one inside.
+
+    Whether a post has one is told by its title's and its neighbouring classes' posts, which are aggregated and never
+    paired. edges: pairs of ids to go by instead.
+    """
     swept = posts.where(F.col("status").isin("new", "processing")).join(new_ids.select("id").distinct(), "id", "left_semi").select("id")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    mine = both.join(swept.withColumnRenamed("id", "a"), "a", "left_semi")
-    inside = swept.select(F.col("id").alias("b"), F.lit(True).alias("_inside"))
-    gone = mine.join(inside, "b", "left").where("_inside is null or b > a").select(F.col("a").alias("id")).distinct()
+    if edges is not None:
+        mine = _both(edges).join(swept.withColumnRenamed("id", "a"), "a", "left_semi")
+        inside = swept.select(F.col("id").alias("b"), F.lit(True).alias("_inside"))
+        gone = mine.join(inside, "b", "left").where("_inside is null or b > a").select(F.col("a").alias("id")).distinct()
+        return posts.join(gone, "id", "left_anti")
+    classes = cut_lineage(story_classes(posts, semantic).join(swept.withColumn("inside", F.lit(True)), "id", "left"))
+    pairs = class_pairs(posts, classes, family, semantic, thresholds)
+    outside, largest = F.max(F.col("inside").isNull()).alias("outside"), F.max(F.when(F.col("inside"), F.col("id"))).alias("largest")
+    told = _by_class(classes, pairs, outside, largest).where("inside")
+    larger = F.coalesce(F.greatest("own.largest", "other.largest") > F.col("id"), F.lit(False))
+    gone = told.where(F.coalesce("own.outside", F.lit(False)) | F.coalesce("other.outside", F.lit(False)) | larger).select("id")
     return posts.join(gone, "id", "left_anti")
 
 
@@ -321,16 +420,13 @@ def resolve_survivors(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def dedup_corpus(posts: DataFrame, mode: str = "greedy", family: str = "e5_base", semantic: bool = False, thresholds: dict | None = None) -> DataFrame:
-    """(id, survivor, kept) for every post. greedy: in order of id, first kept wins; sweep: of all posts, newest stay."""
-    edges = cut_lineage(match_edges(posts, family, semantic, thresholds))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """(id, survivor, kept) for every post. greedy: in order of (created_at, id), first kept wins; sweep: of all posts,
+    those with the largest ids stay."""
     if mode == "greedy":
-        kept = cut_lineage(greedy_kept(posts, edges))
-        live = kept.where("kept").select(F.col("id").alias("b"))
-        nearest = both.join(live, "b").groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_b"))
-        out = kept.join(nearest, F.col("id") == F.col("_a"), "left")
-        return out.select("id", F.when(F.col("kept"), F.col("id")).otherwise(F.col("_b")).alias("survivor"), "kept")
-    larger = both.where("b > a").groupBy(F.col("a").alias("id")).agg(F.max("b").alias("kept_id"))
+        return _first_come(posts, family, semantic, thresholds)
+    classes = cut_lineage(story_classes(posts, semantic))
+    told = _by_class(classes, class_pairs(posts, classes, family, semantic, thresholds), F.max("id").alias("largest"))
+    larger = told.select("id", F.greatest("own.largest", "other.largest").alias("kept_id")).where("kept_id > id")
     ends = resolve_survivors(larger)
     return posts.select("id").join(ends, "id", "left").select("id", F.coalesce("survivor", "id").alias("survivor"), F.col("survivor").isNull().alias("kept"))
 

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.predicates import content_gate
 from newsloom.functions.similarity import norm_url
-from newsloom.operators.dedup import cut_lineage, dedup_batch, sweep
+from newsloom.operators.dedup import dedup_batch, sweep
 from newsloom.operators.lifecycle import forget
 from newsloom.operators.listing import enabled_sources, hint_posts, unseen
 from newsloom.operators.reports import funnel
 from newsloom.sources.feeds import read_atom, read_rss
 from newsloom.sources.pages import enrich, extract_articles
+from newsloom.steps import cut_lineage
 from newsloom.sources.store import Store, insert_new_posts, post_id, record_duplicates, record_run, record_seen, touch_sources
 
 

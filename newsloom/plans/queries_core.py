@@ -96,11 +96,13 @@ def guess_source(spark, sf_dir):
     return listing.guess_source(views.posts(spark, sf_dir), views.sources(spark, sf_dir)).select("id", "guessed_source_url")
 
 
-EXACT = """, kept as (select norm, max(id) as kept_id, max_by(coalesce(ai_title, raw_title), id) as kept_title from titles where norm <> '' group by norm)
+#: DuckDB: of each post the newest other post of equal normalised title.
+EXACT = """, twin as (select t.id as new_id, max_by(o.id, (o.created_at, o.id)) as kept_id from titles t join titles o on o.norm = t.norm and o.id <> t.id where t.norm <> '' group by t.id),
+kept as (select new_id, kept_id, coalesce(ai_title, raw_title) as kept_title from twin join posts on id = kept_id)
 """
 
 
-@query(S + EXACT + "select t.id as new_id, k.kept_id, k.kept_title, 100 as confidence from titles t join kept k using (norm) where t.id <> k.kept_id")
+@query(S + EXACT + "select new_id, kept_id, kept_title, 100 as confidence from kept")
 def match_exact(spark, sf_dir):
     own = views.posts(spark, sf_dir)
     return dedup.match_exact(own, own).select("new_id", "kept_id", "kept_title", "confidence")
@@ -114,27 +116,27 @@ def _duplicates(spark, sf_dir):
     return store.record_duplicates(matches, AS_OF).withColumn("id", F.xxhash64("duplicate_url"))
 
 
-@query(S + EXACT + "select t.source_url as duplicate_url, t.raw_title as duplicate_title, k.kept_id as kept_post_id, k.kept_title, 'exact' as reason, 100 as ai_confidence, true as ai_is_duplicate from titles t join kept k using (norm) where t.id <> k.kept_id")
+@query(S + EXACT + "select t.source_url as duplicate_url, t.raw_title as duplicate_title, k.kept_id as kept_post_id, k.kept_title, 'exact' as reason, 100 as ai_confidence, true as ai_is_duplicate from kept k join posts t on t.id = k.new_id")
 def record_duplicates(spark, sf_dir):
     return _duplicates(spark, sf_dir).select("duplicate_url", "duplicate_title", "kept_post_id", "kept_title", "reason", "ai_confidence", "ai_is_duplicate")
 
 
-@query(S + EXACT + "select k.kept_id as kept_post_id, count(*) as n, list_sort(list(t.source_url)) as urls from titles t join kept k using (norm) where t.id <> k.kept_id group by k.kept_id")
+@query(S + EXACT + "select k.kept_id as kept_post_id, count(*) as n, list_sort(list(t.source_url)) as urls from kept k join posts t on t.id = k.new_id group by k.kept_id")
 def duplicate_groups(spark, sf_dir):
     return reports.duplicate_groups(_duplicates(spark, sf_dir)).select("kept_post_id", "n", F.array_sort("records.duplicate_url").alias("urls"))
 
 
-@query(S + EXACT + ", d as (select k.kept_id, t.id from titles t join kept k using (norm) where t.id <> k.kept_id) select count(distinct kept_id) as kept, count(*) as duplicates from d")
+@query(S + EXACT + "select count(distinct kept_id) as kept, count(*) as duplicates from kept")
 def duplicates_overview_counts(spark, sf_dir):
     return reports.duplicates_overview(views.posts(spark, sf_dir), _duplicates(spark, sf_dir))[0]
 
 
-@query(S + EXACT + "select id from titles t where id not in (select k.kept_id from titles u join kept k using (norm) where u.id <> k.kept_id)")
+@query(S + EXACT + "select id from posts where id not in (select kept_id from kept)")
 def duplicates_overview_standalone(spark, sf_dir):
     return listing.standalone(views.posts(spark, sf_dir), _duplicates(spark, sf_dir)).select("id")
 
 
-@query(S + EXACT + ", d as (select k.kept_id, count(*) as n from titles t join kept k using (norm) where t.id <> k.kept_id group by k.kept_id) select d.kept_id as kept_post_id, d.n, p.raw_title as kept_raw_title, p.status as kept_status from d join posts p on p.id = d.kept_id")
+@query(S + EXACT + ", d as (select kept_id, count(*) as n from kept group by kept_id) select d.kept_id as kept_post_id, d.n, p.raw_title as kept_raw_title, p.status as kept_status from d join posts p on p.id = d.kept_id")
 def duplicate_groups_with_kept(spark, sf_dir):
     groups = listing.attach_kept(reports.duplicate_groups(_duplicates(spark, sf_dir)), views.posts(spark, sf_dir))
     return groups.select("kept_post_id", "n", F.col("kept_post.raw_title").alias("kept_raw_title"), F.col("kept_post.status").alias("kept_status"))
@@ -146,10 +148,10 @@ def count_by_status(spark, sf_dir):
 
 
 @query(
-    S + """select count(*) filter (where created_at::date = date '2024-01-01') as posts_today, count(*) filter (where status in ('new', 'processing', 'ai_processed', 'approved')) as posts_pending,
+    S + EXACT + """select count(*) filter (where created_at::date = date '2024-01-01') as posts_today, count(*) filter (where status in ('new', 'processing', 'ai_processed', 'approved')) as posts_pending,
     count(*) filter (where status = 'published') as posts_published, count(*) filter (where status = 'new') as posts_waiting_ai, count(*) filter (where status = 'processing') as posts_processing_ai,
     count(*) filter (where status = 'ai_processed') as posts_ai_processed, count(*) filter (where status = 'approved') as posts_approved, (select count(*) from sources where enabled) as sources_active,
-    (select count(*) from titles t join (select norm, max(id) as k from titles where norm <> '' group by norm) using (norm) where t.id <> k) as duplicates_total, (select max(ts) from events) as last_fetch_at from posts"""
+    (select count(*) from kept) as duplicates_total, (select max(ts) from events) as last_fetch_at from posts"""
 )
 def dashboard(spark, sf_dir):
     runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("fetch").alias("kind"), F.col("ts").alias("at"))

@@ -85,21 +85,55 @@ def dedup_report(spark, sf_dir):
     return dedup.dedup_report(own, own, FAMILY, LOW).select("new_id", "kept_id", "full_sim", "class", "confidence")
 
 
-@query()
+def _alike(a: str, b: str, aw: str, bw: str) -> str:
+    """DuckDB: whether two titles are similar, of their normal forms and word lists."""
+    shared = f"len(list_filter({aw}, lambda w: list_contains({bw}, w)))"
+    inside = f"case when strlen({a}) <= strlen({b}) then strlen({a}) >= 24 and contains({b}, {a}) else strlen({b}) >= 24 and contains({a}, {b}) end"
+    some = f"(len({aw}) > 0 and len({bw}) > 0 and (({shared} >= 2 and {shared}::double / least(len({aw}), len({bw})) >= 0.5) or {shared}::double / (len({aw}) + len({bw}) - {shared}) >= 0.65))"
+    return f"({a} <> '' and {b} <> '' and ({a} = {b} or {inside} or {some}))"
+
+
+NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+WORDS = "list_filter(string_split({}, ' '), lambda w: strlen(w) >= 3)"
+#: DuckDB: the beginnings of descriptions that are held against each other, and their words.
+STARTS = f""", lead as (select id, substr({NORM.format('raw_description')}, 1, 220) as uncut from posts), start as (select id, strlen(uncut) >= 60 as enough, trim(uncut) as s, {WORDS.format('trim(uncut)')} as sw from lead)
+"""
+
+
+@query(V + STARTS + f""", cand as (select v.*, (x.enough and y.enough and {_alike('x.s', 'y.s', 'x.sw', 'y.sw')}) as described from v join start x on x.id = new_id join start y on y.id = kept_id
+        where kept_id in (select id from posts join embeddings on vec_id = id order by created_at desc, id desc limit 200)),
+    dup as (select *, greatest(0, least(100, floor(f * 100)))::int as conf, strong or (c >= 2 and (f >= 0.25 or (alike and f >= 0.15) or (c >= 4 and f >= 0.2) or (f >= 0.2 and described))) as dup from cand)
+    select new_id, kept_id, conf as confidence from (select *, row_number() over (partition by new_id order by lexical desc, c desc, conf desc, created_at desc, kept_id desc) as r from dup where dup) where r = 1""")
 def match_semantic(spark, sf_dir):
     own = views.vectors(spark, sf_dir)
     return dedup.match_semantic(own, own, FAMILY, LOW).select("new_id", "kept_id", "confidence")
 
 
-@query()
+def _score(norm: str, words: str, dis: str) -> str:
+    """DuckDB: the heuristic score of a new post a against a kept title."""
+    alike = _alike("a.norm", norm, "a.words", words)
+    common = f"len(list_intersect(a.dis, {dis}))"
+    clash = f"((list_contains(a.dis, 'summer') and list_contains({dis}, 'winter')) or (list_contains(a.dis, 'winter') and list_contains({dis}, 'summer')))"
+    strong = f"(not {clash} and {common} >= 4 and {common}::double / greatest(len(list_distinct(a.dis || {dis})), 1) >= 0.55)"
+    described = f"(x.enough and y.enough and {_alike('x.s', 'y.s', 'x.sw', 'y.sw')})"
+    return f"(case when a.norm <> '' and a.norm = {norm} then 100 when {strong} then 90 when {alike} then 60 else 0 end + 3 * {common} + case when {described} then 40 when {alike} then 20 else 0 end)"
+
+
+@query(TOKENS + STARTS + f""", near as (select *, {WORDS.format('ai_norm')} as ai_words from feat order by created_at desc, id desc limit 200),
+    s as (select a.id as new_id, b.id as kept_id, b.created_at, greatest({_score('b.norm', 'b.words', 'b.dis')}, case when trim(coalesce(b.ai_title, '')) <> '' then {_score('b.ai_norm', 'b.ai_words', 'b.ai_dis')} end)::int as score
+        from feat a join start x on x.id = a.id join near b on b.id <> a.id join start y on y.id = b.id where a.status = 'new'),
+    p as (select *, row_number() over (partition by new_id order by score desc, created_at desc, kept_id desc)::int as place from s) select new_id, kept_id, score, place from p where score > 0 or place <= 50""")
 def shortlist(spark, sf_dir):
     own = views.posts(spark, sf_dir)
     return dedup.shortlist(own.where("status = 'new'"), own, FAMILY, 50)
 
 
-EDGES = PAIRS + """, head as (select norm, min(id) as h from titles where norm <> '' group by norm),
-e as (select least(new_id, kept_id) as a, greatest(new_id, kept_id) as b from verdict where confidence is not null and new_id in (select h from head) and kept_id in (select h from head)
-    union select h, t.id from head join titles t using (norm) where t.id <> h)
+#: DuckDB: which posts match, every pair compared, and links that connect them: members to the head of their class (equal
+#: raw and rewritten titles), heads to the first post of their raw title, and heads of different titles that match.
+EDGES = PAIRS + """, class as (select id, norm, min(id) over (partition by norm, ai_norm) as head, min(id) over (partition by norm) as first from tok where norm <> '' union all select id, norm, id, id from tok where norm = ''),
+m as (select least(new_id, kept_id) as a, greatest(new_id, kept_id) as b from verdict where confidence is not null group by all),
+e as (select m.a, m.b from m join class x on x.id = m.a join class y on y.id = m.b where x.head = x.id and y.head = y.id and (x.norm <> y.norm or x.norm = '')
+    union select head, id from class where id <> head union select first, id from class where id = head and id <> first)
 """
 
 
@@ -108,7 +142,7 @@ def match_edges(spark, sf_dir):
     return dedup.match_edges(views.posts(spark, sf_dir), FAMILY)
 
 
-@query(EDGES + ", pairs2 as (select a, b from e union select b, a from e), swept as (select id from posts where status in ('new', 'processing') and id % 2 = 0), gone as (select distinct a from pairs2 where a in (select id from swept) and (b not in (select id from swept) or b > a)) select id from posts where id not in (select a from gone)")
+@query(EDGES + ", pairs2 as (select a, b from m union select b, a from m), swept as (select id from posts where status in ('new', 'processing') and id % 2 = 0), gone as (select distinct a from pairs2 where a in (select id from swept) and (b not in (select id from swept) or b > a)) select id from posts where id not in (select a from gone)")
 def sweep(spark, sf_dir):
     own = views.posts(spark, sf_dir)
     return dedup.sweep(own, own.where("id % 2 = 0").select("id"), FAMILY).select("id")
@@ -126,12 +160,27 @@ def dedup_corpus(spark, sf_dir):
     return dedup.dedup_corpus(views.posts(spark, sf_dir), "greedy", FAMILY)
 
 
-@query(EDGES + ", up as (select a as id, max(b) as k from (select a, b from e union select b, a from e) where b > a group by a) select id, id not in (select id from up) as kept from posts")
+@query(EDGES + ", up as (select a as id, max(b) as k from (select a, b from m union select b, a from m) where b > a group by a) select id, id not in (select id from up) as kept from posts")
 def dedup_corpus_sweep(spark, sf_dir):
     return dedup.dedup_corpus(views.posts(spark, sf_dir), "sweep", FAMILY).select("id", "kept")
 
 
-@query()
+#: DuckDB: posts with another post of equal title.
+EXACT_OF = ", exact as (select distinct t.id from titles t join titles o on o.norm = t.norm and o.id <> t.id where t.norm <> '')"
+
+
+def _hint(title: str) -> str:
+    """DuckDB: whether title and address are those of puzzle answers, for the puzzle 'thing' and the phrase 'idiot'."""
+    both, name = f"lower({title} || ' ' || q.source_url)", f"lower({title})"
+    word = lambda w: f"regexp_matches({both}, '\\b{w}s?\\b')"
+    today = " or ".join(f"contains({both}, '{t}')" for t in ("today''s ", "todays-", "today-"))
+    puzzle = f"(contains({both}, 'thing') and not contains({both}, 'hints at') and not contains({both}, 'hint at') and ({word('hint')} or {word('answer')} or {word('solution')} or {today}))"
+    return f"(contains({both}, 'idiot') or ({word('hint')} and {word('answer')}) or (contains({name}, 'подсказ') and contains({name}, 'ответ')) or {puzzle})"
+
+
+@query(PAIRS + EXACT_OF + f""", near as (select distinct new_id as id from verdict v join posts p on p.id = v.kept_id where v.confidence is not null and p.status = 'published')
+    select q.id, case when {_hint('q.raw_title')} or {_hint("coalesce(q.ai_title, '')")} then 'hint' when e.id is not null then 'exact' when n.id is not null then 'lexical' end as block_reason
+    from posts q left join exact e on e.id = q.id left join near n on n.id = q.id where q.status in ('ai_processed', 'approved')""")
 def publish_gate(spark, sf_dir):
     own = views.posts(spark, sf_dir)
     return dedup.publish_gate(own.where(F.col("status").isin("ai_processed", "approved")), own, FAMILY, puzzles=["thing"], phrases=["idiot"]).select("id", "block_reason")
