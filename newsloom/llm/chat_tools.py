@@ -60,7 +60,7 @@ def argument_errors(schemas: dict, name: Column, arguments: Column) -> Column:
     return F.array_sort(whole)
 
 
-def depths(calls: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def depths(calls: DataFrame) -> DataFrame:
     """(conv, id, depth): 0 for calls that wait for none, else one more than the deepest they wait for; null on cycles.
 
     Dependencies that are no calls of the conversation hold nothing up. Chains of calls that wait for one other each are
@@ -87,14 +87,17 @@ def depths(calls: DataFrame, max_depth: int = 10_000) -> DataFrame:
     several = waits.join(nodes.where("n > 1").select(F.col("conv").alias("c"), F.col("id").alias("i")), at("id", "i"), "left_semi")
     several = several.join(ends, at("dep", "i"), "left").select("conv", "id", F.coalesce("to", "dep").alias("dep"), F.coalesce("steps", F.lit(0)).alias("steps"), F.lit(None).cast("int").alias("known"))
     several = stored(several, "waits")
-    for _ in range(max_depth):
-        if several.isEmpty() or newest.isEmpty():
-            break
+    while not (several.isEmpty() or newest.isEmpty()):  # every round settles calls, so it ends
         done = newest.select(F.col("conv").alias("c"), F.col("id").alias("i"), "depth")
         state = stored(several.join(done, at("dep", "i"), "left").select("conv", "id", "dep", "steps", F.coalesce("known", F.col("depth") + F.col("steps")).alias("known")), "waits")
         whole = state.groupBy("conv", "id").agg(F.max("known").alias("deepest"), F.bool_or(F.col("known").isNull()).alias("open")).where("not open")
         newest = stored(whole.select("conv", "id", (F.col("deepest") + 1).alias("depth")), "depths")
         settled.append(newest)
+        if len(settled) > 16:  # keeps the plan short
+            whole_list = settled[0]
+            for part in settled[1:]:
+                whole_list = whole_list.unionByName(part)
+            settled = [stored(whole_list, "depths")]
         gone = newest.select(F.col("conv").alias("c"), F.col("id").alias("i"))
         several = stored(state.join(gone, at("id", "i"), "left_anti"), "waits")
     known = settled[0]

@@ -1,40 +1,36 @@
-"""Shared folders, table reading and batch limits of the training-data operators."""
+"""Table reading, batch limits and files of the training-data operators."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python, so that a batch of long texts stays small.
-BATCH_ROWS = 512
+from newsloom.steps import cut_lineage as stored
+from newsloom.steps import new_dir
 
+__all__ = ["fold", "new_dir", "read_file", "slices", "stored", "table", "text_of", "write_file"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches of the plans that follow; a lower bound already set stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def slices(batches, column: int, max_bytes: int, max_rows: int = 1 << 16):
-    """Arrow batches cut into parts of at most so many bytes of the given text column and so many rows, one row at least.
+    """Arrow batches cut into parts of at most so many bytes of the given column and so many rows, one row at least.
+
+    The column holds texts, binaries, or lists, of which an element counts as eight bytes.
 
     Spark itself bounds the batches it hands over by bytes (64 MB unless set otherwise); this bounds what is worked on at
     a time, without a setting of the session.
     """
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes, dtype=np.int64)
+        held = batch.column(column)
+        sizes = pc.multiply(pc.list_value_length(held), 8) if pa.types.is_list(held.type) or pa.types.is_large_list(held.type) else pc.binary_length(held)
+        ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
@@ -43,31 +39,6 @@ def slices(batches, column: int, max_bytes: int, max_rows: int = 1 << 16):
             at = to
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: `spark.checkpoint.dir`.
-
-    Where a session has none (tests, one machine), a temporary folder becomes its checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/newsloom/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str = "step") -> DataFrame:
-    """Writes a step to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str):
     """A pyarrow file system and the path in it, for tasks that write files which are no tables."""
     from pyarrow import fs

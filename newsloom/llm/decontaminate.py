@@ -8,6 +8,7 @@ distance get into step again soon after each edit, so their outputs have a small
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -16,13 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-from newsloom.llm.common import batch_rows
+from newsloom.llm.common import slices
 
 #: Similarity that counts as a leak: edits of at most this complement of an item's words.
 SIMILARITY = 0.8
-#: Items with fewer words are too common to be told from ordinary text.
+#: Items with fewer words allow no edits, so they are looked for exactly.
 MIN_WORDS = 5
+#: Longer items are looked up by parts of at most so many words: of an item's edits some part has no more than its share.
+PART = 48
+#: Bytes of words, counted eight a word, that a task works on at a time, unless one text has more.
+WORD_BYTES = 4 << 20
 #: Walks (independent embeddings), keys for each walk and sampled places for each key.
 WALKS, KEYS, PLACES = 6, 5, 3
 #: Items that one pass over the documents holds in memory; more items take more passes.
@@ -46,11 +50,25 @@ def _hash(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _run_hash(tokens: np.ndarray, q: int) -> np.ndarray:
+    """Of each q words in a row."""
+    n = max(0, len(tokens) - q + 1)
+    value = np.zeros(n, np.uint64)
+    for i in range(q):
+        value = _hash(value * MIX + tokens[i : i + n].astype(np.uint64))
+    return value
+
+
 class Items:
-    """Benchmark items as word numbers, with what the documents are held against: pairs of words, LSH keys, texts."""
+    """Benchmark items as word numbers, with what the documents are held against: pairs of words, LSH keys, texts.
+
+    Items of up to PART words are looked up whole; longer ones by parts of nearly equal length. Of an item's edits, at
+    most a share of its words, some part holds no more than that share of its own words, so the item is found if that
+    part is, and then the whole item is verified. Thus recall does not fall with an item's length.
+    """
 
     def __init__(self, rows: list[tuple[int | None, list[str]]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS, seed: int = 7):
-        rows = [(i, w) for i, w in rows if len(w) >= min_words]
+        rows = [(i, w) for i, w in rows if w]
         texts: dict[tuple, list] = {}
         for i, w in rows:
             texts.setdefault(tuple(w), []).append(i)
@@ -63,16 +81,30 @@ class Items:
         self.seed = seed
         size = 1 << max(16, (8 * int(self.lengths.sum())).bit_length())
         self.size = size
-        self.kinds = sorted(set(zip(self.lengths.tolist(), self.edits.tolist())))
+        #: Short items by length: a hash of the words, and the items of each hash.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        parts: list[tuple[int, int, np.ndarray]] = []  # item, first word, words
+        for i, x in enumerate(self.items):
+            if len(x) < min_words and self.edits[i] == 0:
+                self.short.setdefault(len(x), {}).setdefault(int(_run_hash(x, len(x))[0]), []).append(i)
+                continue
+            n = -(-len(x) // PART)
+            ends = [len(x) * k // n for k in range(n + 1)]
+            parts += [(i, a, x[a:b]) for a, b in itertools.pairwise(ends)]
+        self.part_item = np.array([p[0] for p in parts], np.int64)
+        self.part_first = np.array([p[1] for p in parts], np.int64)
+        lengths = np.array([len(p[2]) for p in parts], np.int64)
+        edits = np.floor((1 - similarity) * lengths + 1e-9).astype(np.int64)
+        self.kinds = sorted(set(zip(lengths.tolist(), edits.tolist())))
         #: For runs of q words: a bit for the kinds of items (by length, modulo 64) that hold the run.
         self.runs = {q: np.zeros(size, np.uint64) for q in (2, 3)}
-        for x, n, k in zip(self.items, self.lengths.tolist(), self.edits.tolist()):
+        for (_, _, x), n, k in zip(parts, lengths.tolist(), edits.tolist()):
             for q, there in self.runs.items():
                 there[self._runs(x, q)] |= np.uint64(1 << self.kinds.index((n, k)) % 64)
         keys, owners = [], []
         for n, _ in self.kinds:
-            which = np.flatnonzero(self.lengths == n)
-            tokens = np.concatenate([self.items[i] for i in which])
+            which = np.flatnonzero(lengths == n)
+            tokens = np.concatenate([parts[i][2] for i in which])
             found = self.keys(tokens, np.arange(len(which)) * n, np.full(len(which), n))
             keys.append(found.ravel())
             owners.append(np.repeat(which, found.shape[1]))
@@ -82,11 +114,7 @@ class Items:
 
     def _runs(self, tokens: np.ndarray, q: int) -> np.ndarray:
         """A number below `size` for each q words in a row."""
-        n = max(0, len(tokens) - q + 1)
-        value = np.zeros(n, np.uint64)
-        for i in range(q):
-            value = _hash(value * MIX + tokens[i : i + n].astype(np.uint64))
-        return (value & np.uint64(self.size - 1)).astype(np.int64)
+        return (_run_hash(tokens, q) & np.uint64(self.size - 1)).astype(np.int64)
 
     def keys(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """One row for each window of tokens, WALKS * KEYS keys; a window past the end of tokens goes on with an end mark."""
@@ -113,10 +141,10 @@ class Items:
         return out
 
     def candidates(self, tokens: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of tokens and items that share an LSH key there.
+        """Places of tokens and parts of items that share an LSH key there.
 
-        Windows of an item's size at every place take part, but for those that hold too few of the benchmark's runs of q
-        words to come within the item's edits: k edits leave at least n - q + 1 - qk of an item's n - q + 1 runs whole.
+        Windows of a part's size at every place take part, but for those that hold too few of the benchmark's runs of q
+        words to come within the part's edits: k edits leave at least n - q + 1 - qk of a part's n - q + 1 runs whole.
         """
         none = np.zeros(0, np.int64)
         if len(tokens) < 2:
@@ -160,11 +188,17 @@ class Items:
 
     def matches(self, tokens: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first word, words, edits): the best place of each item within its edits in each document."""
-        places, items = self.candidates(tokens, offsets[1:-1])
-        if not len(places):
-            return []
-        docs = np.searchsorted(offsets, places, "right") - 1
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for n, known in self.short.items():
+            hashes = _run_hash(tokens, n)
+            for place in np.flatnonzero(np.isin(hashes, np.array(list(known), np.uint64))).tolist():
+                doc = int(np.searchsorted(offsets, place, "right")) - 1
+                for item in known[int(hashes[place])]:
+                    if place + n <= offsets[doc + 1] and (tokens[place : place + n] == self.items[item]).all():
+                        best.setdefault((doc, item), (0, place - int(offsets[doc]), n))
+        places, parts = self.candidates(tokens, offsets[1:-1])
+        docs = np.searchsorted(offsets, places, "right") - 1
+        items, places = self.part_item[parts], places - self.part_first[parts]
         order = np.lexsort((places, items, docs))
         covered, last = -1, None
         for doc, item, place in zip(docs[order].tolist(), items[order].tolist(), places[order].tolist()):
@@ -220,11 +254,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, edits, similarity): where documents hold a benchmark item, nearly or exactly.
 
     Words are lower-cased runs of letters and digits. The match is the part of the document of least word edit distance
-    to the item; it counts within floor(0.2 * words) edits; one row for each document and item. Items of under MIN_WORDS
-    words are left out; items of equal words each get rows. Null texts have no words; null ids stay null; documents that
+    to the item; it counts within floor(0.2 * words) edits, so items of under five words have to stand there as they are;
+    one row for each document and item. Items without words are in no document; items of equal words each get rows. Null texts have no words; null ids stay null; documents that
     repeat get rows each. No items or no documents, no rows.
     """
-    batch_rows(docs.sparkSession, 2048)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
     schema = "doc_id long, item_id long, first_word long, n_words long, edits long, similarity double"
     found = None
@@ -234,7 +267,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
         def match(batches, held=held):
             known = held.value
             vocabulary = pa.array(known.vocabulary, pa.string())
-            for batch in batches:
+            for batch in slices(batches, 1, WORD_BYTES):
                 ids = batch.column(0).to_pylist()
                 rows = [
                     (ids[d], owner, f, n, e, 1 - e / int(known.lengths[i]))
@@ -250,22 +283,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, that hold no benchmark item; a map over documents, so nothing is shuffled."""
-    batch_rows(docs.sparkSession, 2048)
-    kept = docs
+    """The documents, all columns, that hold no benchmark item; a map over documents, so nothing is shuffled.
+
+    Items, nulls and repeats as in `find_leaks`; documents without words are kept; columns may have any names.
+    """
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), words(F.col("text")).alias("words"))
+    schema = kept.schema
     for known in _passes(items, "item_id", "text", **options):
         held = docs.sparkSession.sparkContext.broadcast(known)
-        name = "_words"
-        while name in docs.columns:
-            name += "_"
 
         def clean(batches, held=held):
             known = held.value
             vocabulary = pa.array(known.vocabulary, pa.string())
-            for batch in batches:
-                hit = {m[0] for m in known.matches(*_word_numbers(batch.column(batch.num_columns - 1), vocabulary))}
-                mask = pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_())
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(mask)
+            for batch in slices(batches, 1, WORD_BYTES):
+                hit = {m[0] for m in known.matches(*_word_numbers(batch.column(1), vocabulary))}
+                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
-        kept = kept.withColumn(name, words(F.col("text"))).mapInArrow(clean, docs.schema)
-    return kept
+        kept = kept.mapInArrow(clean, schema)
+    return kept.select("doc.*")

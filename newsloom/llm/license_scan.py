@@ -34,7 +34,8 @@ TEMPLATES = (
 )
 #: Share of a template's different words that a block has to contain.
 CONTAINMENT = 0.9
-#: A line is a block; one of more than twice so many words is cut into blocks of twice so many, starting at each so many.
+#: A line, and the whole text, of more than twice so many words is cut into blocks of twice so many, one at each so many; a
+#: longer template makes longer blocks.
 STRIDE = 64
 #: What stands between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,13 +43,18 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_TEMPLATE_WORDS = 20_000
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def words(text: Column) -> Column:
-    """Runs of a-z, 0-9 and characters beyond ASCII, lower-cased."""
-    return F.filter(F.split(F.lower(text), BETWEEN), lambda w: w != "")
+    """Runs of a-z, 0-9 and characters beyond ASCII, once A-Z are lower-cased; other letters keep their case."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(lowered, BETWEEN), "")
 
 
 def _template_words(text: str) -> list[str]:
-    return [w for w in re.split(BETWEEN, text.lower()) if w]
+    return [w for w in re.split(BETWEEN, text.translate(str.maketrans(UPPER, LOWER))) if w]
 
 
 def _places(own: Column, joined: Column, phrase: list[str]) -> Column:
@@ -79,26 +85,28 @@ def base_labels(docs: DataFrame, phrases=PHRASES) -> DataFrame:
     )
 
 
-def blocks(docs: DataFrame, *keys: str, across: bool = False) -> DataFrame:
-    """Keys and `words` of every block: lines, long ones cut so that any STRIDE words in a row lie in one block.
-
-    across: the whole text is one more line, so that what is wrapped over lines lies in one block too.
-    """
+def blocks(docs: DataFrame, *keys: str, stride: int = STRIDE) -> DataFrame:
+    """Keys and `words` of every block: the lines of a text and, so that what is wrapped over lines lies in one block too,
+    the text as one line; those of more than twice `stride` words cut so that any `stride` words in a row lie in one."""
     split = F.split(text_of(), r"[\r\n]+")
-    if across:
-        split = F.when(F.size(split) > 1, F.concat(split, F.array(text_of()))).otherwise(split)
+    split = F.when(F.size(split) > 1, F.concat(split, F.array(text_of()))).otherwise(split)
     lines = docs.select(*keys, F.explode(split).alias("_line"))
     lines = lines.select(*keys, words(F.col("_line")).alias("_words")).where(F.size("_words") > 0)
     n = F.size("_words")
-    starts = F.when(n <= 2 * STRIDE, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - STRIDE - 1, F.lit(STRIDE)))
+    starts = F.when(n <= 2 * stride, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - stride - 1, F.lit(stride)))
     cut = lines.withColumn("_start", F.explode(starts))
-    return cut.select(*keys, F.slice("_words", F.col("_start") + 1, 2 * STRIDE).alias("words"))
+    return cut.select(*keys, F.slice("_words", F.col("_start") + 1, 2 * stride).alias("words"))
+
+
+def stride_of(templates) -> int:
+    """Windows overlap by so many words: by the words of the longest template, which then lies whole in one of them."""
+    return max([STRIDE, *(len(_template_words(text)) for _, text in templates)])
 
 
-def template_links(docs: DataFrame, *keys: str, templates=TEMPLATES, containment: float = CONTAINMENT, across: bool = False) -> DataFrame:
+def template_links(docs: DataFrame, *keys: str, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """keys, label, containment for every block of docs and template whose containment reaches the threshold.
 
-    Blocks are lines, and with `across` the windows of the whole text besides. Words are ordered by how many documents have them, rarest first. A block and a template that share enough words
+    Blocks are lines and windows of the whole text, as long as the longest template at least. Words are ordered by how many documents have them, rarest first. A block and a template that share enough words
     share one in the first |T| - o + 1 of the template's and the first |B| - o + 1 of the block's (prefix filter; o: words
     that the threshold needs, B: the block's words that any template has, as no others can be shared). Blocks with
     fewer than o such words go (length filter), and pairs whose first shared word stands too late to leave o (positional
@@ -125,7 +133,7 @@ def template_links(docs: DataFrame, *keys: str, templates=TEMPLATES, containment
     least = min(need for _, _, need in sets)
     heads = sorted({p[0] for p in prefixes}, key=rank.get)
     table = spark.createDataFrame(prefixes, "word string, t_at int, label string, t_words array<string>, need int")
-    found = blocks(docs, *keys, across=across).select(*keys, F.array_intersect(F.lit(order), F.col("words")).alias("b_words")).where(F.size("b_words") >= least)
+    found = blocks(docs, *keys, stride=stride_of(templates)).select(*keys, F.array_intersect(F.lit(order), F.col("words")).alias("b_words")).where(F.size("b_words") >= least)
     prefix = F.slice("b_words", F.lit(1), F.size("b_words") - least + 1)
     found = found.select(*keys, "b_words", F.explode(F.array_intersect(prefix, F.lit(heads))).alias("word"))
     found = found.join(F.broadcast(table), "word")  # bounded by MAX_TEMPLATE_WORDS
@@ -145,7 +153,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, contain
     the threshold, else 0. Templates are looked for in lines and across them. A null text is an empty one. Rows that repeat give equal rows; a null doc_id stays null.
     """
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("_key", F.xxhash64("text"))
-    links = template_links(rows, "doc_id", "_key", templates=templates, containment=containment, across=True)
+    links = template_links(rows, "doc_id", "_key", templates=templates, containment=containment)
     best = links.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_hash")).agg(F.collect_set("label").alias("_found"), F.max("containment").alias("_best"))
     based = base_labels(rows, phrases).drop("text")
     out = based.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
@@ -160,7 +168,8 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, contain
 
 def oracle(phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT) -> str:
     """The same by comparing every block with every template; for DuckDB."""
-    ascii_words = "list_filter(string_split_regex(lower({}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    stride = stride_of(templates)
+    ascii_words = "list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
     spots = ", ".join(
         "list_filter(range(0, greatest(0, len(w) - {n} + 1)), lambda i: {test}) as at{k}".format(
             n=len(p.split()), k=k, test=" and ".join(f"w[i + {j + 1}] = '{x}'" for j, x in enumerate(p.split()))
@@ -176,9 +185,9 @@ with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text
 w as (select r, doc_id, {ascii_words.format('text')} as w from d),
 p as (select r, doc_id, w, {spots} from w),
 b as (select r, doc_id, len(w) as n_words, list_sort({every}) as places, list_sort(list_distinct({base})) as base from p),
-l as (select r, unnest(string_split_regex(text, '[\\r\\n]+')) as line from d),
+l as (select r, unnest(string_split_regex(text, '[\\r\\n]+')) as line from d union all select r, text from d where regexp_matches(text, '[\\r\\n]')),
 lw as (select r, {ascii_words.format('line')} as w from l),
-k as (select r, unnest(case when len(w) <= {2 * STRIDE} then [w] else list_transform(range(0, len(w) - {STRIDE}, {STRIDE}), lambda s: w[s + 1 : s + {2 * STRIDE}]) end) as w from lw where len(w) > 0),
+k as (select r, unnest(case when len(w) <= {2 * stride} then [w] else list_transform(range(0, len(w) - {stride}, {stride}), lambda s: w[s + 1 : s + {2 * stride}]) end) as w from lw where len(w) > 0),
 t(label, words, need) as (values {values}),
 m as (select r, list_distinct(list(label)) as found, max(shared / len(words)) as best
       from (select r, label, words, need, len(list_intersect(words, w)) as shared from k, t) where shared >= need group by r)

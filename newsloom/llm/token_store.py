@@ -40,9 +40,9 @@ LEVEL = 3
 #: with a space and ends with one can be told apart again after it was joined with others.
 SURE_PIECE = re.compile(rb"(?s) .*(?:[\x21-\x7e]|[\xc3-\xc8][\x80-\xbf])\Z")
 #: What a Python worker remembers of pieces that it met: so many, and none longer than so many bytes. It starts anew beyond.
-CACHE, CACHED_BYTES = 2_000_000, 64
+CACHE, CACHED_BYTES = 1_000_000, 64
 #: Bytes of text that are encoded at a time, unless one text is longer.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def sure_starts(data: np.ndarray) -> np.ndarray:
@@ -327,5 +327,5 @@ def read_tokens(spark: SparkSession, shards: DataFrame, with_ids: bool = False)
 
     n = shards.count()
     if n:
-        shards = shards.select("path", "base").repartition(min(n, 4096))
+        shards = shards.select("path", "base").repartition(n)  # a shard a task
     return shards.select("path", "base").mapInArrow(read, schema)

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch_rows
+from newsloom.llm.common import slices
 
 #: Stands between host and path in canonical URLs and globs, as a symbol of its own beside the 256 bytes.
 SEP = 256
+#: Bytes of paths, and of automaton states (one for each URL), that a task holds at a time.
+URL_BYTES, STATE_BYTES = 1 << 20, 1 << 20
 #: (verdict, rule); a rule is a host and the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Globs over ".host" and path, for URLs that no rule fits: `*` any run, `?` any one byte, `|` the border of host and path.
@@ -119,14 +121,14 @@ def judge_urls(pages: DataFrame, rules=RULES, block_globs=BLOCK_GLOBS, url: str
     Of the rules that fit, the longest gives rule and verdict (of equal ones, the first). Where none fits, rule is null
     and the verdict is block if one of the globs matches the canonical URL (glob: the first that does), else allow. Empty
     and null URLs have an empty host and path and are allowed unless a glob matches emptiness. Of a repeated rule the
-    first counts. URLs may be of any length: memory is in proportion to a batch's bytes.
+    first counts. URLs may be of any length: a task works on URL_BYTES of them, and on STATE_BYTES of automaton states, at
+    a time, or on one URL if that is more.
     """
-    batch_rows(pages.sparkSession, 4096)
     automaton = Automaton([*map(Glob.of_rule, (r for _, r in rules)), *map(Glob.of, block_globs)])
     longest = sorted(range(len(rules)), key=lambda i: (-len(rules[i][1]), i))
 
     def judge(batches):
-        for batch in batches:
+        for batch in slices(batches, 2, URL_BYTES, max(1, STATE_BYTES // (8 * automaton.words))):
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             hits = automaton.match([canonical(h, p) for h, p in zip(hosts, paths)])
             rule, verdict, glob = [], [], []

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch_rows, filesystem, new_dir, stored, write_file
+from newsloom.llm.common import filesystem, new_dir, slices, stored, write_file
 
 #: Magic number of the skippable frame that holds an archive's dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -21,8 +21,10 @@ SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 32_000, 96 << 10
 #: An archive is closed beyond so many compressed bytes.
 ARCHIVE_BYTES = 32 << 20
 LEVEL = 3
-#: Rows of equal payload are dealt to so many tasks.
-SALTS = 16
+#: A payload is hot if this share of all rows has it; there are no more hot ones than its inverse.
+HOT = 1 / 1_000
+#: Bytes of payloads that a task holds at a time, unless one is longer.
+PAYLOAD_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -118,7 +120,7 @@ def train_dictionary(pages: DataFrame, date: str) -> bytes:
 
     def train(batches):
         samples = []
-        for batch in batches:
+        for batch in slices(batches, 2, PAYLOAD_BYTES):
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = html.encode("utf-8", "surrogatepass")
                 samples.append(record(page_id, url, payload, sha1_base32(payload), None, False, date))
@@ -144,20 +146,23 @@ def write_archives(pages: DataFrame, out: str | None = None, least_bytes: int =
     """
     spark = pages.sparkSession
     out = out or new_dir(spark, "warc")
-    batch_rows(spark, 256)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     dictionary = train_dictionary(rows, date)
     write_file(f"{out}/archives/.dictionary", dictionary)  # makes the folder
     keyed = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
     equal = keyed.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    equal = stored(equal.select(F.col("digest").alias("d"), "first"), "equal").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    joined = keyed.withColumn("salt", salt).join(equal, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
-    joined = joined.select("page_id", "url", "html", "first")
+    equal = stored(equal.select(F.col("digest").alias("d"), "first", "n"), "equal")
+    hot = F.col("n") >= HOT * keyed.count()
+    few = equal.where(hot).select(F.col("d").alias("hot"), F.col("first").alias("hot_first"))
+    joined = keyed.join(F.broadcast(few), F.col("digest") == F.col("hot"), "left")  # at most 1 / HOT rows
+    # What is settled goes through the second join under keys of its own, so that no task gets all rows of a payload.
+    key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string").cast("binary"))
+    joined = joined.withColumn("key", key).join(equal.where(~hot).select("d", "first"), F.col("key") == F.col("d"), "left")
+    joined = joined.select("page_id", "url", "html", F.coalesce("hot_first", "first").alias("first"))
 
     def write(batches):
         context, made, archive, listed = TaskContext.get(), 0, None, []
-        for batch in batches:
+        for batch in slices(batches, 2, PAYLOAD_BYTES):
             for page_id, url, html, first in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 payload = html.encode("utf-8", "surrogatepass")
                 revisit = first is not None and page_id != first
@@ -196,7 +201,7 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
 
     n = archives.count()
     paths = archives.select("path")
-    return (paths.repartition(min(n, 4096)) if n else paths).mapInArrow(read, schema)
+    return (paths.repartition(n) if n else paths).mapInArrow(read, schema)  # an archive a task
 
 
 ORACLE = """

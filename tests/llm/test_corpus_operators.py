@@ -177,11 +177,77 @@ def test_pfair_lag_is_below_one():
     rng = np.random.default_rng(5)
     for n in (1, 2, 7, 40):
         share = mixing.shares({str(i): w for i, w in enumerate(rng.random(n) + 0.01)})
-        had = dict.fromkeys(share, 0)
+        had, total = dict.fromkeys(share, 0), sum(share.values())
         for t, k in enumerate(mixing.pfair(share), 1):
             had[k] += 1
-            assert all(abs(had[s] - share[s] / mixing.SHARES * t) < 1 for s in share)
-        assert had == share and sum(share.values()) == mixing.SHARES
+            assert n > 7 and t % 97 or all(abs(had[s] - share[s] / total * t) < 1 for s in share)
+        assert had == share and total <= mixing.MAX_PERIOD
+
+
+def test_pfair_lag_against_the_given_weights():
+    """The production weights have a short exact period, so that no source ever drifts by a block."""
+    from newsloom.llm.queries import TARGET_WEIGHTS
+
+    share = mixing.shares(TARGET_WEIGHTS)
+    assert sum(share.values()) == 190
+    slots, had = mixing.pfair(share), dict.fromkeys(share, 0)
+    for t in range(1, 100_001):
+        had[slots[(t - 1) % 190]] += 1
+        if t % 7 == 0 or t > 99_000:
+            assert all(abs(had[s] - w * t) < 1 for s, w in TARGET_WEIGHTS.items())
+    odd = {"a": 0.123456789, "b": 0.5, "c": 0.376543211}  # no short period: rounded to the longest
+    share = mixing.shares(odd)
+    assert sum(share.values()) == mixing.MAX_PERIOD and all(abs(share[k] - w * mixing.MAX_PERIOD) <= 1 for k, w in odd.items())
+
+
+def test_mixed_equals_a_plain_simulation(spark):
+    """Every block gets the slot that earliest-deadline-first gives it, slot by slot, with fractions and no periods."""
+    from fractions import Fraction
+
+    sizes = {"a": 90, "b": 41, "c": 7}
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame([(i, "t", "en", s, 1) for i, s in rows], DOCS)
+    out = mixing.mixed(docs, weights, rest=0.1, block=4).collect()
+    own = {k: Fraction(str(w)) for k, w in weights.items()}
+    left = {k: -(-n // 4) for k, n in sizes.items()}
+    done, expected, slot = dict.fromkeys(left, 0), {}, 0
+    while left:  # a phase for each set of sources that have blocks
+        total = sum(own[k] for k in left)
+        share = {k: own[k] / total for k in left}
+        took, t = dict.fromkeys(left, 0), 0
+        while True:
+            ready = [(-(-(took[k] + 1) // share[k]), k) for k in left if took[k] // share[k] <= t]
+            due, k = min(ready)
+            if took[k] == left[k]:
+                break
+            expected[k, done[k] + took[k]] = slot + t
+            took[k], t = took[k] + 1, t + 1
+        slot += t
+        for k in list(left):
+            left[k] -= took[k]
+            done[k] += took[k]
+            if not left[k]:
+                del left[k]
+    assert {(r.source, r.block): r.slot for r in out} == expected
+    for s, n in sizes.items():
+        ranks = sorted((r.source_rank, r.block, r.mix_order) for r in out if r.source == s)
+        assert [x[0] for x in ranks] == list(range(n)) and all(b == k // 4 and m == expected[s, b] * 4 + k % 4 for k, b, m in ranks)
+        order = sorted(range(n), key=lambda k: [r.doc_id for r in out if r.source == s and r.source_rank == k])
+        assert len(order) == n
+
+
+def test_columns_of_any_name_come_back(spark):
+    """Mixture and near-duplicates hand over columns whatever their names are."""
+    names = ["first", "size", "slot", "score", "k1", "_k1", "_k2", "lane", "_lane", "l", "p", "next", "share", "places", "draw", "doc", "fingerprint", "component_id", "piece", "inside", "a.b"]
+    docs = frame(spark, [(1, "one text here to keep"), (2, None), (None, "three"), (2, None)]).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    mixed = mixing.mixed(docs, {"s": 1.0})
+    assert mixed.columns == ["slot_given" if c == "slot" else c for c in docs.columns] + list(mixing.RESULTS) and mixed.count() == 4
+    back = mixing.placed(docs, {"s": 1.0}).select("doc.*")
+    assert back.columns == docs.columns and sorted(map(repr, back.collect())) == sorted(map(repr, docs.collect()))
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2]
+    assert set(map(repr, kept.collect())) <= set(map(repr, docs.collect()))
 
 
 def test_plan_places_every_block_once():
@@ -260,14 +326,34 @@ def test_leaks_with_edits_reach_the_target_recall(spark):
     assert kept == set(range(150)) - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("length", [50, 200, 400])
+def test_recall_at_the_full_edits(length):
+    """A fifth of the words replaced, dropped or added, whatever an item's length."""
+    rng = np.random.default_rng(length)
+    items = decontaminate.Items([(i, [f"w{x}" for x in rng.integers(0, 3000, length)]) for i in range(8)])
+    found = 0
+    for trial in range(48):
+        own = items.items[trial % 8].tolist()
+        for at in sorted(rng.choice(length, length // 5, replace=False).tolist(), reverse=True):
+            kind = int(rng.integers(0, 3))
+            own[at : at + (kind < 2)] = [-1] * (kind != 1)  # another word, none, or one more
+        text = np.array([-1] * int(rng.integers(0, 50)) + own + [-1] * 30, np.int64)
+        found += any(m[1] == trial % 8 for m in items.matches(text, np.array([0, len(text)], np.int64)))
+    assert found >= 0.95 * 48
+
+
 def test_leak_edges(spark):
     passage = "alpha beta gamma delta epsilon zeta eta theta"
-    bench = spark.createDataFrame([(1, passage), (2, passage.upper()), (3, "alpha beta"), (4, None), (None, "one two three four five six")], "item_id long, text string")
-    docs = frame(spark, [(1, passage), (1, passage), (2, None), (3, ""), (None, f"x {passage}. y"), (4, "alpha beta"), (5, "the " * 40_000 + passage)])
+    bench = spark.createDataFrame([(1, passage), (2, passage.upper()), (3, "beta alpha"), (4, None), (None, "one two three four five six"), (5, "solo")], "item_id long, text string")
+    docs = frame(spark, [(1, passage), (1, passage), (2, None), (3, ""), (None, f"x {passage}. y"), (4, "alpha beta"), (5, "the " * 40_000 + passage), (6, "Beta, alpha; beta alpha"), (7, "so a beta"), (8, "alpha SOLO")])
     got = sorted(((r.doc_id or -1, r.item_id, r.first_word, r.edits) for r in decontaminate.find_leaks(docs.withColumn("item_id", docs.n_chars), bench).collect()))
-    assert got == [(-1, 1, 1, 0), (-1, 2, 1, 0), (1, 1, 0, 0), (1, 1, 0, 0), (1, 2, 0, 0), (1, 2, 0, 0), (5, 1, 40_000, 0), (5, 2, 40_000, 0)]
-    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == [2, 3, 4]
+    long = [(-1, 1, 1, 0), (-1, 2, 1, 0), (1, 1, 0, 0), (1, 1, 0, 0), (1, 2, 0, 0), (1, 2, 0, 0), (5, 1, 40_000, 0), (5, 2, 40_000, 0)]
+    assert got == [*long, (6, 3, 0, 0), (8, 5, 1, 0)]  # short items as they stand, within one document
+    extra = docs.withColumns({"_words": F.lit(1), "words": F.lit(2), "a.b": F.lit(3)})
+    kept = decontaminate.without_leaks(extra, bench)
+    assert kept.columns == extra.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 7]
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+    assert decontaminate.without_leaks(docs, bench.limit(0)).count() == 10
     assert decontaminate.without_leaks(docs.limit(0), bench).count() == 0
 
 
@@ -353,6 +439,30 @@ def test_components_of_a_path_and_a_star(spark):
 # the pipeline
 
 
+def test_pipeline_on_hard_tables(spark, sf_dir, tmp_path, tokenizer_path):
+    """Extra columns with names of the stages' own, null ids, empty and repeated rows; and an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["first", "size", "slot", "score", "predicted", "_k1", "k1", "doc", "lane", "order_0", "_words", "fingerprint"]
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    hard = frame(spark, [(None, "no id"), (7001, None), (7002, ""), (7003, "same text twice"), (7003, "same text twice"), (None, None)], None)
+    docs = real.unionByName(hard).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    for name, table in (("full", docs), ("empty", docs.limit(0))):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf_dir}/{other}.parquet").write.parquet(f"{folder}/{other}.parquet")
+        step = spark.read.parquet(f"{folder}/documents.parquet")
+        for label, stage in corpus_pipeline.STAGES[:-1]:
+            path = str(tmp_path / f"{name}-{label}")
+            stage(spark, step, folder).write.parquet(path)
+            step = spark.read.parquet(path)
+            assert step.columns == docs.columns
+            assert all(r[n] == i for r in step.limit(50).collect() for i, n in enumerate(names))
+        ids = [r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, step, folder).collect()]
+        assert len(ids) == step.count() and ids.count(7003) <= 1 and (len(ids) > 50 or name == "empty")
+    assert not ids
+
+
 def test_pipeline(spark, sf_dir, tokenizer_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -45,7 +45,7 @@ def test_license_join_equals_brute_force(spark):
     got = {(r.doc_id, r.label, round(r.containment, 9)) for r in license_scan.template_links(docs(spark, rows), "doc_id", templates=templates, containment=0.7).collect()}
     expected = set()
     for i, text, _, _ in rows:
-        for line in text.split("\n"):
+        for line in [*text.split("\n"), text]:
             own = line.split()
             n = len(own)
             starts = [0] if n <= 128 else range(0, n - 64, 64)
@@ -90,6 +90,34 @@ def test_license_line_spread_wide_is_still_found(spark):
     assert [(r.labels, r.score) for r in got] == [("all-rights-reserved", 1.0)]
 
 
+def test_license_windows_grow_with_the_longest_template(spark):
+    long = " ".join(f"word{i}" for i in range(150))
+    text = "x " * 100 + long.replace("word75 ", "word75\n") + " y" * 500
+    got = license_scan.scan_licenses(docs(spark, [(1, text, None, None)]), templates=(("long", long),), containment=1.0).collect()
+    assert [(r.labels, r.score) for r in got] == [("long", 1.0)]
+
+
+def test_license_lowers_ascii_letters_only(spark):
+    rows = [(1, "UNDER THE MIT LICENSE", None, None), (2, "under the m\u0130t license \u212a \u00c9", None, None), (3, "\u00c9 UNDER the MIT License", None, None)]
+    got = {r.doc_id: (r.base_labels, r.n_words) for r in license_scan.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {1: ("mit", 4), 2: ("", 6), 3: ("mit", 5)}
+
+
+def test_license_sql_equals_the_operator(spark, tmp_path):
+    import duckdb
+
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files to deal\nin the Software without restriction"
+    rows = [(1, wrapped, None, None), (2, "a\n" * 90 + wrapped + "\nb" * 90, None, None), (3, None, None, None), (4, "UNDER the MIT license \u0130", None, None), (5, "all\nrights\n" + "x " * 200 + "reserved", None, None)]
+    path = str(tmp_path / "documents.parquet")
+    docs(spark, rows).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{path}/*.parquet')")
+    cursor = con.execute(license_scan.oracle())
+    expected = {tuple(r) for r in cursor.fetchall()}
+    got = license_scan.scan_licenses(docs(spark, rows)).select(*[c[0] for c in cursor.description])
+    assert {tuple(r) for r in got.collect()} == expected and ("mit" in {r[5] or r[6] for r in expected})
+
+
 def test_license_empty(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
@@ -161,6 +189,33 @@ def test_search_shortlist_counts_ids(spark):
     assert len(got[20]) == 20 and len(set(got[20])) == 20 and got[20][0] == 1
 
 
+def test_search_recall_and_session(spark):
+    """20,000 vectors: more than are reranked, in more than one block; nothing of the session changes."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(400, 32))
+    own = (centres[rng.integers(0, 400, 20_000)] + rng.normal(0, 0.7, (20_000, 32))).astype(np.float32)
+    before = {r.key: r.value for r in spark.sql("SET").collect()}
+    table = vectors(spark, [(i, v.tolist(), 1, 0.0) for i, v in enumerate(own)])
+    got = ann.search(table, every=200, block_rows=3_000).collect()
+    assert {r.key: r.value for r in spark.sql("SET").collect()} == before
+    every = own.astype(np.float64)
+    hit = 0
+    for q in range(0, 20_000, 200):
+        score = every @ every[q]
+        score[q] = -np.inf
+        best = set(np.lexsort((np.arange(20_000), -score))[:20].tolist())
+        found = {r.vec_id: r.score for r in got if r.query_id == q}
+        assert len(found) == 20 and all(abs(score[v] - s) < 1e-9 for v, s in found.items())
+        hit += len(best & set(found))
+    assert hit >= 0.95 * 20 * 100
+
+
+def test_search_of_several_lengths(spark):
+    rows = [(20, [1.0, 0.0], 1, 0.0), (1, [0.5, 0.5], 1, 0.0), (40, [1.0, 0.0, 0.0], 1, 0.0), (2, [2.0, 0.0, 0.0], 1, 0.0), (3, [-0.0, 1.0], 1, 0.0), (4, [], 1, 0.0)]
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(vectors(spark, rows)).collect()}
+    assert got == {(20, 1, 1, 0.5), (20, 2, 3, 0.0), (40, 1, 2, 2.0)}
+
+
 def test_search_empty_and_few(spark):
     assert ann.search(vectors(spark, [])).count() == 0
     few = ann.search(vectors(spark, [(20, [1.0, 0.0], 1, 0.0), (1, [0.5, 0.0], 1, 0.0), (2, [1.0, 1.0], 1, 0.0)])).orderBy("rank").collect()
@@ -228,6 +283,19 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_hot_payload(spark, monkeypatch):
+    """One payload that most rows have, and many that are rare."""
+    rows = [(i, f"http://x/{i}", "same" if i % 3 else f"<p>{i // 6}</p>") for i in range(300)]
+    for share in (warc.HOT, 2.0):  # by broadcast, by shuffle
+        monkeypatch.setattr(warc, "HOT", share)
+        table = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {r.page_id: r.refers_to for r in warc.read_archives(spark, warc.write_archives(table.repartition(7))).collect()}
+        first: dict = {}
+        for i, _, html in rows:
+            first.setdefault(html, i)
+        assert got == {i: None if first[html] == i else first[html] for i, _, html in rows}
+
+
 def test_warc_least_bytes(spark):
     pages = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "yyyy"), (4, "d", "yyyy")], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(spark, warc.write_archives(pages, least_bytes=3)).collect()}
