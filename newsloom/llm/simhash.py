@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from dataclasses import dataclass
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from newsloom.llm.common import batch_rows, stored, text_of
+from newsloom.llm.common import slices, stored, text_of
 from newsloom.llm.components import connected_components
 
-#: First bit and width of each band. Two fingerprints that differ in at most 5 bits differ in at most one in some band.
-BANDS = ((0, 22), (22, 21), (43, 21))
-#: The code of a band: its low 15 bits are a Hamming [15, 11] word, the rest is free. Its covering radius is 1.
+#: The code of a key: its low 15 bits are a Hamming [15, 11] word, the rest is free. Its covering radius is 1, and it is
+#: perfect: every key has exactly one anchor within the radius.
 RADIUS, HAMMING_BITS, CHECKS = 1, 15, 4
+#: Comparisons of a fingerprint with others that are expected at its anchors at most, of fingerprints spread evenly.
+COMPARISONS = 64
+#: Bytes of text that are hashed at a time, unless one text is longer.
+TEXT_BYTES = 4 << 20
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, text: str = "text") -> DataFrame:
@@ -28,7 +32,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, text: str =
     a space, is hashed by XXH64 with the seed, repeats included; a bit is set if it is set in over half of the hashes.
     Fewer words than a shingle: the one shingle of them all. No words, or a null text: zero.
     """
-    batch_rows(docs.sparkSession)
     docs = docs.drop("fingerprint")
     at = docs.columns.index(text)
 
@@ -50,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, text: str =
         return result
 
     def add(batches):
-        for batch in batches:
+        for batch in slices(batches, at, TEXT_BYTES):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of(batch).view(np.int64))], names=[*batch.schema.names, "fingerprint"])
 
     return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("fingerprint", LongType())]))
@@ -65,65 +68,71 @@ def majority(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
-def _syndrome(word: int) -> int:
-    s = 0
-    for i in range(HAMMING_BITS):
-        if word >> i & 1:
-            s ^= i + 1
-    return s
-
-
-def _flips(width: int, within: int) -> list[list[int]]:
-    """By syndrome: the masks of at most `within` bits that lead from a word with it to a code word."""
-    found: list[list[int]] = [[] for _ in range(1 << CHECKS)]
-    for k in range(within + 1):
-        for places in combinations(range(width), k):
-            mask = sum(1 << p for p in places)
-            found[_syndrome(mask)].append(mask)
-    return found
-
-
-def _anchors(fingerprint: Column, band: int, within: int, nearest: bool) -> Column:
-    """An array of the band's anchors that lie within so many bits (only the nearest, if asked), numbered over all bands."""
-    start, width = BANDS[band]
-    word = F.shiftrightunsigned(fingerprint, start).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-    bits = [sum(1 << i for i in range(HAMMING_BITS) if (i + 1) >> c & 1) for c in range(CHECKS)]
-    syndrome = F.lit(0)
-    for c, mask in enumerate(bits):
-        syndrome = syndrome + F.bit_count(word.bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(1)) * (1 << c)
-    flips = [m[:1] if nearest else m for m in _flips(width, within)]
-    table = F.array(*[F.array(*[F.lit(x) for x in m]) for m in flips])
-    masks = F.element_at(table, syndrome + 1)
-    return F.transform(masks, lambda m: word.bitwiseXOR(m) + F.lit(band << 22))
+@dataclass(frozen=True)
+class Keys:
+    """Which bits are looked up together: every choice of `chosen` of the bands is a key.
 
+    Fingerprints that differ in at most `threshold` bits agree in all but that many of `threshold + chosen` bands, so
+    some key of theirs is equal: of a key's bits none may differ, and they meet at its anchor.
+    """
 
-def linked_pairs(points: DataFrame, threshold: int = 4) -> DataFrame:
+    bands: tuple[tuple[int, int], ...]  # first bit and width
+    chosen: int
+
+    @staticmethod
+    def of(threshold: int, chosen: int) -> Keys:
+        n = threshold + chosen
+        ends = [64 * i // n for i in range(n + 1)]
+        return Keys(tuple((a, b - a) for a, b in pairwise(ends)), chosen)
+
+    @staticmethod
+    def choose(threshold: int, points: int) -> Keys:
+        """The fewest bands that make enough anchors for so many fingerprints; the links found are the same with any."""
+        options = [Keys.of(threshold, c) for c in range(2, 7)]
+        return next((k for k in options if k.expected(points) <= COMPARISONS), options[-1])
+
+    def expected(self, points: int) -> float:
+        return sum(points / 2.0 ** (sum(self.bands[b][1] for b in key) - CHECKS) for key in self.all())
+
+    def all(self) -> list[tuple[int, ...]]:
+        return list(combinations(range(len(self.bands)), self.chosen))
+
+    def anchor(self, fingerprint: Column, key: tuple[int, ...]) -> Column:
+        """The one anchor within the radius (and the key's threshold, none) of a key, as a number."""
+        word, at = F.lit(0).cast("long"), 0
+        for start, width in (self.bands[b] for b in key):
+            part = F.shiftrightunsigned(fingerprint, start).bitwiseAND(F.lit((1 << width) - 1))
+            word = word.bitwiseOR(F.shiftleft(part, at))
+            at += width
+        syndrome = F.lit(0)
+        for c in range(CHECKS):
+            mask = sum(1 << i for i in range(HAMMING_BITS) if (i + 1) >> c & 1)
+            syndrome = syndrome + F.bit_count(word.bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(1)) * (1 << c)
+        flip = F.element_at(F.array(*[F.lit(m).cast("long") for m in [0, *(1 << i for i in range(HAMMING_BITS))]]), syndrome + 1)
+        return word.bitwiseXOR(flip)
+
+
+def linked_pairs(points: DataFrame, threshold: int = 4, n_points: int | None = None) -> DataFrame:
     """All pairs (u, v), u < v, of distinct fingerprints in `points` that differ in at most `threshold` bits, each once.
 
-    A pair within the threshold differs in at most threshold // 3 = 1 bits in one of three bands. In a band each
-    fingerprint has one nearest anchor, within the covering radius, and is replicated to every anchor within the radius
-    plus that 1; so the pair meets at the nearest anchor of either. The join compares whole fingerprints at each anchor.
+    Each fingerprint is put at the anchors within the covering radius of each of its keys (the key's own threshold is
+    zero), and whole fingerprints are compared at each anchor. A pair counts at the first key that is equal in it.
+    n_points: how many fingerprints there are, if known; keys get longer with their number, so that anchors stay small.
     """
-    if threshold // len(BANDS) > 1:
-        raise ValueError("the bands serve thresholds up to 5")
-    within = RADIUS + threshold // len(BANDS)
+    keys = Keys.choose(threshold, points.count() if n_points is None else n_points)
     point = F.col("fingerprint")
-    home = points.select(
-        point.alias("u"),
-        F.explode(F.concat(*[_anchors(point, b, RADIUS, True) for b in range(len(BANDS))])).alias("anchor"),
-    )
-    spread = points.select(
-        point.alias("v"),
-        F.explode(F.concat(*[_anchors(point, b, within, False) for b in range(len(BANDS))])).alias("anchor"),
-    )
+    each = [F.struct(F.lit(i).alias("key"), keys.anchor(point, key).alias("anchor")) for i, key in enumerate(keys.all())]
+    placed = points.select(point, F.explode(F.array(*each)).alias("at")).select("fingerprint", "at.key", "at.anchor")
+    left, right = (placed.withColumnRenamed("fingerprint", name) for name in "uv")
     differ = F.col("u").bitwiseXOR(F.col("v"))
-    slack = threshold // len(BANDS)
-    parts = [F.bit_count(differ.bitwiseAND(F.lit(_signed(((1 << w) - 1) << s)))) for s, w in BANDS]
-    band = F.shiftright(F.col("anchor"), 22)
-    earlier = F.when(band == 1, parts[0] > slack).when(band == 2, (parts[0] > slack) & (parts[1] > slack)).otherwise(True)
-    own = F.element_at(F.array(*parts), band + 1) <= slack
+    equal = F.lit(0)
+    for i, (start, width) in enumerate(keys.bands):
+        equal = equal + F.when(differ.bitwiseAND(F.lit(_signed(((1 << width) - 1) << start))) == 0, 1 << i).otherwise(0)
+    number = {key: i for i, key in enumerate(keys.all())}
+    first = [number.get(tuple([b for b in range(len(keys.bands)) if mask >> b & 1][: keys.chosen]), -1) for mask in range(1 << len(keys.bands))]
+    own = F.element_at(F.array(*[F.lit(k) for k in first]), equal + 1) == F.col("key")
     near = F.bit_count(differ) <= threshold
-    return home.join(spread, "anchor").where((F.col("u") < F.col("v")) & near & own & earlier).select("u", "v")
+    return left.join(right, ["key", "anchor"]).where((F.col("u") < F.col("v")) & near & own).select("u", "v")
 
 
 def _signed(x: int) -> int:
@@ -147,21 +156,24 @@ def _placed(docs: DataFrame, threshold: int = 4, shingle: int = 4, seed: int = 4
     marked = stored(fingerprints(docs, shingle, seed).drop("text"), "fingerprints")
     points = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "points")
     labels = connected_components(linked_pairs(points, threshold))
-    placed = points.join(labels, points["fingerprint"] == labels["node"], "left").select(
-        "fingerprint", "least", F.coalesce("label", "fingerprint").alias("label")
-    )
-    least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-    moved = placed.join(least, "label").select("fingerprint", "component_id")
-    return marked.join(stored(moved, "components"), "fingerprint")
+    # Only fingerprints with links are relabelled; what a component's least id is, is combined before its shuffle.
+    linked = points.join(labels, points["fingerprint"] == labels["node"]).select("fingerprint", "least", "label")
+    least = linked.groupBy("label").agg(F.min("least").alias("component"))
+    moved = stored(linked.join(least, "label").select(F.col("fingerprint").alias("point"), "component"), "components")
+    own = points.join(moved, points["fingerprint"] == moved["point"], "left")
+    own = own.select(F.col("fingerprint").alias("point"), F.when(F.col("point").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
+    return marked.join(own, marked["fingerprint"] == own["point"]).drop("point")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents of docs whose doc_id is the smallest of their component; rows of equal doc_id and text are kept once.
 
-    A document without an id stays unless it is linked to one with an id. Rows are told apart by 128 hashed bits of id
-    and text, by which the texts are shuffled once.
+    A document without an id stays unless it is linked to one with an id. Null texts are empty texts, and all of these
+    are linked. Rows are told apart by 128 hashed bits of id and text, by which they are shuffled once; each travels as
+    one struct, so its columns may have any names.
     """
-    key = {"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64(F.lit(1), "text", "doc_id")}
-    own = docs.select(F.col("doc_id"), text_of().alias("text"), *[v.alias(k) for k, v in key.items()])
-    kept = _placed(own, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
-    return docs.withColumns(key).join(kept, list(key), "left_semi").dropDuplicates(list(key)).drop(*key)
+    key = [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *key)
+    own = docs.select("doc_id", text_of().alias("text"), *key)
+    kept = _placed(own, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("k1", "k2").distinct()
+    return rows.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("doc.*")
