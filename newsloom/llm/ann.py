@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch_rows, stored
+from newsloom.llm.common import stored
 
 #: Vectors to fit the centres on: at most so many, those of least hash. All vectors are indexed.
 FIT_ROWS = 10_000
@@ -22,12 +22,14 @@ FIT_ROWS = 10_000
 WIDTH, CENTRES, ROUNDS = 2, 16, 6
 #: Of unit vectors, the inner product from which on errors along the vector count in full.
 THRESHOLD = 0.2
-#: Vectors in one block of the index; of each block the best by codes, for each query, are reranked.
-BLOCK_ROWS, RERANK = 8_192, 320
-#: Queries in one block.
-QUERY_ROWS = 2_048
-#: Blocks of queries are laid out for so many tasks each.
-LANES = 16
+#: Vectors that are scored exactly for each query: those best by codes, over the whole index.
+RERANK = 128
+#: Codes in one block of the index, and codes of it that are scanned at a time.
+BLOCK_ROWS, SCAN_ROWS = 65_536, 8_192
+#: Queries in one block: more of them the more there are, so that a small table still makes many tasks.
+QUERY_ROWS, QUERY_PARTS = 2_048, 64
+#: Blocks of codes that a task scans for a block of queries.
+BLOCKS_A_TASK = 8
 
 
 @dataclass
@@ -118,17 +120,15 @@ def _units(vectors: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, embedding (array of double) of the rows that take part.
+    """vec_id, embedding (array of double), each different row once, of the rows that take part.
 
-    Left out are rows without an id and vectors that are null, zero or of other than the most frequent length, or that
-    hold null, NaN or infinite components.
+    Left out are rows without an id and vectors that are null, empty, zero, or hold null, NaN or infinite components.
     """
     vector = F.col("embedding").cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"))
     good = good.where(F.col("vec_id").isNotNull() & vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0))
-    most = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return good.where(F.size("embedding") == (most[0].n if most else 0))
+    return good.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))).distinct()  # no negative zeros
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -139,96 +139,159 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK,
     """query_id, rank, vec_id, score: the k nearest of each query, which are the rows whose vec_id `every` divides.
 
     score is the inner product in double precision; nearest first, ties to the smaller vec_id; a query's own row (all
-    rows of its id) is no candidate. Rows that repeat are one. Equal vectors are one class in a block of the index, of
-    which the k + 1 smallest ids are kept, as no other can be among the nearest; so copies neither crowd a block's
-    shortlist nor are lost. A repeated id with several vectors counts once for each query, by its best score, and a
-    block's shortlist grows by its repeats, so that it holds as many ids.
+    rows of its id) is no candidate. Rows that repeat are one. A repeated id with several vectors counts once for each
+    query, by its best score. Vectors of different lengths have no inner product: each length is searched on its own,
+    and ranks count within it. Fewer candidates than k: all of them; no rows, no rows.
+
+    Equal vectors are one class, which is indexed once; of its ids the k + 1 smallest can be among the nearest. Queries
+    scan the codes of all classes, and the `rerank` best by codes over all blocks (of a repeated id so many of its vectors
+    count as one) are scored on the original vectors. What is shuffled are codes, ids, and the vectors of the pairs that are scored.
     """
     spark = rows.sparkSession
-    batch_rows(spark, block_rows)
-    good = stored(valid_vectors(rows).distinct(), "vectors")
-    schema = "query_id long, rank int, vec_id long, score double"
-    total = good.count()
-    if not total:
-        return spark.createDataFrame([], schema)
-    order = F.xxhash64("vec_id")
+    good = stored(valid_vectors(rows).withColumn("dim", F.size("embedding")), "vectors")
+    kind = "<f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"  # as exact as given
+    found = None
+    for dim in sorted(r.dim for r in good.groupBy("dim").count().collect()):  # lengths are few: one a model
+        part = _search(good.where(F.col("dim") == dim).drop("dim"), dim, kind, every, k, rerank, block_rows)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _blocks(column: str, size: int):
+    """A map from batches of (id, binary) to blocks of `size` rows, whatever batches they come in."""
+
+    def block(ids, values):
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([b"".join(values)], pa.binary())], names=["ids", column])
+
+    def gather(batches):
+        ids, values, held = [], [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                take = min(size - held, batch.num_rows - at)
+                ids.append(batch.column(0).slice(at, take).to_numpy())
+                values.append(b"".join(batch.column(1).slice(at, take).to_pylist()))
+                at, held = at + take, held + take
+                if held == size:
+                    yield block(ids, values)
+                    ids, values, held = [], [], 0
+        if held:
+            yield block(ids, values)
+
+    return gather
+
+
+def _numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df, a row for each block, with a number from 0 on for each."""
+    own = stored(df.withColumn("_id", F.monotonically_increasing_id()), name)
+    ids = [r["_id"] for r in own.select("_id").orderBy("_id").collect()]
+    numbers = df.sparkSession.createDataFrame(list(zip(ids, range(len(ids)))), f"_id long, {name} int")
+    return own.join(numbers, "_id").drop("_id"), len(ids)
+
+
+def _best(scores: np.ndarray, owners: np.ndarray | None, n: int) -> np.ndarray:
+    """Places of the n largest scores; with owners those of the n owners with the largest, n places each at most."""
+    if owners is None:
+        return np.argpartition(-scores, n)[:n] if len(scores) > n else np.arange(len(scores))
+    order = np.lexsort((-scores, owners))
+    new = np.diff(owners[order], prepend=owners[order[:1]] - 1) != 0
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    chosen = np.zeros(len(first), bool)
+    chosen[_best(scores[order[first]], None, n)] = True
+    return order[chosen[group] & (np.arange(len(order)) - first[group] < n)]
+
+
+def _search(good: DataFrame, dim: int, kind: str, every: int, k: int, rerank: int, block_rows: int) -> DataFrame:
+    spark = good.sparkSession
+    keyed = good.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    asked = F.max(F.col("vec_id") % every == 0).alias("asked")
+    classes = keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("owner"), F.any_value("embedding").alias("embedding"), asked)
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    total = classes.count()
+    repeats = classes.groupBy("owner").count().where("count > 1").limit(1).count() > 0  # an id with several vectors
+    order = F.xxhash64("owner", "h1")
     share = min(1.0, 1.5 * FIT_ROWS / total)
-    sample = good.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, "vec_id").limit(FIT_ROWS)
+    sample = classes.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, "h1", "h2").limit(FIT_ROWS)
     vectors = np.array([r.embedding for r in sample.select("embedding").collect()], np.float64)
-    dim = vectors.shape[1]
     quantiser = spark.sparkContext.broadcast(Quantiser.fit(vectors))
 
-    def index(batches):
+    def pack(batches):
         for batch in batches:
-            ids, own = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
-            by_id = np.argsort(ids, kind="stable")
-            ids, own = ids[by_id], own[by_id]
-            _, group = np.unique(own, axis=0, return_inverse=True)
-            by_group = np.argsort(group, kind="stable")
-            ordered = group[by_group]
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            within = np.arange(len(ordered)) - np.repeat(first, np.diff(np.append(first, len(ordered))))
-            kept = by_group[within <= k]
-            ids, own, group = ids[kept], own[kept], group[kept]
-            codes = quantiser.value.encode(own)
-            values = [ids.astype("<i8").tobytes(), group.astype("<i4").tobytes(), codes.tobytes(), own.astype("<f8").tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=["ids", "groups", "codes", "vectors"])
+            own = _matrix(batch.column(3), dim)
+            codes = [ids.tobytes() + c.tobytes() for ids, c in zip(batch.column(1).to_numpy().astype("<i8"), quantiser.value.encode(own))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(codes, pa.binary()), pa.array([v.tobytes() for v in own.astype(kind)], pa.binary())], names=["class", "owner", "asked", "codes", "vector"])
 
-    def gather(batches):
-        for batch in batches:
-            ids, own = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
-            for i in range(0, len(ids), QUERY_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i : i + QUERY_ROWS].astype("<i8").tobytes()], pa.binary()), pa.array([own[i : i + QUERY_ROWS].astype("<f8").tobytes()], pa.binary())], names=["query_ids", "queries"])
+    # codes: the owner's eight bytes, then the codes themselves
+    index = stored(classes.select("class", "owner", "asked", "embedding").mapInArrow(pack, "class long, owner long, asked boolean, codes binary, vector binary"), "index")
+    n_queries = index.where("asked").count()
+    if not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows_a_block = max(1, min(QUERY_ROWS, n_queries // QUERY_PARTS))
+    codes = index.select("class", "codes").repartition(max(1, total // (4 * block_rows))).mapInArrow(_blocks("codes", block_rows), "ids binary, codes binary")
+    codes, n_blocks = _numbered(codes, "block")
+    queries = index.where("asked").select("class", "vector").repartition(max(1, n_queries // (16 * QUERY_ROWS))).mapInArrow(_blocks("vectors", rows_a_block), "ids binary, vectors binary")
+    queries, n_parts = _numbered(queries.withColumnRenamed("ids", "query_ids"), "part")
 
     def scan(batches):
-        best = quantiser.value
+        own = quantiser.value
         for batch in batches:
-            for ids, groups, codes, own, query_ids, queries in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, groups = np.frombuffer(ids, "<i8"), np.frombuffer(groups, "<i4")
-                own = np.frombuffer(own, "<f8").reshape(-1, dim)
-                codes = np.frombuffer(codes, np.uint8).reshape(len(ids), -1).T.copy()
-                lead = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(ids) else np.zeros(0, int)
-                sizes = np.diff(np.append(lead, len(ids)))
-                lead_codes = codes[:, lead]
-                repeats = len(ids) - len(np.unique(ids))
-                shortlist = rerank + repeats
+            for ids, packed, query_ids, asking in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(ids, "<i8")
+                packed = np.frombuffer(packed, np.uint8).reshape(len(ids), -1)
+                owners = np.ascontiguousarray(packed[:, :8]).view("<i8")[:, 0] if repeats else None
+                pieces = [np.ascontiguousarray(packed[i : i + SCAN_ROWS, 8:].T) for i in range(0, len(ids), SCAN_ROWS)]
                 out = []
-                for query_id, query in zip(np.frombuffer(query_ids, "<i8"), np.frombuffer(queries, "<f8").reshape(-1, dim)):
-                    table = best.tables(query)
-                    score = np.zeros(len(lead), np.float32)
-                    for row, byte in zip(table, lead_codes):
-                        score += row[byte]
-                    top = np.argpartition(-score, shortlist)[:shortlist] if len(score) > shortlist else np.arange(len(score))
-                    exact = (own[lead[top]] * query).sum(1)
-                    near = np.repeat(exact, sizes[top])
-                    at = np.repeat(lead[top] - (np.cumsum(sizes[top]) - sizes[top]), sizes[top]) + np.arange(len(near))
-                    other = ids[at] != query_id
-                    near, at = near[other], at[other]
-                    if repeats:  # the best row of each id
-                        by_id = np.lexsort((-near, ids[at]))
-                        near, at = near[by_id], at[by_id]
-                        first = np.flatnonzero(np.diff(ids[at], prepend=ids[at[:1]] - 1))
-                        near, at = near[first], at[first]
-                    if len(near) > k:
-                        low = np.partition(near, len(near) - k)[len(near) - k]
-                        near, at = near[near >= low], at[near >= low]
-                    chosen = np.lexsort((ids[at], -near))[:k]
-                    out.append((np.full(len(chosen), query_id), ids[at[chosen]], near[chosen]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["query_id", "vec_id", "score"])
-
-    blocks = stored(good.mapInArrow(index, "ids binary, groups binary, codes binary, vectors binary"), "index")
-    asked = good.where(F.col("vec_id") % every == 0).coalesce(8).mapInArrow(gather, "query_ids binary, queries binary")
-    asked = stored(asked.withColumn("block", F.monotonically_increasing_id()), "queries")
-    parts = [r.block for r in asked.select("block").orderBy("block").collect()]  # a number for each QUERY_ROWS queries
-    if not parts:
-        return spark.createDataFrame([], schema)
-    asked = asked.join(spark.createDataFrame([(b, i) for i, b in enumerate(parts)], "block long, part int"), "block").drop("block")
-    lane = F.pmod(F.xxhash64("ids"), F.lit(LANES)).cast("int")
-    left = blocks.withColumn("lane", lane).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1))))
-    right = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
-    pairs = left.join(right, ["part", "lane"]).select("ids", "groups", "codes", "vectors", "query_ids", "queries")
-    batch_rows(spark, block_rows)
-    near = pairs.mapInArrow(scan, "query_id long, vec_id long, score double")
-    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for query_id, query in zip(np.frombuffer(query_ids, "<i8"), np.frombuffer(asking, kind).reshape(-1, dim)):
+                    table = own.tables(query.astype(np.float64))
+                    score = np.zeros(len(ids), np.float32)
+                    for i, piece in enumerate(pieces):
+                        part = score[i * SCAN_ROWS : (i + 1) * SCAN_ROWS]
+                        for row, byte in zip(table, piece):
+                            part += row[byte]
+                    top = _best(score, owners, rerank)
+                    out.append((np.full(len(top), query_id), ids[top], score[top]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["query", "class", "near"])
+
+    # Every block of queries meets every block of codes: the queries are fixed rows of the table, and blocks of codes are
+    # dealt out in lanes of a few, so that tasks grow in number and not in size.
+    lanes = -(-n_blocks // BLOCKS_A_TASK)
+    left = codes.withColumn("lane", F.col("block") % lanes).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    right = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    left, right = (df.repartition(n_parts * lanes, "part", "lane") for df in (left, right))
+    pairs = left.join(right, ["part", "lane"]).select("ids", "codes", "query_ids", "vectors")
+    near = pairs.mapInArrow(scan, "query long, class long, near float")
+    if repeats:  # of each id its best vectors by codes, of the ids the best
+        near = near.join(index.select("class", "owner"), "class")
+        of_owner = Window.partitionBy("query", "owner").orderBy(F.desc("near"), "class")
+        near = near.withColumn("at", F.row_number().over(of_owner)).where(F.col("at") <= rerank)
+        near = near.withColumn("best", F.max("near").over(Window.partitionBy("query", "owner")))
+        place = F.dense_rank().over(Window.partitionBy("query").orderBy(F.desc("best"), "owner"))
+    else:
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "class"))
+    near = near.withColumn("place", place).where(F.col("place") <= rerank)
+    return _ranked(near.select("query", "class"), index, keyed, classes, dim, kind, every, k)
+
+
+def _ranked(near: DataFrame, index: DataFrame, keyed: DataFrame, classes: DataFrame, dim: int, kind: str, every: int, k: int) -> DataFrame:
+    """The k nearest of each query among the pairs of classes, by exact scores on the original vectors."""
+
+    def score(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), kind).reshape(-1, dim).astype(np.float64) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a * b).sum(1))], names=["query", "class", "score"])
+
+    asking = index.where("asked").select(F.col("class").alias("query"), F.col("vector").alias("asking"))
+    pairs = near.join(index.select("class", "vector"), "class").join(asking, "query").select("query", "class", "asking", "vector")
+    scored = pairs.mapInArrow(score, "query long, class long, score double")
+    place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
+    members = keyed.select("vec_id", "h1", "h2").withColumn("place", place).where(F.col("place") <= k + 1)
+    members = members.join(classes.select("h1", "h2", "class"), ["h1", "h2"]).select("class", "vec_id")
+    lists = scored.join(members, "class").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+    order = [F.desc("score"), "vec_id"]
+    lists = lists.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= k + 1)
+    own = keyed.where(F.col("vec_id") % every == 0).join(classes.select("h1", "h2", F.col("class").alias("query")), ["h1", "h2"])
+    out = own.select(F.col("vec_id").alias("query_id"), "query").join(lists.select("query", "vec_id", "score"), "query").where("vec_id <> query_id")
+    out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score")
