@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ class Ingested:
 
 def purge_hints(store: Store, **lists) -> None:
     """Forgets unpublished posts of puzzle answers."""
-    forget(store, hint_posts(store.read("posts"), **lists).select("id"))
+    ids = hint_posts(store.read("posts"), **lists).select("id")
+    if not ids.isEmpty():
+        forget(store, ids)
 
 
 def feed_items(docs: DataFrame, sources: DataFrame, limit: int = 10) -> DataFrame:
@@ -46,37 +49,56 @@ def _first_of_address(items: DataFrame) -> DataFrame:
     return one.select(*[F.col(f"item.{c}").alias(c) for c in items.columns])
 
 
+def swept_ids(posts: DataFrame, kept: DataFrame, family: str) -> DataFrame:
+    """Ids that the sweep of the kept posts removes from posts and kept."""
+    merged = cut_lineage(posts.unionByName(kept))
+    return merged.select("id").join(sweep(merged, kept.select("id"), family).select("id"), "id", "left_anti")
+
+
+def store_batch(store: Store, kept: DataFrame, matches: DataFrame, gone: DataFrame, as_of) -> None:
+    """Records matches, adds kept posts, removes swept ones. To do it again changes nothing."""
+    store.append("duplicate_records", record_duplicates(matches, as_of), ["id"])
+    posts = store.read("posts")
+    added = kept.join(posts.select("id"), "id", "left_anti").select(*posts.columns)
+    store.write("posts", posts.unionByName(added).join(gone, "id", "left_anti"))
+
+
 def ingest(store: Store, docs: DataFrame, pages: DataFrame, as_of, run_id: str, limit: int = 10, family: str = "e5_base", days: int = 30, **lists) -> Ingested:
     """Reads feeds, gates, enriches, gates again, drops what was seen, removes duplicates, stores posts, ledger, records.
 
     An item with an empty description passes the first gate, since its page may supply the text. Every item ends in one
-    outcome, which the funnel counts.
+    outcome, which the funnel counts. What a run decides is staged under its run_id before the store is changed, and each
+    change adds only what is not there: a run that failed anywhere is finished by running it again under the same id. The
+    ledger comes after the posts, so that under another id too no item is lost.
     """
     purge_hints(store, **{k: v for k, v in lists.items() if k in ("puzzles", "phrases")})
     posts, ledger = store.read("posts"), store.read("parsed_items")
-    items = cut_lineage(feed_items(docs, store.read("sources"), limit))
+    stage = partial(store.stage, run_id)
+    items = stage("items", lambda: feed_items(docs, store.read("sources"), limit))
     first = content_gate(items, keep_empty=True, **lists)
     passed = first.where("reject_reason is null").drop("reject_reason")
     texts = extract_articles(pages).select("url", "article_text")
-    second = content_gate(enrich(passed, texts), **lists)
-    good = cut_lineage(second.where("reject_reason is null").drop("reject_reason"))
-    fresh = cut_lineage(_first_of_address(unseen(good, ledger, posts)))
-    new, existing = insert_new_posts(posts, fresh, as_of)
-    new = cut_lineage(new)
-    kept, matches = dedup_batch(new, posts, family, as_of, days)
-    kept = cut_lineage(kept)
+    gated = stage("gated", lambda: content_gate(enrich(passed, texts), **lists))
+    good = gated.where("reject_reason is null").drop("reject_reason")
+    recorded = store.read("duplicate_records").select(norm_url(F.col("duplicate_url")).alias("normalized_url"))
+    seen_before = ledger.select("normalized_url").unionByName(recorded)
+    fresh = stage("fresh", lambda: _first_of_address(unseen(good, seen_before, posts)))
+    existing = stage("existing", lambda: insert_new_posts(posts, fresh, as_of)[1])
+    new = stage("new", lambda: insert_new_posts(posts, fresh, as_of)[0])
+    decided = cache(lambda: dedup_batch(new, posts, family, as_of, days))
+    kept = stage("kept", lambda: decided()[0])
     titles = new.select(F.col("id").alias("new_id"), F.col("source_url").alias("link"), F.col("raw_title").alias("title"), F.col("raw_description").alias("description"))
-    matches = cut_lineage(matches.join(titles, "new_id"))
-    store.append("duplicate_records", record_duplicates(matches, as_of))
-    store.append("parsed_items", record_seen(ledger, good, as_of))
-    merged = cut_lineage(posts.unionByName(kept))
-    swept = store.write("posts", sweep(merged, kept.select("id"), family))
+    matches = stage("matches", lambda: decided()[1].join(titles, "new_id"))
+    gone = stage("gone", lambda: swept_ids(posts, kept, family))
+    store_batch(store, kept, matches, gone, as_of)
+    swept = store.read("posts")
+    store.append("parsed_items", record_seen(store.read("parsed_items"), good, as_of))
     runs = record_run(store.read("runs"), run_id, "fetch", as_of, items.select(F.col("source_id").alias("id")).distinct())
-    store.append("runs", runs)
+    store.append("runs", runs, ["run_id", "kind", "source_id"])
     store.write("sources", touch_sources(store.read("sources"), store.read("runs")))
     added = swept.join(kept.select("id"), "id", "left_semi")
     link = lambda df, outcome: df.select(F.lit(run_id).alias("run_id"), F.lit(outcome).alias("outcome"), F.lit(None).cast("string").alias("error"))
-    rejected = first.where("reject_reason is not null").unionByName(second.where("reject_reason is not null"))
+    rejected = first.where("reject_reason is not null").unionByName(gated.where("reject_reason is not null"))
     seen = good.join(fresh.select("link").distinct(), "link", "left_anti")
     parts = [(items, "scanned"), (rejected, "rejected"), (good, "checked"), (seen, "seen"), (existing, "existing"), (fresh, "eligible"), (matches, "duplicate"), (kept, "new"), (added, "queued")]
     outcomes = None
@@ -92,4 +114,4 @@ def with_embeddings(posts: DataFrame, encode) -> DataFrame:
     return posts.withColumn("embedding", encode(encoder_input(F.col("raw_title"), F.col("raw_description"), "other", "passage"))).withColumn("title_embedding", encode(F.col("raw_title")))
 
 
-__all__ = ["Ingested", "feed_items", "ingest", "post_id", "purge_hints", "with_embeddings"]
+__all__ = ["Ingested", "feed_items", "ingest", "post_id", "purge_hints", "store_batch", "swept_ids", "with_embeddings"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +22,8 @@ SCHEMAS = {
 }
 FACTS = ("posts", "publish_log", "parsed_items", "duplicate_records")
 SNAPSHOT_VERSION = 1
+#: Appended folders after which a table is written anew as one.
+COMPACT_AFTER = 16
 # The categories of a new store.
 SEED_CATEGORIES = [
     ("PC", "#игры #PC #гейминг", "steam, pc, nvidia, amd"),
@@ -53,37 +58,78 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 
 class Store:
-    """A folder with one Parquet table for each name in SCHEMAS. Every write is a new version; the newest counts.
+    """A folder with one Parquet table for each name in SCHEMAS.
 
-    A version is a folder of its own that counts once Spark has committed it (its _SUCCESS file), so readers of older
-    versions and writes that fail midway do no harm. One writer at a time.
+    A write makes a new version, a folder v<n>; an append adds a folder v<n>-<k> to the newest, and after COMPACT_AFTER of
+    them a new version holds all. Folders count once Spark has committed them (their _SUCCESS file), so readers of older
+    versions and writes that fail midway do no harm. One writer at a time; `vacuum` deletes old versions.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _fs(self, path: str):
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _committed(self, path: str) -> bool:
+        done, fs = self._fs(f"{path}/_SUCCESS")
+        return fs.exists(done)
+
+    def _folders(self, name: str) -> list[tuple[int, int]]:
+        """(version, part) of all that is committed; part 0 is the version itself."""
+        root, fs = self._fs(f"{self.path}/{name}")
         if not fs.exists(root):
             return []
-        found = [s.getPath() for s in fs.listStatus(root)]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        found = [re.fullmatch(r"v(\d+)(?:-(\d+))?", s.getPath().getName()) for s in fs.listStatus(root)]
+        return sorted((int(m[1]), int(m[2] or 0)) for m in found if m and self._committed(f"{self.path}/{name}/{m[0]}"))
+
+    def _newest(self, name: str) -> tuple[int, list[int]]:
+        """The newest version (0 if there is none) and its parts."""
+        folders = self._folders(name)
+        version = max((v for v, k in folders if k == 0), default=0)
+        return version, [k for v, k in folders if v == version]
+
+    def _path(self, name: str, version: int, part: int) -> str:
+        return f"{self.path}/{name}/v{version}" + (f"-{part}" if part else "")
 
     def read(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
+        version, parts = self._newest(name)
+        if not parts:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/v{versions[-1]}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[self._path(name, version, k) for k in parts])
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        version = max(self._versions(name), default=0) + 1
-        conform(df, name).write.parquet(f"{self.path}/{name}/v{version}")
+        """Replaces the table; df may be made from it."""
+        conform(df, name).write.mode("overwrite").parquet(self._path(name, self._newest(name)[0] + 1, 0))
         return self.read(name)
 
-    def append(self, name: str, df: DataFrame) -> DataFrame:
-        return self.write(name, self.read(name).unionByName(conform(df, name)))
+    def append(self, name: str, df: DataFrame, key: list[str] | None = None) -> DataFrame:
+        """Adds rows; with a key only those whose key, nulls included, the table lacks, so that a repeated append adds nothing."""
+        rows = conform(df, name)
+        version, parts = self._newest(name)
+        if key and parts:
+            there = self.read(name).select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+            rows = rows.join(there, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_anti")
+        rows.write.mode("overwrite").parquet(self._path(name, version, max(parts, default=0) + 1))
+        return self.write(name, self.read(name)) if len(parts) >= COMPACT_AFTER else self.read(name)
+
+    def stage(self, run_id: str, name: str, make) -> DataFrame:
+        """What make() gives, written once for a run: a run that is repeated under its id reads what it had decided."""
+        path = f"{self.path}/_runs/{hashlib.sha256(run_id.encode()).hexdigest()[:32]}/{name}"
+        if not self._committed(path):
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes all but the newest versions of each table; readers of older ones have to be done."""
+        for name in SCHEMAS:
+            versions = sorted({v for v, _ in self._folders(name)})
+            newest = self._newest(name)[0]
+            for version, part in self._folders(name):
+                if version in versions[:-keep] and version < newest:
+                    path, fs = self._fs(self._path(name, version, part))
+                    fs.delete(path, True)
 
 
 def with_keys(items: DataFrame, url: str = "link", title: str = "title") -> DataFrame:

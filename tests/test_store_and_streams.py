@@ -90,6 +90,116 @@ def test_ingest_and_lifecycle(spark, store, tmp_path):
         st.restore_snapshot(store, str(tmp_path / "nowhere"))
 
 
+def state(store):
+    """What a store holds, but for the order of rows."""
+    return {name: sorted(map(repr, store.read(name).drop("ai_checked_at").collect())) for name in st.SCHEMAS}
+
+
+class Failing(st.Store):
+    """Fails at the n-th change of a table, after or before it."""
+
+    def __init__(self, spark, path, n, after):
+        super().__init__(spark, path)
+        self.left, self.after = n, after
+
+    def _count(self, change):
+        self.left -= 1
+        if self.left == 0 and not self.after:
+            raise OSError("lost")
+        out = change()
+        if self.left == 0:
+            raise OSError("lost")
+        return out
+
+    def write(self, name, df):
+        return self._count(lambda: super(Failing, self).write(name, df))
+
+    def append(self, name, df, key=None):
+        return self._count(lambda: super(Failing, self).append(name, df, key))
+
+
+ITEMS = [("Rocket launch delayed after engine fault", "http://n/1", TEXT + "1."), ("Rocket launch delayed after engine fault today", "http://n/2", TEXT + "2."), ("Quiet day at the market", "http://n/3/", TEXT + "3.")]
+
+
+def test_ingest_that_failed_is_finished_by_running_it_again(spark, store, tmp_path):
+    ingest(store, docs(spark, *ITEMS), pages(spark), AS_OF, "r1")
+    clean = state(store)
+    for n, after in [(2, False), (3, False), (4, False), (5, False)]:  # that is, after each of the first four changes
+        path = str(tmp_path / f"s{n}{after}")
+        st.seed_dims(st.Store(spark, path))
+        with pytest.raises(OSError):
+            ingest(Failing(spark, path, n, after), docs(spark, *ITEMS), pages(spark), AS_OF, "r1")
+        ingest(st.Store(spark, path), docs(spark, *ITEMS), pages(spark), AS_OF, "r1")
+        assert state(st.Store(spark, path)) == clean
+    lost = str(tmp_path / "s3False")  # under another id nothing is lost or doubled either
+    st.seed_dims(st.Store(spark, lost + "x"))
+    with pytest.raises(OSError):
+        ingest(Failing(spark, lost + "x", 3, False), docs(spark, *ITEMS), pages(spark), AS_OF, "r1")
+    ingest(st.Store(spark, lost + "x"), docs(spark, *ITEMS), pages(spark), AS_OF, "r2")
+    got = state(st.Store(spark, lost + "x"))
+    assert {k: got[k] for k in ("posts", "duplicate_records", "parsed_items")} == {k: clean[k] for k in ("posts", "duplicate_records", "parsed_items")}
+
+
+def test_store_appends_and_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "COMPACT_AFTER", 3)
+    own = st.Store(spark, str(tmp_path / "s"))
+    run = lambda i: spark.createDataFrame([(f"r{i}", "fetch", None, None)], st.SCHEMAS["runs"])
+    for i in range(6):
+        own.append("runs", run(i), ["run_id", "kind", "source_id"])
+        own.append("runs", run(i), ["run_id", "kind", "source_id"])
+    assert sorted(r.run_id for r in own.read("runs").collect()) == [f"r{i}" for i in range(6)]
+    own.write("runs", own.read("runs").where("run_id <> 'r0'"))
+    own.append("runs", run(7))
+    own.vacuum(1)
+    assert sorted(r.run_id for r in own.read("runs").collect()) == ["r1", "r2", "r3", "r4", "r5", "r7"]
+    assert len({v for v, _ in own._folders("runs")}) == 1
+
+
+def test_streams_run_again_after_a_failure(spark, store, tmp_path):
+    """Every stream is stopped by a failure midway, started again, and ends as if it had not been."""
+    at = datetime.datetime(2024, 6, 1)
+    posts = spark.createDataFrame([(i, f"http://p/{i}", t, "d", at) for i, t in enumerate(["One story about the river flood", "One story about the river flood", "Something else entirely today"])], "id long, source_url string, raw_title string, raw_description string, created_at timestamp")
+    posts = posts.withColumn("status", F.lit("new"))
+    rows = st.conform(posts, "posts")
+    rows.write.parquet(str(tmp_path / "posts"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "posts"))
+
+    def again(start, failing):
+        query = start(failing)
+        with pytest.raises(Exception):
+            query.awaitTermination(120)
+        start(st.Store(spark, failing.path)).awaitTermination(120)
+        return st.Store(spark, failing.path)
+
+    for n in (1, 2):
+        done = again(lambda s: jobs.stream_dedup(stream, s, AS_OF, str(tmp_path / f"d{n}"), days=0), Failing(spark, str(tmp_path / f"dedup{n}"), n, True))
+        assert sorted(r.id for r in done.read("posts").collect()) == [0, 2] and done.read("duplicate_records").count() == 1
+    items = spark.createDataFrame([("http://s/1", "t", at), ("http://s/2", "t", at)], "link string, title string, seen_at timestamp")
+    items.write.parquet(str(tmp_path / "items"))
+    arriving = spark.readStream.schema(items.schema).parquet(str(tmp_path / "items"))
+    done = again(lambda s: jobs.stream_unseen_ledger(arriving, s, AS_OF, str(tmp_path / "u"), str(tmp_path / "fresh")), Failing(spark, str(tmp_path / "ledger"), 1, True))
+    assert spark.read.parquet(str(tmp_path / "fresh")).count() == 2 and done.read("parsed_items").count() == 2
+    queue = Failing(spark, str(tmp_path / "dedup1"), 1, True)
+    spark.range(1).select(F.col("id").alias("value")).write.parquet(str(tmp_path / "ticks"))
+    ticks = spark.readStream.schema("value long").parquet(str(tmp_path / "ticks"))
+    done = again(lambda s: jobs.stream_queue(spark, s, "{title}", str(tmp_path / "prompts"), str(tmp_path / "q"), 1, ticks=ticks), queue)
+    claimed = [r.id for r in spark.read.parquet(str(tmp_path / "prompts")).collect()]
+    assert [r.id for r in done.read("posts").where("status = 'processing'").collect()] == claimed == [0]
+
+
+def test_late_items_are_set_aside(spark, store, tmp_path):
+    kind = "link string, title string, seen_at timestamp"
+    day = lambda d: datetime.datetime(2024, 6, d)
+    path, out, late = (str(tmp_path / x) for x in ("items", "fresh", "late"))
+    for rows in ([("http://a", "t", day(10)), ("http://b", "t", day(1))], [("http://c", "t", day(9)), ("http://d", "t", day(2)), ("http://e", "t", None)]):
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(kind).parquet(path)
+        jobs.stream_unseen_ledger(stream, store, AS_OF, str(tmp_path / "c"), out, delay="3 days", late=late).awaitTermination(120)
+    assert sorted(r.link for r in spark.read.parquet(out).collect()) == ["http://a", "http://b", "http://c", "http://e"]
+    assert [r.link for r in spark.read.parquet(late).collect()] == ["http://d"]
+    assert store.read("parsed_items").count() == 4
+
+
 def test_plan_alternates_categories(spark):
     at = datetime.datetime(2024, 1, 1)
     rows = [(i, "approved", 1 if i < 4 else 2, at + datetime.timedelta(minutes=i), None) for i in range(6)] + [(9, "published", 2, at, at)]
