@@ -150,7 +150,7 @@ def _similar(a: Title, b: Title) -> Column:
     return F.when(_match(a, b), True).when((a.norm == "") | (b.norm == ""), False).when(inside, True).when(~some, False).otherwise(F.coalesce(half | most, F.lit(False)))
 
 
-def _strong(p: Pair, family: str) -> Column:
+def pair_strong(p: Pair, family: str) -> Column:
     if family == "e5_large":
         enough = (p.common >= 5) | ((p.common >= 4) & (p.jaccard >= 0.45))
     elif family == "bge":
@@ -160,11 +160,11 @@ def _strong(p: Pair, family: str) -> Column:
     return F.when(p.equal, True).when(p.contradict, False).otherwise(enough)
 
 
-def _medium(p: Pair, family: str) -> Column:
+def pair_medium(p: Pair, family: str) -> Column:
     if family not in MEDIUM_JACCARD:
         return F.lit(False)
     enough = p.similar & (p.common >= 3) & (p.jaccard >= MEDIUM_JACCARD[family])
-    return F.when(_strong(p, family) | p.contradict, False).otherwise(enough)
+    return F.when(pair_strong(p, family) | p.contradict, False).otherwise(enough)
 
 
 def titles_match(a: Column, b: Column) -> Column:
@@ -176,11 +176,11 @@ def titles_similar(a: Column, b: Column) -> Column:
 
 
 def titles_strong(a: Column, b: Column, family: str = "e5_base") -> Column:
-    return _strong(Pair.of(Title.of(a), Title.of(b)), family)
+    return pair_strong(Pair.of(Title.of(a), Title.of(b)), family)
 
 
 def titles_medium(a: Column, b: Column, family: str) -> Column:
-    return _medium(Pair.of(Title.of(a), Title.of(b)), family)
+    return pair_medium(Pair.of(Title.of(a), Title.of(b)), family)
 
 
 def meaningful_overlap(a: Column, b: Column) -> Column:
@@ -215,7 +215,7 @@ def content_matches(new_title: Column, new_desc: Column, old_title: Column, old_
 
 def lexical_class(p: Pair, family: str) -> Column:
     """3 equal or strong, 2 medium, 1 similar, 0 otherwise."""
-    return F.when(_strong(p, family), 3).when(_medium(p, family), 2).when(p.similar, 1).otherwise(0)
+    return F.when(pair_strong(p, family), 3).when(pair_medium(p, family), 2).when(p.similar, 1).otherwise(0)
 
 
 def match_rank(p: Pair, family: str, confidence: Column) -> Column:
@@ -229,8 +229,8 @@ def lexical_verdict(p: Pair, family: str) -> Column:
     make = lambda kind, confidence, text: F.struct(F.lit(kind).alias("class"), confidence.cast("int").alias("confidence"), text.alias("explanation"))
     return (
         F.when(p.equal, make("equal", F.lit(98), F.lit("equal normalised titles")))
-        .when(_strong(p, family), make("strong", F.least(88 + p.common, F.lit(98)), F.format_string("similar titles: %d common words, %d%% of the vocabulary", p.common, percent)))
-        .when(_medium(p, family), make("medium", F.least(84 + p.common, F.lit(94)), F.format_string("related titles: %d common words", p.common)))
+        .when(pair_strong(p, family), make("strong", F.least(88 + p.common, F.lit(98)), F.format_string("similar titles: %d common words, %d%% of the vocabulary", p.common, percent)))
+        .when(pair_medium(p, family), make("medium", F.least(84 + p.common, F.lit(94)), F.format_string("related titles: %d common words", p.common)))
     )
 
 
@@ -239,7 +239,7 @@ def heuristic_score(p: Pair, described: Column, family: str) -> Column:
 
     described: whether the descriptions are similar.
     """
-    titles = F.when(p.equal, 100).when(_strong(p, family), 90).when(_medium(p, family), 75).when(p.similar, 60).otherwise(0)
+    titles = F.when(p.equal, 100).when(pair_strong(p, family), 90).when(pair_medium(p, family), 75).when(p.similar, 60).otherwise(0)
     return titles + p.common * 3 + F.when(described, 40).when(p.similar, 20).otherwise(0)
 
 
@@ -289,7 +289,7 @@ def decide_duplicate(p: Pair, family: str, full: Column, title: Column, describe
         | ((full >= t["full_with_lexical"]) & (title >= t["title"]))
         | ((full >= t["full_with_lexical"]) & described)
     )
-    return F.when(_strong(p, family) | _medium(p, family), True).when((p.common < t["common"]) | weak, False).otherwise(enough)
+    return F.when(pair_strong(p, family) | pair_medium(p, family), True).when((p.common < t["common"]) | weak, False).otherwise(enough)
 
 
 def semantic_confidence(full: Column) -> Column:

@@ -75,6 +75,11 @@ def cut(c: Column, most: int, mark: str = "…") -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(mark))).otherwise(c)
 
 
+def bind(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_boilerplate(c: Column, tails=TAIL_PATTERNS, phrases=SUFFIX_PHRASES, whole_words: bool = True) -> Column:
     """Without what feeds append. whole_words: a phrase has to stand alone, in letters of any case; else (the older rule)
     it may end a longer word, only a-z match A-Z, and of phrases that end alike the shorter goes first."""
@@ -108,13 +113,9 @@ def has_url(c: Column) -> Column:
 
 
 def is_cta(c: Column, markers=CTA_MARKERS, patterns=CTA_PATTERNS) -> Column:
+    either = "|".join([*(re.escape(m).replace(r"\ ", " ") for m in markers), *patterns]) or "(?!)"
     own = F.lower(trimmed(F.regexp_replace(trimmed(c), r"^\*+|\*+$", "")))
-    found = F.lit(False)
-    for m in markers:
-        found = found | F.contains(own, F.lit(m))
-    for p in patterns:
-        found = found | own.rlike(f"(?U){p}")
-    return (own != "") & found
+    return own.rlike(f"(?U){either}")
 
 
 def sentences(c: Column) -> Column:
@@ -133,12 +134,14 @@ def strip_links(c: Column, **lists) -> Column:
 
 def format_post_text(c: Column, each: int = 2, **lists) -> Column:
     """Paragraphs without link sentences; a single paragraph becomes paragraphs of two sentences."""
-    own = trimmed(c)
-    parts = F.when(F.contains(own, F.lit("\n\n")), F.split(own, "\n\n")).otherwise(F.split(own, "\n"))
+    parts = bind(trimmed(c), lambda own: F.when(F.contains(own, F.lit("\n\n")), F.split(own, "\n\n")).otherwise(F.split(own, "\n")))
     kept = F.filter(F.transform(parts, lambda p: _without_links(p, **lists)), lambda p: p != "")
-    one = sentences(F.get(kept, F.lit(0)))
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(one) - 1) / each).cast("int")), lambda i: F.array_join(F.slice(one, i * each + 1, F.lit(each)), " "))
-    return F.when(F.size(kept) == 0, "").when(F.size(kept) > 1, F.array_join(kept, "\n\n")).when(F.size(one) <= each, F.array_join(one, " ")).otherwise(F.array_join(groups, "\n\n"))
+
+    def grouped(one: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(one) - 1) / each).cast("int")), lambda i: F.array_join(F.slice(one, i * each + 1, F.lit(each)), " "))
+        return F.when(F.size(one) <= each, F.array_join(one, " ")).otherwise(F.array_join(groups, "\n\n"))
+
+    return bind(kept, lambda k: F.when(F.size(k) == 0, "").when(F.size(k) > 1, F.array_join(k, "\n\n")).otherwise(bind(sentences(F.get(k, F.lit(0))), grouped)))
 
 
 def escape_html(c: Column) -> Column:

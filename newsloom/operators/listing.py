@@ -90,19 +90,28 @@ def url_host(url: Column) -> Column:
     return F.lower(F.get(F.split(url, "/"), F.lit(2)))
 
 
+#: Characters of a host by which it is looked up in addresses.
+GRAM = 4
+
+
 def guess_source(posts: DataFrame, sources: DataFrame) -> DataFrame:
-    """Posts with guessed_source_url: the first source of the post's category, else the first whose host stands in the
-    post's address, else empty.
+    """Posts with guessed_source_url: the first source of the post's category, else the first whose host stands anywhere
+    in the post's address, else empty.
 
-    A host stands in an address only where a run of letters, digits, dots and dashes contains it; hosts are matched by
-    equality with every suffix and prefix cut of the address's own host, and by containment for the posts left over.
+    Hosts meet addresses by an equi-join: each host is looked up by its rarest run of GRAM characters among those that
+    the addresses of posts without a category have, and then held against the whole address.
     """
     by_category = sources.where("category_id is not null").groupBy(F.col("category_id").alias("_cat")).agg(F.min_by("url", "id").alias("_by_category"))
-    hosts = sources.select("id", "url", url_host(F.col("url")).alias("_host")).where("_host is not null and _host <> ''")
-    first = hosts.groupBy("_host").agg(F.min(F.struct("id", "url")).alias("_source"))
     out = posts.join(by_category, F.col("category_id") == F.col("_cat"), "left").drop("_cat")
-    # Sources are a dimension: one row for each feed; their list travels as one array.
-    listed = first.agg(F.sort_array(F.collect_list(F.struct("_source.id", "_host", "_source.url"))).alias("_hosts"))
-    out = out.join(F.broadcast(listed))
-    hit = F.get(F.filter("_hosts", lambda h: F.contains(F.lower("source_url"), h["_host"])), F.lit(0))
-    return out.withColumn("guessed_source_url", F.coalesce("_by_category", hit["url"], F.lit(""))).drop("_by_category", "_hosts")
+    hosts = sources.select("id", "url", url_host(F.col("url")).alias("_host")).where("_host is not null and _host <> ''")
+    hosts = hosts.groupBy("_host").agg(F.min(F.struct("id", "url")).alias("_source"))
+    size = F.least(F.lit(GRAM), F.length("_host"))
+    grams = hosts.select("_host", "_source", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_host") - size + 1), lambda i: F.substring("_host", i, size)))).alias("_gram"))
+    often = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
+    keyed = grams.join(often, "_gram").groupBy("_host").agg(F.min_by(F.struct("_gram", "_source"), F.struct("_n", "_gram")).alias("_k")).select("_host", "_k._gram", "_k._source")
+    open_posts = out.where("_by_category is null").select("id", F.lower("source_url").alias("_address"))
+    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_address")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring("_address", i, n)))))
+    found = open_posts.where("_address <> ''").select("id", "_address", F.explode(runs).alias("_gram")).join(keyed, "_gram").where(F.contains("_address", "_host"))
+    found = found.groupBy(F.col("id").alias("_id")).agg(F.min("_source").alias("_by_host"))
+    out = out.join(found, F.col("id") == F.col("_id"), "left")
+    return out.withColumn("guessed_source_url", F.coalesce("_by_category", "_by_host.url", F.lit(""))).drop("_by_category", "_by_host", "_id")

@@ -254,11 +254,11 @@ def seen_from_posts(spark, sf_dir):
     return store.seen_from_posts(spark.createDataFrame([], store.SCHEMAS["parsed_items"]), own).select("normalized_url", "source_url")
 
 
-@query("select url as source_url, min(html[1:50]) as raw_title, 'new' as status from pages where page_id % 2 = 1 and url not in (select url from pages where page_id % 2 = 0) group by url")
+@query("select url as source_url, min(html) as raw_title, 'new' as status from pages where page_id % 2 = 1 and url not in (select url from pages where page_id % 2 = 0) group by url")
 def insert_new_posts(spark, sf_dir):
     own = views.pages(spark, sf_dir)
     there = own.where("page_id % 2 = 0").select(F.col("url").alias("source_url"))
-    items = own.where("page_id % 2 = 1").select(F.substring("html", 1, 50).alias("title"), F.lit("").alias("description"), F.col("url").alias("link"), F.lit(None).cast("string").alias("image_url"), F.lit(None).cast("long").alias("category_id"))
+    items = own.where("page_id % 2 = 1").select(F.col("html").alias("title"), F.lit("").alias("description"), F.col("url").alias("link"), F.lit(None).cast("string").alias("image_url"), F.lit(None).cast("long").alias("category_id"))
     return store.insert_new_posts(there, items, AS_OF)[0].select("source_url", "raw_title", "status")
 
 
@@ -310,8 +310,24 @@ def feed_aliases(spark, sf_dir):
     return apply_feed_aliases(own.withColumn("kind", F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))), aliases).select("kind", "url")
 
 
-@query("select event_id as id, case when event_id % 5 = 0 then null when event_id % 3 = 0 then ts + interval 1 hour * greatest(0, 0) else greatest(ts + to_minutes(30 * (event_id % 7 + 1)), timestamp '2024-01-15 06:30:00') end as next_due from events where event_id % 3 <> 0 or event_id % 5 = 0")
+#: DuckDB: events as schedules of three units, with and without a start, some disabled, some never run, some yet to start.
+SCHEDULES = """with s as (select event_id as id, event_id % 5 <> 0 as enabled, case when event_id % 17 <> 0 then ts end as last_run,
+    case event_id % 4 when 0 then 'minutes' when 2 then 'days' else 'hours' end as unit, case when event_id % 4 = 0 then 30 else 1 end * (event_id % 7 + 1) as every,
+    case when event_id % 4 >= 2 then date_trunc('minute', ts + to_hours(case when event_id % 13 = 0 then 2000 else -50 end)) end as start, timestamp '2024-01-15 06:30:00' as now from events),
+t as (select *, every * case unit when 'hours' then 3600 when 'minutes' then 60 end as seconds from s),
+d as (select *, case when unit = 'days' then start + to_days(((floor(greatest(date_diff('day', start::date, now::date), 0) / every) + 1) * every)::int)
+        else start + to_seconds((floor(greatest(epoch(now) - epoch(start), 0) / seconds) + 1) * seconds) end as anchored,
+    case when unit = 'days' then last_run + to_days(every::int) else last_run + to_seconds(seconds) end as after from t)
+"""
+
+
+@query(SCHEDULES + "select id, case when not enabled then null when start is not null and now < start then start when last_run is null then now when start is not null then greatest(anchored, now) else greatest(after, now) end as next_due from d")
 def due_sources(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 <> 0 or event_id % 5 = 0")
-    own = events.select(F.col("event_id").alias("id"), (F.col("event_id") % 5 != 0).alias("enabled"), F.lit("").alias("start_at"), F.lit("minutes").alias("repeat_unit"), (30 * (F.col("event_id") % 7 + 1)).cast("int").alias("repeat_every"), F.col("ts").alias("last_run"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = F.col("event_id")
+    start = F.date_format(F.col("ts") + F.make_dt_interval(hours=F.when(n % 13 == 0, 2000).otherwise(-50)), "yyyy-MM-dd'T'HH:mm")
+    own = events.select(
+        n.alias("id"), (n % 5 != 0).alias("enabled"), F.when(n % 4 >= 2, start).otherwise("").alias("start_at"), F.when(n % 4 == 0, "minutes").when(n % 4 == 2, "days").otherwise("hours").alias("repeat_unit"),
+        (F.when(n % 4 == 0, 30).otherwise(1) * (n % 7 + 1)).cast("int").alias("repeat_every"), F.when(n % 17 != 0, F.col("ts")).alias("last_run"),
+    )
     return lifecycle.due_sources(own, "2024-01-15 06:30:00").select("id", "next_due")

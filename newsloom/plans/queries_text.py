@@ -13,6 +13,7 @@ from newsloom.plans.registry import query
 from newsloom.sources import feeds, pages
 
 S = views.SQL
+NORM_URL = "lower(regexp_replace(regexp_replace({}, '[?#].*', ''), '/+$', ''))"
 FAMILY = "e5_base"
 STOP = ", ".join(f"'{w}'" for w in similarity.STOPWORDS)
 
@@ -69,11 +70,6 @@ def _vector_pairs(spark, sf_dir):
     return named.join(other, "id").withColumn("new_title_embedding", F.col("new_embedding")).withColumn("kept_title_embedding", F.col("kept_embedding"))
 
 
-@query("select a.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as full_sim from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 join documents d on d.doc_id = a.vec_id join documents e on e.doc_id = b.vec_id")
-def compare_pairs(spark, sf_dir):
-    return dedup.compare_pairs(_vector_pairs(spark, sf_dir)).select("id", F.round("full_sim", 6).alias("full_sim"))
-
-
 LOW = dict(similarity.THRESHOLDS["e5_base"], full_strong=0.30, full_with_title=0.25, title=0.25, full_with_lexical=0.2, similar_full=0.15, similar_title=0.2)
 V = PAIRS + """, v as (select s.*, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 6) as f from verdict s join embeddings x on x.vec_id = new_id join embeddings y on y.vec_id = kept_id)
 """
@@ -100,6 +96,37 @@ STARTS = f""", lead as (select id, substr({NORM.format('raw_description')}, 1, 2
 """
 
 
+@query(TOKENS + STARTS + f""", p as (select a.id, a.dis as ad, b.dis as bd, a.norm as an, b.norm as bn, a.words as aw, b.words as bw, (x.enough and y.enough and {_alike('x.s', 'y.s', 'x.sw', 'y.sw')}) as described,
+        round(list_cosine_similarity(v.embedding::double[], w.embedding::double[]), 6) as f from feat a join feat b on b.id = a.id + 1 join start x on x.id = a.id join start y on y.id = b.id join embeddings v on v.vec_id = a.id join embeddings w on w.vec_id = b.id),
+    q as (select *, len(list_intersect(ad, bd)) as c, an <> '' and an = bn as equal, not ((list_contains(ad, 'summer') and list_contains(bd, 'winter')) or (list_contains(ad, 'winter') and list_contains(bd, 'summer')))
+        and len(list_intersect(ad, bd)) >= 4 and len(list_intersect(ad, bd))::double / greatest(len(list_distinct(ad || bd)), 1) >= 0.55 as close, {_alike('an', 'bn', 'aw', 'bw')} as alike from p)
+    select id, f as full_sim, case when equal then 'equal' when close then 'strong' else 'none' end as class, equal or close or (c >= 2 and (f >= 0.25 or (alike and f >= 0.15) or (c >= 4 and f >= 0.2) or (f >= 0.2 and described))) as is_duplicate,
+        greatest(0, least(100, floor(f * 100)))::int as confidence from q""")
+def compare_pairs(spark, sf_dir):
+    return dedup.compare_pairs(_vector_pairs(spark, sf_dir), FAMILY, LOW).select("id", F.round("full_sim", 6).alias("full_sim"), "class", "is_duplicate", "confidence")
+
+
+@query(PAIRS + STARTS + f""", j as (select new_id, kept_id, c, case when len(ad) > 0 and len(bd) > 0 then c::double / u else 0 end as j, equal, contra, alike, ad, bd,
+        (x.enough and y.enough and {_alike('x.s', 'y.s', 'x.sw', 'y.sw')}) as described from verdict join start x on x.id = new_id join start y on y.id = kept_id where c >= 2 or c2 >= 2),
+    k as (select *, c < 4 or len(list_filter(list_intersect(ad, bd), lambda w: w not in ({', '.join(repr(w) for w in similarity.FRANCHISE_WORDS)}))) > 0 as meaningful from j),
+    s as (select *, equal or (not contra and c >= 4 and j >= 0.55) as strong_base, equal or (not contra and (c >= 5 or (c >= 4 and j >= 0.45))) as strong_large, equal or (not contra and (c >= 5 or (c >= 4 and j >= 0.5 and meaningful))) as strong_bge from k)
+    select new_id, kept_id, alike as similar, strong_base, strong_large, strong_bge, not strong_large and not contra and alike and c >= 3 and j >= 0.35 as medium_large, not strong_bge and not contra and alike and c >= 3 and j >= 0.30 as medium_bge,
+        meaningful, described, alike or described as content from s""")
+def title_classes(spark, sf_dir):
+    whole = views.posts(spark, sf_dir)
+    own = whole.select("id", "raw_title", "raw_description")
+    own = similarity.lead_columns(similarity.title_columns(own, "t", F.col("raw_title")), "d", F.col("raw_description")).drop("raw_title", "raw_description")
+    a, b = (own.select(*[F.col(c).alias(f"{x}_{c}") for c in own.columns]) for x in ("new", "kept"))
+    pairs = dedup.candidate_pairs(whole, whole, 2).join(a, "new_id").join(b, "kept_id")
+    pairs = similarity.pair_columns(pairs, "p", similarity.Title.at("new_t"), similarity.Title.at("kept_t"))
+    pairs = pairs.withColumn("described", similarity.leads_similar(similarity.Title.at("new_d"), similarity.Title.at("kept_d")))
+    p = similarity.Pair.at("p")
+    return pairs.select(
+        "new_id", "kept_id", p.similar.alias("similar"), *[similarity.pair_strong(p, f).alias(n) for f, n in (("e5_base", "strong_base"), ("e5_large", "strong_large"), ("bge", "strong_bge"))],
+        similarity.pair_medium(p, "e5_large").alias("medium_large"), similarity.pair_medium(p, "bge").alias("medium_bge"), p.meaningful.alias("meaningful"), "described", (p.similar | F.col("described")).alias("content"),
+    )
+
+
 @query(V + STARTS + f""", cand as (select v.*, (x.enough and y.enough and {_alike('x.s', 'y.s', 'x.sw', 'y.sw')}) as described from v join start x on x.id = new_id join start y on y.id = kept_id
         where kept_id in (select id from posts join embeddings on vec_id = id order by created_at desc, id desc limit 200)),
     dup as (select *, greatest(0, least(100, floor(f * 100)))::int as conf, strong or (c >= 2 and (f >= 0.25 or (alike and f >= 0.15) or (c >= 4 and f >= 0.2) or (f >= 0.2 and described))) as dup from cand)
@@ -199,14 +226,21 @@ def content_gate(spark, sf_dir):
     return predicates.content_gate(own, labels=["SRC13"], phrases=["worthless"], puzzles=[], markers=["idiot"]).select("id", "reject_reason")
 
 
-@query(S + "select id from posts where status <> 'published' and contains(lower(raw_title || ' ' || source_url), 'worthless')")
+@query(S + f"select q.id from posts q where q.status <> 'published' and ({_hint('q.raw_title')} or {_hint("coalesce(q.ai_title, '')")})")
 def hint_posts(spark, sf_dir):
-    return listing.hint_posts(views.posts(spark, sf_dir), phrases=["worthless"], puzzles=[]).select("id")
+    return listing.hint_posts(views.posts(spark, sf_dir), phrases=["idiot"], puzzles=["thing"]).select("id")
 
 
-@query("""select page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g')) as text from pages""")
+#: What is appended to pages, by page_id, and what of the text before it goes too: null if nothing is boilerplate.
+APPENDED = ((" <p>The post A story first appeared on Some Site.</p>", ""), ("<p>Read more.</p>", "[\\s.]+$"), (" Continue reading at the site", ""), (" <b>Source</b>", "[\\s.]+$"), (" Подробнее в статье.", ""), (" Not a source of bread more or less", None), ("", ""))
+TEXT_OF = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))"
+CASES = " ".join(f"when {i} then " + (TEXT_OF.format(f"html || '{a}'") if gone is None else f"regexp_replace({TEXT_OF.format('html')}, '{gone}', '')" if gone else TEXT_OF.format("html")) for i, (a, gone) in enumerate(APPENDED))
+
+
+@query(f"select page_id, case page_id % {len(APPENDED)} {CASES} end as text from pages")
 def clean_html(spark, sf_dir):
-    return views.pages(spark, sf_dir).select("page_id", T.clean_html(F.col("html"), tails=[], phrases=["no such phrase"]).alias("text"))
+    tail = F.element_at(F.array(*[F.lit(a) for a, _ in APPENDED]), (F.col("page_id") % len(APPENDED) + 1).cast("int"))
+    return views.pages(spark, sf_dir).select("page_id", T.clean_html(F.concat("html", tail)).alias("text"))
 
 
 @query("""select page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>([^<]+)</title>', 1), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) as title from pages""")
@@ -224,48 +258,118 @@ def article_paragraphs(spark, sf_dir):
     return views.pages(spark, sf_dir).withColumn("chunk", chunk).where("chunk <> ''").select("page_id", pages.paragraphs(F.col("chunk")).alias("parts"))
 
 
-@query()
+def _cuts(x: str) -> str:
+    """DuckDB: the sentences of a text."""
+    return f"list_filter(string_split(regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '([.!?…]) ', '\\1' || chr(1), 'g'), chr(1)), lambda q: q <> '')"
+
+
+def _cta(x: str) -> str:
+    """DuckDB: whether a text calls to action."""
+    own = f"lower(trim(regexp_replace(trim({x}), '^\\*+|\\*+$', '', 'g')))"
+    quoted = lambda m: m.replace("'", "''")
+    return "(" + " or ".join([f"contains({own}, '{quoted(m)}')" for m in T.CTA_MARKERS] + [f"regexp_matches({own}, '{p}')" for p in T.CTA_PATTERNS]) + ")"
+
+
+URL = "regexp_matches({}, '(?i)(https?://\\S+|www\\.\\S+)')"
+
+
+def _unlinked(x: str) -> str:
+    """DuckDB: a text without sentences that have a link or call to action."""
+    return f"array_to_string(list_filter({_cuts(x)}, lambda z: not ({URL.format('z')} or {_cta('z')})), ' ')"
+
+
+#: Sentences that are put between those of descriptions, by id, so that there is something to strip.
+ADDED = ("See https://x.example/a for it.", "Read more about it!", "Stay tuned.", "Go to www.y.example now.", "Keep an eye on the long release calendar here.", "Nothing of the kind.", "Line one.\n\nRead the full story here.\n\nLine two?")
+ADDED_SQL = "case id % 7 " + " ".join(f"when {i} then '{a}'" for i, a in enumerate(ADDED)) + " end"
+
+
+@query(S + f""", b as (select id, ai_title, raw_description || ' ' || {ADDED_SQL} || ' The end.' as body from posts), p as (select *, trim(body, ' \n\t\r') as own from b),
+    k as (select id, ai_title, list_filter(list_transform(case when contains(own, '\n\n') then string_split(own, '\n\n') else string_split(own, '\n') end, lambda x: {_unlinked('x')}), lambda x: x <> '') as kept from p),
+    o as (select *, {_cuts('kept[1]')} as one from k)
+    select id, case when ai_title is not null then {_unlinked('ai_title')} end as ai_title, case when len(kept) = 0 then '' when len(kept) > 1 then array_to_string(kept, '\n\n') when len(one) <= 2 then array_to_string(one, ' ')
+        else array_to_string(list_transform(range(0, len(one), 2), lambda i: array_to_string(one[i + 1 : i + 2], ' ')), '\n\n') end as ai_text from o""")
+def post_text(spark, sf_dir):
+    added = F.element_at(F.array(*[F.lit(a) for a in ADDED]), (F.col("id") % 7 + 1).cast("int"))
+    own = views.posts(spark, sf_dir).withColumn("ai_text", F.concat("raw_description", F.lit(" "), added, F.lit(" The end.")))
+    return listing.sanitize_posts(own).select("id", "ai_title", "ai_text")
+
+
+#: DuckDB: the text of each page's article: paragraphs after the heading, else those of the article element.
+ARTICLES = f"""with raw as (select page_id, url, html, regexp_extract(html, '(?is)<title[^>]*>([^<]+)</title>', 1) as title, regexp_extract(html, '(?is)<h1[^>]*>', 0) as tag, regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1) as article from pages),
+cut as (select *, case when tag <> '' then left(substr(html, strpos(html, tag) + length(tag)), 180000) end as region, case when article <> '' then article else html end as chunk from raw),
+par as (select *, {{}} as after, {{}} as parts from cut),
+txt as (select *, case when len(after) >= 2 then array_to_string(after, '\n\n') else '' end as t1, case when len(parts) > 0 then array_to_string(parts, '\n\n') else {TEXT_OF.format('chunk')} end as t2 from par),
+art as (select page_id, url, nullif({TEXT_OF.format('title')}, '') as page_title, case when strlen(t2) >= strlen(t1) then t2 else t1 end as best from txt),
+articles as (select page_id, url, page_title, case when length(best) > 20000 then left(best, 20000) || '…' else best end as article_text from art)
+""".format(*[f"list_filter(list_transform(regexp_extract_all({c}, '(?is)<(?:p|h2|h3)[^>]*>(.*?)</(?:p|h2|h3)>', 1), lambda x: {TEXT_OF.format('x')}), lambda x: strlen(x) >= 20)[:80]" for c in ("region", "chunk")])
+CONTEXT = "Полный текст статьи с сайта:"
+
+
+@query(ARTICLES + f"select page_id, page_title, article_text, case when article_text = '' then '' when length(article_text) + {len(CONTEXT) + 1} > 3000 then left('{CONTEXT}\n' || article_text, 3000) || '…' else '{CONTEXT}\n' || article_text end as web_context from articles")
 def extract_articles(spark, sf_dir):
     out = pages.extract_articles(views.pages(spark, sf_dir), markers=[])
     return pages.web_context(out).select("page_id", "page_title", "article_text", "web_context")
 
 
-@query()
+@query(ARTICLES + f""", one as (select {NORM_URL.format('url')} as k, max(article_text) as text from articles group by k)
+    select p.page_id, case when p.page_id % 2 = 1 then p.html when one.text = '' then 'short' else one.text end as description from pages p join one on one.k = {NORM_URL.format('p.url')}""")
 def enrich_items(spark, sf_dir):
     own = views.pages(spark, sf_dir)
     items = own.select("page_id", F.col("url").alias("link"), F.when(F.col("page_id") % 2 == 0, F.lit("short")).otherwise(F.col("html")).alias("description"))
     return pages.enrich(items, pages.extract_articles(own, markers=[]).select("url", "article_text"), markers=[]).select("page_id", "description")
 
 
-@query()
-def post_text(spark, sf_dir):
-    own = views.posts(spark, sf_dir).withColumn("ai_text", F.col("raw_description"))
-    return listing.sanitize_posts(own).select("id", "ai_title", "ai_text")
+#: Meta tags and data that are put before pages, by page_id.
+LONG = "A description that has more than forty bytes, of page "
+
 
+@query(f"""select page_id, case page_id % 4 when 0 then '{LONG}' || page_id when 1 then 'by name: {LONG}' || page_id end as description, case when page_id % 3 <> 2 then 'https://i.example/' || page_id || '.jpg' end as image,
+    case page_id % 5 when 0 then 'Body of ' || page_id when 1 then 'Deep body of ' || page_id when 2 then rpad('About ' || page_id || ' ', 130, 'x') end as body from pages""")
+def page_meta(spark, sf_dir):
+    n = F.col("page_id").cast("string")
+    kind = lambda k, *v: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in v]), (F.col("page_id") % k + 1).cast("int"))
+    about = kind(
+        4, F.concat(F.lit(f'<meta property="og:description" content="{LONG}'), n, F.lit('">')), F.concat(F.lit("<meta property='og:description' content='too short'><meta content='by name: " + LONG), n, F.lit("' name='description'>")),
+        "<meta name='description' content='too short'>", "",
+    )
+    image = kind(3, F.concat(F.lit('<meta property="og:image" content="https://i.example/'), n, F.lit('.jpg">')), F.concat(F.lit('<meta content="https://i.example/'), n, F.lit('.jpg" property="og:image">')), "")
+    data = lambda *j: F.concat(F.lit('<script type="application/ld+json">'), *[x if not isinstance(x, str) else F.lit(x) for x in j], F.lit("</script>"))
+    body = kind(
+        5, data('{"@type": "NewsArticle", "articleBody": "Body of ', n, '"}'), data('[{"@graph": [[{"@type": ["Thing", "BlogPosting"], "articleBody": " Deep body of ', n, ' "}]]}]'),
+        data('{"@type": "article", "description": "', F.rpad(F.concat(F.lit("About "), n, F.lit(" ")), 130, "x"), '"}'), data('{"@type": "Thing", "articleBody": "none"}'), data("{broken"),
+    )
+    html = F.concat(about, image, body, F.col("html"))
+    return views.pages(spark, sf_dir).select("page_id", pages.meta_description(html).alias("description"), pages.og_image(html).alias("image"), pages.jsonld_body(html).alias("body"))
 
-@query(S + """, m as (select id, replace(trim(raw_title), '*', '') || case when trim(raw_description, ' \n\t\r') = '' then '' else '\n\n' || raw_description end || '\n\n#news' as plain
-    from posts where trim(replace(raw_title, '*', '')) <> '')
+
+@query(S + """, n as (select id, replace(trim(raw_title), '*', '') as name, raw_description as body from posts), h as (select id, name || case when trim(body, ' \n\t\r') = '' then '' when name = '' then body else '\n\n' || body end as head from n),
+    m as (select id, head || case when head = '' then '\n' else '\n\n' end || '#news' as plain from h)
     select id, case when length(plain) > 4096 then left(plain, 4093) || '...' else plain end as plain from m""")
 def messages(spark, sf_dir):
-    own = views.posts(spark, sf_dir).where("trim(replace(raw_title, '*', '')) <> ''")
-    return own.select("id", T.message_plain(F.col("raw_title"), F.col("raw_description"), F.lit("#news")).alias("plain"))
+    return views.posts(spark, sf_dir).select("id", T.message_plain(F.col("raw_title"), F.col("raw_description"), F.lit("#news")).alias("plain"))
+
 
+ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
-@query(S + "select id, '<b>' || replace(replace(replace(raw_title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</b>' as header from posts")
+
+@query(S + f""", e as (select id, '<b>' || {ESCAPED.format('raw_title')} || '</b>' as header, {ESCAPED.format('raw_description')} as own from posts),
+    r as (select *, greatest(0, 1024 - length(header) - 4 - case when own = '' then 0 else 2 end) as room from e),
+    c as (select *, case when length(own) > room then left(own, greatest(room - 1, 0)) || '…' else own end as body from r)
+    select id, header, header || case when body = '' then '' else '\n\n' || body end || '\n\n#a' as caption from c""")
 def message_headers(spark, sf_dir):
     own = views.posts(spark, sf_dir)
     caption = T.message_html(F.col("raw_title"), F.col("raw_description"), F.lit("#a"))
-    return own.select("id", F.regexp_extract(caption, r"(?s)^<b>.*?</b>", 0).alias("header"))
+    return own.select("id", F.regexp_extract(caption, r"(?s)^<b>.*?</b>", 0).alias("header"), caption.alias("caption"))
 
 
-@query(S + "select p.id, 'T:' || p.raw_title || '|D:' || left(p.raw_description, 50) || '|C:' || coalesce(c.name, '') || '|L:английский|' as prompt from posts p left join categories c on c.id = p.category_id")
+@query(S + "select p.id, 'T:' || p.raw_title || '|D:' || p.raw_description || '|C:' || coalesce(c.name, '') || '|L:английский|' as prompt from posts p left join categories c on c.id = p.category_id")
 def prompts(spark, sf_dir):
-    own = listing.with_category(views.posts(spark, sf_dir), views.categories(spark)).withColumn("raw_description", F.substring("raw_description", 1, 50))
+    own = listing.with_category(views.posts(spark, sf_dir), views.categories(spark))
     return T.build_prompts(own, "T:{title}|D:{description}|C:{category}|L:{language}|{web_context}").select("id", "prompt")
 
 
 #: DuckDB: assistant turns as replies of four kinds, and what parsing them gives.
-REPLY = "with a as (select conv_id, turn, text, conv_id % 4 as k from conversations where role = 'assistant' and not contains(text, '\"') and not contains(text, '\\'))"
+REPLY = "with a as (select conv_id, turn, text, conv_id % 4 as k from conversations where role = 'assistant')"
 
 
 def _replies(spark, sf_dir):
@@ -278,29 +382,39 @@ def _replies(spark, sf_dir):
     return turns.select("conv_id", "turn", "text", reply.alias("reply"))
 
 
-@query(REPLY + " select conv_id, turn, case when k in (0, 1) then 'strict' when k = 2 then 'partial' else 'loose' end as parse_path, trim(text, ' \n\t') as text, case when k in (0, 1) then 'a,#b' when k = 2 then 'x,y' else 'a' end as tags, case when k <> 2 then 't' end as title from a")
+@query(REPLY + " select conv_id, turn, case when k in (0, 1) then 'strict' when k = 2 then 'partial' else 'loose' end as parse_path, trim(case when k <> 3 then text else replace(replace(replace(regexp_extract(replace(text, '\n', '\\n'), '^((?:\\\\.|[^\"\\\\])*)', 1), '\\n', '\n'), '\\\"', '\"'), '\\\\', '\\') end, ' \n\t') as text, case when k in (0, 1) then 'a,#b' when k = 2 then 'x,y' else 'a' end as tags, case when k <> 2 then 't' end as title from a")
 def parse_replies(spark, sf_dir):
     out = T.parse_replies(_replies(spark, sf_dir).drop("text"))
     return out.select("conv_id", "turn", "parse_path", "text", F.array_join("hashtags", ",").alias("tags"), F.when(F.col("conv_id") % 4 != 2, F.col("title")).alias("title"))
 
 
-@query("select conv_id, turn, turn % 2 = 0 as is_duplicate, (turn * 7)::int as confidence, left(text, 20) as explanation from conversations where conv_id % 3 <> 0 union all select conv_id, turn, null, null, null from conversations where conv_id % 3 = 0")
+@query("select conv_id, turn, turn % 2 = 0 as is_duplicate, (turn * 7)::int as confidence, text as explanation from conversations where conv_id % 3 <> 0 union all select conv_id, turn, null, null, null from conversations where conv_id % 3 = 0")
 def parse_verdicts(spark, sf_dir):
     own = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    json = F.to_json(F.struct((F.col("turn") % 2 == 0).alias("is_duplicate"), (F.col("turn") * 7).alias("confidence"), F.substring("text", 1, 20).alias("explanation")))
+    json = F.to_json(F.struct((F.col("turn") % 2 == 0).alias("is_duplicate"), (F.col("turn") * 7).alias("confidence"), F.col("text").alias("explanation")))
     reply = F.when(F.col("conv_id") % 3 == 0, F.lit("no json")).otherwise(F.concat(F.lit("```"), json, F.lit("```")))
     return T.parse_verdicts(own.withColumn("reply", reply)).select("conv_id", "turn", "is_duplicate", "confidence", "explanation")
 
 
-@query()
+@query(REPLY + """, b as (select conv_id as id, k, trim(case when k <> 3 then text else replace(replace(replace(regexp_extract(replace(text, '\n', '\\n'), '^((?:\\\\.|[^\"\\\\])*)', 1), '\\n', '\n'), '\\\"', '\"'), '\\\\', '\\') end, ' \n\t') as text from a),
+    c as (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as flat from b), t as (select *, regexp_extract(flat, '^[^.!?]*[.!?]?') as first from c),
+    r as (select id, k, text, case when k <> 2 then 't' else case when trim(first) = '' then flat else trim(first) end end as title, case when k in (0, 1) then '#a #b' when k = 2 then '#x #y' else '#a' end as tags,
+        case when k in (0, 1) then 'strict' when k = 2 then 'partial' else 'loose' end as path from t),
+    w as (select id, path, tags, text, case when length(title) > 80 then left(title, 79) || '…' else title end as title from r), best as (select id, max((path, title, text, tags)) as m from w group by id), """ + S[5:] + f""",
+    k as (select id, tags, title, list_filter(list_transform(case when contains(own, '\n\n') then string_split(own, '\n\n') else string_split(own, '\n') end, lambda x: {_unlinked('x')}), lambda x: x <> '') as kept
+        from (select id, m[4] as tags, m[2] as title, m[3] as own from (select id, [m[1], m[2], m[3], m[4]] as m from best))),
+    o as (select *, {_cuts('kept[1]')} as one from k)
+    select p.id, case when o.id is not null then 'approved' else p.status end as status, case when o.id is not null then {_unlinked('o.title')} else p.ai_title end as ai_title, o.tags as ai_hashtags,
+        case when o.id is null then null when len(kept) = 0 then '' when len(kept) > 1 then array_to_string(kept, '\n\n') when len(one) <= 2 then array_to_string(one, ' ')
+        else array_to_string(list_transform(range(0, len(one), 2), lambda i: array_to_string(one[i + 1 : i + 2], ' ')), '\n\n') end as ai_text from posts p left join o on o.id = p.id""")
 def apply_rewrites(spark, sf_dir):
-    replies = T.parse_replies(_replies(spark, sf_dir).where("turn = 1").drop("text")).withColumnRenamed("conv_id", "id")
-    return lifecycle.apply_rewrites(views.posts(spark, sf_dir), replies, True).select("id", "status", "ai_title", "ai_hashtags")
+    replies = T.parse_replies(_replies(spark, sf_dir).drop("text")).withColumnRenamed("conv_id", "id")
+    return lifecycle.apply_rewrites(views.posts(spark, sf_dir), replies, True).select("id", "status", "ai_title", "ai_hashtags", "ai_text")
 
 
-@query("select page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || '/' as origin, left(trim(regexp_replace(html, '\\s+', ' ', 'g')), 500) as cut from pages where url like 'http%'")
+@query("select page_id, case when regexp_matches(url, '^https?://[^/]') then regexp_extract(url, '^(https?://[^/]+)', 1) || '/' end as origin, left(trim(regexp_replace(html, '\\s+', ' ', 'g')), 500) as cut from pages")
 def url_and_text_cuts(spark, sf_dir):
-    own = views.pages(spark, sf_dir).where("url like 'http%'")
+    own = views.pages(spark, sf_dir)
     return own.select("page_id", T.site_origin(F.col("url")).alias("origin"), T.truncate_for_ai(F.col("html")).alias("cut"))
 
 
@@ -310,26 +424,39 @@ def _xml(c):
     return c
 
 
+TITLE = "regexp_replace(raw_title, '[\\x00-\\x1f]', ' ', 'g')"
+
+
+def _titled(spark, sf_dir):
+    """Posts with titles as XML can hold them: control characters are spaces."""
+    return views.posts(spark, sf_dir).withColumn("raw_title", F.regexp_replace("raw_title", r"[\x00-\x1f]", " "))
+
+
 def _feed_docs(spark, sf_dir):
-    """RSS documents of at most ten posts of a source each: their size is bounded, however many posts a source has."""
-    own = views.posts(spark, sf_dir).where(~F.col("raw_title").rlike(r"[\x00-\x08\x0b-\x1f]"))
-    item = F.concat(F.lit("<item><title>"), _xml(F.col("raw_title")), F.lit("</title><link>"), "source_url", F.lit("</link><description>"), _xml(F.regexp_replace("raw_description", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")), F.lit("</description><category>"), "source", F.lit("</category></item>"))
+    """RSS documents of at most ten posts of a source each: their size is bounded, however many posts a source has.
+
+    Images are enclosures, of which some are no images, and tags in descriptions.
+    """
+    own = _titled(spark, sf_dir)
+    number = F.col("id").cast("string")
+    picture = F.when(F.col("id") % 3 == 0, F.concat(F.lit("<img class='x' src='https://b.example/"), number, F.lit(".png'>"))).otherwise("")
+    enclosure = F.concat(F.lit('<enclosure url="https://a.example/'), number, F.lit('.jpg" type="'), F.when(F.col("id") % 2 == 0, "image/jpeg").otherwise("audio/mpeg"), F.lit('"/>'))
+    item = F.concat(F.lit("<item><title>"), _xml(F.col("raw_title")), F.lit("</title><link>"), "source_url", F.lit("</link><description>"), _xml(F.concat(picture, F.regexp_replace("raw_description", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""))), F.lit("</description><category>"), "source", F.lit("</category>"), enclosure, F.lit("</item>"))
     own = own.select("id", "source", item.alias("x"), F.floor(F.col("id") / 200).alias("part"))
     place = F.row_number().over(Window.partitionBy("source", "part").orderBy("id", "x"))
     grouped = own.withColumn("doc", F.floor((place - 1) / 10)).groupBy("source", "part", "doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "x"))), lambda s: s["x"]), "").alias("items"))
     return grouped.select("source", "part", F.concat(F.lit("<rss version=\"2.0\"><channel>"), "items", F.lit("</channel></rss>")).alias("xml"))
 
 
-@query(S + "select source, source_url as link, trim(raw_title) as title, [source] as categories from (select *, row_number() over (partition by source, id // 200 order by id) as r from posts where not regexp_matches(raw_title, '[\\x00-\\x08\\x0b-\\x1f]')) where r <= 10")
+@query(S + f"select source, source_url as link, trim({TITLE}) as title, [source] as categories, case when id % 2 = 0 then 'https://a.example/' || id || '.jpg' when id % 3 = 0 then 'https://b.example/' || id || '.png' end as image_url from posts")
 def read_rss(spark, sf_dir):
-    return feeds.read_rss(_feed_docs(spark, sf_dir), 10).select("source", "link", F.trim("title").alias("title"), "categories")
+    return feeds.read_rss(_feed_docs(spark, sf_dir), 10).select("source", "link", F.trim("title").alias("title"), "categories", "image_url")
 
 
-@query(S + "select source, source_url as link, trim(raw_title) as title from posts where not regexp_matches(raw_title, '[\\x00-\\x08\\x0b-\\x1f]')")
+@query(S + f"select source, source_url as link, trim({TITLE}) as title from posts")
 def read_atom(spark, sf_dir):
-    own = views.posts(spark, sf_dir).where(~F.col("raw_title").rlike(r"[\x00-\x08\x0b-\x1f]"))
     entry = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>'), _xml(F.col("raw_title")), F.lit('</title><link rel="self" href="x"/><link rel="alternate" href="'), "source_url", F.lit('"/><updated>2024-01-01T00:00:00Z</updated></entry></feed>'))
-    return feeds.read_atom(own.select("source", entry.alias("xml"))).select("source", "link", F.trim("title").alias("title"))
+    return feeds.read_atom(_titled(spark, sf_dir).select("source", entry.alias("xml"))).select("source", "link", F.trim("title").alias("title"))
 
 
 @query("select page_id, 'https://a.media.example/2024/' || page_id || '.jpg?width=1920&format=jpg&auto=webp&quality=85' as hero_image from pages")
@@ -340,24 +467,31 @@ def hero_images(spark, sf_dir):
     return pages.pick_hero_image(pages.extract_image_urls(with_images, "media.example").withColumn("feed_image", F.lit(None).cast("string")), "media.example").select("page_id", "hero_image")
 
 
-@query("select page_id, 'new' as status, title as raw_title from (select page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>([^<]+)</title>', 1), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) as title from pages) where title <> '' and page_id in (select min(page_id) from pages group by lower(regexp_replace(regexp_replace(url, '[?#].*', ''), '/+$', '')) having count(*) = 1)")
+@query(ARTICLES + f", best as (select {NORM_URL.format('url')} as k, max((article_text, page_title)) as m from articles group by k) select page_id, 'new' as status, coalesce(m[2], 'old') as raw_title, m[1] as raw_description from pages join best on k = {NORM_URL.format('url')}".replace("m[1]", "m['article_text']").replace("m[2]", "m['page_title']").replace("max((article_text, page_title))", "max({'article_text': article_text, 'page_title': page_title})"))
 def reprocess(spark, sf_dir):
     own = views.pages(spark, sf_dir)
     posts = own.select(F.col("page_id").alias("id"), F.col("url").alias("source_url"), F.lit("old").alias("raw_title"), F.lit("").alias("raw_description"), F.lit("failed").alias("status"))
-    out = pages.reprocess(posts, own, markers=[]).where("raw_title <> 'old'")
-    single = out.withColumn("k", similarity.norm_url(F.col("source_url")))
-    alone = single.groupBy("k").agg(F.count("*").alias("n")).where("n = 1").select("k")
-    return single.join(alone, "k", "left_semi").select(F.col("id").alias("page_id"), "status", "raw_title")
+    return pages.reprocess(posts, own, markers=[]).select(F.col("id").alias("page_id"), "status", "raw_title", "raw_description")
 
 
-@query()
+#: DuckDB: every paragraph of every page, and one more of each that is boilerplate, a link or a call, by page_id.
+EXTRA = ("The post X first appeared on Y", "Read more.", "See https://z.example", "**Stay tuned**", "Source", "Continue reading the long story of this and that")
+EXTRA_SQL = f"case page_id % {len(EXTRA)} " + " ".join(f"when {i} then '{a}'" for i, a in enumerate(EXTRA)) + " end"
+
+
+@query(f"""with h as (select page_id, html || '<p>' || {EXTRA_SQL} || '</p>' as html from pages), e as (select page_id, regexp_extract_all(html, '(?is)<(?:p|h2|h3)[^>]*>(.*?)</(?:p|h2|h3)>', 1) as parts from h),
+    u as (select page_id, unnest(range(0, len(parts)))::int as "at", unnest(parts) as x from e), c as (select page_id, "at", {TEXT_OF.format('x')} as p from u)
+    select page_id, "at", trim(p) = '' or (strlen(p) <= 280 and ({' or '.join(f"regexp_matches(p, '(?is){x}')" for x in T.PARAGRAPH_PATTERNS)})) as boilerplate, {URL.format('p')} as url, trim(p) <> '' and {_cta('p')} as cta, {_unlinked('p')} as stripped from c""")
 def boilerplate_paragraphs(spark, sf_dir):
-    every = F.regexp_extract_all("html", F.lit(r"(?is)<(?:p|h2|h3)[^>]*>(.*?)</(?:p|h2|h3)>"), F.lit(1))
-    parts = views.pages(spark, sf_dir).select("page_id", F.posexplode(F.transform(every, lambda p: pages.clean_html(p))).alias("at", "p"))
+    extra = F.element_at(F.array(*[F.lit(x) for x in EXTRA]), (F.col("page_id") % len(EXTRA) + 1).cast("int"))
+    every = F.regexp_extract_all(F.concat("html", F.lit("<p>"), extra, F.lit("</p>")), F.lit(r"(?is)<(?:p|h2|h3)[^>]*>(.*?)</(?:p|h2|h3)>"), F.lit(1))
+    parts = views.pages(spark, sf_dir).select("page_id", F.posexplode(F.transform(every, lambda p: T.clean_html(p, tails=[], phrases=["no such phrase"]))).alias("at", "p"))
     return parts.select("page_id", "at", T.is_boilerplate_par(F.col("p")).alias("boilerplate"), T.has_url(F.col("p")).alias("url"), T.is_cta(F.col("p")).alias("cta"), T.strip_links(F.col("p")).alias("stripped"))
 
 
-@query(S + "select id, case when raw_title <> '' and trim(raw_description) <> '' then 'query: ' || trim(raw_title) || '. ' || left(trim(raw_description), 480) end as input from posts where raw_title <> '' and trim(raw_description) <> ''")
+@query(S + """, b as (select id, trim(raw_title) as t, trim(raw_description) as d from posts), c as (select id, case when d = '' then t when t = '' then left(d, 512) else t || '. ' || left(d, 480) end as base from b)
+    select id, 'query: ' || base as input, 'passage: ' || base as e5_passage, 'Represent this sentence for searching relevant passages: ' || base as bge_query, base as bge_passage from c""")
 def encoder_inputs(spark, sf_dir):
-    own = views.posts(spark, sf_dir).where("raw_title <> '' and trim(raw_description) <> ''")
-    return own.select("id", similarity.encoder_input(F.col("raw_title"), F.col("raw_description"), "e5_base", "query").alias("input"))
+    t, d = F.col("raw_title"), F.col("raw_description")
+    make = lambda family, side: similarity.encoder_input(t, d, family, side)
+    return views.posts(spark, sf_dir).select("id", make("e5_base", "query").alias("input"), make("e5_large", "passage").alias("e5_passage"), make("bge", "query").alias("bge_query"), make("bge", "passage").alias("bge_passage"))
