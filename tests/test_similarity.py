@@ -137,6 +137,75 @@ def test_sweep_equals_simulation(spark):
     assert {r.id for r in out.collect()} == live
 
 
+def plain_duplicates(rows):
+    """Pairs of posts of which one is a lexical duplicate of the other, by comparing all; rows: id, raw, ai."""
+    norm = lambda t: " ".join(re.sub(r"[\W_]+", " ", (t or "").lower()).split())
+
+    def matches(a, b):
+        if not norm(a) or not norm(b):
+            return False
+        x, y = tokens(a), tokens(b)
+        return norm(a) == norm(b) or (len(x & y) >= 4 and len(x & y) / len(x | y) >= 0.55)
+
+    return {(a[0], b[0]) for a, b in itertools.permutations(rows, 2) if any(matches(p[1], t) for p, q in ((a, b), (b, a)) for t in (q[1], q[2]))}
+
+
+def story_posts(spark):
+    """Titles that repeat, with rewrites of their own that are other posts' titles; times that do not follow the ids."""
+    rng = random.Random(11)
+    words = [f"{c}{i}aa" for c in "ab" for i in range(6)]
+    pool = [" ".join(rng.sample(words, 5)) for _ in range(9)] + ["Pour", "pour!", "", "One two"]
+    rows = [(i, rng.choice(pool), rng.choice([None, None, "", *pool])) for i in range(70)]
+    at = {i: (i * 37) % 70 for i, _, _ in rows}
+    frame = spark.createDataFrame([(i, f"http://x/{i}", t, "", ai, None, "new" if i % 3 else "published", None) for i, t, ai in rows], POSTS)
+    order = F.element_at(F.array(*[F.lit(at[i]) for i in range(70)]), (F.col("id") + 1).cast("int"))
+    return frame.withColumn("created_at", F.timestamp_seconds(order * 60)), rows, at
+
+
+def test_corpus_duplicates_equal_simulation(spark):
+    frame, rows, at = story_posts(spark)
+    near = plain_duplicates(rows)
+    kept: set = set()
+    for i in sorted(at, key=lambda i: (at[i], i)):
+        if not any((i, k) in near for k in kept):
+            kept.add(i)
+    out = dedup.dedup_corpus(frame, "greedy").collect()
+    assert {r.id for r in out if r.kept} == kept and len(out) == 70
+    assert all((r.id, r.survivor) in near and r.survivor in kept for r in out if not r.kept)
+    swept = dedup.dedup_corpus(frame, "sweep").collect()
+    assert {r.id for r in swept if r.kept} == {i for i in range(70) if not any((i, k) in near and k > i for k in range(70))}
+    new = [i for i in range(70) if i % 3 and i % 2]
+    live = set(range(70))
+    for v in new:
+        if any((u, v) in near and u in live for u in range(70)):
+            live.discard(v)
+    left = dedup.sweep(frame, spark.createDataFrame([(i,) for i in range(1, 70, 2)], "id long"))
+    assert {r.id for r in left.collect()} == live
+    edges = {(r.a, r.b) for r in dedup.match_edges(frame).collect()}
+    assert all((a, b) in near for a, b in edges)
+    part = {i: i for i in range(70)}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in edges:
+        part[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in near)  # nothing that matches is left unconnected
+
+
+def test_newest_other_post_of_a_title(spark):
+    frame, rows, at = story_posts(spark)
+    norm = lambda t: " ".join(re.sub(r"[\W_]+", " ", t.lower()).split())
+    expected = {}
+    for i, t, _ in rows:
+        others = [k for k, u, _ in rows if k != i and norm(t) and norm(u) == norm(t)]
+        if others:
+            expected[i] = max(others, key=lambda k: (at[k], k))
+    assert {r.new_id: r.kept_id for r in dedup.match_exact(frame, frame).collect()} == expected
+
+
 def test_batch_is_first_come(spark):
     titles = ["alpha beta gamma delta epsilon", "alpha beta gamma delta epsilon zeta", "unrelated words entirely different", "Old Story Exactly"]
     new = spark.createDataFrame([(10 + i, f"u{i}", t, "", None, None, "new", None) for i, t in enumerate(titles)], POSTS)

@@ -139,3 +139,24 @@ def test_due_times(spark):
     ]
     frame = spark.createDataFrame([r[:5] for r in rows], "enabled boolean, start_at string, repeat_unit string, repeat_every int, last_run timestamp")
     assert [r.next_due for r in lifecycle.due_sources(frame, "2024-05-02 12:10:00").collect()] == [t(r[5]) for r in rows]
+
+
+def test_reports_bound_their_lists(spark):
+    from newsloom.operators import reports
+
+    outcomes = spark.createDataFrame([("r", "error", f"e{i:03}") for i in range(150)] + [("r", "new", None), ("r", "error", "e000")], "run_id string, outcome string, error string")
+    line = reports.funnel(outcomes).first()
+    assert (line.error, line.new, line.errors) == (151, 1, [f"e{i:03}" for i in range(100)])
+    records = spark.range(50).selectExpr("id", "if(id < 40, 1, null) as kept_post_id", "timestamp_seconds(id) as created_at", "'u' as duplicate_url", "'t' as duplicate_title", "'exact' as reason", "100 as ai_confidence")
+    groups = {r.kept_post_id: r for r in reports.duplicate_groups(records, most=5).collect()}
+    assert groups[1].n == 40 and [x.id for x in groups[1].records] == [39, 38, 37, 36, 35] and groups[None].n == 10
+
+
+def test_guess_source_finds_hosts_anywhere(spark):
+    from newsloom.operators import listing
+
+    sources = spark.createDataFrame([(1, "http://x/feed", 5), (2, "https://news.example.com/rss", None), (3, "https://example.com/rss", None), (4, None, None)], "id long, url string, category_id long")
+    posts = spark.createDataFrame([(1, "https://NEWS.example.com/a", None), (2, "https://my-example.com/x", None), (3, "ftp://none", None), (4, "https://n/a", 5), (5, None, None), (6, "", 9)], "id long, source_url string, category_id long")
+    got = {r.id: r.guessed_source_url for r in listing.guess_source(posts, sources).collect()}
+    # a host counts wherever it stands in the address, the source of least id first
+    assert got == {1: "http://x/feed", 2: "http://x/feed", 3: "", 4: "http://x/feed", 5: "", 6: ""}
