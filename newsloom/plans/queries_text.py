@@ -175,14 +175,36 @@ def sweep(spark, sf_dir):
     return dedup.sweep(own, own.where("id % 2 = 0").select("id"), FAMILY).select("id")
 
 
-@query()
+def _first_come(posts: str, pairs: str, p: str = "") -> str:
+    """DuckDB: posts one after the other in order of (created_at, id), each kept unless a kept one is its neighbour.
+
+    posts and pairs (a, b) name tables; the result is the table {p}done (id, near: ids of neighbours, kept: ids kept).
+    """
+    return f""", {p}sides as (select a, b from {pairs} union select b, a from {pairs}), {p}adj as (select a as id, list(b) as near from {p}sides group by a),
+{p}line as (select id, coalesce(near, []) as near, row_number() over (order by created_at, id) as i from {posts} left join {p}adj using (id)),
+{p}walk(i, kept) as (select 0::bigint, []::bigint[] union all select w.i + 1, case when list_has_any(l.near, w.kept) then w.kept else list_append(w.kept, l.id) end from {p}walk w join {p}line l on l.i = w.i + 1),
+{p}done as (select id, near, kept from {p}line, (select kept from {p}walk order by i desc limit 1))
+"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@query(_recursive(PAIRS + """, exact as (select t.id, max_by(o.id, (o.created_at, o.id)) as kept_id from titles t join titles o on o.norm = t.norm and o.id % 2 = 0 where t.id % 2 = 1 and t.norm <> '' group by t.id),
+    near as (select new_id as id, kept_id from (select *, row_number() over (partition by new_id order by lexical desc, c desc, confidence desc, created_at desc, kept_id desc) as r from verdict
+        where confidence is not null and new_id % 2 = 1 and kept_id % 2 = 0 and new_id not in (select id from exact)) where r = 1),
+    rest as (select * from posts where id % 2 = 1 and id not in (select id from exact) and id not in (select id from near)),
+    inside as (select new_id as a, kept_id as b from verdict where confidence is not null and new_id in (select id from rest) and kept_id in (select id from rest))""" + _first_come("rest", "inside")
+    + """ select id, kept_id, 'exact' as reason from exact union all select id, kept_id, 'lexical' from near
+    union all select id, case when not list_contains(kept, id) then list_min(list_filter(near, lambda x: list_contains(kept, x))) end, case when not list_contains(kept, id) then 'batch' end from done"""))
 def dedup_batch(spark, sf_dir):
     own = views.posts(spark, sf_dir)
     kept, matches = dedup.dedup_batch(own.where("id % 2 = 1"), own.where("id % 2 = 0"), FAMILY, days=0)
     return kept.select("id", F.lit(None).cast("long").alias("kept_id"), F.lit(None).cast("string").alias("reason")).unionByName(matches.select(F.col("new_id").alias("id"), "kept_id", "reason"))
 
 
-@query()
+@query(_recursive(EDGES + _first_come("posts", "m") + " select id, case when list_contains(kept, id) then id else list_min(list_filter(near, lambda x: list_contains(kept, x))) end as survivor, list_contains(kept, id) as kept from done"))
 def dedup_corpus(spark, sf_dir):
     return dedup.dedup_corpus(views.posts(spark, sf_dir), "greedy", FAMILY)
 

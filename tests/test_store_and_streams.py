@@ -253,3 +253,18 @@ def test_unseen_by_raw_and_normal_address(spark):
     ledger = spark.createDataFrame([("http://a/1",)], "normalized_url string")
     posts = spark.createDataFrame([("http://c/3",)], "source_url string")
     assert [r.link for r in listing.unseen(items, ledger, posts).collect()] == ["http://b/2"]
+
+
+def test_embeddings_hook(spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    from newsloom.plans.ingest import with_embeddings
+
+    @pandas_udf("array<float>")
+    def encode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(len(t)), 1.0])
+
+    posts = spark.createDataFrame([(1, "Title", "Some text"), (2, "Alone", None)], "id long, raw_title string, raw_description string")
+    got = {r.id: (r.embedding, r.title_embedding) for r in with_embeddings(posts, encode).collect()}
+    assert got == {1: ([16.0, 1.0], [5.0, 1.0]), 2: ([5.0, 1.0], [5.0, 1.0])}
