@@ -496,19 +496,32 @@ def reprocess(spark, sf_dir):
     return pages.reprocess(posts, own, markers=[]).select(F.col("id").alias("page_id"), "status", "raw_title", "raw_description")
 
 
-#: DuckDB: every paragraph of every page, and one more of each that is boilerplate, a link or a call, by page_id.
-EXTRA = ("The post X first appeared on Y", "Read more.", "See https://z.example", "**Stay tuned**", "Source", "Continue reading the long story of this and that")
-EXTRA_SQL = f"case page_id % {len(EXTRA)} " + " ".join(f"when {i} then '{a}'" for i, a in enumerate(EXTRA)) + " end"
+def _judged(html: str) -> str:
+    """DuckDB: every paragraph of every page, and what is said of it."""
+    return f"""with h as (select page_id, {html} as html from pages), e as (select page_id, regexp_extract_all(html, '(?is)<(?:p|h2|h3)[^>]*>(.*?)</(?:p|h2|h3)>', 1) as parts from h),
+    u as (select page_id, unnest(range(0, len(parts)))::int as "at", unnest(parts) as x from e), c as (select page_id, "at", {TEXT_OF.format('x')} as p from u)
+    select page_id, "at", trim(p) = '' or (strlen(p) <= 280 and ({' or '.join(f"regexp_matches(p, '(?is){x}')" for x in T.PARAGRAPH_PATTERNS)})) as boilerplate, {URL.format('p')} as url, trim(p) <> '' and {_cta('p')} as cta, {_unlinked('p')} as stripped from c"""
 
 
-@query(f"""with h as (select page_id, html || '<p>' || {EXTRA_SQL} || '</p>' as html from pages), e as (select page_id, regexp_extract_all(html, '(?is)<(?:p|h2|h3)[^>]*>(.*?)</(?:p|h2|h3)>', 1) as parts from h),
-    u as (select page_id, unnest(range(0, len(parts)))::int as "at", unnest(parts) as x from e), c as (select page_id, "at", {TEXT_OF.format('x')} as p from u)
-    select page_id, "at", trim(p) = '' or (strlen(p) <= 280 and ({' or '.join(f"regexp_matches(p, '(?is){x}')" for x in T.PARAGRAPH_PATTERNS)})) as boilerplate, {URL.format('p')} as url, trim(p) <> '' and {_cta('p')} as cta, {_unlinked('p')} as stripped from c""")
+def _judge(rows, html, **lists):
+    every = F.regexp_extract_all(html, F.lit(r"(?is)<(?:p|h2|h3)[^>]*>(.*?)</(?:p|h2|h3)>"), F.lit(1))
+    parts = rows.select("page_id", F.posexplode(F.transform(every, lambda p: T.clean_html(p, **lists))).alias("at", "p"))
+    return parts.select("page_id", "at", T.is_boilerplate_par(F.col("p")).alias("boilerplate"), T.has_url(F.col("p")).alias("url"), T.is_cta(F.col("p")).alias("cta"), T.strip_links(F.col("p")).alias("stripped"))
+
+
+@query(_judged("html"))
 def boilerplate_paragraphs(spark, sf_dir):
+    return _judge(views.pages(spark, sf_dir), F.col("html"))
+
+
+#: One more paragraph of each page, by page_id, that is boilerplate, a link or a call.
+EXTRA = ("The post X first appeared on Y", "Read more.", "See https://z.example", "**Stay tuned**", "Source", "Continue reading the long story of this and that")
+
+
+@query(_judged(f"html || '<p>' || case page_id % {len(EXTRA)} " + " ".join(f"when {i} then '{a}'" for i, a in enumerate(EXTRA)) + " end || '</p>'"))
+def paragraph_verdicts(spark, sf_dir):
     extra = F.element_at(F.array(*[F.lit(x) for x in EXTRA]), (F.col("page_id") % len(EXTRA) + 1).cast("int"))
-    every = F.regexp_extract_all(F.concat("html", F.lit("<p>"), extra, F.lit("</p>")), F.lit(r"(?is)<(?:p|h2|h3)[^>]*>(.*?)</(?:p|h2|h3)>"), F.lit(1))
-    parts = views.pages(spark, sf_dir).select("page_id", F.posexplode(F.transform(every, lambda p: T.clean_html(p, tails=[], phrases=["no such phrase"]))).alias("at", "p"))
-    return parts.select("page_id", "at", T.is_boilerplate_par(F.col("p")).alias("boilerplate"), T.has_url(F.col("p")).alias("url"), T.is_cta(F.col("p")).alias("cta"), T.strip_links(F.col("p")).alias("stripped"))
+    return _judge(views.pages(spark, sf_dir), F.concat("html", F.lit("<p>"), extra, F.lit("</p>")), tails=[], phrases=["no such phrase"])
 
 
 @query(S + """, b as (select id, trim(raw_title) as t, trim(raw_description) as d from posts), c as (select id, case when d = '' then t when t = '' then left(d, 512) else t || '. ' || left(d, 480) end as base from b)
