@@ -153,13 +153,15 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
 
 
 def scored(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
-    """(doc: the row as it was given, score 0 to 1, predicted: 1 if the score reaches the threshold).
+    """(doc: the row as it was given, score 0 to 1, predicted: 1 if the score reaches the threshold, at: 0 or more).
 
     Null and empty texts get a score like others; rows that repeat get equal scores. The given row travels as one
     struct, so its columns may have any names.
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_of().alias("text"))
-    out = with_statistics(own).select("doc", model.score().alias("score"))
+    # A filter that reads `at` stays above this step. One that Spark moves below it would have every test of every rule
+    # compute its statistic of the text anew.
+    out = with_statistics(own).select("doc", model.score().alias("score"), F.monotonically_increasing_id().alias("at"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -179,4 +181,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **optio
 
     Nulls, repeats and missing labels as in `score_quality`; columns of docs may have any names, `score` included.
     """
-    return scored(docs, fit(docs, labels, **options), threshold).where("predicted = 1").select("doc.*")
+    return scored(docs, fit(docs, labels, **options), threshold).where("predicted = 1 and at >= 0").select("doc.*")
