@@ -480,3 +480,23 @@ def test_pipeline(spark, sf_dir, tokenizer_path):
     mixture = mixing.mixed(clean, corpus_pipeline.TARGET_WEIGHTS).orderBy("mix_order").collect()
     assert [r.doc_id for r in out] == [r.doc_id for r in mixture]  # the files hold the mixture in its order
     assert [r.start for r in out] == np.cumsum([0] + [r.n_tokens for r in out])[:-1].tolist()
+
+
+def test_results_do_not_depend_on_slices(spark, tokenizer_path, monkeypatch):
+    """Batches are worked on in slices of bytes; here in slices of one row or two, and in one batch."""
+    from tokenizers import Tokenizer
+
+    texts = [f"Text NUMBER {i} é with words {'of its own ' * (i % 5)}and passage one two three four five six {i % 3}" for i in range(60)] + [None, ""]
+    rows = list(enumerate(texts))
+    docs = frame(spark, rows).coalesce(1)
+    bench = spark.createDataFrame([(1, "passage one two three four five six 1")], "item_id long, text string")
+    for module, name in ((simhash, "TEXT_BYTES"), (token_store, "TEXT_BYTES"), (decontaminate, "WORD_BYTES")):
+        monkeypatch.setattr(module, name, 150)
+    got = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: plain_fingerprint(t) for i, t in rows}
+    whole = Tokenizer.from_file(tokenizer_path)
+    tokens = {r.doc_id: r.ids for r in token_store.read_tokens(spark, token_store.write_tokens(docs, tokenizer_path), with_ids=True).collect()}
+    assert tokens == {i: whole.encode(t or "", add_special_tokens=False).ids + [0] for i, t in rows}
+    hit = {i for i, t in rows if t and t.endswith(" 1")}
+    assert {r.doc_id for r in decontaminate.find_leaks(docs, bench).where("edits = 0").collect()} == hit
+    assert not hit & {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()}
