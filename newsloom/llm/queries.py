@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import license_scan, url_filter, warc
+from newsloom.llm import divergence, license_scan, resample, url_filter, warc
 from newsloom.llm.ann import search
 from newsloom.llm.chat_tools import format_chats
 from newsloom.llm.common import table
@@ -15,6 +15,7 @@ from newsloom.llm.mixing import mixed
 from newsloom.llm.quality import score_quality
 from newsloom.llm.simhash import near_duplicates
 from newsloom.llm.token_store import read_tokens, write_tokens
+from newsloom.llm.toxicity import score_toxicity
 
 #: Target weights of the mixture: the largest source is held to a tenth, the others share the rest evenly.
 TARGET_WEIGHTS = {"src0": 0.10} | {f"src{i}": 0.90 / 19 for i in range(1, 20)}
@@ -66,6 +67,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_license_scan": op2_license_scan,
@@ -77,7 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
+    "op11_divergence": op11_divergence,
+    "op12_resampling": op12_resampling,
+    "op13_toxicity": op13_toxicity,
 }
 
 #: DuckDB SQL, where it can express the query.
-ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op4_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op4_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE, "op11_divergence": divergence.ORACLE}
