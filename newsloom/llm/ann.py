@@ -22,14 +22,15 @@ FIT_ROWS = 10_000
 WIDTH, CENTRES, ROUNDS = 2, 16, 6
 #: Of unit vectors, the inner product from which on errors along the vector count in full.
 THRESHOLD = 0.2
-#: Vectors that are scored exactly for each query: those best by codes, over the whole index.
-RERANK = 128
-#: Codes in one block of the index, and codes of it that are scanned at a time.
-BLOCK_ROWS, SCAN_ROWS = 65_536, 8_192
-#: Queries in one block: more of them the more there are, so that a small table still makes many tasks.
-QUERY_ROWS, QUERY_PARTS = 2_048, 64
-#: Blocks of codes that a task scans for a block of queries.
-BLOCKS_A_TASK = 8
+#: Queries whose exact nearest are found first, those of least hash, and the share of these that the number of cells, and
+#: again the number of candidates, has to reach: with 0.99 each the recall is 0.98 or more.
+SAMPLE_QUERIES, REACHED = 256, 0.99
+#: Vectors in one cell on average, and cells at most.
+CELL_ROWS, CELLS = 256, 1_024
+#: Vectors in one block of the index, least and most, bytes of one, and blocks that a small table is cut into.
+LEAST_BLOCK, BLOCK_ROWS, BLOCK_BYTES, BLOCKS = 1_024, 65_536, 32 << 20, 16
+#: Codes that are scanned at a time.
+SCAN_ROWS = 8_192
 
 
 @dataclass
@@ -135,60 +136,71 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK, block_rows: int = BLOCK_ROWS) -> DataFrame:
+@dataclass
+class Cells:
+    """Directions that vectors are dealt to, and how long those of a cell are on average."""
+
+    units: np.ndarray  # cells x dim
+    length: np.ndarray
+    lanes: np.ndarray  # of each cell, the lane of blocks that it is kept in
+
+    @staticmethod
+    def fit(vectors: np.ndarray, many: int, lanes: int, rounds: int = 8, seed: int = 9) -> Cells:
+        """Spherical k-means. Lanes are stretches of cells along the line on which their directions vary most."""
+        unit = _units(vectors)
+        many = max(1, min(many, len(unit) // 8))
+        centres = unit[np.random.default_rng(seed).choice(len(unit), many, replace=False)]
+        for _ in range(rounds):
+            near = (unit @ centres.T).argmax(1)
+            total = np.zeros_like(centres)
+            np.add.at(total, near, unit)
+            held = np.linalg.norm(total, axis=1) > 1e-12
+            centres[held] = _units(total[held])
+        near = (unit @ centres.T).argmax(1)
+        count = np.bincount(near, minlength=many)
+        length = np.bincount(near, np.linalg.norm(vectors, axis=1), minlength=many) / np.maximum(count, 1)
+        along = (centres - centres.mean(0)) @ np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0]
+        order = np.argsort(along, kind="stable")
+        lane = np.empty(many, np.int64)
+        lane[order] = np.minimum((np.cumsum(count[order]) - count[order]) * lanes // max(1, count.sum()), lanes - 1)
+        return Cells(centres, length, lane)
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """The cell of each vector."""
+        return (_units(vectors) @ self.units.T).argmax(1)
+
+    def places(self, queries: np.ndarray) -> np.ndarray:
+        """Of each query and cell, the cell's place, from 0, among those to look into first."""
+        order = np.argsort(-(queries @ self.units.T) * self.length, axis=1, kind="stable")
+        places = np.empty_like(order)
+        np.put_along_axis(places, order, np.arange(order.shape[1])[None, :], 1)
+        return places
+
+
+def search(rows: DataFrame, every: int = 20, k: int = 20, reached: float = REACHED, block_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each query, which are the rows whose vec_id `every` divides.
 
     score is the inner product in double precision; nearest first, ties to the smaller vec_id; a query's own row (all
     rows of its id) is no candidate. Rows that repeat are one. A repeated id with several vectors counts once for each
     query, by its best score. Vectors of different lengths have no inner product: each length is searched on its own,
-    and ranks count within it. Fewer candidates than k: all of them; no rows, no rows.
+    and ranks count within it. Fewer candidates than k: all of them; no rows, no rows. Other columns are not read.
 
-    Equal vectors are one class, which is indexed once; of its ids the k + 1 smallest can be among the nearest. Queries
-    scan the codes of all classes, and the `rerank` best by codes over all blocks (of a repeated id so many of its vectors
-    count as one) are scored on the original vectors. What is shuffled are codes, ids, and the vectors of the pairs that are scored.
+    Equal vectors are one class, which is indexed once; of its ids the k + 1 smallest can be among the nearest. Classes are
+    dealt to cells of like directions, and cells to blocks, which stay where they are; each query goes to the blocks of the
+    cells it looks into, has their codes scanned, and the best by codes of each block scored there on the original vectors.
+    How many cells and how many candidates that takes is not fixed: the exact nearest of a sample of queries, held against
+    all vectors, tell both (`calibrated`), so that recall does not fall as the table grows.
     """
     spark = rows.sparkSession
     good = stored(valid_vectors(rows).withColumn("dim", F.size("embedding")), "vectors")
     kind = "<f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"  # as exact as given
     found = None
     for dim in sorted(r.dim for r in good.groupBy("dim").count().collect()):  # lengths are few: one a model
-        part = _search(good.where(F.col("dim") == dim).drop("dim"), dim, kind, every, k, rerank, block_rows)
+        part = _search(good.where(F.col("dim") == dim).drop("dim"), dim, kind, every, k, reached, block_rows)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
 
-def _blocks(column: str, size: int):
-    """A map from batches of (id, binary) to blocks of `size` rows, whatever batches they come in."""
-
-    def block(ids, values):
-        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([b"".join(values)], pa.binary())], names=["ids", column])
-
-    def gather(batches):
-        ids, values, held = [], [], 0
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                take = min(size - held, batch.num_rows - at)
-                ids.append(batch.column(0).slice(at, take).to_numpy())
-                values.append(b"".join(batch.column(1).slice(at, take).to_pylist()))
-                at, held = at + take, held + take
-                if held == size:
-                    yield block(ids, values)
-                    ids, values, held = [], [], 0
-        if held:
-            yield block(ids, values)
-
-    return gather
-
-
-def _numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """df, a row for each block, with a number from 0 on for each."""
-    own = stored(df.withColumn("_id", F.monotonically_increasing_id()), name)
-    ids = [r["_id"] for r in own.select("_id").orderBy("_id").collect()]
-    numbers = df.sparkSession.createDataFrame(list(zip(ids, range(len(ids)))), f"_id long, {name} int")
-    return own.join(numbers, "_id").drop("_id"), len(ids)
-
-
 def _best(scores: np.ndarray, owners: np.ndarray | None, n: int) -> np.ndarray:
     """Places of the n largest scores; with owners those of the n owners with the largest, n places each at most."""
     if owners is None:
@@ -202,88 +214,194 @@ def _best(scores: np.ndarray, owners: np.ndarray | None, n: int) -> np.ndarray:
     return order[chosen[group] & (np.arange(len(order)) - first[group] < n)]
 
 
-def _search(good: DataFrame, dim: int, kind: str, every: int, k: int, rerank: int, block_rows: int) -> DataFrame:
+def _nearest(scores: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Places of the largest scores, ties to the smaller owner, down to the n-th different owner."""
+    order = np.lexsort((owners, -scores))
+    new = np.zeros(len(order), bool)
+    new[np.unique(owners[order], return_index=True)[1]] = True
+    return order[np.cumsum(new) <= n]
+
+
+@dataclass
+class Block:
+    """Some vectors of a lane, cell after cell."""
+
+    classes: np.ndarray
+    owners: np.ndarray
+    cells: np.ndarray
+    codes: np.ndarray  # a row for each byte of a code
+    vectors: np.ndarray
+
+    @staticmethod
+    def read(ids: bytes, codes: bytes, vectors: bytes, dim: int, kind: str) -> Block:
+        classes, owners, cells = np.frombuffer(ids, "<i8").reshape(3, -1)
+        packed = np.frombuffer(codes, np.uint8).reshape(len(classes), -1)
+        return Block(classes, owners, cells, np.ascontiguousarray(packed.T), np.frombuffer(vectors, kind).reshape(-1, dim))
+
+    def scan(self, table: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
+        """Table entries of the codes of all or the chosen vectors, added up."""
+        codes = self.codes if chosen is None else self.codes[:, chosen]
+        score = np.zeros(codes.shape[1], np.float32)
+        for i in range(0, len(score), SCAN_ROWS):
+            part = score[i : i + SCAN_ROWS]
+            for row, byte in zip(table, codes[:, i : i + SCAN_ROWS]):
+                part += row[byte]
+        return score
+
+    def exact(self, chosen: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return (self.vectors[chosen].astype(np.float64) * query).sum(1)
+
+
+BLOCK_SCHEMA = "lane int, query long, vector binary, ids binary, codes binary, vectors binary"
+
+
+def _index_blocks(index: DataFrame, lanes: DataFrame, rows_a_block: int) -> DataFrame:
+    """Rows of BLOCK_SCHEMA, one a block. A lane with more rows than a block holds is dealt out to several.
+
+    index: class, owner, lane, cell, codes, vector; lanes: lane, base, pieces: of each the number of its first block and
+    how many it has."""
+
+    def block(lane: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own = pa.Table.from_batches(held)
+        ids = np.array([own.column(c).to_numpy() for c in ("class", "owner", "cell")]).astype("<i8").tobytes()
+        codes, vectors = (b"".join(own.column(c).to_pylist()) for c in ("codes", "vector"))
+        return pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), *[pa.array([x], pa.binary()) for x in (ids, codes, vectors)]], names=["lane", "query", "vector", "ids", "codes", "vectors"])
+
+    def gather(batches):
+        lane, held = None, []
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            ends = np.flatnonzero(np.diff(number)) + 1
+            for a, b in zip([0, *ends], [*ends, len(number)]):
+                if held and number[a] != lane:
+                    yield block(lane, held)
+                    held = []
+                lane = int(number[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield block(lane, held)
+
+    piece = F.pmod(F.xxhash64("class"), F.col("pieces").cast("long"))
+    rows = index.join(F.broadcast(lanes), "lane").select((F.col("base") + piece).cast("int").alias("lane"), "class", "owner", "cell", "codes", "vector")
+    return rows.repartition("lane").sortWithinPartitions("lane", "cell").mapInArrow(gather, BLOCK_SCHEMA)
+
+
+def calibrated(blocks: DataFrame, queries: np.ndarray, quantiser, cells: Cells, dim: int, kind: str, n: int, reached: float) -> tuple[int, int]:
+    """(cells to look into, candidates of each block to score) with which the sampled queries' exact nearest are reached.
+
+    One pass over all vectors: a task returns of each block the n nearest of each sampled query, exactly, with their places
+    by code in it; of the nearest of all, the share `reached` has to be in the cells, and of these in turn among the candidates.
+    """
+
+    def nearest(batches):
+        for batch in batches:
+            for ids, codes, vectors in zip(*(c.to_pylist() for c in batch.columns)):
+                own = Block.read(ids, codes, vectors, dim, kind)
+                scores, out = queries @ own.vectors.astype(np.float64).T, []
+                for q, score in enumerate(scores):
+                    top = np.argpartition(-score, n)[:n] if len(score) > n else np.arange(len(score))
+                    near = own.scan(quantiser.value.tables(queries[q]))
+                    place = len(near) - np.searchsorted(np.sort(near), near[top], "right")
+                    out.append((np.full(len(top), q), own.cells[top], score[top], place))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], names=["q", "cell", "score", "place"])
+
+    found = blocks.select("ids", "codes", "vectors").mapInArrow(nearest, "q long, cell long, score double, place long")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "cell", "place")
+    best = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n).select("q", "cell", "place").toPandas()  # n rows a sampled query
+    rank = cells.places(queries)[best.q.to_numpy(), best.cell.to_numpy()]
+    many = int(np.quantile(rank, reached, method="higher")) + 1
+    inside = best.place.to_numpy()[rank < many]
+    return many, max(2 * n, int(np.quantile(inside, reached, method="higher")) + 1)
+
+
+def _search(good: DataFrame, dim: int, kind: str, every: int, k: int, reached: float, block_rows: int | None) -> DataFrame:
     spark = good.sparkSession
     keyed = good.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
     asked = F.max(F.col("vec_id") % every == 0).alias("asked")
     classes = keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("owner"), F.any_value("embedding").alias("embedding"), asked)
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     total = classes.count()
+    n_queries = classes.where("asked").count()
+    if not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     repeats = classes.groupBy("owner").count().where("count > 1").limit(1).count() > 0  # an id with several vectors
     order = F.xxhash64("owner", "h1")
-    share = min(1.0, 1.5 * FIT_ROWS / total)
-    sample = classes.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, "h1", "h2").limit(FIT_ROWS)
-    vectors = np.array([r.embedding for r in sample.select("embedding").collect()], np.float64)
-    quantiser = spark.sparkContext.broadcast(Quantiser.fit(vectors))
+
+    def sample(df, n, size):
+        share = min(1.0, 1.5 * n / size)
+        picked = df.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, "h1", "h2").limit(n)
+        return np.array([r.embedding for r in picked.select("embedding").collect()], np.float64)
+
+    if block_rows is None:
+        block_rows = max(1, min(max(LEAST_BLOCK, total // BLOCKS), BLOCK_ROWS, BLOCK_BYTES // (np.dtype(kind).itemsize * dim)))
+    vectors = sample(classes, FIT_ROWS, total)
+    cells = Cells.fit(vectors, min(CELLS, total // CELL_ROWS), -(-total // block_rows))
+    quantiser, cells = spark.sparkContext.broadcast(Quantiser.fit(vectors)), spark.sparkContext.broadcast(cells)
 
     def pack(batches):
         for batch in batches:
             own = _matrix(batch.column(3), dim)
-            codes = [ids.tobytes() + c.tobytes() for ids, c in zip(batch.column(1).to_numpy().astype("<i8"), quantiser.value.encode(own))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(codes, pa.binary()), pa.array([v.tobytes() for v in own.astype(kind)], pa.binary())], names=["class", "owner", "asked", "codes", "vector"])
-
-    # codes: the owner's eight bytes, then the codes themselves
-    index = stored(classes.select("class", "owner", "asked", "embedding").mapInArrow(pack, "class long, owner long, asked boolean, codes binary, vector binary"), "index")
-    n_queries = index.where("asked").count()
-    if not n_queries:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows_a_block = max(1, min(QUERY_ROWS, n_queries // QUERY_PARTS))
-    codes = index.select("class", "codes").repartition(max(1, total // (4 * block_rows))).mapInArrow(_blocks("codes", block_rows), "ids binary, codes binary")
-    codes, n_blocks = _numbered(codes, "block")
-    queries = index.where("asked").select("class", "vector").repartition(max(1, n_queries // (16 * QUERY_ROWS))).mapInArrow(_blocks("vectors", rows_a_block), "ids binary, vectors binary")
-    queries, n_parts = _numbered(queries.withColumnRenamed("ids", "query_ids"), "part")
+            cell = cells.value.of(own)
+            codes = [c.tobytes() for c in quantiser.value.encode(own)]
+            extra = [pa.array(cells.value.lanes[cell].astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(codes, pa.binary()), pa.array([v.tobytes() for v in own.astype(kind)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *extra], names=["class", "owner", "asked", "lane", "cell", "codes", "vector"])
+
+    index = classes.select("class", "owner", "asked", "embedding").mapInArrow(pack, "class long, owner long, asked boolean, lane int, cell int, codes binary, vector binary")
+    index = stored(index, "index")
+    sizes = sorted((r.lane, r["count"]) for r in index.groupBy("lane").count().collect())  # a row for each lane
+    pieces = [-(-n // block_rows) for _, n in sizes]
+    bases = (np.cumsum(pieces) - pieces).tolist()
+    lanes = spark.createDataFrame([(lane, b, p) for (lane, _), b, p in zip(sizes, bases, pieces)], "lane int, base int, pieces int")
+    blocks = stored(_index_blocks(index, lanes, block_rows), "blocks")
+    many, candidates = calibrated(blocks, sample(classes.where("asked"), SAMPLE_QUERIES, n_queries), quantiser, cells.value, dim, kind, k + 1, reached)
+    of_lane = {lane: range(b, b + p) for (lane, _), b, p in zip(sizes, bases, pieces)}
+    blocks_of = [np.array(of_lane.get(int(lane), ()), np.int32) for lane in range(int(cells.value.lanes.max()) + 1)]
+
+    def ask(batches):
+        """A row for each query and block in a lane of its cells."""
+        for batch in batches:
+            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+            near = cells.value.places(own) < many
+            meets = np.zeros((len(own), len(blocks_of)), bool)
+            np.logical_or.at(meets, (slice(None), cells.value.lanes), near)
+            rows, at = np.nonzero(meets)
+            parts = [blocks_of[lane] for lane in at]
+            take = pa.array(np.repeat(rows, [len(p) for p in parts]))
+            number = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            none = pa.nulls(len(take), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), none, none, none], names=["lane", "query", "vector", "ids", "codes", "vectors"])
 
     def scan(batches):
-        own = quantiser.value
-        for batch in batches:
-            for ids, packed, query_ids, asking in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(ids, "<i8")
-                packed = np.frombuffer(packed, np.uint8).reshape(len(ids), -1)
-                owners = np.ascontiguousarray(packed[:, :8]).view("<i8")[:, 0] if repeats else None
-                pieces = [np.ascontiguousarray(packed[i : i + SCAN_ROWS, 8:].T) for i in range(0, len(ids), SCAN_ROWS)]
-                out = []
-                for query_id, query in zip(np.frombuffer(query_ids, "<i8"), np.frombuffer(asking, kind).reshape(-1, dim)):
-                    table = own.tables(query.astype(np.float64))
-                    score = np.zeros(len(ids), np.float32)
-                    for i, piece in enumerate(pieces):
-                        part = score[i * SCAN_ROWS : (i + 1) * SCAN_ROWS]
-                        for row, byte in zip(table, piece):
-                            part += row[byte]
-                    top = _best(score, owners, rerank)
-                    out.append((np.full(len(top), query_id), ids[top], score[top]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["query", "class", "near"])
-
-    # Every block of queries meets every block of codes: the queries are fixed rows of the table, and blocks of codes are
-    # dealt out in lanes of a few, so that tasks grow in number and not in size.
-    lanes = -(-n_blocks // BLOCKS_A_TASK)
-    left = codes.withColumn("lane", F.col("block") % lanes).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    right = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    left, right = (df.repartition(n_parts * lanes, "part", "lane") for df in (left, right))
-    pairs = left.join(right, ["part", "lane"]).select("ids", "codes", "query_ids", "vectors")
-    near = pairs.mapInArrow(scan, "query long, class long, near float")
-    if repeats:  # of each id its best vectors by codes, of the ids the best
-        near = near.join(index.select("class", "owner"), "class")
-        of_owner = Window.partitionBy("query", "owner").orderBy(F.desc("near"), "class")
-        near = near.withColumn("at", F.row_number().over(of_owner)).where(F.col("at") <= rerank)
-        near = near.withColumn("best", F.max("near").over(Window.partitionBy("query", "owner")))
-        place = F.dense_rank().over(Window.partitionBy("query").orderBy(F.desc("best"), "owner"))
-    else:
-        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "class"))
-    near = near.withColumn("place", place).where(F.col("place") <= rerank)
-    return _ranked(near.select("query", "class"), index, keyed, classes, dim, kind, every, k)
-
-
-def _ranked(near: DataFrame, index: DataFrame, keyed: DataFrame, classes: DataFrame, dim: int, kind: str, every: int, k: int) -> DataFrame:
-    """The k nearest of each query among the pairs of classes, by exact scores on the original vectors."""
-
-    def score(batches):
+        lane, block = None, None
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), kind).reshape(-1, dim).astype(np.float64) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a * b).sum(1))], names=["query", "class", "score"])
-
-    asking = index.where("asked").select(F.col("class").alias("query"), F.col("vector").alias("asking"))
-    pairs = near.join(index.select("class", "vector"), "class").join(asking, "query").select("query", "class", "asking", "vector")
-    scored = pairs.mapInArrow(score, "query long, class long, score double")
+            out = []
+            for number, query_id, asking, ids, codes, vectors in zip(*(c.to_pylist() for c in batch.columns)):
+                if ids is not None:
+                    lane, block = number, Block.read(ids, codes, vectors, dim, kind)
+                    continue
+                assert number == lane
+                query = np.frombuffer(asking, kind).astype(np.float64)
+                chosen = np.flatnonzero((cells.value.places(query[None])[0] < many)[block.cells])
+                score = block.scan(quantiser.value.tables(query), None if len(chosen) == len(block.cells) else chosen)
+                best = chosen[_best(score, block.owners[chosen] if repeats else None, candidates)]
+                exact = block.exact(best, query)
+                top = _nearest(exact, block.owners[best], k + 1)
+                out.append((np.full(len(top), query_id), block.classes[best[top]], block.owners[best[top]], exact[top]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], names=["query", "class", "owner", "score"])
+
+    # A block comes first in its lane and the queries after it, so a task holds one block and a batch of queries.
+    queries = index.where("asked").select("class", "vector").mapInArrow(ask, BLOCK_SCHEMA)
+    meeting = blocks.unionByName(queries).repartition(max(1, sum(pieces)), "lane").sortWithinPartitions("lane", F.col("ids").isNull())
+    scored = meeting.mapInArrow(scan, "query long, class long, owner long, score double")
+    if not repeats:
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "owner"))
+        scored = scored.withColumn("place", place).where(F.col("place") <= k + 1)
+    return _ranked(scored.select("query", "class", "score"), keyed, classes, every, k)
+
+
+def _ranked(scored: DataFrame, keyed: DataFrame, classes: DataFrame, every: int, k: int) -> DataFrame:
+    """The k nearest ids of each query from its nearest classes and their exact scores."""
     place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
     members = keyed.select("vec_id", "h1", "h2").withColumn("place", place).where(F.col("place") <= k + 1)
     members = members.join(classes.select("h1", "h2", "class"), ["h1", "h2"]).select("class", "vec_id")
