@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations, pairwise
+from itertools import combinations, pairwise, product
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from newsloom.llm.common import slices, stored, text_of
 from newsloom.llm.components import connected_components
 
-#: The code of a key: its low 15 bits are a Hamming [15, 11] word, the rest is free. Its covering radius is 1, and it is
-#: perfect: every key has exactly one anchor within the radius.
-RADIUS, HAMMING_BITS, CHECKS = 1, 15, 4
+#: Covering radius of the code of a key, a perfect Hamming code on its low bits (31, or 15 where there are fewer; the other
+#: bits are free), and how many bits of a key two linked fingerprints may differ in.
+RADIUS, KEY_THRESHOLD = 1, 1
 #: Comparisons of a fingerprint with others that are expected at its anchors at most, of fingerprints spread evenly.
 COMPARISONS = 64
 #: Bytes of text that are hashed at a time, unless one text is longer.
@@ -72,8 +72,9 @@ def majority(hashes: np.ndarray) -> np.uint64:
 class Keys:
     """Which bits are looked up together: every choice of `chosen` of the bands is a key.
 
-    Fingerprints that differ in at most `threshold` bits agree in all but that many of `threshold + chosen` bands, so
-    some key of theirs is equal: of a key's bits none may differ, and they meet at its anchor.
+    The bits in which two fingerprints differ, at most `threshold`, leave all but that many bands equal. With
+    `threshold + chosen - 1` bands they leave chosen - 1 equal bands at least, and some other band holds one of them at
+    most: so in some key they differ in KEY_THRESHOLD = 1 bit at most.
     """
 
     bands: tuple[tuple[int, int], ...]  # first bit and width
@@ -81,58 +82,103 @@ class Keys:
 
     @staticmethod
     def of(threshold: int, chosen: int) -> Keys:
-        n = threshold + chosen
+        n = threshold + chosen - KEY_THRESHOLD
         ends = [64 * i // n for i in range(n + 1)]
         return Keys(tuple((a, b - a) for a, b in pairwise(ends)), chosen)
 
     @staticmethod
     def choose(threshold: int, points: int) -> Keys:
         """The fewest bands that make enough anchors for so many fingerprints; the links found are the same with any."""
-        options = [Keys.of(threshold, c) for c in range(2, 7)]
+        options = [Keys.of(threshold, c) for c in range(2, 5)]
         return next((k for k in options if k.expected(points) <= COMPARISONS), options[-1])
 
     def expected(self, points: int) -> float:
-        return sum(points / 2.0 ** (sum(self.bands[b][1] for b in key) - CHECKS) for key in self.all())
+        """Comparisons of each of so many fingerprints, if they are spread evenly."""
+        return sum(points * self.visits(w) / 2.0 ** (w - self.checks) for w in map(self.width, self.all()))
+
+    @property
+    def checks(self) -> int:
+        """Check bits of the code, which 2^checks - 1 bits of every key are words of."""
+        return 5 if min(map(self.width, self.all())) >= 31 else 4
+
+    def visits(self, width: int) -> int:
+        """Anchors within RADIUS + KEY_THRESHOLD of a key, at most."""
+        return 2 ** (self.checks - 1) + width - (2**self.checks - 1)
+
+    def width(self, key: tuple[int, ...]) -> int:
+        return sum(self.bands[b][1] for b in key)
 
     def all(self) -> list[tuple[int, ...]]:
         return list(combinations(range(len(self.bands)), self.chosen))
 
-    def anchor(self, fingerprint: Column, key: tuple[int, ...]) -> Column:
-        """The one anchor within the radius (and the key's threshold, none) of a key, as a number."""
-        word, at = F.lit(0).cast("long"), 0
-        for start, width in (self.bands[b] for b in key):
-            part = F.shiftrightunsigned(fingerprint, start).bitwiseAND(F.lit((1 << width) - 1))
-            word = word.bitwiseOR(F.shiftleft(part, at))
-            at += width
-        syndrome = F.lit(0)
-        for c in range(CHECKS):
-            mask = sum(1 << i for i in range(HAMMING_BITS) if (i + 1) >> c & 1)
-            syndrome = syndrome + F.bit_count(word.bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(1)) * (1 << c)
-        flip = F.element_at(F.array(*[F.lit(m).cast("long") for m in [0, *(1 << i for i in range(HAMMING_BITS))]]), syndrome + 1)
-        return word.bitwiseXOR(flip)
+    def first(self) -> list[int]:
+        """The first key with a difference of KEY_THRESHOLD at most, -1 if there is none, by how many bits differ in each band (0, 1,
+        or 2 for more), the first band's number counting most."""
+        out = []
+        for state in product((0, 1, 2), repeat=len(self.bands)):
+            out.append(next((i for i, key in enumerate(self.all()) if sum(state[b] for b in key) <= KEY_THRESHOLD), -1))
+        return out
+
+    def words(self, fingerprint: Column) -> Column:
+        """An array of structs: the number of each key and the key's bits of the fingerprint as a number."""
+        out = []
+        for i, key in enumerate(self.all()):
+            word, at = F.lit(0).cast("long"), 0
+            for start, width in (self.bands[b] for b in key):
+                word = word.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fingerprint, start).bitwiseAND(F.lit((1 << width) - 1)), at))
+                at += width
+            out.append(F.struct(F.lit(i).alias("key"), word.alias("word")))
+        return F.array(*out)
+
+    def syndrome(self, word: Column) -> Column:
+        """0 for a word of the code; else the number, from 1, of the bit whose flip makes it one."""
+        out = F.lit(0)
+        for c in range(self.checks):
+            mask = sum(1 << i for i in range(2**self.checks - 1) if (i + 1) >> c & 1)
+            out = out + F.bit_count(word.bitwiseAND(F.lit(mask).cast("long"))).bitwiseAND(F.lit(1)) * (1 << c)
+        return out
+
+    def home_flips(self) -> list[int]:
+        """By syndrome, the flip that leads to the nearest anchor."""
+        return [0, *(1 << i for i in range(2**self.checks - 1))]
+
+    def visit_flips(self) -> list[list[int]]:
+        """By syndrome, the flips of two coded bits at most that lead to anchors: the nearest, and those by two bits whose
+        numbers have the syndrome as their sum."""
+        n = 2**self.checks
+        out = [[0]]
+        for s in range(1, n):
+            pairs = [(1 << i - 1) | (1 << (i ^ s) - 1) for i in range(1, n) if i < i ^ s and i != s]
+            out.append([1 << s - 1, *pairs])
+        return out
 
 
 def linked_pairs(points: DataFrame, threshold: int = 4, n_points: int | None = None) -> DataFrame:
     """All pairs (u, v), u < v, of distinct fingerprints in `points` that differ in at most `threshold` bits, each once.
 
-    Each fingerprint is put at the anchors within the covering radius of each of its keys (the key's own threshold is
-    zero), and whole fingerprints are compared at each anchor. A pair counts at the first key that is equal in it.
+    A fingerprint's home, for each of its keys, is the anchor nearest to it, within the covering radius; and it visits all
+    anchors within the covering radius plus the threshold of a key. Where two keys differ within that threshold, either
+    fingerprint visits the other's home, so homes and visitors are compared, as whole fingerprints, at each anchor. A pair
+    counts at the home of its smaller fingerprint, in the first key that differs within the threshold.
     n_points: how many fingerprints there are, if known; keys get longer with their number, so that anchors stay small.
     """
     keys = Keys.choose(threshold, points.count() if n_points is None else n_points)
-    point = F.col("fingerprint")
-    each = [F.struct(F.lit(i).alias("key"), keys.anchor(point, key).alias("anchor")) for i, key in enumerate(keys.all())]
-    placed = points.select(point, F.explode(F.array(*each)).alias("at")).select("fingerprint", "at.key", "at.anchor")
-    left, right = (placed.withColumnRenamed("fingerprint", name) for name in "uv")
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    words = points.select("fingerprint", F.explode(keys.words(F.col("fingerprint"))).alias("k")).select("fingerprint", "k.key", "k.word", keys.syndrome(F.col("k.word")).alias("syndrome"))
+    at = lambda word: word.bitwiseOR(F.shiftleft(F.col("key").cast("long"), 48))
+    near = F.element_at(longs(keys.home_flips()), F.col("syndrome") + 1)
+    home = words.select(F.col("fingerprint").alias("u"), at(F.col("word").bitwiseXOR(near)).alias("anchor"))
+    coded = F.element_at(F.array(*map(longs, keys.visit_flips())), F.col("syndrome") + 1)
+    free = F.element_at(F.array(*[longs(1 << b for b in range(2**keys.checks - 1, keys.width(k))) for k in keys.all()]), F.col("key") + 1)
+    flips = F.concat(coded, F.transform(free, lambda f: f.bitwiseXOR(near)))
+    visitors = words.select(F.col("fingerprint").alias("v"), "key", "word", F.explode(flips).alias("flip")).select("v", at(F.col("word").bitwiseXOR(F.col("flip"))).alias("anchor"))
     differ = F.col("u").bitwiseXOR(F.col("v"))
-    equal = F.lit(0)
-    for i, (start, width) in enumerate(keys.bands):
-        equal = equal + F.when(differ.bitwiseAND(F.lit(_signed(((1 << width) - 1) << start))) == 0, 1 << i).otherwise(0)
-    number = {key: i for i, key in enumerate(keys.all())}
-    first = [number.get(tuple([b for b in range(len(keys.bands)) if mask >> b & 1][: keys.chosen]), -1) for mask in range(1 << len(keys.bands))]
-    own = F.element_at(F.array(*[F.lit(k) for k in first]), equal + 1) == F.col("key")
+    state = F.lit(0)
+    for start, width in keys.bands:
+        state = state * 3 + F.least(F.bit_count(differ.bitwiseAND(F.lit(_signed(((1 << width) - 1) << start)))), F.lit(2))
+    own = F.element_at(F.array(*map(F.lit, keys.first())), state + 1) == F.shiftright("anchor", 48)
     near = F.bit_count(differ) <= threshold
-    return left.join(right, ["key", "anchor"]).where((F.col("u") < F.col("v")) & near & own).select("u", "v")
+    return home.join(visitors, "anchor").where((F.col("u") < F.col("v")) & near & own).select("u", "v")
 
 
 def _signed(x: int) -> int:
