@@ -20,7 +20,8 @@ class Words:
 
     def per_text(self, weights: np.ndarray | None = None) -> np.ndarray:
         """The number of words of each text, or the sum of their weights."""
-        return np.bincount(self.rows, weights, minlength=self.texts)
+        counts = np.bincount(self.rows, weights, minlength=self.texts)
+        return counts if weights is None else counts.astype(np.float64)
 
 
 def words_of(texts: pa.Array, between: str, lower: bool = True) -> Words:

@@ -76,8 +76,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def share(n: str, total: str, terms: str) -> Column:
-    """1 + floor(10^9 (n + 2) / (total + 2 terms)) of columns by name, in whole numbers of up to 38 digits."""
-    return F.expr(f"1 + ({SCALE}BD * cast({n} + 2 as decimal(20,0))) div cast({total} + 2 * {terms} as decimal(20,0))")
+    """1 + floor(10^9 (n + 2) / (total + 2 terms)) of columns by name, in whole numbers of up to 38 digits; where there are
+    no terms nothing has a share, and the value is of no account."""
+    return F.expr(f"1 + ({SCALE}BD * cast({n} + 2 as decimal(20,0))) div cast(greatest({total} + 2 * {terms}, 1) as decimal(20,0))")
 
 
 def divergence(p: str, q: str) -> Column:
@@ -113,9 +114,11 @@ def pair_sums(shares: DataFrame, totals: DataFrame, cells: int = SHARD_CELLS, bl
     plan = totals.select("lang", "source", share("0L", "n_group", "terms").alias("p0"), blocks.alias("blocks"), shards.alias("shards")).withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     held = shares.join(plan, ["lang", "source"])
-    filled = held.select("lang", "source", "term", "p", "block", F.pmod(F.xxhash64("term"), F.col("shards").cast("long")).cast("int").alias("shard"), other)
+    shard = F.pmod(F.xxhash64("term"), F.col("shards").cast("long")).cast("int").alias("shard")
+    filled = held.select("lang", "source", "term", "p", "block", shard, F.lit(0).cast("long").alias("terms"), other)
+    many = shares.select("lang", "term").distinct().join(plan.select("lang", "shards").distinct(), "lang").groupBy("lang", shard).agg(F.count("*").alias("terms"))
     empty = plan.select("lang", "source", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), "block", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "blocks")
-    empty = empty.select("lang", "source", "term", "p", "block", "shard", other)
+    empty = empty.join(many, ["lang", "shard"], "left").select("lang", "source", "term", "p", "block", "shard", F.coalesce("terms", F.lit(0)).alias("terms"), other)
     rows = filled.unionByName(empty).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
 
     def sums(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -128,24 +131,25 @@ def pair_sums(shares: DataFrame, totals: DataFrame, cells: int = SHARD_CELLS, bl
         at = pc.index_in(rest.column("source").combine_chunks(), pa.array(names, pa.string())).to_numpy(zero_copy_only=False)
         p = np.repeat(base[:, None], len(terms.dictionary), axis=1)
         p[at, terms.indices.to_numpy(zero_copy_only=False)] = rest.column("p").to_numpy()
+        lacking = int(own.column("terms")[0].as_py()) - len(terms.dictionary)  # terms of the shard that none of these sources has
         order = sorted(range(len(names)), key=lambda i: names[i].encode())
-        p, home, names = p[order], home[order], [names[i] for i in order]
+        p, base, home, names = p[order], base[order], home[order], [names[i] for i in order]
         first, second, values = [], [], []
         for i in range(len(names) - 1):
             others = np.arange(i + 1, len(names))
             if low != high:
                 others = others[home[others] != home[i]]
-            gap, both = p[others] - p[i], p[others] + p[i]
             first += [names[i]] * len(others)
             second += [names[j] for j in others]
-            values += (gap * gap // both).sum(axis=1).tolist()
+            unseen = (base[others] - base[i]) ** 2 // (base[others] + base[i])
+            values += (((p[others] - p[i]) ** 2 // (p[others] + p[i])).sum(axis=1) + lacking * unseen).tolist()
         return pa.table({"lang": pa.array([lang] * len(first), pa.string()), "a": pa.array(first, pa.string()), "b": pa.array(second, pa.string()), "value": pa.array(values, pa.int64())})
 
     parts = rows.groupBy("lang", "shard", "low", "high").applyInArrow(sums, "lang string, a string, b string, value long")
     return parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, cells: int = SHARD_CELLS, block: int = SOURCE_BLOCK) -> DataFrame:
     """(lang, source, part, item, value, rank): for each group of documents of one language and source
 
     * part `pair`: every other source of the language by its divergence from the group, over all kept terms;
@@ -162,7 +166,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> DataFrame
     kept = stored(kept_terms(counts, least), "kept-terms")
     totals = stored(group_totals(counts, kept), "group-totals")
     shares = kept.join(totals, ["lang", "source"]).withColumns({"p": share("n", "n_group", "terms"), "q": share("lang_n", "n_lang", "terms")})
-    pairs = pair_sums(shares.select("lang", "term", "source", "p"), totals)
+    pairs = pair_sums(shares.select("lang", "term", "source", "p"), totals, cells, block)
     sides = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
     pairs = pairs.select("lang", "value", sides.alias("side")).select("lang", "side.source", F.lit("pair").alias("part"), "side.item", "value")
     terms = shares.where("n > 0 and p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence("p", "q").alias("value"))

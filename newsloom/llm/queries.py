@@ -97,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL, where it can express the query.
-ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op4_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE, "op11_divergence": divergence.ORACLE}
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op4_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE, "op11_divergence": divergence.ORACLE, "op12_resampling": resample.ORACLE}

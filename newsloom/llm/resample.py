@@ -9,11 +9,13 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from newsloom.llm.arrow_words import Words, words_of
 from newsloom.llm.common import slices, stored
@@ -109,7 +111,8 @@ def weighed(docs: DataFrame, gain: np.ndarray, carry: list[str] | None = None, t
             weight = np.where(n > 0, total // np.maximum(n, 1), 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (words.per_text(), n, weight))], names=["doc", "n_words", "n_features", "weight"])
 
-    return rows.mapInArrow(weigh, f"doc {rows.schema['doc'].dataType.simpleString()}, n_words long, n_features long, weight long")
+    numbers = [StructField(n, LongType()) for n in ("n_words", "n_features", "weight")]
+    return rows.mapInArrow(weigh, StructType([rows.schema["doc"], *numbers]))
 
 
 def gumbel_score(weight: Column, doc_id: Column, seed: int) -> Column:
@@ -244,3 +247,28 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_
     names = carry or docs.columns
     back = [F.col(f"doc.`{c}`").alias(f"{c}_given" if c in RESULTS else c) for c in names]
     return drawn(docs, target, percent, least_words, buckets, seed, names).select(*back, *RESULTS)
+
+
+#: DuckDB has no CRC-32: its table is made by the eight steps of its definition and each feature's bytes are folded over it.
+ORACLE = f"""
+with recursive register as (select i, i as c, 0 as step from range(256) t(i)
+    union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, step + 1 from register where step < 8),
+crc as (select list(c order by i) as entries from register where step = 8),
+texts as (select row_number() over () as r, true as own, doc_id, text from documents union all select row_number() over (), false, null, text from benchmark),
+words as (select r, own, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from texts),
+features as (select r, own, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as feature from words),
+coded as (select feature, hex(encode(feature)) as h from (select distinct feature from features)),
+places as (select feature, list_transform(range(0, len(h) // 2), lambda i:
+    (16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)::bigint) as bytes from coded),
+hashed as (select feature, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295) % {BUCKETS} as bucket from places, crc),
+buckets as (select b.bucket, count(own) filter (own) as s, count(own) filter (not own) as t
+    from range({BUCKETS}) b(bucket) left join (hashed join features using (feature)) using (bucket) group by b.bucket),
+gains as (select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + {BUCKETS})::double / ((s + 1)::double * (sum(t) over () + {BUCKETS})::double)))::bigint as gain from buckets),
+weights as (select r, count(*) as n, sum(gain)::double as total from features join hashed using (feature) join gains using (bucket) where own group by r),
+weighed as (select doc_id, len(w) as n_words, coalesce(n, 0) as n_features, case when n > 0 then floor(total / n)::bigint else 0 end as weight,
+    ('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from words left join weights using (r) where own),
+scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from weighed),
+placed as (select *, n_words >= {LEAST_WORDS} as able, count(*) filter (n_words >= {LEAST_WORDS}) over () as n from scored),
+ordered as (select *, case when able then row_number() over (partition by able order by score desc, doc_id) end as place from placed)
+select doc_id, n_features, weight, score, case when place <= {PERCENT} * n // 100 then place end as rank from ordered
+"""

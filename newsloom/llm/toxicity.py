@@ -19,6 +19,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from newsloom.llm.arrow_words import Words, words_of
 from newsloom.llm.common import fold, slices, stored
@@ -241,8 +242,9 @@ def scored(docs: DataFrame, tagger: Tagger, carry: list[str] | None = None) -> D
             columns = [tagger.score(tagger.measures(words, toxic)), words.per_text(toxic)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(found, kind)], names=["doc", "score", "toxic_words", "spans"])
 
-    result = f"doc {rows.schema['doc'].dataType.simpleString()}, score double, toxic_words double, spans array<struct<start:long,end:long,score:double>>"
-    return rows.mapInArrow(tag, result)
+    span = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("score", DoubleType())])
+    result = [rows.schema["doc"], StructField("score", DoubleType()), StructField("toxic_words", DoubleType()), StructField("spans", ArrayType(span))]
+    return rows.mapInArrow(tag, StructType(result))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
