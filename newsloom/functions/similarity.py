@@ -28,6 +28,16 @@ THRESHOLDS["other"] = THRESHOLDS["e5_base"]
 MEDIUM_JACCARD = {"e5_large": 0.35, "bge": 0.30}
 #: Shared distinctive words without which no verdict but equality is possible.
 LEAST_COMMON = {"e5_base": 2, "other": 2, "e5_large": 3, "bge": 3}
+#: What titles that are not equal have to share for a strong or medium verdict: any of (distinctive words, Jaccard).
+LEXICAL_BOUNDS = {"e5_base": ((4, 0.55),), "other": ((4, 0.55),), "e5_large": ((5, 0.0), (3, MEDIUM_JACCARD["e5_large"])), "bge": ((5, 0.0), (3, MEDIUM_JACCARD["bge"]))}
+
+
+def semantic_bounds(family: str, thresholds: dict | None = None) -> tuple:
+    """What titles that are not equal have to share for the semantic decision to be able to call them duplicates."""
+    least = (thresholds or THRESHOLDS[family])["common"]
+    if least < 1:
+        raise ValueError("without a common word asked for, any two posts could be duplicates, and no join finds them")
+    return ((least, 0.0), *LEXICAL_BOUNDS[family])
 
 
 def _text(c: Column) -> Column:

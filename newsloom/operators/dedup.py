@@ -2,7 +2,7 @@
 
 Tables of posts have id, source_url, raw_title, raw_description, ai_title, ai_text, status, created_at, and for the
 semantic stage embedding and title_embedding. All pairs come from a token join that loses no verdict: a pair of fewer
-shared distinctive words than LEAST_COMMON can only match by equal titles, which are joined first.
+shared distinctive words than its verdict asks for can only match by equal titles, which are joined first.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.predicates import is_hint_content, is_link_roundup
 from newsloom.functions.similarity import (
     LEAST_COMMON,
+    LEXICAL_BOUNDS,
     Pair,
     Title,
     cosine,
@@ -25,13 +26,21 @@ from newsloom.functions.similarity import (
     match_rank,
     norm_title,
     pair_columns,
+    semantic_bounds,
     semantic_confidence,
     title_columns,
 )
 from newsloom.steps import cut_lineage
 
-#: Newest posts that a new one is compared with where comparisons are dear.
-HISTORY = 200
+#: Newest posts that a new one is compared with where comparisons are dear: what a caller who says nothing gets, and the
+#: most that a shortlist, which compares each new post with each of them, takes.
+HISTORY, MOST_HISTORY = 200, 1_000
+#: Bytes of the shortlist's history that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
+#: What is left to decide, in edges and members of groups, from which on first-come is settled in one task.
+SETTLED_IN_A_TASK = 50_000
+#: Members of a group up to which they are plain edges.
+SMALL_GROUP = 8
 MATCH = ("new_id", "kept_id", "kept_title", "reason", "confidence", "explanation")
 
 
@@ -81,40 +90,61 @@ def _variants(history: DataFrame) -> DataFrame:
     return title_columns(raw.unionByName(ai), "t", F.col("title"))
 
 
-def candidate_pairs(new: DataFrame, history: DataFrame, least: int) -> DataFrame:
-    """(new_id, kept_id), each once, of all pairs that share `least` distinctive words or more, or equal titles.
+def _any_bound(bounds: tuple, test) -> Column:
+    """Whether the test holds for one of the bounds (least common words, least Jaccard)."""
+    held = F.lit(False)
+    for common, jaccard in bounds:
+        held = held | test(common, jaccard)
+    return held
 
-    Equal sets of words are one class on either side, so that a title which many rows share is joined once. Each class
-    puts its rarest words first and is looked up by all but its last least - 1: two sets that share that many words
-    share one of those. Words by which many are looked up are rare by construction.
+
+def candidate_pairs(new: DataFrame, history: DataFrame, bounds: int | tuple) -> DataFrame:
+    """(new_id, kept_id), each once, of all pairs whose titles share enough distinctive words.
+
+    bounds: how many, or any of (words, Jaccard). A join in the manner of PPJoin (Xiao et al. 2008): equal sets of words
+    are one class on either side, so that a title which many rows share is joined once. Each class puts its rarest words
+    first and is looked up by its prefix: by so many words that, if all of them were lacking, no bound could be reached.
+    Where two classes meet at a word, their sizes and the word's places bound what they can share, before the words
+    themselves are compared; and they count where the word is the first that they share, so each pair counts once.
     """
+    bounds = ((bounds, 0.0),) if isinstance(bounds, int) else tuple(bounds)
     left = title_columns(new.select(F.col("id").alias("new_id"), F.col("raw_title").alias("title")), "t", F.col("title"))
     right = _variants(history)
     signature = lambda df, key: df.select(key, F.array_sort("t_distinct").alias("words"), F.xxhash64(F.array_sort("t_distinct")).alias("class"))
     left, right = signature(left, "new_id"), signature(right, "kept_id")
-    classes = left.select("class", "words").unionByName(right.select("class", "words")).groupBy("class").agg(F.first("words").alias("words")).where(F.size("words") >= least)
-    tokens = classes.select("class", F.explode("words").alias("word"))
+    sides = left.select("class", "words", F.lit(1).alias("side")).unionByName(right.select("class", "words", F.lit(2).alias("side")))
+    classes = sides.groupBy("class").agg(F.first("words").alias("words"), F.bit_or("side").alias("sides")).where(F.size("words") >= min(c for c, _ in bounds))
+    tokens = classes.select("class", "sides", F.explode("words").alias("word"))
     rarity = tokens.groupBy("word").agg(F.count("*").alias("n"))
-    ordered = tokens.join(rarity, "word").groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda t: t["word"]).alias("words"))
+    ordered = tokens.join(rarity, "word").groupBy("class").agg(F.first("sides").alias("sides"), F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda t: t["word"]).alias("words"))
     ordered = cut_lineage(ordered)
-    heads = ordered.select("class", "words", F.explode(F.slice("words", F.lit(1), F.size("words") - (least - 1))).alias("word"))
-    a = heads.join(left.select("class").distinct(), "class", "left_semi").withColumnsRenamed({"class": "a", "words": "a_words"})
-    b = heads.join(right.select("class").distinct(), "class", "left_semi").withColumnsRenamed({"class": "b", "words": "b_words"})
-    enough = F.size(F.array_intersect("a_words", "b_words")) >= least
-    pairs = a.join(b, "word").where(enough).select("a", "b").distinct()
+    size = F.size("words")
+    # A hair below what is asked for: the verdict itself decides, on the same numbers.
+    needed = lambda c, t, n: F.greatest(F.lit(c), F.ceil(n * F.lit(t) - F.lit(1e-9)).cast("int"))
+    prefix = F.greatest(*[size - needed(c, t, size) + 1 for c, t in bounds], F.lit(0))
+    heads = ordered.withColumn("prefix", prefix).where("prefix > 0").select("class", "words", "sides", size.alias("n"), F.posexplode(F.slice("words", F.lit(1), F.col("prefix"))).alias("at", "word"))
+    a, b = (heads.where(F.col("sides").bitwiseAND(F.lit(s)) > 0).select(F.col("class").alias(x), "word", *[F.col(c).alias(f"{x}_{c}") for c in ("words", "n", "at")]) for s, x in ((1, "a"), (2, "b")))
+    left_over = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    both = F.col("a_n") + F.col("b_n")
+    possible = _any_bound(bounds, lambda c, t: left_over >= needed(c, t / (1 + t), both))
+    reached = lambda shared: _any_bound(bounds, lambda c, t: (F.size(shared) >= c) & (F.size(shared) >= (both - F.size(shared)) * F.lit(t) - F.lit(1e-9)))
+    # What they share is bound to a variable, so that it is made once a pair.
+    compared = F.exists(F.array(F.array_intersect("a_words", "b_words")), lambda shared: (F.get(shared, F.lit(0)) == F.col("word")) & reached(shared))
+    pairs = a.join(b, "word").where(possible & compared).select("a", "b")
     out = left.select("new_id", F.col("class").alias("a")).join(pairs, "a").join(right.select("kept_id", F.col("class").alias("b")), "b")
     return out.where("new_id <> kept_id").select("new_id", "kept_id").distinct()
 
 
-def _attach(pairs: DataFrame, new: DataFrame, history: DataFrame, vectors: bool = False, leads: bool = False) -> DataFrame:
-    """Pairs with what verdicts need: the parts of the new title against the kept raw (nr) and rewritten (na) title.
-
-    Titles are taken apart once a post and compared once a pair. vectors: the embeddings too; leads: whether the new
-    description is like the raw (nr_described) and like the rewritten one (na_described; na_either: that, or the raw one
-    where there is none).
-    """
+def _new_parts(new: DataFrame, vectors: bool = False, leads: bool = False) -> DataFrame:
+    """What comparisons need of new posts: new_id, n_created_at and the parts of titles (n) and descriptions (nd)."""
     extra = ["embedding", "title_embedding"] if vectors else []
     n = title_columns(new.select(F.col("id").alias("new_id"), "raw_title", "raw_description", F.col("created_at").alias("n_created_at"), *[F.col(x).alias(f"n_{x}") for x in extra]), "n", F.col("raw_title"))
+    return (lead_columns(n, "nd", F.col("raw_description")) if leads else n).drop("raw_title", "raw_description")
+
+
+def _kept_parts(history: DataFrame, vectors: bool = False, leads: bool = False) -> DataFrame:
+    """The same of kept posts: kept_id, kept_title, created_at, and raw (r, rd) and rewritten (a, ad) parts."""
+    extra = ["embedding", "title_embedding"] if vectors else []
     more = [c for c in ("ai_embedding", "ai_title_embedding") if vectors and c in history.columns]
     k = _display(history).select(
         F.col("id").alias("kept_id"), "kept_title", "raw_title", "raw_description", "ai_title", "ai_text", "created_at",
@@ -122,10 +152,13 @@ def _attach(pairs: DataFrame, new: DataFrame, history: DataFrame, vectors: bool
     )
     k = title_columns(title_columns(k, "r", F.col("raw_title")), "a", F.col("ai_title"))
     if leads:
-        n = lead_columns(n, "nd", F.col("raw_description"))
         k = lead_columns(lead_columns(k, "rd", F.col("raw_description")), "ad", F.col("ai_text")).withColumn("no_text", F.col("ai_text").isNull())
-    k = k.withColumn("rewritten", F.trim(F.coalesce("ai_title", F.lit(""))) != "")
-    out = pairs.join(n.drop("raw_title", "raw_description"), "new_id").join(k.drop("raw_title", "raw_description", "ai_title", "ai_text"), "kept_id")
+    return k.withColumn("rewritten", F.trim(F.coalesce("ai_title", F.lit(""))) != "").drop("raw_title", "raw_description", "ai_title", "ai_text")
+
+
+def _compared(out: DataFrame, leads: bool = False) -> DataFrame:
+    """Pairs of new and kept parts with the comparisons: titles (nr, na) and, with leads, whether the new description is
+    like the raw (nr_described) and like the rewritten one (na_described; na_either: that, or the raw one where there is none)."""
     out = pair_columns(pair_columns(out, "nr", Title.at("n"), Title.at("r")), "na", Title.at("n"), Title.at("a"))
     if leads:
         out = out.withColumns({"nr_described": leads_similar(Title.at("nd"), Title.at("rd")), "na_described": leads_similar(Title.at("nd"), Title.at("ad"))})
@@ -134,6 +167,12 @@ def _attach(pairs: DataFrame, new: DataFrame, history: DataFrame, vectors: bool
     return out.drop(*gone)
 
 
+def _attach(pairs: DataFrame, new: DataFrame, history: DataFrame, vectors: bool = False, leads: bool = False) -> DataFrame:
+    """Pairs with what verdicts need; titles are taken apart once a post and compared once a pair. vectors: the embeddings too."""
+    out = pairs.join(_new_parts(new, vectors, leads), "new_id").join(_kept_parts(history, vectors, leads), "kept_id")
+    return _compared(out, leads)
+
+
 def lexical_edges(pairs: DataFrame, family: str) -> DataFrame:
     """Of attached pairs the lexical duplicates, with verdict and rank; the rank uses the kept raw title."""
     raw, ai = Pair.at("nr"), Pair.at("na")
@@ -156,7 +195,7 @@ def _as_matches(best: DataFrame, reason: str, confidence: Column, explanation: C
 def match_lexical(new: DataFrame, history: DataFrame, family: str = "e5_base", as_of=None, days: int = 0, limit: int | None = None, status=None) -> DataFrame:
     """The best lexical match of each new post; link roundups take no part on either side."""
     own, kept = new.where(~is_link_roundup(F.col("raw_title"))), _newest_of_title(_bounded(history, as_of, days, limit, status))
-    pairs = candidate_pairs(own, kept, LEAST_COMMON[family]).unionByName(_equal_pairs(own, kept, family)).distinct()
+    pairs = candidate_pairs(own, kept, LEXICAL_BOUNDS[family]).unionByName(_equal_pairs(own, kept, family)).distinct()
     best = best_match(lexical_edges(_attach(pairs, own, kept), family))
     return _as_matches(best, "lexical", F.col("verdict.confidence"), F.col("verdict.explanation"))
 
@@ -201,33 +240,43 @@ def semantic_edges(pairs: DataFrame, family: str, thresholds: dict | None = None
     return out.withColumn("rank", match_rank(Pair.at("nr"), family, F.col("confidence"))).drop(*[c for c in pairs.columns if c.endswith("embedding")])
 
 
+def _semantic_class(posts: DataFrame) -> Column:
+    """Equal for posts that the semantic decision cannot tell apart: by titles, descriptions and vectors."""
+    more = [c for c in ("embedding", "title_embedding", "ai_embedding", "ai_title_embedding") if c in posts.columns]
+    rewritten = F.trim(F.coalesce("ai_title", F.lit(""))) != ""
+    parts = [norm_title(F.col("raw_title")), norm_title(F.col("ai_title")), norm_title(F.col("raw_description")), norm_title(F.col("ai_text")), rewritten.cast("string"), *[F.to_json(F.struct(c)) for c in more]]
+    return F.sha2(F.concat_ws("\x00", *parts), 256)
+
+
 def match_semantic(new: DataFrame, history: DataFrame, family: str = "e5_base", thresholds: dict | None = None, as_of=None, days: int = 0, limit: int | None = HISTORY, status=None) -> DataFrame:
     """The best semantic match of each new post, by cosine of full and title embeddings and the decision cascade.
 
-    Only the `limit` newest posts of the window are compared. Without a limit every post is, and of those that share
-    only a title too short for candidate words the two best by title.
+    Of the `limit` newest posts of the window, or, without a limit, of all of them. Posts that are alike in everything the
+    decision looks at are one class, of which the two newest are compared: one of them is another post than the new one.
     """
     own, kept = new.where(~is_link_roundup(F.col("raw_title"))), _bounded(history, as_of, days, limit, status)
-    pairs = candidate_pairs(own, kept, LEAST_COMMON[family]).unionByName(_equal_pairs(own, kept, None if limit else family)).distinct()
+    if not limit:
+        kept = _two_newest(kept.withColumn("_class", _semantic_class(kept)), "_class").drop("_class")
+    pairs = candidate_pairs(own, kept, semantic_bounds(family, thresholds)).unionByName(_equal_pairs(own, kept, None)).distinct()
     edges = semantic_edges(_attach(pairs, own, kept, True, True), family, thresholds).where("is_duplicate").select("new_id", "kept_id", "kept_title", "created_at", "title_sim", "confidence", "rank")
     text = F.format_string("semantic similarity %d%% (titles %d%%)", "confidence", F.round(F.col("title_sim") * 100).cast("int"))
     return _as_matches(best_match(edges), "semantic", F.col("confidence"), text)
 
 
-def shortlist(new: DataFrame, history: DataFrame, family: str = "e5_base", k: int = 50, as_of=None, days: int = 0, limit: int | None = HISTORY) -> DataFrame:
+def shortlist(new: DataFrame, history: DataFrame, family: str = "e5_base", k: int = 50, as_of=None, days: int = 0, limit: int = HISTORY) -> DataFrame:
     """(new_id, kept_id, score, place): pairs of positive heuristic score with the `limit` newest posts of the window, best
     first, ties to the newer post; and, where fewer than k are positive, pairs of score zero up to k in all.
 
-    With a limit every new post is held against each of those few posts, so the work grows with the new posts alone.
-    Without one only pairs that share a distinctive word or a title are scored, and all of them are returned.
+    Every new post is held against each of those few posts, MOST_HISTORY at most, so the work grows with the new posts
+    alone and nothing of them is shuffled but the scores. There is no form without a limit: descriptions count as alike
+    for a single word that one of them repeats, so of an unbounded history nearly every pair would be in the list.
     """
-    kept = dedup_candidates(history, as_of, days, limit)
-    if limit:
-        kept = cut_lineage(kept)
-        pairs = new.select(F.col("id").alias("new_id")).join(F.broadcast(kept.select(F.col("id").alias("kept_id"))), F.col("new_id") != F.col("kept_id"))
-    else:
-        pairs = candidate_pairs(new, kept, 1).unionByName(_equal_pairs(new, kept, family)).distinct()
-    own = _attach(pairs, new, kept, leads=True)
+    if not 1 <= limit <= MOST_HISTORY:
+        raise ValueError(f"a shortlist takes 1 to {MOST_HISTORY} posts of history")
+    kept = cut_lineage(_kept_parts(dedup_candidates(history, as_of, days, limit), leads=True).drop("kept_title"))
+    held = kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*[c for c in kept.columns if c != "created_at"])))).alias("b")).first().b or 0
+    pairs = _new_parts(new, leads=True).join(F.broadcast(kept) if held <= BROADCAST_BYTES else kept, F.col("new_id") != F.col("kept_id"))
+    own = _compared(pairs, leads=True)
     by_raw = heuristic_score(Pair.at("nr"), F.col("nr_described"), family)
     by_ai = F.when(F.col("rewritten"), heuristic_score(Pair.at("na"), F.col("na_either"), family))
     scored = own.select("new_id", "kept_id", "created_at", F.greatest(by_raw, by_ai).alias("score"))
@@ -264,11 +313,9 @@ def story_classes(posts: DataFrame, semantic: bool = False) -> DataFrame:
     A class holds posts that match the same others: equal raw and rewritten titles, for the semantic decision equal
     descriptions and vectors too. Posts without a title match nothing as new ones, so each is its own class.
     """
-    more = [c for c in ("embedding", "title_embedding", "ai_embedding", "ai_title_embedding") if c in posts.columns]
-    parts = [norm_title(F.col("raw_title")), norm_title(F.col("ai_title"))]
-    if semantic:
-        parts += [norm_title(F.col("raw_description")), norm_title(F.col("ai_text")), *[F.to_json(F.struct(c)) for c in more]]
-    rows = posts.select("id", F.struct("created_at", "id").alias("at"), parts[0].alias("norm"), F.sha2(F.concat_ws("\x00", *parts), 256).alias("key"))
+    norm = norm_title(F.col("raw_title"))
+    key = _semantic_class(posts) if semantic else F.sha2(F.concat_ws("\x00", norm, norm_title(F.col("ai_title"))), 256)
+    rows = posts.select("id", F.struct("created_at", "id").alias("at"), norm.alias("norm"), key.alias("key"))
     heads = rows.where("norm <> ''").groupBy("key").agg(F.min("at").alias("head"))
     return rows.join(heads, "key", "left").select("id", "at", "norm", F.coalesce("head", "at").alias("head"))
 
@@ -276,7 +323,8 @@ def story_classes(posts: DataFrame, semantic: bool = False) -> DataFrame:
 def class_pairs(posts: DataFrame, classes: DataFrame, family: str, semantic: bool = False, thresholds: dict | None = None) -> DataFrame:
     """(a, b), a < b: heads of classes with different titles of which one is a duplicate of the other."""
     single = posts.join(classes.where("id = head.id").select("id"), "id", "left_semi").where(~is_link_roundup(F.col("raw_title")))
-    pairs = candidate_pairs(single, single, LEAST_COMMON[family]).unionByName(_equal_pairs(single, single, None)).distinct()
+    bounds = semantic_bounds(family, thresholds) if semantic else LEXICAL_BOUNDS[family]
+    pairs = candidate_pairs(single, single, bounds).unionByName(_equal_pairs(single, single, None)).distinct()
     attached = _attach(pairs, single, single, semantic, semantic).where("n_norm <> r_norm or n_norm = ''")
     edges = semantic_edges(attached, family, thresholds).where("is_duplicate") if semantic else lexical_edges(attached, family)
     new, kept = F.struct(F.col("n_created_at").alias("created_at"), F.col("new_id").alias("id")), F.struct("created_at", F.col("kept_id").alias("id"))
@@ -302,39 +350,120 @@ def match_edges(posts: DataFrame, family: str = "e5_base", semantic: bool = Fals
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def greedy_kept(nodes: DataFrame, edges: DataFrame, groups: DataFrame | None = None, max_rounds: int = 1_000) -> DataFrame:
+def _rank_of(value):
+    """A key that orders ids as Spark does, nulls first; structs come as dictionaries."""
+    if isinstance(value, dict):
+        return tuple(_rank_of(v) for v in value.values())
+    return (value is not None, value)
+
+
+def _settle(rows: list[tuple]) -> set:
+    """Ids that go, of rows (kind, id, other, same, group): `need`: id is kept only if other's state (kept) equals same;
+    `group`: id is of a group, which keeps one of its members at most; `gone`: id goes. In order of id."""
+    needs: dict = {}
+    groups: dict = {}
+    gone, ids = set(), set()
+    for kind, v, other, same, group in rows:
+        ids.add(v)
+        if kind == "need":
+            ids.add(other)
+            needs.setdefault(v, []).append((other, same))
+        elif kind == "group":
+            groups.setdefault(v, []).append(group)
+        else:
+            gone.add(v)
+    taken: set = set()
+    for v in sorted(ids):
+        own = groups.get(v, ())
+        if v in gone or any((r not in gone) != same for r, same in needs.get(v, ())) or any(g in taken for g in own):
+            gone.add(v)
+        else:
+            taken.update(own)
+    return gone
+
+
+def _settled_in_a_task(need: DataFrame, groups: DataFrame, doomed: DataFrame, kind) -> DataFrame:
+    """(id) of those that go, of what is left, which is little; one task goes through it in order of id."""
+    empty = F.lit(None).cast(kind)
+    rows = need.select(F.lit("need").alias("kind"), F.col("v").alias("id"), F.col("r").alias("other"), "s", F.lit(None).cast("string").alias("group"))
+    rows = rows.unionByName(groups.select(F.lit("group").alias("kind"), "id", empty.alias("other"), F.lit(False).alias("s"), F.col("group").cast("string").alias("group")))
+    rows = rows.unionByName(doomed.select(F.lit("gone").alias("kind"), "id", empty.alias("other"), F.lit(False).alias("s"), F.lit(None).cast("string").alias("group")))
+
+    def settle(batches):
+        import pyarrow as pa
+
+        held, values = [], {}
+        for batch in batches:
+            for k, v, other, s, g in zip(*(c.to_pylist() for c in batch.columns)):
+                values[_rank_of(v)] = v
+                held.append((k, _rank_of(v), _rank_of(other), s, g))
+            form = batch.schema.field(1).type
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([values[r] for r in _settle(held) if r in values], form)], names=["id"])
+
+    return rows.repartition(1).mapInArrow(settle, need.select(F.col("v").alias("id")).schema)
+
+
+def greedy_kept(nodes: DataFrame, edges: DataFrame, groups: DataFrame | None = None, small: int = SETTLED_IN_A_TASK) -> DataFrame:
     """(id, kept): in order of id a node is kept unless an earlier kept node is its neighbour, or of its group.
 
-    groups: (id, group), all of a group being neighbours; ids may be of any ordered type. In rounds: undecided nodes
-    without undecided earlier neighbours are kept, their later neighbours go. Nodes without edges or fellows never enter
-    the rounds. Each round is written to the shared folder.
+    groups: (id, group), all of a group being neighbours; ids may be of any ordered type. What is left to decide are
+    needs: v is kept only if r's state is s (at first: if no earlier neighbour is kept). In rounds, nodes without needs
+    are kept and those with an unmet one go; and a node with a single need has its state from that of another, the same or
+    the opposite, so that chains of such nodes are followed by doubling and drop out of what is left, however long they
+    are. When no more than `small` needs are left, one task settles them. Each round is written to the shared folder.
     """
-    open_edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    kind = nodes.schema["id"].dataType
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r"))
     if groups is None:
         groups = nodes.select("id", F.lit(None).cast("string").alias("group")).limit(0)
-    fellows = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1 and group is not null")
-    open_groups = cut_lineage(groups.join(fellows, "group", "left_semi").select("id", "group").distinct())
-    gone = None
-    for _ in range(max_rounds):
-        if open_edges.isEmpty() and open_groups.isEmpty():
-            break
+    own = groups.where("group is not null").select("id", "group").distinct()
+    sized = cut_lineage(own.join(own.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "group"))
+    few = sized.where(F.col("n") <= SMALL_GROUP)
+    links = links.unionByName(few.select("group", F.col("id").alias("v")).join(few.select("group", F.col("id").alias("r")), "group").where("r < v").select("v", "r"))
+    need = cut_lineage(links.distinct().withColumn("s", F.lit(False)))
+    open_groups = cut_lineage(sized.where(F.col("n") > SMALL_GROUP).select("id", "group"))
+    doomed = nodes.select("id").limit(0)
+    gone: list[DataFrame] = []
+    followers: list[DataFrame] = []
+    one = lambda df, name: df.select(F.col(name).alias("id"))
+    while (left := need.count() + open_groups.count()) > small:
         least = open_groups.groupBy("group").agg(F.min("id").alias("least"))
-        later = open_edges.select(F.col("b").alias("id")).unionByName(open_groups.join(least, "group").where("id > least").select("id")).distinct()
-        first = open_edges.select(F.col("a").alias("id")).unionByName(least.select(F.col("least").alias("id"))).distinct().join(later, "id", "left_anti")
-        first = cut_lineage(first)
-        beside = open_groups.join(open_groups.join(first, "id", "left_semi").select("group").distinct(), "group", "left_semi").select("id").join(first, "id", "left_anti")
-        after = open_edges.join(first.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
-        dropped = cut_lineage(after.unionByName(beside).distinct())
-        gone = dropped if gone is None else gone.unionByName(dropped)
-        settled = cut_lineage(first.unionByName(dropped))
-        rest = open_edges.join(settled.withColumnRenamed("id", "a"), "a", "left_anti")
-        open_edges = cut_lineage(rest.join(settled.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
-        open_groups = cut_lineage(open_groups.join(settled, "id", "left_anti"))
-    else:
-        raise RuntimeError(f"not settled after {max_rounds} rounds")
-    if gone is None:
+        waiting = one(need, "v").unionByName(open_groups.join(least, "group").where("id > least").select("id")).unionByName(doomed).distinct()
+        free = cut_lineage(one(need, "r").unionByName(one(least, "least")).distinct().join(waiting, "id", "left_anti"))
+        fellows = open_groups.join(open_groups.join(free, "id", "left_semi").select("group").distinct(), "group", "left_semi").select("id").join(free, "id", "left_anti")
+        unmet = need.join(free.withColumnRenamed("id", "r"), "r", "left_semi").where("not s").select(F.col("v").alias("id"))
+        torn = need.groupBy("v", "r").agg(F.count_distinct("s").alias("n")).where("n > 1").select(F.col("v").alias("id"))
+        out = cut_lineage(unmet.unionByName(fellows).unionByName(torn).unionByName(doomed).distinct())
+        gone.append(out)
+        rest = need.join(out.withColumnRenamed("id", "v"), "v", "left_anti").join(free.withColumnRenamed("id", "r"), "r", "left_anti")
+        rest = cut_lineage(rest.join(out.select(F.col("id").alias("r"), F.lit(True).alias("lost")), "r", "left"))
+        doomed = cut_lineage(rest.where("lost and s").select(F.col("v").alias("id")).distinct())
+        need = rest.where("lost is null").select("v", "r", "s")
+        open_groups = cut_lineage(open_groups.join(out.unionByName(free), "id", "left_anti"))
+        # Nodes with a single need follow the node that it names, and that one what it follows itself.
+        single = need.groupBy("v").agg(F.count("*").alias("n"), F.first("r").alias("r"), F.first("s").alias("s")).where("n = 1").drop("n")
+        single = single.join(open_groups.select(F.col("id").alias("v")).unionByName(doomed.select(F.col("id").alias("v"))), "v", "left_anti")
+        single = cut_lineage(single.withColumn("moved", F.lit(True)))
+        while not single.where("moved").isEmpty():
+            ahead = single.select(F.col("v").alias("r"), F.col("r").alias("r2"), F.col("s").alias("s2"))
+            single = cut_lineage(single.drop("moved").join(ahead, "r", "left").select("v", F.coalesce("r2", "r").alias("r"), F.when(F.col("r2").isNull(), F.col("s")).otherwise(F.col("s") == F.col("s2")).alias("s"), F.col("r2").isNotNull().alias("moved")))
+        followers.append(single.select("v", "r", "s"))
+        ahead = single.select(F.col("v").alias("r"), F.col("r").alias("r2"), F.col("s").alias("s2"))
+        need = need.join(single.select("v"), "v", "left_anti").join(ahead, "r", "left")
+        need = cut_lineage(need.select("v", F.coalesce("r2", "r").alias("r"), F.when(F.col("r2").isNull(), F.col("s")).otherwise(F.col("s") == F.col("s2")).alias("s")).distinct())
+    if left or gone:
+        gone.append(cut_lineage(_settled_in_a_task(need, open_groups, doomed, kind)))
+    if not gone:
         return nodes.select("id", F.lit(True).alias("kept"))
-    return nodes.select("id").join(gone.distinct().withColumn("_gone", F.lit(True)), "id", "left").select("id", F.col("_gone").isNull().alias("kept"))
+    lost = gone[0]
+    for more in gone[1:]:
+        lost = lost.unionByName(more)
+    lost = lost.distinct()
+    for single in reversed(followers):  # what a follower follows was settled in a later round than it was set aside
+        told = single.join(lost.select(F.col("id").alias("r"), F.lit(True).alias("out")), "r", "left")
+        lost = cut_lineage(lost.unionByName(told.where(F.col("out").isNull() != F.col("s")).select(F.col("v").alias("id"))).distinct())
+    return nodes.select("id").join(lost.withColumn("_gone", F.lit(True)), "id", "left").select("id", F.col("_gone").isNull().alias("kept"))
 
 
 def _first_come(posts: DataFrame, family: str, semantic: bool, thresholds: dict | None) -> DataFrame:
@@ -364,7 +493,7 @@ def dedup_batch(new: DataFrame, history: DataFrame, family: str = "e5_base", as_
         elif stage == "lexical":
             hit = match_lexical(rest, history, family, as_of, days, limit)
         else:
-            hit = match_semantic(rest, history, family, thresholds, as_of, days, limit or HISTORY)
+            hit = match_semantic(rest, history, family, thresholds, as_of, days, limit)
         hit = cut_lineage(hit)
         found = hit if found is None else found.unionByName(hit)
         rest = rest.join(hit.select(F.col("new_id").alias("id")), "id", "left_anti")

@@ -11,6 +11,10 @@ from newsloom.operators.listing import PUBLISHABLE, QUEUE, next_batch
 from newsloom.sources.store import Store
 
 
+#: States from which a post can be approved.
+APPROVABLE = ("new", "ai_processed")
+
+
 def _null(posts: DataFrame, *names: str) -> dict:
     return {n: F.lit(None).cast(posts.schema[n].dataType) for n in names if n in posts.columns}
 
@@ -43,11 +47,13 @@ def recover(posts: DataFrame) -> DataFrame:
 
 
 def apply_rewrites(posts: DataFrame, replies: DataFrame, auto_approve: bool = False) -> DataFrame:
-    """Claimed posts get their rewrite (id, title, text, hashtags, parse_path), cleaned; failed replies release them."""
+    """Claimed posts (status processing) get their rewrite (id, title, text, hashtags, parse_path), cleaned; failed replies
+    release them. A reply that comes when its post is no longer claimed changes nothing."""
     own = replies.groupBy(F.col("id").alias("_id")).agg(F.max(F.struct("parse_path", "title", "text", "hashtags")).alias("_reply"))
     out = posts.join(own, F.col("id") == F.col("_id"), "left")
-    good = F.col("_reply").isNotNull() & (F.col("_reply.parse_path") != "failed")
-    failed = F.col("_reply").isNotNull() & (F.col("_reply.parse_path") == "failed") & (F.col("status") == "processing")
+    claimed = F.col("_reply").isNotNull() & F.coalesce(F.col("status") == "processing", F.lit(False))
+    good = claimed & (F.col("_reply.parse_path") != "failed")
+    failed = claimed & (F.col("_reply.parse_path") == "failed")
     values = {"ai_title": strip_links(F.col("_reply.title")), "ai_text": format_post_text(F.col("_reply.text")), "ai_hashtags": format_hashtags(F.col("_reply.hashtags"))}
     out = _set(out, good, values)
     status = F.when(good, F.lit("approved" if auto_approve else "ai_processed")).when(failed, F.lit("new")).otherwise(F.col("status"))
@@ -74,7 +80,8 @@ def apply_publish(posts: DataFrame, outcomes: DataFrame, as_of) -> DataFrame:
 
 
 def approve(posts: DataFrame, ids: DataFrame) -> DataFrame:
-    return _set(_where(posts, ids), F.col("_hit"), {"status": F.lit("approved")}).drop("_hit")
+    """Posts among ids that wait for it, new or rewritten, are approved; those in any other state stay as they are."""
+    return _set(_where(posts, ids), F.col("_hit") & F.col("status").isin(*APPROVABLE), {"status": F.lit("approved")}).drop("_hit")
 
 
 def reset_raw(posts: DataFrame, updates: DataFrame) -> DataFrame:

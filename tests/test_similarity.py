@@ -111,16 +111,61 @@ def test_candidates_lose_nothing(spark, least):
     assert {tuple(r) for r in dedup.candidate_pairs(frame, frame, least).collect()} == expected
 
 
-def test_greedy_rounds_equal_one_pass(spark):
+@pytest.mark.parametrize("family", ["e5_base", "e5_large", "bge"])
+def test_candidates_by_verdict_bounds(spark, family):
+    """Just the pairs that reach a bound of the family's verdict, words and Jaccard, each once."""
+    frame, rows = make_posts(spark, 120, 3)
+    bounds = M.LEXICAL_BOUNDS[family]
+    reach = lambda x, y: any(len(x & y) >= c and len(x & y) >= t * len(x | y) - 1e-9 for c, t in bounds)
+    expected = sorted((a[0], b[0]) for a, b in itertools.permutations(rows, 2) if any(reach(tokens(a[2]), tokens(t)) for t in (b[2], b[4]) if t))
+    assert sorted(tuple(r) for r in dedup.candidate_pairs(frame, frame, bounds).collect()) == expected and expected
+
+
+def one_pass(n, edges, groups=()):
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(max(a, b), []).append(min(a, b))
+    kept, taken, of = set(), set(), {}
+    for v, g in groups:
+        of.setdefault(v, []).append(g)
+    for v in range(n):
+        if not any(u in kept for u in near.get(v, ())) and not any(g in taken for g in of.get(v, ())):
+            kept.add(v)
+            taken.update(of.get(v, ()))
+    return kept
+
+
+@pytest.mark.parametrize("small", [0, 25, 50_000])
+def test_greedy_rounds_equal_one_pass(spark, small):
     rng = random.Random(4)
-    for n, share in ((40, 0.08), (60, 0.03)):
+    for n, share, many in ((40, 0.08, 0), (60, 0.03, 2), (70, 0.02, 5)):
         edges = [(a, b) for a, b in itertools.combinations(range(n), 2) if rng.random() < share]
-        kept = set()
-        for v in range(n):
-            if not any((u, v) in set(edges) and u in kept for u in range(v)):
-                kept.add(v)
-        out = dedup.greedy_kept(spark.range(n), spark.createDataFrame(edges, "a long, b long")).collect()
-        assert {r.id for r in out if r.kept} == kept and len(out) == n
+        groups = [(v, f"g{rng.randrange(many)}") for v in range(n) if many and rng.random() < 0.6]
+        given = spark.createDataFrame(groups, "id long, group string") if groups else None
+        out = dedup.greedy_kept(spark.range(n), spark.createDataFrame(edges, "a long, b long"), given, small).collect()
+        assert {r.id for r in out if r.kept} == one_pass(n, edges, groups) and len(out) == n
+
+
+@pytest.mark.parametrize("small", [100, 50_000])
+@pytest.mark.parametrize("shape", ["chain", "star", "combs"])
+def test_greedy_of_long_shapes(spark, shape, small):
+    """Chains and stars of 5,000 have no round for every second node, and no limit of rounds."""
+    n = 5_000
+    edges = {
+        "chain": [(i, i + 1) for i in range(n - 1)],
+        "star": [(0, i) for i in range(1, n)],
+        "combs": [(i, i + 1) for i in range(0, n - 2, 2)] + [(i, i + 2) for i in range(0, n - 2, 2)],
+    }[shape]
+    out = dedup.greedy_kept(spark.range(n), spark.createDataFrame(edges, "a long, b long"), small=small).collect()
+    assert {r.id for r in out if r.kept} == one_pass(n, edges)
+
+
+def test_greedy_of_structs_and_nulls(spark):
+    nodes = spark.createDataFrame([((None, 3),), ((1, 1),), ((1, 2),), ((None, 1),)], "id struct<at:int,id:int>")
+    edges = spark.createDataFrame([((1, 1), (None, 3)), ((1, 2), (1, 1)), ((None, 1), (None, 3))], "a struct<at:int,id:int>, b struct<at:int,id:int>")
+    for small in (0, 100):
+        out = dedup.greedy_kept(nodes, edges, small=small).collect()
+        assert {tuple(r.id) for r in out if r.kept} == {(None, 1), (1, 1)}
 
 
 def test_sweep_equals_simulation(spark):
