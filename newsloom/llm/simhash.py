@@ -178,7 +178,8 @@ def linked_pairs(points: DataFrame, threshold: int = 4, n_points: int | None = N
         state = state * 3 + F.least(F.bit_count(differ.bitwiseAND(F.lit(_signed(((1 << width) - 1) << start)))), F.lit(2))
     own = F.element_at(F.array(*map(F.lit, keys.first())), state + 1) == F.shiftright("anchor", 48)
     near = F.bit_count(differ) <= threshold
-    return home.join(visitors, "anchor").where((F.col("u") < F.col("v")) & near & own).select("u", "v")
+    # Spark sizes the sides by the fingerprints that they are made of, and would broadcast what is many times as large.
+    return home.join(visitors.hint("merge"), "anchor").where((F.col("u") < F.col("v")) & near & own).select("u", "v")
 
 
 def _signed(x: int) -> int:
