@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from newsloom.functions.similarity import norm_url
 from newsloom.functions.text import format_hashtags, format_post_text, strip_links
 from newsloom.operators.listing import PUBLISHABLE, QUEUE, next_batch
 from newsloom.sources.store import Store
+from newsloom.steps import cut_lineage
 
 
 #: States from which a post can be approved.
@@ -106,25 +109,25 @@ def apply_unpublish(posts: DataFrame, ids: DataFrame) -> DataFrame:
     return _set(_where(posts, ids), F.col("_hit"), values | _null(posts, "vk_post_id", "telegram_message_id", "published_at", "error_message")).drop("_hit")
 
 
-def forget(store: Store, ids: DataFrame) -> None:
-    """Deletes posts with their log rows, ledger rows (by normalised or raw address) and duplicate records (raw address)."""
-    posts = store.read("posts")
-    gone = posts.join(ids.select("id").distinct(), "id", "left_semi").select("id", "source_url").cache()
+def forget(store: Store, ids: DataFrame, run_id: str | None = None) -> None:
+    """Deletes posts with their log rows, ledger rows (by normalised or raw address) and duplicate records (raw address).
+
+    All of it or nothing (`Store.change`); of the posts only the buckets that lose some are written.
+    """
+    store.roll_forward()
+    gone = cut_lineage(store.read("posts").join(ids.select("id").distinct(), "id", "left_semi").select("id", "source_url"))
     urls = gone.select(norm_url(F.col("source_url")).alias("normalized_url")).unionByName(gone.select(F.col("source_url").alias("normalized_url"))).distinct()
     kept = {
         "publish_log": store.read("publish_log").join(gone.select(F.col("id").alias("post_id")), "post_id", "left_anti"),
         "parsed_items": store.read("parsed_items").join(urls, "normalized_url", "left_anti"),
         "duplicate_records": store.read("duplicate_records").join(gone.select(F.col("source_url").alias("duplicate_url")).distinct(), "duplicate_url", "left_anti"),
-        "posts": posts.join(gone.select("id"), "id", "left_anti"),
     }
-    for name, rows in kept.items():
-        store.write(name, rows)
-    gone.unpersist()
+    store.change(run_id or f"forget-{uuid.uuid4().hex}", kept, {"posts": gone})
 
 
-def delete_queue(store: Store) -> None:
+def delete_queue(store: Store, run_id: str | None = None) -> None:
     """Forgets every post of the queue."""
-    forget(store, store.read("posts").where(F.col("status").isin(*QUEUE)).select("id"))
+    forget(store, store.read("posts").where(F.col("status").isin(*QUEUE)).select("id"), run_id)
 
 
 def next_publishable(posts: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from newsloom.functions.similarity import norm_url
 from newsloom.operators.dedup import dedup_batch, sweep
 from newsloom.operators.lifecycle import forget
 from newsloom.operators.listing import enabled_sources, hint_posts, unseen
-from newsloom.operators.reports import funnel
-from newsloom.sources.feeds import read_atom, read_rss
+from newsloom.operators.reports import ERRORS, funnel
+from newsloom.sources.feeds import read_atom, read_rss, unreadable
 from newsloom.sources.pages import enrich, extract_articles
 from newsloom.steps import cut_lineage
 from newsloom.sources.store import Store, insert_new_posts, post_id, record_duplicates, record_run, record_seen, touch_sources
@@ -26,6 +26,8 @@ class Ingested:
 
     funnel: DataFrame
     new_posts: DataFrame
+    errors: DataFrame  # feed_url, error: a dead letter for each document that could not be used
+    outcomes: DataFrame  # run_id, outcome, error: a row for each item and outcome
 
 
 def purge_hints(store: Store, **lists) -> None:
@@ -42,6 +44,23 @@ def feed_items(docs: DataFrame, sources: DataFrame, limit: int = 10) -> DataFram
     return read_rss(rss, limit).unionByName(read_atom(atom, limit))
 
 
+def feed_errors(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(feed_url, error) of documents that make no items: unreadable ones, those of an unknown kind, and those of an
+    address that no enabled source has."""
+    enabled = enabled_sources(sources).select(F.col("url").alias("feed_url")).distinct()
+    own = docs.join(enabled, "feed_url", "left_semi")
+    known = F.coalesce(F.col("kind").isin("rss", "atom"), F.lit(False))
+    parts = [
+        unreadable(own.where(F.col("kind") == "rss"), "rss").select("feed_url", "error"), unreadable(own.where(F.col("kind") == "atom"), "atom").select("feed_url", "error"),
+        own.where(~known).select("feed_url", F.concat(F.lit("unknown kind "), F.coalesce("kind", F.lit("null"))).alias("error")),
+        docs.join(enabled, "feed_url", "left_anti").select("feed_url", F.lit("no enabled source").alias("error")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _first_of_address(items: DataFrame) -> DataFrame:
     """Of items whose normalised addresses are equal the first of its feed; the others count as seen."""
     order = F.struct("position", "link", *[c for c in items.columns if c not in ("position", "link")])
@@ -58,23 +77,24 @@ def swept_ids(posts: DataFrame, kept: DataFrame, family: str) -> DataFrame:
 def store_batch(store: Store, kept: DataFrame, matches: DataFrame, gone: DataFrame, as_of) -> None:
     """Records matches, adds kept posts, removes swept ones. To do it again changes nothing."""
     store.append("duplicate_records", record_duplicates(matches, as_of), ["id"])
-    posts = store.read("posts")
-    added = kept.join(posts.select("id"), "id", "left_anti").select(*posts.columns)
-    store.write("posts", posts.unionByName(added).join(gone, "id", "left_anti"))
+    there = store.read("posts").join(kept.select("id"), "id", "left_semi").select("id")
+    store.update("posts", kept.join(there, "id", "left_anti"), gone)
 
 
-def ingest(store: Store, docs: DataFrame, pages: DataFrame, as_of, run_id: str, limit: int = 10, family: str = "e5_base", days: int = 30, **lists) -> Ingested:
+def ingest(store: Store, docs: DataFrame, pages: DataFrame, as_of, run_id: str, limit: int = 10, family: str = "e5_base", days: int = 30, most_errors: int | None = ERRORS, **lists) -> Ingested:
     """Reads feeds, gates, enriches, gates again, drops what was seen, removes duplicates, stores posts, ledger, records.
 
     An item with an empty description passes the first gate, since its page may supply the text. Every item ends in one
-    outcome, which the funnel counts. What a run decides is staged under its run_id before the store is changed, and each
+    outcome, which the funnel counts, and so does every document that makes no items: its error is a row of `errors`. What a run decides is staged under its run_id before the store is changed, and each
     change adds only what is not there: a run that failed anywhere is finished by running it again under the same id. The
     ledger comes after the posts, so that under another id too no item is lost.
     """
+    store.roll_forward()
     purge_hints(store, **{k: v for k, v in lists.items() if k in ("puzzles", "phrases")})
     posts, ledger = store.read("posts"), store.read("parsed_items")
     stage = partial(store.stage, run_id)
     items = stage("items", lambda: feed_items(docs, store.read("sources"), limit))
+    errors = stage("errors", lambda: feed_errors(docs, store.read("sources")))
     first = content_gate(items, keep_empty=True, **lists)
     passed = first.where("reject_reason is null").drop("reject_reason")
     texts = extract_articles(pages).select("url", "article_text")
@@ -101,10 +121,10 @@ def ingest(store: Store, docs: DataFrame, pages: DataFrame, as_of, run_id: str,
     rejected = first.where("reject_reason is not null").unionByName(gated.where("reject_reason is not null"))
     seen = good.join(fresh.select("link").distinct(), "link", "left_anti")
     parts = [(items, "scanned"), (rejected, "rejected"), (good, "checked"), (seen, "seen"), (existing, "existing"), (fresh, "eligible"), (matches, "duplicate"), (kept, "new"), (added, "queued")]
-    outcomes = None
+    outcomes = errors.select(F.lit(run_id).alias("run_id"), F.lit("error").alias("outcome"), F.concat_ws(": ", "feed_url", "error").alias("error"))
     for df, name in parts:
-        outcomes = link(df, name) if outcomes is None else outcomes.unionByName(link(df, name))
-    return Ingested(funnel(outcomes), added)
+        outcomes = outcomes.unionByName(link(df, name))
+    return Ingested(funnel(outcomes, most=most_errors), added, errors, outcomes)
 
 
 def with_embeddings(posts: DataFrame, encode) -> DataFrame:

@@ -192,6 +192,19 @@ def publish_plan(spark, sf_dir):
     return lifecycle.publish_plan(views.posts(spark, sf_dir), 6, 30, (0, 300), AS_OF, seed=3, channel="source")
 
 
+@query((S + f""", w as (select id, coalesce(category_id, -1) as cat, created_at, 'c' || (id % 3) as channel from posts where status in ('ai_processed', 'approved')),
+    last as (select 'c' || (id % 3) as channel, max_by(coalesce(category_id, -1), (published_at, id)) as cat from posts where status = 'published' group by 1),
+    walk(channel, slot, used, cat) as (select c.channel, 0, []::bigint[], l.cat from (select distinct channel from w) c left join last l using (channel)
+        union all select k.channel, k.slot + 1, list_append(any_value(k.used), max_by(w.id, (coalesce(w.cat <> k.cat, true), w.created_at, w.id))), max_by(w.cat, (coalesce(w.cat <> k.cat, true), w.created_at, w.id))
+        from walk k join w on w.channel = k.channel and not list_contains(k.used, w.id) where k.slot < 6 group by k.channel, k.slot),
+    j as (select unnest(range(1, 7))::int as slot, unnest({list(JITTER)}) as more)
+    select channel, walk.slot, used[walk.slot] as id, timestamp '{AS_OF}' + to_seconds(sum(1800 + more) over (partition by channel order by slot)) as publish_at from walk join j using (slot)""").replace("with ", "with recursive ", 1))
+def publish_plan_alternating(spark, sf_dir):
+    """Channels of several categories, which take turns."""
+    own = views.posts(spark, sf_dir).withColumn("channel", F.concat(F.lit("c"), (F.col("id") % 3).cast("string")))
+    return lifecycle.publish_plan(own, 6, 30, (0, 300), AS_OF, seed=3)
+
+
 @query(S + "select id, case when id in (select id from posts where status = 'new' order by created_at, id limit 10) then 'processing' else status end as status from posts")
 def claim(spark, sf_dir):
     return lifecycle.claim(views.posts(spark, sf_dir))[0].select("id", "status")
@@ -208,7 +221,7 @@ def recover(spark, sf_dir):
     return lifecycle.recover(views.posts(spark, sf_dir)).select("id", "status")
 
 
-@query(S + "select id, case when id % 3 = 0 then 'approved' else status end as status from posts")
+@query(S + "select id, case when id % 3 = 0 and status in ('new', 'ai_processed') then 'approved' else status end as status from posts")
 def approve(spark, sf_dir):
     own = views.posts(spark, sf_dir)
     return lifecycle.approve(own, own.where("id % 3 = 0").select("id")).select("id", "status")

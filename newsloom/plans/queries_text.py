@@ -136,6 +136,78 @@ def match_semantic(spark, sf_dir):
     return dedup.match_semantic(own, own, FAMILY, LOW).select("new_id", "kept_id", "confidence")
 
 
+def _decided(family: str) -> str:
+    """DuckDB: the decision of a family with a rule for weak titles, of posts and the next ones; thresholds as in LOW_OF."""
+    t = LOW_OF[family]
+    strong = {"e5_large": "(c >= 5 or (c >= 4 and j >= 0.45))", "bge": "(c >= 5 or (c >= 4 and j >= 0.5 and meaningful))"}[family]
+    franchise = ", ".join(repr(w) for w in similarity.FRANCHISE_WORDS)
+    return TOKENS + STARTS + f""", p as (select a.id, a.dis as ad, b.dis as bd, a.norm as an, b.norm as bn, a.words as aw, b.words as bw, (x.enough and y.enough and {_alike('x.s', 'y.s', 'x.sw', 'y.sw')}) as described,
+        round(list_cosine_similarity(v.embedding::double[], w.embedding::double[]), 6) as f from feat a join feat b on b.id = a.id + 1 join start x on x.id = a.id join start y on y.id = b.id join embeddings v on v.vec_id = a.id join embeddings w on w.vec_id = b.id),
+    q as (select *, len(list_intersect(ad, bd)) as c, case when len(ad) > 0 and len(bd) > 0 then len(list_intersect(ad, bd))::double / len(list_distinct(ad || bd)) else 0 end as j, an <> '' and an = bn as equal, {_alike('an', 'bn', 'aw', 'bw')} as alike,
+        (list_contains(ad, 'summer') and list_contains(bd, 'winter')) or (list_contains(ad, 'winter') and list_contains(bd, 'summer')) as contra from p),
+    r as (select *, c < 4 or len(list_filter(list_intersect(ad, bd), lambda w: w not in ({franchise}))) > 0 as meaningful from q),
+    s as (select *, equal or (not contra and {strong}) as strong from r), u as (select *, not strong and not contra and alike and c >= 3 and j >= {similarity.MEDIUM_JACCARD[family]} as medium from s),
+    z as (select *, c < 5 and j < 0.35 and not (c >= {t['common_high']} and f >= 0.82 and f >= 0.68 and meaningful) as weak from u)
+    select id, case when equal then 'equal' when strong then 'strong' when medium then 'medium' else 'none' end as class, strong or medium or (c >= {t['common']} and not weak and (f >= {t['full_strong']}
+        or (f >= {t['full_with_title']} and f >= {t['title']} and c >= {t['common_title']}) or (alike and c >= {t['common_similar']} and (f >= {t['similar_full']} or f >= {t['similar_title']}))
+        or (c >= {t['common_high']} and f >= {t['full_with_lexical']} and f >= {round(t['title'] - 0.06, 6)}) or (f >= {t['full_with_lexical']} and f >= {t['title']}) or (f >= {t['full_with_lexical']} and described))) as is_duplicate from z"""
+
+
+LOW_OF = {f: dict(similarity.THRESHOLDS[f], full_strong=0.30, full_with_title=0.25, title=0.25, full_with_lexical=0.2, similar_full=0.15, similar_title=0.2, common=1, common_title=1, common_similar=1, common_high=3) for f in ("e5_large", "bge")}
+
+
+@query(_decided("e5_large"))
+def compare_pairs_e5_large(spark, sf_dir):
+    return dedup.compare_pairs(_vector_pairs(spark, sf_dir), "e5_large", LOW_OF["e5_large"]).select("id", "class", "is_duplicate")
+
+
+@query(_decided("bge"))
+def compare_pairs_bge(spark, sf_dir):
+    return dedup.compare_pairs(_vector_pairs(spark, sf_dir), "bge", LOW_OF["bge"]).select("id", "class", "is_duplicate")
+
+
+@query(S + """select id, case id % 5 when 0 then 'e5_large' when 1 then 'e5_base' when 2 then 'bge' when 3 then 'e5_base' else 'other' end as family from posts""")
+def encoder_families(spark, sf_dir):
+    names = ["org/multilingual-e5-large-instruct", "org/e5-base", "org/bge-m3", "E5/e5", "org/encoder"]
+    model = F.concat(F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("id") % 5 + 1).cast("int")), F.lit("/"), F.col("source"))
+    return views.posts(spark, sf_dir).select("id", similarity.encoder_family(model).alias("family"))
+
+
+#: DuckDB: pairs of posts with vectors, all compared, and whether the decision of the low thresholds calls them duplicates.
+DUP = V + STARTS + f""", cand as (select v.*, (x.enough and y.enough and {_alike('x.s', 'y.s', 'x.sw', 'y.sw')}) as described from v join start x on x.id = new_id join start y on y.id = kept_id),
+    dup as (select *, greatest(0, least(100, floor(f * 100)))::int as conf, strong or (c >= 2 and (f >= 0.25 or (alike and f >= 0.15) or (c >= 4 and f >= 0.2) or (f >= 0.2 and described))) as dup from cand)
+"""
+
+
+@query(DUP + "select new_id, kept_id, conf as confidence from (select *, row_number() over (partition by new_id order by lexical desc, c desc, conf desc, created_at desc, kept_id desc) as r from dup where dup) where r = 1")
+def match_semantic_all(spark, sf_dir):
+    """Against all of history, not only its newest posts."""
+    own = views.vectors(spark, sf_dir)
+    return dedup.match_semantic(own, own, FAMILY, LOW, limit=None).select("new_id", "kept_id", "confidence")
+
+
+#: DuckDB: rewritten titles with the vector of the next post, which stands for the rewritten text's own.
+VARIANTS = PAIRS + STARTS + f""", ai as (select a.vec_id as id, b.embedding from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+    v0 as (select s.*, round(list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 12) as f1, coalesce(round(list_cosine_similarity(x.embedding::double[], z.embedding::double[]), 12), 0) as f2, {WORDS.format('bm')} as mw
+        from sim s join embeddings x on x.vec_id = new_id join embeddings y on y.vec_id = kept_id left join ai z on z.id = kept_id),
+    v1 as (select *, bm <> '' and f2 > f1 as other, {_alike('an', 'bm', 'aw', 'mw')} as alike2 from v0),
+    v2 as (select v1.*, round(case when other then f2 else f1 end, 6) as f, case when other then c2 else c end as k, case when other then strong2 else strong end as s, case when other then alike2 else alike end as like1,
+        not other and (x.enough and y.enough and {_alike('x.s', 'y.s', 'x.sw', 'y.sw')}) as described, case when strong then 3 when alike then 1 else 0 end as lexical from v1 join start x on x.id = new_id join start y on y.id = kept_id),
+    v3 as (select *, greatest(0, least(100, floor(f * 100)))::int as conf from v2 where s or (k >= 2 and (f >= 0.25 or (like1 and f >= 0.15) or (k >= 4 and f >= 0.2) or (f >= 0.2 and described))))
+"""
+
+
+@query(VARIANTS + "select new_id, kept_id, other as by_rewrite, conf as confidence from (select *, row_number() over (partition by new_id order by lexical desc, c desc, conf desc, created_at desc, kept_id desc) as r from v3) where r = 1")
+def match_semantic_variants(spark, sf_dir):
+    """Kept posts whose rewritten texts have vectors of their own: the nearer of the two variants is decided on."""
+    own = views.vectors(spark, sf_dir)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("ai_embedding"))
+    own = own.join(vectors, "id", "left").withColumn("ai_title_embedding", F.col("ai_embedding"))
+    best = dedup.match_semantic(own, own, FAMILY, LOW, limit=None).select("new_id", "kept_id", "confidence")
+    pairs = dedup.semantic_scores(dedup._attach(best.select("new_id", "kept_id"), own, own, True, True)).select("new_id", "by_rewrite")
+    return best.join(pairs, "new_id").select("new_id", "kept_id", "by_rewrite", "confidence")
+
+
 def _score(norm: str, words: str, dis: str) -> str:
     """DuckDB: the heuristic score of a new post a against a kept title."""
     alike = _alike("a.norm", norm, "a.words", words)
@@ -204,6 +276,35 @@ def dedup_batch(spark, sf_dir):
     return kept.select("id", F.lit(None).cast("long").alias("kept_id"), F.lit(None).cast("string").alias("reason")).unionByName(matches.select(F.col("new_id").alias("id"), "kept_id", "reason"))
 
 
+@query(_recursive(DUP + """, own as (select posts.* from posts join embeddings on vec_id = id), exact as (select t.id, max_by(o.id, (o.created_at, o.id)) as kept_id from titles t join titles o on o.norm = t.norm and o.id % 2 = 0 join embeddings on vec_id = o.id where t.id % 2 = 1 and t.norm <> '' group by t.id),
+    near as (select new_id as id, kept_id from (select *, row_number() over (partition by new_id order by lexical desc, c desc, confidence desc, created_at desc, kept_id desc) as r from v
+        where confidence is not null and new_id % 2 = 1 and kept_id % 2 = 0 and new_id not in (select id from exact)) where r = 1),
+    alike as (select new_id as id, kept_id from (select *, row_number() over (partition by new_id order by lexical desc, c desc, conf desc, created_at desc, kept_id desc) as r from dup
+        where dup and new_id % 2 = 1 and kept_id % 2 = 0 and new_id not in (select id from exact) and new_id not in (select id from near)) where r = 1),
+    rest as (select * from own where id % 2 = 1 and id not in (select id from exact) and id not in (select id from near) and id not in (select id from alike)),
+    inside as (select new_id as a, kept_id as b from dup where dup and new_id in (select id from rest) and kept_id in (select id from rest))""" + _first_come("rest", "inside")
+    + """ select id, kept_id, 'exact' as reason from exact where id in (select id from own) union all select id, kept_id, 'lexical' from near union all select id, kept_id, 'semantic' from alike
+    union all select id, case when not list_contains(kept, id) then list_min(list_filter(near, lambda x: list_contains(kept, x))) end, case when not list_contains(kept, id) then 'batch' end from done"""))
+def dedup_batch_semantic(spark, sf_dir):
+    """All three stages against all of history, and first come within the batch by the semantic decision."""
+    own = views.vectors(spark, sf_dir)
+    kept, matches = dedup.dedup_batch(own.where("id % 2 = 1"), own.where("id % 2 = 0"), FAMILY, days=0, semantic=True, thresholds=LOW)
+    return kept.select("id", F.lit(None).cast("long").alias("kept_id"), F.lit(None).cast("string").alias("reason")).unionByName(matches.select(F.col("new_id").alias("id"), "kept_id", "reason"))
+
+
+@query(_recursive(DUP + ", own as (select posts.* from posts join embeddings on vec_id = id), twins as (select new_id as a, kept_id as b from dup where dup)" + _first_come("own", "twins")
+    + " select id, case when list_contains(kept, id) then id else list_min(list_filter(near, lambda x: list_contains(kept, x))) end as survivor, list_contains(kept, id) as kept from done"))
+def dedup_corpus_semantic(spark, sf_dir):
+    return dedup.dedup_corpus(views.vectors(spark, sf_dir), "greedy", FAMILY, True, LOW)
+
+
+@query(DUP + """, twins as (select new_id as a, kept_id as b from dup where dup union select kept_id, new_id from dup where dup), swept as (select id from posts join embeddings on vec_id = id where status in ('new', 'processing') and id % 2 = 0),
+    gone as (select distinct a from twins where a in (select id from swept) and (b not in (select id from swept) or b > a)) select vec_id as id from embeddings join posts on id = vec_id where vec_id not in (select a from gone)""")
+def sweep_semantic(spark, sf_dir):
+    own = views.vectors(spark, sf_dir)
+    return dedup.sweep(own, own.where("id % 2 = 0").select("id"), FAMILY, True, LOW).select("id")
+
+
 @query(_recursive(EDGES + _first_come("posts", "m") + " select id, case when list_contains(kept, id) then id else list_min(list_filter(near, lambda x: list_contains(kept, x))) end as survivor, list_contains(kept, id) as kept from done"))
 def dedup_corpus(spark, sf_dir):
     return dedup.dedup_corpus(views.posts(spark, sf_dir), "greedy", FAMILY)
@@ -426,12 +527,14 @@ def parse_verdicts(spark, sf_dir):
     k as (select id, tags, title, list_filter(list_transform(case when contains(own, '\n\n') then string_split(own, '\n\n') else string_split(own, '\n') end, lambda x: {_unlinked('x')}), lambda x: x <> '') as kept
         from (select id, m[4] as tags, m[2] as title, m[3] as own from (select id, [m[1], m[2], m[3], m[4]] as m from best))),
     o as (select *, {_cuts('kept[1]')} as one from k)
-    select p.id, case when o.id is not null then 'approved' else p.status end as status, case when o.id is not null then {_unlinked('o.title')} else p.ai_title end as ai_title, o.tags as ai_hashtags,
+    select p.id, case when o.id is not null then 'approved' when p.status = 'new' then 'processing' else p.status end as status, case when o.id is not null then {_unlinked('o.title')} else p.ai_title end as ai_title, o.tags as ai_hashtags,
         case when o.id is null then null when len(kept) = 0 then '' when len(kept) > 1 then array_to_string(kept, '\n\n') when len(one) <= 2 then array_to_string(one, ' ')
-        else array_to_string(list_transform(range(0, len(one), 2), lambda i: array_to_string(one[i + 1 : i + 2], ' ')), '\n\n') end as ai_text from posts p left join o on o.id = p.id""")
+        else array_to_string(list_transform(range(0, len(one), 2), lambda i: array_to_string(one[i + 1 : i + 2], ' ')), '\n\n') end as ai_text from posts p left join o on o.id = p.id and p.status in ('new', 'processing')""")
 def apply_rewrites(spark, sf_dir):
+    """New posts are claimed; replies to any others change nothing."""
     replies = T.parse_replies(_replies(spark, sf_dir).drop("text")).withColumnRenamed("conv_id", "id")
-    return lifecycle.apply_rewrites(views.posts(spark, sf_dir), replies, True).select("id", "status", "ai_title", "ai_hashtags", "ai_text")
+    claimed = views.posts(spark, sf_dir).withColumn("status", F.when(F.col("status") == "new", "processing").otherwise(F.col("status")))
+    return lifecycle.apply_rewrites(claimed, replies, True).select("id", "status", "ai_title", "ai_hashtags", "ai_text")
 
 
 @query("select page_id, case when regexp_matches(url, '^https?://[^/]') then regexp_extract(url, '^(https?://[^/]+)', 1) || '/' end as origin, left(trim(regexp_replace(html, '\\s+', ' ', 'g')), 500) as cut from pages")
@@ -481,6 +584,28 @@ def read_atom(spark, sf_dir):
     return feeds.read_atom(_titled(spark, sf_dir).select("source", entry.alias("xml"))).select("source", "link", F.trim("title").alias("title"))
 
 
+@query(S + "select id, case when id % 7 = 0 then 'empty document' when id % 5 = 0 then 'malformed document' else 'no rss feed' end as error from posts where id % 7 = 0 or id % 5 = 0 or id % 11 = 0")
+def unreadable_feeds(spark, sf_dir):
+    """A document for each post: some empty, some cut off in the middle, some of another kind."""
+    title = _xml(F.col("raw_title"))
+    rss = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>"), "source_url", F.lit("</link></item></channel></rss>"))
+    page = F.concat(F.lit("<html><body>"), title, F.lit("</body></html>"))
+    n = F.col("id")
+    xml = F.when(n % 7 == 0, F.lit(" ")).when(n % 5 == 0, F.substring(rss, F.lit(1), F.length(rss) - 20)).when(n % 11 == 0, page).otherwise(rss)
+    return feeds.unreadable(_titled(spark, sf_dir).select("id", xml.alias("xml")), "rss").select("id", "error")
+
+
+@query(S + "select source, source_url as link from (select *, row_number() over (partition by source, id // 1000 order by id) as r from posts) where r <= 7")
+def limit_per_feed(spark, sf_dir):
+    """Of feeds with more items than are wanted the first ones, in the feeds' order."""
+    item = F.concat(F.lit("<item><title>t</title><link>"), "source_url", F.lit("</link></item>"))
+    own = views.posts(spark, sf_dir).select("source", F.floor(F.col("id") / 1000).alias("part"), "id", item.alias("x"))
+    place = F.row_number().over(Window.partitionBy("source", "part").orderBy("id"))
+    items = own.withColumn("place", place).where("place <= 20").groupBy("source", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "x"))), lambda s: s["x"]), "").alias("items"))
+    docs = items.select("source", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("xml"))
+    return feeds.limit_per_feed(feeds.read_rss(docs, 50), 7).select("source", "link")
+
+
 @query("select page_id, 'https://a.media.example/2024/' || page_id || '.jpg?width=1920&format=jpg&auto=webp&quality=85' as hero_image from pages")
 def hero_images(spark, sf_dir):
     own = views.pages(spark, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ FACTS = ("posts", "publish_log", "parsed_items", "duplicate_records")
 SNAPSHOT_VERSION = 1
 #: Appended folders after which a table is written anew as one.
 COMPACT_AFTER = 16
+#: Tables whose rows change by id, and how many buckets of ids a new version can replace one by one unless a store is made
+#: with more; a store keeps the number that it began with.
+BUCKETS = {"posts": 16}
 # The categories of a new store.
 SEED_CATEGORIES = [
     ("PC", "#игры #PC #гейминг", "steam, pc, nvidia, amd"),
@@ -61,12 +65,15 @@ class Store:
     """A folder with one Parquet table for each name in SCHEMAS.
 
     A write makes a new version, a folder v<n>; an append adds a folder v<n>-<k> to the newest, and after COMPACT_AFTER of
-    them a new version holds all. Folders count once Spark has committed them (their _SUCCESS file), so readers of older
-    versions and writes that fail midway do no harm. One writer at a time; `vacuum` deletes old versions.
+    them a new version holds all. Tables in BUCKETS are laid out by the id's bucket: an update writes a version with the
+    buckets that it touches, and of every bucket the newest counts (`buckets`: more of them for more rows). Folders count once Spark has committed them (their
+    _SUCCESS file), so readers of older versions and writes that fail midway do no harm. One writer at a time; `vacuum`
+    deletes old versions.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = {name: buckets or n for name, n in BUCKETS.items()}
 
     def _fs(self, path: str):
         root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -76,12 +83,13 @@ class Store:
         done, fs = self._fs(f"{path}/_SUCCESS")
         return fs.exists(done)
 
+    def _listed(self, path: str) -> list[str]:
+        root, fs = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
     def _folders(self, name: str) -> list[tuple[int, int]]:
         """(version, part) of all that is committed; part 0 is the version itself."""
-        root, fs = self._fs(f"{self.path}/{name}")
-        if not fs.exists(root):
-            return []
-        found = [re.fullmatch(r"v(\d+)(?:-(\d+))?", s.getPath().getName()) for s in fs.listStatus(root)]
+        found = [re.fullmatch(r"v(\d+)(?:-(\d+))?", n) for n in self._listed(f"{self.path}/{name}")]
         return sorted((int(m[1]), int(m[2] or 0)) for m in found if m and self._committed(f"{self.path}/{name}/{m[0]}"))
 
     def _newest(self, name: str) -> tuple[int, list[int]]:
@@ -93,20 +101,66 @@ class Store:
     def _path(self, name: str, version: int, part: int) -> str:
         return f"{self.path}/{name}/v{version}" + (f"-{part}" if part else "")
 
+    def _buckets(self, name: str) -> dict[int, list[int]]:
+        """Of each bucket the versions that have it, oldest first."""
+        out: dict[int, list[int]] = {}
+        for version, _ in self._folders(name):
+            for n in self._listed(self._path(name, version, 0)):
+                if m := re.fullmatch(r"bucket=(\d+)", n):
+                    out.setdefault(int(m[1]), []).append(version)
+        return out
+
+    def _read_buckets(self, name: str, only=None) -> DataFrame:
+        paths = [f"{self._path(name, v[-1], 0)}/bucket={b}" for b, v in sorted(self._buckets(name).items()) if only is None or b in only]
+        if not paths:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths).where("id is not null")
+
     def read(self, name: str) -> DataFrame:
+        if name in BUCKETS:
+            return self._read_buckets(name)
         version, parts = self._newest(name)
         if not parts:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[self._path(name, version, k) for k in parts])
 
+    def _bucket(self, name: str) -> F.Column:
+        return F.pmod("id", F.lit(self.buckets[name])).cast("int")
+
+    def _write_buckets(self, name: str, rows: DataFrame, buckets) -> None:
+        """A version with these buckets; a row without id stands in each, so that one that lost its rows is replaced too."""
+        own = conform(rows, name).where("id is not null").withColumn("bucket", self._bucket(name))
+        marks = self.spark.createDataFrame([(int(b),) for b in buckets], "bucket int")
+        held = own.unionByName(marks.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in own.schema if f.name != "bucket"], "bucket"))
+        held.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(self._path(name, self._newest(name)[0] + 1, 0))
+
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Replaces the table; df may be made from it."""
-        conform(df, name).write.mode("overwrite").parquet(self._path(name, self._newest(name)[0] + 1, 0))
+        """Replaces the table; df may be made from it. Rows without id are no rows of a table that is updated by id."""
+        if name in BUCKETS:
+            self._write_buckets(name, df, range(self.buckets[name]))
+        else:
+            conform(df, name).write.mode("overwrite").parquet(self._path(name, self._newest(name)[0] + 1, 0))
+        return self.read(name)
+
+    def update(self, name: str, changed: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+        """Rows of `changed` replace those of their id or are added, those of the ids in `gone` go; one row for each id.
+
+        Only the buckets of these ids are read and written; all other files stay as they are. To do it again changes nothing.
+        """
+        rows = self.spark.createDataFrame([], SCHEMAS[name]) if changed is None else conform(changed, name)
+        lost = rows.select("id").limit(0) if gone is None else gone.select(F.col("id").cast("long").alias("id"))
+        ids = rows.select("id").unionByName(lost).where("id is not null").select(self._bucket(name).alias("b")).distinct()
+        touched = sorted(r.b for r in ids.collect())  # at most as many as there are buckets
+        if touched:
+            there = self._read_buckets(name, touched).join(rows.select("id").unionByName(lost), "id", "left_anti")
+            self._write_buckets(name, there.select(*rows.columns).unionByName(rows.join(lost, "id", "left_anti").select(*rows.columns)), touched)
         return self.read(name)
 
     def append(self, name: str, df: DataFrame, key: list[str] | None = None) -> DataFrame:
         """Adds rows; with a key only those whose key, nulls included, the table lacks, so that a repeated append adds nothing."""
         rows = conform(df, name)
+        if name in BUCKETS:
+            return self.update(name, rows.join(self.read(name).select("id"), "id", "left_anti").select(*rows.columns))
         version, parts = self._newest(name)
         if key and parts:
             there = self.read(name).select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
@@ -114,20 +168,70 @@ class Store:
         rows.write.mode("overwrite").parquet(self._path(name, version, max(parts, default=0) + 1))
         return self.write(name, self.read(name)) if len(parts) >= COMPACT_AFTER else self.read(name)
 
+    def _run(self, run_id: str) -> str:
+        return f"{self.path}/_runs/{hashlib.sha256(run_id.encode()).hexdigest()[:32]}"
+
     def stage(self, run_id: str, name: str, make) -> DataFrame:
         """What make() gives, written once for a run: a run that is repeated under its id reads what it had decided."""
-        path = f"{self.path}/_runs/{hashlib.sha256(run_id.encode()).hexdigest()[:32]}/{name}"
+        path = f"{self._run(run_id)}/{name}"
         if not self._committed(path):
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def _mark(self, path: str) -> None:
+        root, fs = self._fs(path)
+        fs.mkdirs(root)
+
+    def _finish(self, run: str) -> None:
+        for n in sorted(self._listed(run)):
+            how, _, name = n.partition("-")
+            if how == "rows":
+                self.write(name, self.spark.read.schema(SCHEMAS[name]).parquet(f"{run}/{n}"))
+            elif how == "gone":
+                self.update(name, gone=self.spark.read.parquet(f"{run}/{n}"))
+        self._mark(f"{run}/_DONE")
+
+    def change(self, run_id: str, rows: dict | None = None, gone: dict | None = None) -> None:
+        """A change of several tables that is made wholly or not at all: rows replaces tables, gone deletes ids of tables.
+
+        All of it is staged before the first table is replaced. What fails before that has changed nothing; what fails
+        after it is finished by `roll_forward`, or by the same change under the same run_id.
+        """
+        run = self._run(run_id)
+        if "_READY" not in self._listed(run):
+            for how, tables in (("rows", rows or {}), ("gone", gone or {})):
+                for name, df in tables.items():
+                    (conform(df, name) if how == "rows" else df.select("id").distinct()).write.mode("overwrite").parquet(f"{run}/{how}-{name}")
+            self._mark(f"{run}/_READY")
+        if "_DONE" not in self._listed(run):
+            self._finish(run)
+
+    def roll_forward(self) -> int:
+        """Finishes changes that were staged in full and failed later; how many they were."""
+        runs = [f"{self.path}/_runs/{n}" for n in self._listed(f"{self.path}/_runs")]
+        open_runs = [r for r in runs if "_READY" in (own := self._listed(r)) and "_DONE" not in own]
+        for run in open_runs:
+            self._finish(run)
+        return len(open_runs)
+
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes all but the newest versions of each table; readers of older ones have to be done."""
+        """Deletes what the newest `keep` versions of each table do not read; readers of older ones have to be done."""
         for name in SCHEMAS:
             versions = sorted({v for v, _ in self._folders(name)})
+            oldest = versions[-keep] if len(versions) >= keep else None
+            if oldest is None:
+                continue
+            if name in BUCKETS:
+                for bucket, own in self._buckets(name).items():
+                    read = max((v for v in own if v <= oldest), default=0)
+                    for version in own:
+                        if version < read:
+                            path, fs = self._fs(f"{self._path(name, version, 0)}/bucket={bucket}")
+                            fs.delete(path, True)
+                continue
             newest = self._newest(name)[0]
             for version, part in self._folders(name):
-                if version in versions[:-keep] and version < newest:
+                if version < oldest and version < newest:
                     path, fs = self._fs(self._path(name, version, part))
                     fs.delete(path, True)
 
@@ -221,8 +325,8 @@ def export_snapshot(store: Store, path: str) -> DataFrame:
     return manifest
 
 
-def restore_snapshot(store: Store, path: str) -> DataFrame:
-    """Overwrites the store's tables; refuses another version, and tables that are missing or have lost rows."""
+def restore_snapshot(store: Store, path: str, run_id: str | None = None) -> DataFrame:
+    """Overwrites the store's tables, all or none; refuses another version, and tables that are missing or have lost rows."""
     manifest = store.spark.read.parquet(f"{path}/manifest")
     known = {r.table: (r.version, r.rows) for r in manifest.collect()}
     if set(known) != set(SCHEMAS) or any(v != SNAPSHOT_VERSION for v, _ in known.values()):
@@ -231,8 +335,7 @@ def restore_snapshot(store: Store, path: str) -> DataFrame:
     for name, own in tables.items():
         if own.count() != known[name][1]:
             raise ValueError(f"{name} is not the table that the manifest describes")
-    for name, own in tables.items():
-        store.write(name, own)
+    store.change(run_id or f"restore-{uuid.uuid4().hex}", tables)
     return manifest
 
 
@@ -258,8 +361,8 @@ def add_presets(sources: DataFrame, presets: DataFrame, categories: DataFrame) -
     return conform(new.select(F.xxhash64("url").alias("id"), "url", "name", "category_id", F.lit(True).alias("enabled")), "sources")
 
 
-def purge(store: Store) -> None:
-    """Empties the fact tables and forgets when sources were read; dimensions stay."""
-    for name in FACTS:
-        store.write(name, store.read(name).limit(0))
-    store.write("sources", store.read("sources").withColumn("last_fetched_at", F.lit(None).cast("timestamp")))
+def purge(store: Store, run_id: str | None = None) -> None:
+    """Empties the fact tables and forgets when sources were read, all or nothing; dimensions stay."""
+    empty = {name: store.read(name).limit(0) for name in FACTS}
+    sources = store.read("sources").withColumn("last_fetched_at", F.lit(None).cast("timestamp"))
+    store.change(run_id or f"purge-{uuid.uuid4().hex}", empty | {"sources": sources})

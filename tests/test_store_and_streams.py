@@ -115,8 +115,13 @@ class Failing(st.Store):
         return self._count(lambda: super(Failing, self).write(name, df))
 
     def append(self, name, df, key=None):
+        if name in st.BUCKETS:  # an update, which is counted itself
+            return super().append(name, df, key)
         return self._count(lambda: super(Failing, self).append(name, df, key))
 
+    def update(self, name, changed=None, gone=None):
+        return self._count(lambda: super(Failing, self).update(name, changed, gone))
+
 
 ITEMS = [("Rocket launch delayed after engine fault", "http://n/1", TEXT + "1."), ("Rocket launch delayed after engine fault today", "http://n/2", TEXT + "2."), ("Quiet day at the market", "http://n/3/", TEXT + "3.")]
 
@@ -187,6 +192,100 @@ def test_streams_run_again_after_a_failure(spark, store, tmp_path):
     assert [r.id for r in done.read("posts").where("status = 'processing'").collect()] == claimed == [0]
 
 
+def files_of(store, name):
+    import pathlib
+
+    return {p: p.stat().st_mtime_ns for p in pathlib.Path(store.path, name).rglob("*.parquet")}
+
+
+def test_updates_leave_other_files_alone(spark, tmp_path):
+    """Only the buckets of the ids are written; what they held else stays; emptied buckets are empty; older versions go."""
+    own = st.Store(spark, str(tmp_path / "s"))
+    n = st.BUCKETS["posts"]
+    rows = spark.range(4 * n).select("id", F.lit("new").alias("status"))
+    own.write("posts", rows)
+    before = files_of(own, "posts")
+    own.update("posts", spark.createDataFrame([(5, "approved"), (4 * n + 5, "added")], "id long, status string"), spark.createDataFrame([(n + 6,)], "id long"))
+    after = files_of(own, "posts")
+    assert before.items() <= after.items()
+    written = {p.parent.name for p in set(after) - set(before)}
+    assert written == {"bucket=5", "bucket=6"}
+    got = {r.id: r.status for r in own.read("posts").collect()}
+    assert got == {i: "new" for i in range(4 * n) if i != n + 6} | {5: "approved", 4 * n + 5: "added"}
+    own.update("posts", gone=spark.createDataFrame([(7 + i * n,) for i in range(4)], "id long"))
+    assert {r.id for r in own.read("posts").collect()} == set(got) - {7 + i * n for i in range(4)}
+    own.update("posts", gone=spark.createDataFrame([], "id long"))
+    assert own._newest("posts")[0] == 3
+    here = sorted(map(repr, own.read("posts").collect()))
+    own.vacuum(1)
+    assert sorted(map(repr, own.read("posts").collect())) == here
+    assert {p.parent.name for p in files_of(own, "posts") if "/v1/" in str(p)} == {f"bucket={b}" for b in range(n) if b not in (5, 6, 7)}
+    own.write("posts", rows.limit(0))
+    assert own.read("posts").count() == 0
+
+
+def test_changes_of_several_tables_are_whole(spark, store, tmp_path):
+    """Forgetting, restoring and emptying, stopped at any point, have changed nothing or are finished when next asked."""
+    at = datetime.datetime(2024, 6, 1)
+    posts = spark.createDataFrame([(i, f"http://p/{i}", at) for i in range(6)], "id long, source_url string, created_at timestamp").withColumn("status", F.lit("new"))
+    log = spark.createDataFrame([(i, i % 6) for i in range(12)], "id long, post_id long")
+    seen = posts.select(F.col("source_url").alias("normalized_url"))
+
+    def filled(path):
+        own = st.Store(spark, str(tmp_path / path))
+        for name, rows in (("posts", posts), ("publish_log", log), ("parsed_items", seen)):
+            own.write(name, rows)
+        return own
+
+    gone = posts.where("id < 2").select("id")
+    clean = filled("clean")
+    untouched = state(clean)
+    st.export_snapshot(clean, str(tmp_path / "snap"))
+    lifecycle.forget(clean, gone)
+    forgotten = state(clean)
+    assert clean.read("posts").count() == 4 and clean.read("publish_log").count() == 8 and clean.read("parsed_items").count() == 4
+    for n in (1, 2, 3, 4):
+        own = filled(f"f{n}")
+        with pytest.raises(OSError):
+            lifecycle.forget(Failing(spark, own.path, n, False), gone)
+        assert own.roll_forward() == 1 and state(own) == forgotten and own.roll_forward() == 0
+    own = filled("unstaged")  # a failure before all is staged leaves everything as it is
+    broken = posts.select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    with pytest.raises(Exception):
+        own.change("x", {"publish_log": log.limit(0)}, {"posts": broken})
+    assert own.roll_forward() == 0 and state(own) == untouched
+    for n in (1, 4, 7):
+        own = st.Store(spark, str(tmp_path / f"f{n % 4 + 1}"))
+        with pytest.raises(OSError):
+            st.restore_snapshot(Failing(spark, own.path, n, False), str(tmp_path / "snap"), f"again-{n}")
+        st.restore_snapshot(own, str(tmp_path / "snap"), f"again-{n}")
+        assert state(own) == untouched
+
+
+def test_every_document_ends_in_an_outcome(spark, store):
+    good = rss(("Rocket launch delayed after engine fault", "http://n/1", TEXT + "1."))
+    rows = [(FEED, "rss", good), (FEED, "rss", good[:-20]), (FEED, "rss", ""), (FEED, "rss", None), (FEED, "atom", good), (FEED, "gopher", good), ("http://unknown/feed", "rss", good), (FEED, "atom", "<feed><title>none yet</title></feed>"), (FEED, "rss", "<rss><channel/></rss>")]
+    run = ingest(store, spark.createDataFrame(rows, jobs.FEED_DOCS), pages(spark), AS_OF, "r1", most_errors=None)
+    found = sorted((r.feed_url, r.error) for r in run.errors.collect())
+    assert found == sorted([(FEED, "malformed document"), (FEED, "empty document"), (FEED, "empty document"), (FEED, "no atom feed"), (FEED, "unknown kind gopher"), ("http://unknown/feed", "no enabled source")])
+    line = run.funnel.first()
+    assert (line.scanned, line.new, line.error) == (1, 1, 6) and line.errors == sorted({f"{u}: {e}" for u, e in found})
+    assert run.outcomes.where("outcome = 'error'").count() == 6
+    again = ingest(store, spark.createDataFrame(rows, jobs.FEED_DOCS), pages(spark), AS_OF, "r2", most_errors=2).funnel.first()
+    assert (again.error, len(again.errors), again.seen) == (6, 2, 1)
+
+
+def test_guards_of_states(spark):
+    every = ("new", "processing", "ai_processed", "approved", "published", "failed")
+    posts = spark.createDataFrame([(i, s, None, None, None) for i, s in enumerate(every)], "id long, status string, ai_title string, ai_text string, ai_hashtags string")
+    ids = posts.select("id")
+    assert [r.status for r in lifecycle.approve(posts, ids).orderBy("id").collect()] == ["approved", "processing", "approved", "approved", "published", "failed"]
+    replies = ids.select("id", F.when(F.col("id") < 9, "strict").alias("parse_path"), F.lit("T").alias("title"), F.lit("Text.").alias("text"), F.array(F.lit("a")).alias("hashtags"))
+    out = lifecycle.apply_rewrites(posts, replies).orderBy("id").collect()
+    assert [r.status for r in out] == ["new", "ai_processed", "ai_processed", "approved", "published", "failed"]
+    assert [r.ai_title for r in out] == [None, "T", None, None, None, None]
+
+
 def test_late_items_are_set_aside(spark, store, tmp_path):
     kind = "link string, title string, seen_at timestamp"
     day = lambda d: datetime.datetime(2024, 6, d)
