@@ -271,7 +271,7 @@ def shortlist(new: DataFrame, history: DataFrame, family: str = "e5_base", k: in
     alone and nothing of them is shuffled but the scores. There is no form without a limit: descriptions count as alike
     for a single word that one of them repeats, so of an unbounded history nearly every pair would be in the list.
     """
-    if not 1 <= limit <= MOST_HISTORY:
+    if not limit or not 1 <= limit <= MOST_HISTORY:
         raise ValueError(f"a shortlist takes 1 to {MOST_HISTORY} posts of history")
     kept = cut_lineage(_kept_parts(dedup_candidates(history, as_of, days, limit), leads=True).drop("kept_title"))
     held = kept.agg(F.sum(F.octet_length(F.to_json(F.struct(*[c for c in kept.columns if c != "created_at"])))).alias("b")).first().b or 0

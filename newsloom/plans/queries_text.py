@@ -11,6 +11,7 @@ from newsloom.operators import dedup, lifecycle, listing
 from newsloom.plans import views
 from newsloom.plans.registry import query
 from newsloom.sources import feeds, pages
+from newsloom.steps import new_dir
 
 S = views.SQL
 NORM_URL = "lower(regexp_replace(regexp_replace({}, '[?#].*', ''), '/+$', ''))"
@@ -606,6 +607,36 @@ def limit_per_feed(spark, sf_dir):
     return feeds.limit_per_feed(feeds.read_rss(docs, 50), 7).select("source", "link")
 
 
+@query("select page_id, case when page_id % 3 = 2 then repeat('about ' || page_id || ' ', 30)[:-2] else 'Body of ' || page_id end as body from pages")
+def jsonld_depths(spark, sf_dir):
+    """Articles in lists and @graph lists inside each other to a depth of twelve, behind things that are no articles."""
+    own = views.pages(spark, sf_dir)
+    n = F.col("page_id").cast("string")
+    long = F.trim(F.repeat(F.concat(F.lit("about "), n, F.lit(" ")), 30))
+    article = F.when(F.col("page_id") % 3 == 2, F.to_json(F.struct(F.lit("BlogPosting").alias("@type"), F.lit(" ").alias("articleBody"), long.alias("description"))))
+    article = F.coalesce(article, F.to_json(F.struct(F.array(F.lit("Thing"), F.lit("NewsArticle")).alias("@type"), F.concat(F.lit(" Body of "), n, F.lit(" ")).alias("articleBody"))))
+    other = F.lit('{"@type": "Organization", "articleBody": "no"}')
+    short = F.lit('{"@type": "Article", "description": "too short"}')
+    graph = lambda j: F.concat(F.lit('{"@type": "Article", "articleBody": "later", "@graph": ['), short, F.lit(", "), j, F.lit("]}"))
+    line = lambda j: F.concat(F.lit("["), other, F.lit(", "), j, F.lit(", "), short, F.lit("]"))
+    levels = F.slice(F.sequence(F.lit(1), F.lit(12)), F.lit(1), (F.col("page_id") % 13).cast("int"))
+    json = F.aggregate(levels, article, lambda j, i: F.when(i % 2 == 1, graph(j)).otherwise(line(j)))
+    broken = F.lit('<script type="application/ld+json">{"@type": "Article", "articleBody": NaN}</script>')
+    html = F.concat(F.col("html"), broken, F.lit('<script type="application/ld+json"> '), json, F.lit(" </script>"))
+    return own.select("page_id", pages.jsonld_body(html).alias("body"))
+
+
+@query("select sha256(html || chr(10)) as digest, strlen(html) + 1 as length, count(*) as copies from pages group by all")
+def stored_binaries(spark, sf_dir):
+    """A file for each page, scanned and stored by content; once more, and nothing is added."""
+    folder, kept = new_dir(spark, "files"), new_dir(spark, "binaries")
+    own = views.pages(spark, sf_dir)
+    own.select("page_id", F.col("html").alias("value")).repartition(8).write.partitionBy("page_id").text(folder)
+    for _ in range(2):
+        digests = pages.store_binaries(pages.scan_binaries(spark, folder, "*.txt"), kept)
+    return pages.read_binaries(spark, kept).select("digest", "length").join(digests, "digest").groupBy("digest", "length").agg(F.count("*").alias("copies"))
+
+
 @query("select page_id, 'https://a.media.example/2024/' || page_id || '.jpg?width=1920&format=jpg&auto=webp&quality=85' as hero_image from pages")
 def hero_images(spark, sf_dir):
     own = views.pages(spark, sf_dir)

@@ -124,12 +124,13 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[self._path(name, version, k) for k in parts])
 
-    def _bucket(self, name: str) -> F.Column:
-        return F.pmod("id", F.lit(self.buckets[name])).cast("int")
+    def _number(self, name: str) -> int:
+        """Buckets of a table: those of its first version, which has all, else what the store was made with."""
+        return len(self._buckets(name)) or self.buckets[name]
 
     def _write_buckets(self, name: str, rows: DataFrame, buckets) -> None:
         """A version with these buckets; a row without id stands in each, so that one that lost its rows is replaced too."""
-        own = conform(rows, name).where("id is not null").withColumn("bucket", self._bucket(name))
+        own = conform(rows, name).where("id is not null").withColumn("bucket", F.pmod("id", F.lit(self._number(name))).cast("int"))
         marks = self.spark.createDataFrame([(int(b),) for b in buckets], "bucket int")
         held = own.unionByName(marks.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in own.schema if f.name != "bucket"], "bucket"))
         held.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(self._path(name, self._newest(name)[0] + 1, 0))
@@ -137,7 +138,7 @@ class Store:
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Replaces the table; df may be made from it. Rows without id are no rows of a table that is updated by id."""
         if name in BUCKETS:
-            self._write_buckets(name, df, range(self.buckets[name]))
+            self._write_buckets(name, df, range(self._number(name)))
         else:
             conform(df, name).write.mode("overwrite").parquet(self._path(name, self._newest(name)[0] + 1, 0))
         return self.read(name)
@@ -149,8 +150,11 @@ class Store:
         """
         rows = self.spark.createDataFrame([], SCHEMAS[name]) if changed is None else conform(changed, name)
         lost = rows.select("id").limit(0) if gone is None else gone.select(F.col("id").cast("long").alias("id"))
-        ids = rows.select("id").unionByName(lost).where("id is not null").select(self._bucket(name).alias("b")).distinct()
+        number = self._number(name)
+        ids = rows.select("id").unionByName(lost).where("id is not null").select(F.pmod("id", F.lit(number)).cast("int").alias("b")).distinct()
         touched = sorted(r.b for r in ids.collect())  # at most as many as there are buckets
+        if not self._newest(name)[0]:
+            touched = list(range(number))
         if touched:
             there = self._read_buckets(name, touched).join(rows.select("id").unionByName(lost), "id", "left_anti")
             self._write_buckets(name, there.select(*rows.columns).unionByName(rows.join(lost, "id", "left_anti").select(*rows.columns)), touched)

@@ -263,3 +263,115 @@ def test_batch_is_first_come(spark):
 def test_survivors(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 4), (6, 7)], "id long, kept_id long")
     assert {(r.id, r.survivor) for r in dedup.resolve_survivors(links).collect()} == {(1, 4), (2, 4), (3, 4), (5, 4), (6, 7)}
+
+
+def vector_posts(spark, n=60):
+    """Titles that repeat, some without a word that counts; vectors of which some are equal; some posts alike in everything."""
+    rng = random.Random(21)
+    pool = ["the new", "The New!", "", "alpha beta gamma delta", "alpha beta gamma other words", "beta delta story", "one two"]
+    rows = []
+    for i in range(n):
+        v = [rng.choice([-1.0, 0.2, 0.5, 1.0]) for _ in range(3)]
+        ai = rng.choice([None, None, "alpha beta rewritten", "the new"])
+        rows.append((i, f"http://x/{i}", rng.choice(pool), rng.choice(["", "some words of a description that is long enough to be compared with the others"]), ai, None, "new", None, v, v[::-1], [1.0, 0.5, 0.2] if ai and i % 2 else None, v if ai and i % 2 else None))
+    rows += [(n + k, f"http://x/{n + k}", *rows[k][2:]) for k in range(8)]
+    schema = POSTS + ", embedding array<double>, title_embedding array<double>, ai_embedding array<double>, ai_title_embedding array<double>"
+    frame = spark.createDataFrame(rows, schema)
+    return frame.withColumn("created_at", F.timestamp_seconds((F.col("id") * 29) % 67 * 60)).cache()
+
+
+LOW = dict(M.THRESHOLDS["e5_base"], full_strong=0.8, full_with_title=0.6, title=0.6, full_with_lexical=0.5, similar_full=0.3, similar_title=0.4)
+
+
+def all_decided(new, kept):
+    """Every pair of a new and another post, decided on."""
+    pairs = new.select(F.col("id").alias("new_id")).crossJoin(kept.select(F.col("id").alias("kept_id"))).where("new_id <> kept_id")
+    return dedup.semantic_edges(dedup._attach(pairs, new, kept, True, True), "e5_base", LOW)
+
+
+def test_semantic_matches_of_all_history(spark):
+    frame = vector_posts(spark)
+    edges = all_decided(frame, frame).where("is_duplicate").collect()
+    best: dict = {}
+    for r in edges:
+        key = (tuple(r["rank"]), r.created_at, r.kept_id)
+        best[r.new_id] = max(best.get(r.new_id, key), key)
+    got = {r.new_id: (r.kept_id, r.confidence) for r in dedup.match_semantic(frame, frame, "e5_base", LOW, limit=None).collect()}
+    assert got == {i: (k[2], k[0][2]) for i, k in best.items()} and len(got) > 40
+    few = {r.new_id: r.kept_id for r in dedup.match_semantic(frame, frame, "e5_base", LOW, limit=30).collect()}
+    newest = {r.id for r in frame.orderBy(F.desc("created_at"), F.desc("id")).limit(30).collect()}
+    assert set(few.values()) <= newest
+
+
+def test_semantic_first_come_and_sweep(spark):
+    frame = vector_posts(spark, 40)
+    near = {(r.new_id, r.kept_id) for r in all_decided(frame, frame).where("is_duplicate").collect()}
+    titles = {r.id: r.t for r in frame.select("id", M.norm_title(F.col("raw_title")).alias("t")).collect()}
+    near |= {(a, b) for a, b in itertools.permutations(titles, 2) if titles[a] and titles[a] == titles[b]}  # whatever their vectors
+    directed = set(near)
+    near |= {(b, a) for a, b in near}
+    at = {r.id: (r.created_at, r.id) for r in frame.collect()}
+    kept: set = set()
+    for i in sorted(at, key=at.get):
+        if not any((i, k) in near for k in kept):
+            kept.add(i)
+    out = dedup.dedup_corpus(frame, "greedy", semantic=True, thresholds=LOW).collect()
+    assert {r.id for r in out if r.kept} == kept and all((r.id, r.survivor) in near for r in out if not r.kept)
+    swept = dedup.sweep(frame, frame.where("id % 2 = 0").select("id"), semantic=True, thresholds=LOW)
+    mine = {i for i in at if i % 2 == 0}
+    assert {r.id for r in swept.collect()} == {i for i in at if i not in mine or not any((i, k) in near and (k not in mine or k > i) for k in at)}
+    left, found = dedup.dedup_batch(frame.where("id >= 25"), frame.where("id < 25"), days=0, semantic=True, thresholds=LOW)
+    told = {r.new_id: (r.kept_id, r.reason) for r in found.collect()}
+    assert {r.id for r in left.collect()} | set(told) == {i for i in at if i >= 25} and not {r.id for r in left.collect()} & set(told)
+    for i in at:
+        if i >= 25 and any((i, k) in directed for k in range(25)):
+            assert told[i][1] in ("exact", "lexical", "semantic") and told[i][0] < 25
+
+
+@pytest.mark.parametrize("family", ["e5_large", "bge", "e5_base"])
+def test_decisions_equal_plain_python(spark, family):
+    """The semantic decision over a grid of similarities and of titles of each kind, weak and dominant ones included."""
+    titles = [("alpha beta gamma delta epsilon", "alpha beta gamma delta epsilon zeta"), ("alpha beta gamma one1", "alpha beta gamma two2 thr3 fou4"), ("alpha beta rest here", "alpha beta what ever"), ("alpha only", "alpha else"), ("world tour crazy taxi", "taxi crazy world tour"), ("summer alpha beta gamma delta", "winter alpha beta gamma delta"), ("none", "other"), ("alpha beta gamma delta m1m m2m m3m m4m", "alpha beta gamma delta n1n n2n n3n n4n n5n")]
+    sims = [0.5, 0.64, 0.66, 0.68, 0.74, 0.76, 0.78, 0.8, 0.82, 0.84, 0.86, 0.88]
+    desc = "words of a description that is long enough to be compared with others of its kind"
+    rows = [(k, a, d, b, d, f, t) for k, (a, b) in enumerate(titles) for d in ("", desc) for f in sims for t in sims]
+    frame = spark.createDataFrame(rows, "k int, new_title string, new_desc string, kept_title string, kept_desc string, full_sim double, title_sim double")
+    out = dedup.compare_pairs(frame, family).collect()
+    x, y = F.col("new_title"), F.col("kept_title")
+    parts = {r.k: r for r in frame.select("k", x, y).distinct().select("k", M.titles_similar(x, y).alias("similar"), M.meaningful_overlap(x, y).alias("meaningful")).collect()}
+    limits = M.THRESHOLDS[family]
+
+    def decide(r):
+        a, b = tokens(r.new_title), tokens(r.kept_title)
+        c, j = len(a & b), len(a & b) / max(1, len(a | b))
+        similar, meaningful = parts[r.k].similar, parts[r.k].meaningful
+        clash = ("summer" in a and "winter" in b) or ("winter" in a and "summer" in b)
+        strong = not clash and {"e5_large": c >= 5 or (c >= 4 and j >= 0.45), "bge": c >= 5 or (c >= 4 and j >= 0.5 and meaningful), "e5_base": c >= 4 and j >= 0.55}[family]
+        medium = not strong and not clash and similar and c >= 3 and j >= M.MEDIUM_JACCARD.get(family, 2)
+        if strong or medium:
+            return True
+        if c < limits["common"]:
+            return False
+        f, t = r.full_sim, r.title_sim
+        if family != "e5_base" and c < 5 and j < 0.35 and not (c >= limits["common_high"] and t >= 0.82 and f >= 0.68 and meaningful):
+            return False
+        return (
+            f >= limits["full_strong"]
+            or (f >= limits["full_with_title"] and t >= limits["title"] and c >= limits["common_title"])
+            or (similar and c >= limits["common_similar"] and (f >= limits["similar_full"] or t >= limits["similar_title"]))
+            or (c >= limits["common_high"] and f >= limits["full_with_lexical"] and t >= round(limits["title"] - 0.06, 6))
+            or (f >= limits["full_with_lexical"] and t >= limits["title"])
+            or (f >= limits["full_with_lexical"] and bool(r.new_desc))
+        )
+
+    assert len(out) == len(rows) and not [r for r in out if r.is_duplicate != decide(r)]
+    assert 0 < sum(r.is_duplicate for r in out) < len(out)
+
+
+def test_shortlist_bounds(spark):
+    frame, _ = make_posts(spark, 30, 2)
+    for limit in (0, None, dedup.MOST_HISTORY + 1):
+        with pytest.raises((ValueError, TypeError)):
+            dedup.shortlist(frame, frame, limit=limit)
+    full = dedup.shortlist(frame, frame, k=5, limit=30).collect()
+    assert {r.place for r in full if r.new_id == 3} >= {1, 2, 3, 4, 5} and all(r.new_id != r.kept_id for r in full)

@@ -160,3 +160,33 @@ def test_guess_source_finds_hosts_anywhere(spark):
     got = {r.id: r.guessed_source_url for r in listing.guess_source(posts, sources).collect()}
     # a host counts wherever it stands in the address, the source of least id first
     assert got == {1: "http://x/feed", 2: "http://x/feed", 3: "", 4: "http://x/feed", 5: "", 6: ""}
+
+
+def test_jsonld_of_any_depth(spark):
+    article = '{"@type": "NewsArticle", "articleBody": " Found "}'
+    deep = article
+    for level in range(60):
+        deep = f'{{"@type": "Article", "articleBody": "later", "@graph": [{{"@type": "Thing"}}, {deep}]}}' if level % 2 else f"[1, null, {deep}]"
+    cases = [
+        (deep, "Found"), ("[" * 90_000, None), ('{"@type": ["Thing", "BLOGPOSTING"], "articleBody": "", "description": "%s"}' % ("d" * 120), "d" * 120), ('{"@type": "Article", "description": "short"}', None),
+        ('{"@type": 7, "articleBody": "no"}', None), ('{"@type": "Article", "@graph": {"@type": "Article", "articleBody": "not a list"}, "articleBody": "own"}', "own"), ("no json", None), ("NaN", None), (f'[{article.replace("Found", "first")}, {article}]', "first"),
+    ]
+    rows = [(i, f"<p>x</p><script type='application/ld+json'>{j}</script>") for i, (j, _) in enumerate(cases)] + [(97, "<p>none</p>"), (98, None), (99, f"<script type='application/ld+json'>oops</script><script type='application/ld+json'>{article}</script>")]
+    got = {r.i: r.body for r in spark.createDataFrame(rows, "i int, html string").select("i", pages.jsonld_body(F.col("html")).alias("body")).collect()}
+    assert got == {i: b for i, (_, b) in enumerate(cases)} | {97: None, 98: None, 99: "Found"}
+
+
+def test_binaries_are_stored_once(spark, tmp_path):
+    folder, kept = tmp_path / "files", str(tmp_path / "kept")
+    (folder / "deep").mkdir(parents=True)
+    for name, data in (("a.bin", b"\x00\xff" * 50), ("b.bin", b"\x01"), ("deep/c.bin", b"\x00\xff" * 50), ("skip.txt", b"no")):
+        (folder / name).write_bytes(data)
+    assert pages.read_binaries(spark, kept).count() == 0
+    first = pages.store_binaries(pages.scan_binaries(spark, str(folder), "*.bin"), kept)
+    assert len({r.digest for r in first.collect()}) == 2 and first.count() == 3
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "kept").rglob("*.parquet")}
+    (folder / "d.bin").write_bytes(b"new")
+    pages.store_binaries(pages.scan_binaries(spark, str(folder), "*.bin"), kept)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "kept").rglob("*.parquet")}
+    assert before.items() <= after.items()
+    assert sorted(bytes(r.content) for r in pages.read_binaries(spark, kept).collect()) == [b"\x00\xff" * 50, b"\x01", b"new"]
