@@ -22,9 +22,9 @@ from newsloom.llm.common import slices, stored
 #: What parts terms: ASCII other than letters.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, TOP = 10, 10
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Rows of partial counts that a task merges before it hands them out.
-MERGE_ROWS = 400_000
+MERGE_ROWS = 200_000
 #: Places, sources times terms, of a shard, and sources that one shard holds of a block.
 SHARD_CELLS, SOURCE_BLOCK = 1 << 14, 1_024
 SCALE = 1_000_000_000
