@@ -173,6 +173,18 @@ def _attach(pairs: DataFrame, new: DataFrame, history: DataFrame, vectors: bool
     return _compared(out, leads)
 
 
+#: Columns of posts that the lexical and the semantic comparisons read.
+TITLES = ("id", "raw_title", "ai_title", "created_at")
+TEXTS = (*TITLES, "raw_description", "ai_text", "embedding", "title_embedding", "ai_embedding", "ai_title_embedding")
+
+
+def _held(posts: DataFrame, names: tuple) -> DataFrame:
+    """The posts as written to the shared folder, with the named columns alone, since they are read several times; columns
+    that comparisons name but do not need are null."""
+    own = cut_lineage(posts.select(*[c for c in names if c in posts.columns]), "posts")
+    return own.withColumns({c: F.lit(None).cast("string") for c in ("raw_description", "ai_text") if c not in own.columns})
+
+
 def lexical_edges(pairs: DataFrame, family: str) -> DataFrame:
     """Of attached pairs the lexical duplicates, with verdict and rank; the rank uses the kept raw title."""
     raw, ai = Pair.at("nr"), Pair.at("na")
@@ -194,7 +206,8 @@ def _as_matches(best: DataFrame, reason: str, confidence: Column, explanation: C
 
 def match_lexical(new: DataFrame, history: DataFrame, family: str = "e5_base", as_of=None, days: int = 0, limit: int | None = None, status=None) -> DataFrame:
     """The best lexical match of each new post; link roundups take no part on either side."""
-    own, kept = new.where(~is_link_roundup(F.col("raw_title"))), _newest_of_title(_bounded(history, as_of, days, limit, status))
+    own = _held(new.where(~is_link_roundup(F.col("raw_title"))), TITLES)
+    kept = _held(_newest_of_title(_bounded(history, as_of, days, limit, status)), TITLES)
     pairs = candidate_pairs(own, kept, LEXICAL_BOUNDS[family]).unionByName(_equal_pairs(own, kept, family)).distinct()
     best = best_match(lexical_edges(_attach(pairs, own, kept), family))
     return _as_matches(best, "lexical", F.col("verdict.confidence"), F.col("verdict.explanation"))
@@ -257,6 +270,7 @@ def match_semantic(new: DataFrame, history: DataFrame, family: str = "e5_base",
     own, kept = new.where(~is_link_roundup(F.col("raw_title"))), _bounded(history, as_of, days, limit, status)
     if not limit:
         kept = _two_newest(kept.withColumn("_class", _semantic_class(kept)), "_class").drop("_class")
+    own, kept = _held(own, TEXTS), _held(kept, TEXTS)
     pairs = candidate_pairs(own, kept, semantic_bounds(family, thresholds)).unionByName(_equal_pairs(own, kept, None)).distinct()
     edges = semantic_edges(_attach(pairs, own, kept, True, True), family, thresholds).where("is_duplicate").select("new_id", "kept_id", "kept_title", "created_at", "title_sim", "confidence", "rank")
     text = F.format_string("semantic similarity %d%% (titles %d%%)", "confidence", F.round(F.col("title_sim") * 100).cast("int"))
@@ -323,6 +337,7 @@ def story_classes(posts: DataFrame, semantic: bool = False) -> DataFrame:
 def class_pairs(posts: DataFrame, classes: DataFrame, family: str, semantic: bool = False, thresholds: dict | None = None) -> DataFrame:
     """(a, b), a < b: heads of classes with different titles of which one is a duplicate of the other."""
     single = posts.join(classes.where("id = head.id").select("id"), "id", "left_semi").where(~is_link_roundup(F.col("raw_title")))
+    single = _held(single, TEXTS if semantic else TITLES)
     bounds = semantic_bounds(family, thresholds) if semantic else LEXICAL_BOUNDS[family]
     pairs = candidate_pairs(single, single, bounds).unionByName(_equal_pairs(single, single, None)).distinct()
     attached = _attach(pairs, single, single, semantic, semantic).where("n_norm <> r_norm or n_norm = ''")
