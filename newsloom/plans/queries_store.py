@@ -11,7 +11,7 @@ from newsloom.plans import views
 from newsloom.plans.ingest import ingest as ingest_run
 from newsloom.plans.queries_core import EXACT, NORM_URL, _duplicates
 from newsloom.plans.queries_text import EDGES, _feed_docs, _first_come, _recursive
-from newsloom.plans.registry import query
+from newsloom.plans.registry import ORACLES, query
 from newsloom.sources import store as st
 from newsloom.steps import new_dir
 from newsloom.streaming import jobs
@@ -187,6 +187,18 @@ def stream_dedup(spark, sf_dir):
     return own.read("posts").select("id")
 
 
+@query("select 'https://' || source || '.example.com/doc/' || doc_id as link, m.kept_id, m.reason from (" + ORACLES["dedup_batch"] + ") m join documents on doc_id = m.id where m.reason is not null")
+def stream_dedup_indexed(spark, sf_dir):
+    """Posts of odd number as a micro-batch over a store with those of even number, which its index of titles finds; the
+    duplicates that are recorded."""
+    own = _store(spark)
+    posts = st.conform(views.posts(spark, sf_dir), "posts")
+    own.write("posts", posts.where("id % 2 = 0"))
+    arriving = _arriving(spark, posts.where("id % 2 = 1"), 1, "id")
+    jobs.stream_dedup(arriving, own, AS_OF, new_dir(spark, "checkpoint"), days=0).awaitTermination()
+    return own.read("duplicate_records").select(F.col("duplicate_url").alias("link"), F.col("kept_post_id").alias("kept_id"), "reason")
+
+
 @query(S + "select id, case when id in (select id from posts where status = 'new' order by created_at, id limit 60) then 'processing' else status end as status from posts")
 def stream_queue(spark, sf_dir):
     """Three ticks, each of which claims the twenty oldest new posts."""

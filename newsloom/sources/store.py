@@ -87,6 +87,10 @@ class Store:
         root, fs = self._fs(path)
         return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
 
+    def committed(self, path: str) -> list[str]:
+        """Names of the folders in path that Spark has committed."""
+        return [n for n in self._listed(path) if self._committed(f"{path}/{n}")]
+
     def _folders(self, name: str) -> list[tuple[int, int]]:
         """(version, part) of all that is committed; part 0 is the version itself."""
         found = [re.fullmatch(r"v(\d+)(?:-(\d+))?", n) for n in self._listed(f"{self.path}/{name}")]

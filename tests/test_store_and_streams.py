@@ -146,7 +146,7 @@ def test_ingest_that_failed_is_finished_by_running_it_again(spark, store, tmp_pa
 
 
 def test_store_appends_and_versions(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(st, "COMPACT_AFTER", 3)
+    monkeypatch.setattr(st, "COMPACT_AFTER", 2)
     own = st.Store(spark, str(tmp_path / "s"))
     run = lambda i: spark.createDataFrame([(f"r{i}", "fetch", None, None)], st.SCHEMAS["runs"])
     for i in range(6):
@@ -367,3 +367,56 @@ def test_embeddings_hook(spark):
     posts = spark.createDataFrame([(1, "Title", "Some text"), (2, "Alone", None)], "id long, raw_title string, raw_description string")
     got = {r.id: (r.embedding, r.title_embedding) for r in with_embeddings(posts, encode).collect()}
     assert got == {1: ([16.0, 1.0], [5.0, 1.0]), 2: ([5.0, 1.0], [5.0, 1.0])}
+
+
+def test_title_index_finds_what_all_of_history_gives(spark, tmp_path, monkeypatch):
+    """Posts added, rewritten, changed back and deleted between batches; every batch by the index and by all of history."""
+    import random
+
+    from newsloom.functions.similarity import LEXICAL_BOUNDS
+    from newsloom.operators import dedup, title_index
+    from newsloom.plans.ingest import swept_ids
+
+    monkeypatch.setattr(title_index, "COMPACT_AFTER", 2)
+    rng, at = random.Random(5), datetime.datetime(2024, 5, 1)
+    title = lambda: " ".join(rng.sample(["river", "flood", "mayor", "bridge", "council", "storm", "harbour", "railway", "museum", "orchard"], rng.randint(4, 7)))
+
+    def some(first, n, rewritten=0.3):
+        rows = [(first + i, f"http://p/{first + i}", rng.choice(["", None]) if rng.random() < 0.05 else title(), "d", title() if rng.random() < rewritten else None, "new", at + datetime.timedelta(hours=rng.randint(0, 40))) for i in range(n)]
+        return st.conform(spark.createDataFrame(rows, "id long, source_url string, raw_title string, raw_description string, ai_title string, status string, created_at timestamp"), "posts")
+
+    own = st.Store(spark, str(tmp_path / "indexed"))
+    index = title_index.TitleIndex(own)
+    own.write("posts", some(0, 60))
+    sizes = []
+    for k, family in enumerate(("e5_base", "bge", "e5_large")):
+        new = some(1000 + 100 * k, 12)
+        history = own.read("posts")
+        index.sync(history)
+        near = index.near(new, history, LEXICAL_BOUNDS[family])
+        sizes.append(near.count())
+        matches = [sorted((r.new_id, r.kept_id, r.reason, r.confidence) for r in dedup.match_exact(new, posts).unionByName(dedup.match_lexical(new, posts, family)).collect()) for posts in (near, history)]
+        assert matches[0] == matches[1] and matches[0]
+        if k == 1:
+            gone = [sorted(r.id for r in swept_ids(posts, new, family).collect()) for posts in (near, history)]
+            assert gone[0] == gone[1] and gone[0]
+        rewritten = history.where(f"id % 4 = {k % 4}").withColumn("ai_title", F.when(F.lit(k % 2 == 0), F.reverse("raw_title")))
+        own.update("posts", new.unionByName(rewritten), history.where(f"id % 9 = {k}").select("id"))
+    assert min(sizes) < 60 and index._parts()[0] == (3, True)
+    before = index._parts()
+    index.sync(own.read("posts"))
+    index.sync(own.read("posts"))
+    assert len(index._parts()) <= len(before) + 1  # nothing new, no part
+
+
+def test_title_index_of_nothing(spark, tmp_path):
+    from newsloom.operators.title_index import TitleIndex
+
+    own = st.Store(spark, str(tmp_path / "empty"))
+    index, none = TitleIndex(own), own.read("posts")
+    index.sync(none)
+    assert index.near(none, none).count() == 0
+    one = st.conform(spark.createDataFrame([(1, "A tale of the river flood", None)], "id long, raw_title string, ai_title string"), "posts")
+    assert index.near(one, none).count() == 0
+    index.sync(one)
+    assert [r.id for r in index.near(one.withColumn("id", F.lit(2)), one).collect()] == [1] and index.near(none, one).count() == 0
