@@ -1,8 +1,9 @@
-"""Maximum inner product search: anisotropic product quantisation, four-bit table scans, exact reranking.
+"""Maximum inner product search: anisotropic product quantisation, four-bit table scans, exact reranking and check.
 
 Quantisation that serves ranking weighs the part of the residual that lies along the vector more than the rest (Guo et
 al. 2020): for queries near a vector it is that part which shifts its score. Codes are chosen and centres are fitted for
-that weighted loss. Scans add up table entries by code and only rank; scores are computed on the original vectors.
+that weighted loss. Scans add up table entries by code and only rank; scores are computed on the original vectors. How far
+a score can be from what its code says is known for each vector, and what could be among the nearest by that is scored too.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ FIT_ROWS = 10_000
 WIDTH, CENTRES, ROUNDS = 2, 16, 6
 #: Of unit vectors, the inner product from which on errors along the vector count in full.
 THRESHOLD = 0.2
-#: Queries whose exact nearest are found first, those of least hash, and the share of these that the number of cells, and
-#: again the number of candidates, has to reach: with 0.99 each the recall is 0.98 or more.
-SAMPLE_QUERIES, REACHED = 256, 0.99
+#: Cells that a query looks into first, and candidates by code for each row asked for: both only set the score to beat.
+FIRST_CELLS, SHORTLIST = 4, 4
 #: Vectors in one cell on average, and cells at most.
 CELL_ROWS, CELLS = 256, 1_024
 #: Vectors in one block of the index, least and most, bytes of one, and blocks that a small table is cut into.
@@ -46,7 +46,7 @@ class Quantiser:
         parts = padded.reshape(n, -1, WIDTH)
         rng = np.random.default_rng(seed)
         weight = max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
-        centres = parts[rng.integers(0, n, CENTRES)].transpose(1, 0, 2).copy() + rng.normal(0, 1e-6, (parts.shape[1], CENTRES, WIDTH))
+        centres = parts[rng.integers(0, n, CENTRES)].transpose(1, 0, 2).copy() + rng.normal(0, 1e-6, (parts.shape[1], CENTRES, WIDTH)) * np.abs(parts).max(0)[:, None]
         own = Quantiser(centres, weight, dim)
         for _ in range(4):  # plain k-means to begin with
             code = own._nearest(parts)
@@ -101,8 +101,20 @@ class Quantiser:
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
         """Two four-bit codes in each byte."""
-        code = self.encode_padded(_pad(vectors)).astype(np.uint8)
-        return code[:, ::2] | code[:, 1::2] << 4
+        return self.encoded(vectors)[0]
+
+    def encoded(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, and of each vector how far at most the scan for a query of length one is from its inner product.
+
+        That is the length of the error (Cauchy and Schwarz), and the rounding of the scan's sums and of the product.
+        """
+        padded = _pad(vectors)
+        code = self.encode_padded(padded)
+        back = self.centres[np.arange(len(self.centres)), code].reshape(padded.shape)
+        rounding = (len(self.centres) + 8) * 2.0**-23
+        off = (_lengths(padded - back) + rounding * _lengths(back)) * (1 + 1e-9) + 1e-9 * _lengths(padded) + 1e-30
+        code = code.astype(np.uint8)
+        return code[:, ::2] | code[:, 1::2] << 4, off
 
     def tables(self, query: np.ndarray) -> np.ndarray:
         """For each byte of a code the inner product with what it stands for: bytes x 256."""
@@ -120,6 +132,12 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
 
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    """Of any size: squares neither overflow nor vanish."""
+    most = np.maximum(np.abs(vectors).max(1), 1e-300)
+    return most * np.linalg.norm(vectors / most[:, None], axis=1)
+
+
 def valid_vectors(rows: DataFrame) -> DataFrame:
     """vec_id, embedding (array of double), each different row once, of the rows that take part.
 
@@ -169,15 +187,30 @@ class Cells:
         """The cell of each vector."""
         return (_units(vectors) @ self.units.T).argmax(1)
 
-    def places(self, queries: np.ndarray) -> np.ndarray:
-        """Of each query and cell, the cell's place, from 0, among those to look into first."""
-        order = np.argsort(-(queries @ self.units.T) * self.length, axis=1, kind="stable")
-        places = np.empty_like(order)
-        np.put_along_axis(places, order, np.arange(order.shape[1])[None, :], 1)
-        return places
+    @property
+    def middles(self) -> np.ndarray:
+        return self.units * self.length[:, None]
 
+    def away(self, vectors: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How far each vector is from the middle of its cell."""
+        middles = self.middles[cells]
+        return _lengths(vectors - middles) * (1 + 1e-9) + 1e-9 * _lengths(middles)
 
-def search(rows: DataFrame, every: int = 20, k: int = 20, reached: float = REACHED, block_rows: int | None = None) -> DataFrame:
+    def first(self, units: np.ndarray, many: int) -> np.ndarray:
+        """Queries x cells: is the cell one of those to look into first?"""
+        near = units @ self.middles.T
+        if near.shape[1] <= many:
+            return np.ones(near.shape, bool)
+        out = np.zeros(near.shape, bool)
+        np.put_along_axis(out, np.argpartition(-near, many, axis=1)[:, :many], True, 1)
+        return out
+
+    def can_hold(self, units: np.ndarray, least: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Queries x cells: can the cell hold a vector with an inner product of `least` or more?"""
+        return ~(units @ self.middles.T + radius < least[:, None])
+
+
+def search(rows: DataFrame, every: int = 20, k: int = 20, block_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each query, which are the rows whose vec_id `every` divides.
 
     score is the inner product in double precision; nearest first, ties to the smaller vec_id; a query's own row (all
@@ -186,17 +219,18 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, reached: float = REACH
     and ranks count within it. Fewer candidates than k: all of them; no rows, no rows. Other columns are not read.
 
     Equal vectors are one class, which is indexed once; of its ids the k + 1 smallest can be among the nearest. Classes are
-    dealt to cells of like directions, and cells to blocks, which stay where they are; each query goes to the blocks of the
-    cells it looks into, has their codes scanned, and the best by codes of each block scored there on the original vectors.
-    How many cells and how many candidates that takes is not fixed: the exact nearest of a sample of queries, held against
-    all vectors, tell both (`calibrated`), so that recall does not fall as the table grows.
+    dealt to cells of like directions, and cells to blocks; a query goes to blocks, has the codes of its cells there
+    scanned, and the best by codes scored on the original vectors. That is done twice. First in the few cells that lie
+    nearest: the k + 1 best scores found there set the score to beat. Then in all cells that can hold a vector of that score
+    (by the middle of the cell and how far its vectors are from it), where each vector that can have that score (by its
+    code and how far the vector is from it) is scored. So the result is exact on any rows; the fit only sets the work.
     """
     spark = rows.sparkSession
     good = stored(valid_vectors(rows).withColumn("dim", F.size("embedding")), "vectors")
     kind = "<f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"  # as exact as given
     found = None
     for dim in sorted(r.dim for r in good.groupBy("dim").count().collect()):  # lengths are few: one a model
-        part = _search(good.where(F.col("dim") == dim).drop("dim"), dim, kind, every, k, reached, block_rows)
+        part = _search(good.where(F.col("dim") == dim).drop("dim"), dim, kind, every, k, block_rows)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
@@ -229,18 +263,19 @@ class Block:
     classes: np.ndarray
     owners: np.ndarray
     cells: np.ndarray
+    off: np.ndarray  # how far scans are off at most
     codes: np.ndarray  # a row for each byte of a code
     vectors: np.ndarray
 
     @staticmethod
-    def read(ids: bytes, codes: bytes, vectors: bytes, dim: int, kind: str) -> Block:
+    def read(ids: bytes, off: bytes, codes: bytes, vectors: bytes, dim: int, kind: str) -> Block:
         classes, owners, cells = np.frombuffer(ids, "<i8").reshape(3, -1)
         packed = np.frombuffer(codes, np.uint8).reshape(len(classes), -1)
-        return Block(classes, owners, cells, np.ascontiguousarray(packed.T), np.frombuffer(vectors, kind).reshape(-1, dim))
+        return Block(classes, owners, cells, np.frombuffer(off, "<f8"), np.ascontiguousarray(packed.T), np.frombuffer(vectors, kind).reshape(-1, dim))
 
-    def scan(self, table: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
-        """Table entries of the codes of all or the chosen vectors, added up."""
-        codes = self.codes if chosen is None else self.codes[:, chosen]
+    def scan(self, table: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Table entries of the codes of the chosen vectors, added up."""
+        codes = self.codes if len(chosen) == len(self.cells) else self.codes[:, chosen]
         score = np.zeros(codes.shape[1], np.float32)
         for i in range(0, len(score), SCAN_ROWS):
             part = score[i : i + SCAN_ROWS]
@@ -249,23 +284,47 @@ class Block:
         return score
 
     def exact(self, chosen: np.ndarray, query: np.ndarray) -> np.ndarray:
-        return (self.vectors[chosen].astype(np.float64) * query).sum(1)
-
-
-BLOCK_SCHEMA = "lane int, query long, vector binary, ids binary, codes binary, vectors binary"
+        parts = [chosen[i : i + SCAN_ROWS] for i in range(0, len(chosen), SCAN_ROWS)]
+        return np.concatenate([(self.vectors[p].astype(np.float64) * query).sum(1) for p in parts]) if parts else np.zeros(0)
+
+    def nearest(self, query: np.ndarray, table: np.ndarray, unit: float, chosen: np.ndarray, least: float, n: int, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the n nearest owners' vectors among the chosen, of those with a score of `least` or more.
+
+        unit: what an inner product with the query is to be divided by to be one of the scan.
+        """
+        owners = self.owners[chosen]
+        near = self.scan(table, chosen)
+        best = _best(near, owners if repeats else None, SHORTLIST * n)
+        exact = self.exact(chosen[best], query)
+        top = _nearest(exact, owners[best], n)
+        if len(np.unique(owners[best][top])) == n:
+            least = max(least, exact[top[-1]])
+        look = ~(near + self.off[chosen] < least / unit)  # what the codes do not rule out
+        look[best] = True
+        look = chosen[look]
+        exact = self.exact(look, query)
+        look, exact = look[exact >= least], exact[exact >= least]
+        top = _nearest(exact, self.owners[look], n)
+        return look[top], exact[top]
+
+
+BLOCK_SCHEMA = "lane int, query long, least double, vector binary, ids binary, off binary, codes binary, vectors binary"
+BLOCK_COLUMNS = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
 
 
 def _index_blocks(index: DataFrame, lanes: DataFrame, rows_a_block: int) -> DataFrame:
     """Rows of BLOCK_SCHEMA, one a block. A lane with more rows than a block holds is dealt out to several.
 
-    index: class, owner, lane, cell, codes, vector; lanes: lane, base, pieces: of each the number of its first block and
+    index: class, owner, lane, cell, off, codes, vector; lanes: lane, base, pieces: of each the number of its first block and
     how many it has."""
 
     def block(lane: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         own = pa.Table.from_batches(held)
         ids = np.array([own.column(c).to_numpy() for c in ("class", "owner", "cell")]).astype("<i8").tobytes()
+        off = own.column("off").to_numpy().astype("<f8").tobytes()
         codes, vectors = (b"".join(own.column(c).to_pylist()) for c in ("codes", "vector"))
-        return pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), *[pa.array([x], pa.binary()) for x in (ids, codes, vectors)]], names=["lane", "query", "vector", "ids", "codes", "vectors"])
+        nulls = [pa.array([None], t) for t in (pa.int64(), pa.float64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), *nulls, *[pa.array([x], pa.binary()) for x in (ids, off, codes, vectors)]], names=BLOCK_COLUMNS)
 
     def gather(batches):
         lane, held = None, []
@@ -282,39 +341,11 @@ def _index_blocks(index: DataFrame, lanes: DataFrame, rows_a_block: int) -> Data
             yield block(lane, held)
 
     piece = F.pmod(F.xxhash64("class"), F.col("pieces").cast("long"))
-    rows = index.join(F.broadcast(lanes), "lane").select((F.col("base") + piece).cast("int").alias("lane"), "class", "owner", "cell", "codes", "vector")
+    rows = index.join(F.broadcast(lanes), "lane").select((F.col("base") + piece).cast("int").alias("lane"), "class", "owner", "cell", "off", "codes", "vector")
     return rows.repartition("lane").sortWithinPartitions("lane", "cell").mapInArrow(gather, BLOCK_SCHEMA)
 
 
-def calibrated(blocks: DataFrame, queries: np.ndarray, quantiser, cells: Cells, dim: int, kind: str, n: int, reached: float) -> tuple[int, int]:
-    """(cells to look into, candidates of each block to score) with which the sampled queries' exact nearest are reached.
-
-    One pass over all vectors: a task returns of each block the n nearest of each sampled query, exactly, with their places
-    by code in it; of the nearest of all, the share `reached` has to be in the cells, and of these in turn among the candidates.
-    """
-
-    def nearest(batches):
-        for batch in batches:
-            for ids, codes, vectors in zip(*(c.to_pylist() for c in batch.columns)):
-                own = Block.read(ids, codes, vectors, dim, kind)
-                scores, out = queries @ own.vectors.astype(np.float64).T, []
-                for q, score in enumerate(scores):
-                    top = np.argpartition(-score, n)[:n] if len(score) > n else np.arange(len(score))
-                    near = own.scan(quantiser.value.tables(queries[q]))
-                    place = len(near) - np.searchsorted(np.sort(near), near[top], "right")
-                    out.append((np.full(len(top), q), own.cells[top], score[top], place))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], names=["q", "cell", "score", "place"])
-
-    found = blocks.select("ids", "codes", "vectors").mapInArrow(nearest, "q long, cell long, score double, place long")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "cell", "place")
-    best = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n).select("q", "cell", "place").toPandas()  # n rows a sampled query
-    rank = cells.places(queries)[best.q.to_numpy(), best.cell.to_numpy()]
-    many = int(np.quantile(rank, reached, method="higher")) + 1
-    inside = best.place.to_numpy()[rank < many]
-    return many, max(2 * n, int(np.quantile(inside, reached, method="higher")) + 1)
-
-
-def _search(good: DataFrame, dim: int, kind: str, every: int, k: int, reached: float, block_rows: int | None) -> DataFrame:
+def _search(good: DataFrame, dim: int, kind: str, every: int, k: int, block_rows: int | None) -> DataFrame:
     spark = good.sparkSession
     keyed = good.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
     asked = F.max(F.col("vec_id") % every == 0).alias("asked")
@@ -327,76 +358,100 @@ def _search(good: DataFrame, dim: int, kind: str, every: int, k: int, reached: f
     repeats = classes.groupBy("owner").count().where("count > 1").limit(1).count() > 0  # an id with several vectors
     order = F.xxhash64("owner", "h1")
 
-    def sample(df, n, size):
-        share = min(1.0, 1.5 * n / size)
-        picked = df.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, "h1", "h2").limit(n)
-        return np.array([r.embedding for r in picked.select("embedding").collect()], np.float64)
-
     if block_rows is None:
         block_rows = max(1, min(max(LEAST_BLOCK, total // BLOCKS), BLOCK_ROWS, BLOCK_BYTES // (np.dtype(kind).itemsize * dim)))
-    vectors = sample(classes, FIT_ROWS, total)
+    share = min(1.0, 1.5 * FIT_ROWS / total)
+    fitted = classes.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(order, "h1", "h2").limit(FIT_ROWS)
+    vectors = np.array([r.embedding for r in fitted.select("embedding").collect()], np.float64)
+    scale = 2.0 ** -np.clip(np.frexp(np.median(_lengths(vectors)))[1], -1000, 1000)  # of the index; scores are not scaled
+    vectors *= scale
     cells = Cells.fit(vectors, min(CELLS, total // CELL_ROWS), -(-total // block_rows))
     quantiser, cells = spark.sparkContext.broadcast(Quantiser.fit(vectors)), spark.sparkContext.broadcast(cells)
 
     def pack(batches):
         for batch in batches:
             own = _matrix(batch.column(3), dim)
-            cell = cells.value.of(own)
-            codes = [c.tobytes() for c in quantiser.value.encode(own)]
-            extra = [pa.array(cells.value.lanes[cell].astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(codes, pa.binary()), pa.array([v.tobytes() for v in own.astype(kind)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *extra], names=["class", "owner", "asked", "lane", "cell", "codes", "vector"])
-
-    index = classes.select("class", "owner", "asked", "embedding").mapInArrow(pack, "class long, owner long, asked boolean, lane int, cell int, codes binary, vector binary")
+            scaled = own * scale
+            cell = cells.value.of(scaled)
+            codes, off = quantiser.value.encoded(scaled)
+            extra = [pa.array(cells.value.lanes[cell].astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(cells.value.away(scaled, cell)), pa.array(off)]
+            extra += [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in own.astype(kind)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *extra], names=["class", "owner", "asked", "lane", "cell", "away", "off", "codes", "vector"])
+
+    index = classes.select("class", "owner", "asked", "embedding").mapInArrow(pack, "class long, owner long, asked boolean, lane int, cell int, away double, off double, codes binary, vector binary")
     index = stored(index, "index")
+    radius = np.full(len(cells.value.length), -np.inf)  # of a cell without vectors
+    for r in index.groupBy("cell").agg(F.max("away").alias("away")).collect():  # a row for each cell
+        radius[r.cell] = r.away
     sizes = sorted((r.lane, r["count"]) for r in index.groupBy("lane").count().collect())  # a row for each lane
     pieces = [-(-n // block_rows) for _, n in sizes]
     bases = (np.cumsum(pieces) - pieces).tolist()
     lanes = spark.createDataFrame([(lane, b, p) for (lane, _), b, p in zip(sizes, bases, pieces)], "lane int, base int, pieces int")
     blocks = stored(_index_blocks(index, lanes, block_rows), "blocks")
-    many, candidates = calibrated(blocks, sample(classes.where("asked"), SAMPLE_QUERIES, n_queries), quantiser, cells.value, dim, kind, k + 1, reached)
     of_lane = {lane: range(b, b + p) for (lane, _), b, p in zip(sizes, bases, pieces)}
     blocks_of = [np.array(of_lane.get(int(lane), ()), np.int32) for lane in range(int(cells.value.lanes.max()) + 1)]
 
-    def ask(batches):
-        """A row for each query and block in a lane of its cells."""
-        for batch in batches:
-            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind).reshape(-1, dim).astype(np.float64)
-            near = cells.value.places(own) < many
-            meets = np.zeros((len(own), len(blocks_of)), bool)
-            np.logical_or.at(meets, (slice(None), cells.value.lanes), near)
-            rows, at = np.nonzero(meets)
-            parts = [blocks_of[lane] for lane in at]
-            take = pa.array(np.repeat(rows, [len(p) for p in parts]))
-            number = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            none = pa.nulls(len(take), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), none, none, none], names=["lane", "query", "vector", "ids", "codes", "vectors"])
-
-    def scan(batches):
-        lane, block = None, None
-        for batch in batches:
-            out = []
-            for number, query_id, asking, ids, codes, vectors in zip(*(c.to_pylist() for c in batch.columns)):
-                if ids is not None:
-                    lane, block = number, Block.read(ids, codes, vectors, dim, kind)
-                    continue
-                assert number == lane
-                query = np.frombuffer(asking, kind).astype(np.float64)
-                chosen = np.flatnonzero((cells.value.places(query[None])[0] < many)[block.cells])
-                score = block.scan(quantiser.value.tables(query), None if len(chosen) == len(block.cells) else chosen)
-                best = chosen[_best(score, block.owners[chosen] if repeats else None, candidates)]
-                exact = block.exact(best, query)
-                top = _nearest(exact, block.owners[best], k + 1)
-                out.append((np.full(len(top), query_id), block.classes[best[top]], block.owners[best[top]], exact[top]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], names=["query", "class", "owner", "score"])
-
-    # A block comes first in its lane and the queries after it, so a task holds one block and a batch of queries.
-    queries = index.where("asked").select("class", "vector").mapInArrow(ask, BLOCK_SCHEMA)
-    meeting = blocks.unionByName(queries).repartition(max(1, sum(pieces)), "lane").sortWithinPartitions("lane", F.col("ids").isNull())
-    scored = meeting.mapInArrow(scan, "query long, class long, owner long, score double")
+    def found(asking: DataFrame, first: bool) -> DataFrame:
+        """query, class, owner, score: of each block the nearest in the cells that are first, or that can hold `least`.
+
+        asking: class, vector, least.
+        """
+
+        def wanted(units: np.ndarray, least: np.ndarray) -> np.ndarray:
+            return cells.value.first(units, FIRST_CELLS) if first else cells.value.can_hold(units, least, radius)
+
+        def read(vectors: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Queries, their directions, and by what inner products are divided to be those of the scan."""
+            own = np.frombuffer(b"".join(vectors), kind).reshape(-1, dim).astype(np.float64)
+            length = _lengths(own)
+            return own, own / length[:, None], length / scale
+
+        def ask(batches):
+            """A row for each query and block in a lane of its cells."""
+            for batch in batches:
+                _, direction, unit = read(batch.column(1).to_pylist())
+                near = wanted(direction, batch.column(2).to_numpy() / unit)
+                meets = np.zeros((len(unit), len(blocks_of)), bool)
+                np.logical_or.at(meets, (slice(None), cells.value.lanes), near)
+                rows, at = np.nonzero(meets)
+                parts = [blocks_of[lane] for lane in at]
+                take = pa.array(np.repeat(rows, [len(p) for p in parts]))
+                number = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+                none = pa.nulls(len(take), pa.binary())
+                own = [batch.column(i).take(take) for i in (0, 2, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *own, none, none, none, none], names=BLOCK_COLUMNS)
+
+        def scan(batches):
+            lane, block = None, None
+            for batch in batches:
+                out = []
+                for number, query_id, least, asking, *held in zip(*(c.to_pylist() for c in batch.columns)):
+                    if asking is None:
+                        lane, block = number, Block.read(*held, dim, kind)
+                        continue
+                    assert number == lane
+                    query, direction, unit = read([asking])
+                    chosen = np.flatnonzero(wanted(direction, np.array([least]) / unit)[0][block.cells])
+                    if len(chosen):
+                        top, exact = block.nearest(query[0], quantiser.value.tables(direction[0]), unit[0], chosen, least, k + 1, repeats)
+                        out.append((np.full(len(top), query_id), block.classes[top], block.owners[top], exact))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], names=["query", "class", "owner", "score"])
+
+        # A block comes first in its lane and the queries after it, so a task holds one block and a batch of queries.
+        meeting = blocks.unionByName(asking.mapInArrow(ask, BLOCK_SCHEMA))
+        meeting = meeting.repartition(max(1, sum(pieces)), "lane").sortWithinPartitions("lane", F.col("ids").isNull())
+        return meeting.mapInArrow(scan, "query long, class long, owner long, score double")
+
+    nearest = Window.partitionBy("query").orderBy(F.desc("score"), "owner")
+    queries = index.where("asked").select("class", "vector")
+    begun = found(queries.withColumn("least", F.lit(float("-inf"))), True).groupBy("query", "owner").agg(F.max("score").alias("score"))
+    begun = begun.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k + 1)
+    beat = begun.groupBy(F.col("query").alias("class")).agg(F.min(F.when(F.col("place") == k + 1, F.col("score"))).alias("least"))
+    asking = queries.join(beat, "class", "left").select("class", "vector", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    scored = found(stored(asking, "asking"), False)
     if not repeats:
-        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "owner"))
-        scored = scored.withColumn("place", place).where(F.col("place") <= k + 1)
+        scored = scored.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k + 1)
     return _ranked(scored.select("query", "class", "score"), keyed, classes, every, k)
 
 

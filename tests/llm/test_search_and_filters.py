@@ -234,6 +234,43 @@ def test_search_of_a_hot_direction(spark):
     assert np.mean([len(set(got[q]) & set(expected[q])) / 20 for q in expected]) >= 0.95
 
 
+def odd_vectors(kind, n=2_000, dim=32):
+    rng = np.random.default_rng(12)
+    own = rng.normal(size=(n, dim))
+    if kind == "tight":  # groups that differ by less than codes tell
+        return rng.normal(size=(4, dim))[rng.integers(0, 4, n)] + own * 1e-3
+    if kind == "one tight group":
+        own[: n // 3] = own[0] + own[: n // 3] * 1e-4
+        return rng.permutation(own)
+    if kind == "other queries":  # few, of one direction, and unlike all other rows
+        own[::20] = 3 + own[::20] * 0.05
+        return own
+    if kind == "uneven lengths":
+        return own * rng.lognormal(0, 4, (n, 1))
+    return own * {"tiny": 1e-30, "huge": 1e25}[kind]
+
+
+@pytest.mark.parametrize("kind", ["tight", "one tight group", "other queries", "uneven lengths", "tiny", "huge"])
+def test_search_is_exact_on_odd_rows(spark, kind):
+    own = odd_vectors(kind).astype(np.float32)
+    got = found_ids(ann.search(vectors(spark, [(i, v.tolist(), 1, 0.0) for i, v in enumerate(own)]), block_rows=600))
+    every = own.astype(np.float64)
+    for q in range(0, len(own), 20):
+        score = (every * every[q]).sum(1)
+        assert got[q] == [i for i in np.lexsort((np.arange(len(own)), -score)).tolist() if i != q][:20]
+
+
+def test_no_score_is_further_from_its_scan_than_bound():
+    for kind in ["tight", "other queries", "uneven lengths"]:
+        own = odd_vectors(kind)
+        quantiser = ann.Quantiser.fit(own[:500])
+        codes, off = quantiser.encoded(own)
+        for query in own[:40] / np.linalg.norm(own[:40], axis=1, keepdims=True):
+            table = quantiser.tables(query)
+            scan = sum((table[i][codes[:, i]] for i in range(codes.shape[1])), np.zeros(len(own), np.float32))
+            assert (np.abs(own @ query - scan) <= off).all()
+
+
 def test_search_of_several_lengths(spark):
     rows = [(20, [1.0, 0.0], 1, 0.0), (1, [0.5, 0.5], 1, 0.0), (40, [1.0, 0.0, 0.0], 1, 0.0), (2, [2.0, 0.0, 0.0], 1, 0.0), (3, [-0.0, 1.0], 1, 0.0), (4, [], 1, 0.0)]
     got = {(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(vectors(spark, rows)).collect()}
