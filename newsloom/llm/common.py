@@ -38,6 +38,7 @@ def slices(batches, column: int, max_bytes: int, max_rows: int = 1 << 16):
             # A copy: some Arrow functions read a slice that begins within a batch from the batch's own beginning.
             yield batch if to - at == batch.num_rows else batch.take(pa.array(range(at, to), pa.int64()))
             at = to
+        del batch, held, sizes, ends  # else they stay while the next batch is read
 
 
 def filesystem(uri: str):

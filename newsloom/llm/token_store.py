@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import os
 import re
 import struct
 import zlib
@@ -39,8 +40,11 @@ LEVEL = 3
 #: A space after one of these characters always starts a new piece of a byte-level tokenizer's split. A piece that begins
 #: with a space and ends with one can be told apart again after it was joined with others.
 SURE_PIECE = re.compile(rb"(?s) .*(?:[\x21-\x7e]|[\xc3-\xc8][\x80-\xbf])\Z")
-#: What a Python worker remembers of pieces that it met: so many, and none longer than so many bytes. It starts anew beyond.
-CACHE, CACHED_BYTES = 1_000_000, 64
+#: What a Python worker remembers of pieces that it met: so many, with so many ids for each on average, and none longer than
+#: so many bytes. Beyond, it keeps half as many: first those that it met again since it learned them, then the latest.
+CACHE, CACHED_IDS, CACHED_BYTES = 250_000, 8, 64
+#: The library describes a token by much more than its id, so it gets so many characters at a time, unless one text is longer.
+LEARNED_CHARS = 64 << 10
 #: Bytes of text that are encoded at a time, unless one text is longer.
 TEXT_BYTES = 2 << 20
 
@@ -79,9 +83,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        #: For pieces, in which nothing is to be read as a special token.
-        self.for_pieces = Tokenizer.from_str(tokenizer_json)
-        self.for_pieces.encode_special_tokens = True
         spec = json.loads(tokenizer_json)
         #: Texts to encode whole.
         self.odd = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"])
@@ -89,14 +90,32 @@ class Encoder:
         self.by_piece = not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not any(not t.get("special") for t in spec.get("added_tokens", []))
         #: A byte-level token is written with one character for each byte that it stands for.
         self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64) if self.by_piece else None
-        self.clear()
-
-    def clear(self) -> None:
+        #: Places of remembered pieces in the arrays that follow: where their ids start, how many, and the turns (calls of
+        #: encode) in which they were learned and last met.
         self.known: dict[bytes, int] = {}
         self.ids, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.learned, self.met, self.turn = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def whole(self, texts: list[str], special: bool = True) -> list[np.ndarray]:
+        """special: special tokens are read as such where a text holds them."""
+        self.tokenizer.encode_special_tokens = not special
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        result: list[np.ndarray] = []
+        while (at := len(result)) < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LEARNED_CHARS, "right")))
+            result += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[at:to], add_special_tokens=False)]
+        return result
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def forget(self) -> None:
+        """Makes room for pieces to come."""
+        pieces, at = np.array(list(self.known), object), np.fromiter(self.known.values(), np.int64, len(self.known))
+        kept = np.lexsort((-self.met[at], self.met[at] == self.learned[at]))[: CACHE // 2]
+        pieces, at = pieces[kept].tolist(), at[kept]
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        self.ids = self.ids[np.arange(counts.sum()) + np.repeat(self.starts[at] - ends + counts, counts)]
+        self.starts, self.counts, self.learned, self.met = ends - counts, counts, self.learned[at], self.met[at]
+        self.known = dict(zip(pieces, range(len(pieces))))
 
     def learn(self, pieces: list[bytes]) -> None:
         """Encodes pieces not met before. Those that begin and end so that a split between them is certain go as joined
@@ -105,21 +124,21 @@ class Encoder:
         joint = set(sure)
         alone = [p for p in pieces if p not in joint]
         texts = [b"".join(sure[k : k + 64]).decode() for k in range(0, len(sure), 64)]
-        joined = [e.ids for e in self.for_pieces.encode_batch_fast(texts, add_special_tokens=False)]
-        got = np.fromiter(itertools.chain.from_iterable(joined), np.uint32)
+        got = np.concatenate([np.zeros(0, np.uint32), *self.whole(texts, special=False)])
         ends = np.cumsum(np.fromiter(map(len, sure), np.int64, len(sure)))
         reached = np.cumsum(self.token_bytes[got])
         last = np.searchsorted(reached, ends, "right")
         if len(sure) and not (reached[last - 1] == ends).all():
             raise AssertionError("a token spans two pieces")
         counts = np.diff(np.concatenate([[0], last]))
-        single = [e.ids for e in self.for_pieces.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)]
+        single = self.whole([p.decode() for p in alone], special=False)
         counts = np.concatenate([counts, np.fromiter(map(len, single), np.int64, len(single))])
-        got = np.concatenate([got, np.fromiter(itertools.chain.from_iterable(single), np.uint32)])
+        got = np.concatenate([got, *single])
         self.known.update(zip(sure + alone, range(len(self.counts), len(self.counts) + len(pieces))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, got])
+        self.learned, self.met = (np.concatenate([x, np.full(len(pieces), self.turn)]) for x in (self.learned, self.met))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; none may be null."""
@@ -137,9 +156,12 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         own = coded.dictionary.to_pylist()
-        if len(self.known) + len(own) > CACHE:
-            self.clear()
+        self.turn += 1
         found = list(map(self.known.get, own))
+        self.met[[at for at in found if at is not None]] = self.turn
+        if len(self.known) + found.count(None) > CACHE or len(self.ids) > CACHED_IDS * CACHE:
+            self.forget()
+            found = list(map(self.known.get, own))
         if None in found:
             new = [p for p, at in zip(own, found) if at is None]
             self.learn(new)
@@ -162,7 +184,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(tokenizer_json: str) -> Encoder:
-    """One for each Python worker, so that what it remembers outlives a task."""
+    """One for each Python worker, so that what it remembers outlives a task. A task has one core, so the library gets no
+    threads, of which each would keep memory of its own."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
     if key not in _encoders:
         _encoders.clear()

@@ -2,6 +2,7 @@
 
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,22 @@ def test_encoder_equals_the_library(tokenizer_path):
     assert own.encode(pa.array([], pa.string())) == [] and [len(x) for x in own.encode(pa.array(["", ""]))] == [0, 0]
 
 
+def test_encoder_remembers_a_bounded_amount(tokenizer_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "CACHE", 300)
+    own = token_store.Encoder(open(tokenizer_path, encoding="utf-8").read())
+    whole = Tokenizer.from_file(tokenizer_path)
+    learn, learned = own.learn, Counter()
+    own.learn = lambda pieces: (learned.update(pieces), learn(pieces))
+    often = " ".join(f"often{i}" for i in range(50))
+    for turn in range(60):
+        texts = [often, "long" * 100 + f"{turn}x" * 300] + ([" ".join(f"once{turn}x{i}" for i in range(20))] if turn > 20 else [])
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        assert len(own.known) <= 300 and len(own.ids) <= 300 * 8 + 1200  # long pieces are not kept, so neither are their ids
+    assert sum(learned.values()) > 600 and {learned[f" often{i}".encode()] for i in range(1, 50)} <= {1, 2}  # what is frequent stays
+
+
 def test_slices_bound_bytes_and_rows():
     batch = pa.record_batch({"i": list(range(9)), "t": ["a" * 5, None, "", "b" * 30, "c", "d" * 9, "e", "f", "g"]})
     got = list(common.slices([batch, batch.slice(0, 0)], 1, 10, 3))
