@@ -38,3 +38,46 @@ def test_read_rss_reads_every_post_of_a_hot_source(spark, tmp_path):
     written(spark, tmp_path, "documents", [(i, f"Title {i}. " + "word " * 60, "en", "src1", 9) for i in range(70)], DOCS)
     rows = queries_text.read_rss(spark, str(tmp_path)).collect()
     assert sorted(r.title for r in rows) == sorted(f"Title {i}" for i in range(70))
+
+
+def test_replies_of_any_length_are_parsed(spark, tmp_path):
+    text = "a long reply without an end " * 4_000
+    written(spark, tmp_path, "conversations", [(i, 1, "assistant", text) for i in range(4)], TURNS)
+    got = {r.conv_id: (r.parse_path, r.text) for r in queries_text.parse_replies(spark, str(tmp_path)).collect()}
+    assert got == {i: (("strict", "strict", "partial", "loose")[i], text.strip()) for i in range(4)}
+
+
+def test_loose_fields_are_those_of_the_plain_patterns(spark):
+    """Any broken reply gives what patterns that may go back give."""
+    import json
+    import random
+    import re
+
+    from newsloom.functions import text as T
+
+    draw = random.Random(4)
+    junk = lambda n: "".join(draw.choice('\\]["a,\n') for _ in range(draw.randrange(n)))
+    replies = [f'{{"title": "{junk(6)}", "text": "{junk(9)}, "hashtags": ["b", "c{junk(4)}"{junk(3)}]{junk(4)}' for _ in range(1_500)]
+    rows = spark.createDataFrame(list(enumerate(replies)), "id long, reply string")
+    clean = lambda s: s.replace("\\n", "\n").replace('\\"', '"').replace("\\\\", "\\").strip()
+
+    def plain(pattern, reply):
+        found = re.search(pattern, reply.strip())
+        return found[1] if found else ""
+
+    def tags(own):
+        try:
+            return json.loads(own)
+        except ValueError:
+            return None
+
+    listings = set()
+    for r in T.parse_replies(rows).collect():
+        title, body = (clean(plain(p, r.reply)) for p in (r'"title"\s*:\s*"((?:\\.|[^"\\])*)"', r'"text"\s*:\s*"((?:\\.|[^"\\])*)'))
+        assert r.parse_path in ("loose", "failed") and (r.parse_path == "loose") == (title != "" or body != "")
+        assert r.text == (body or title)
+        listed = tags(plain(r'"hashtags"\s*:\s*(\[(?:\\.|[^\]])*\])', r.reply))
+        if r.parse_path == "loose" and listed is not None and all(isinstance(x, str) for x in listed):
+            assert r.hashtags == listed
+            listings.add(tuple(listed))
+    assert len(listings) > 10
