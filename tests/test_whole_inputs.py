@@ -81,3 +81,11 @@ def test_loose_fields_are_those_of_the_plain_patterns(spark):
             assert r.hashtags == listed
             listings.add(tuple(listed))
     assert len(listings) > 10
+
+
+def test_rewrites_by_replies_of_any_length_are_applied(spark, tmp_path):
+    text = "A long reply that goes on and on. " * 4_000
+    written(spark, tmp_path, "conversations", [(7, 1, "assistant", text)], TURNS)
+    written(spark, tmp_path, "documents", [(7, "Title. And a text.", "en", "src1", 18)], DOCS)
+    (row,) = queries_text.apply_rewrites(spark, str(tmp_path)).collect()
+    assert (row.status, row.ai_title, row.ai_hashtags) == ("approved", "t", "#a") and len(row.ai_text.split()) == 4_000 * 8
