@@ -123,7 +123,7 @@ def record_duplicates(spark, sf_dir):
 
 @query(S + EXACT + "select k.kept_id as kept_post_id, count(*) as n, list_sort(list(t.source_url)) as urls from kept k join posts t on t.id = k.new_id group by k.kept_id")
 def duplicate_groups(spark, sf_dir):
-    return reports.duplicate_groups(_duplicates(spark, sf_dir)).select("kept_post_id", "n", F.array_sort("records.duplicate_url").alias("urls"))
+    return reports.duplicate_groups(_duplicates(spark, sf_dir), columns=("duplicate_url",)).select("kept_post_id", "n", F.array_sort("records.duplicate_url").alias("urls"))
 
 
 @query(S + EXACT + "select count(distinct kept_id) as kept, count(*) as duplicates from kept")

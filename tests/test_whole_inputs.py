@@ -1,6 +1,6 @@
 """Queries pass whole texts and all rows to their operators."""
 
-from newsloom.plans import queries_text
+from newsloom.plans import queries_core, queries_text
 
 
 def written(spark, folder, name, rows, schema):
@@ -89,3 +89,9 @@ def test_rewrites_by_replies_of_any_length_are_applied(spark, tmp_path):
     written(spark, tmp_path, "documents", [(7, "Title. And a text.", "en", "src1", 18)], DOCS)
     (row,) = queries_text.apply_rewrites(spark, str(tmp_path)).collect()
     assert (row.status, row.ai_title, row.ai_hashtags) == ("approved", "t", "#a") and len(row.ai_text.split()) == 4_000 * 8
+
+
+def test_duplicate_groups_list_every_record(spark, tmp_path):
+    written(spark, tmp_path, "documents", [(i, f"One title. Text {i}.", "en", "src1", 20) for i in range(1_300)], DOCS)
+    got = {r.kept_post_id: (r.n, len(r.urls), len(set(r.urls))) for r in queries_core.duplicate_groups(spark, str(tmp_path)).collect()}
+    assert got == {1_299: (1_299, 1_299, 1_299), 1_298: (1, 1, 1)}
