@@ -1,6 +1,7 @@
 """Queries pass whole texts and all rows to their operators."""
 
 from newsloom.plans import queries_core, queries_text
+from newsloom.sources import pages
 
 
 def written(spark, folder, name, rows, schema):
@@ -95,3 +96,15 @@ def test_duplicate_groups_list_every_record(spark, tmp_path):
     written(spark, tmp_path, "documents", [(i, f"One title. Text {i}.", "en", "src1", 20) for i in range(1_300)], DOCS)
     got = {r.kept_post_id: (r.n, len(r.urls), len(set(r.urls))) for r in queries_core.duplicate_groups(spark, str(tmp_path)).collect()}
     assert got == {1_299: (1_299, 1_299, 1_299), 1_298: (1, 1, 1)}
+
+
+#: An article of short capitalised words in two sentences, as a menu has, and another page.
+MENU_LIKE = "<html><title>T</title><h1>T</h1><article><p>" + "Word Other small " * 20 + "</p><p>" + "Name thing Place " * 12 + ".</p></article></html>"
+
+
+def test_articles_like_menus_are_extracted_without_markers(spark, tmp_path):
+    written(spark, tmp_path, "pages", [(1, "http://a.example/1", MENU_LIKE)], PAGES)
+    (row,) = queries_text.extract_articles(spark, str(tmp_path)).collect()
+    assert row.article_text == ("Word Other small " * 20).strip() + "\n\n" + "Name thing Place " * 12 + "."
+    (with_rule,) = pages.extract_articles(spark.createDataFrame([(MENU_LIKE,)], "html string")).collect()
+    assert with_rule.article_text == ""
