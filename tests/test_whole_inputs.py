@@ -108,3 +108,9 @@ def test_articles_like_menus_are_extracted_without_markers(spark, tmp_path):
     assert row.article_text == ("Word Other small " * 20).strip() + "\n\n" + "Name thing Place " * 12 + "."
     (with_rule,) = pages.extract_articles(spark.createDataFrame([(MENU_LIKE,)], "html string")).collect()
     assert with_rule.article_text == ""
+
+
+def test_items_get_page_texts_like_menus_without_markers(spark, tmp_path):
+    written(spark, tmp_path, "pages", [(2, "http://a.example/2", MENU_LIKE), (3, "http://a.example/3", "Word Other " * 30)], PAGES)
+    got = {r.page_id: r.description for r in queries_text.enrich_items(spark, str(tmp_path)).collect()}
+    assert got[2].startswith("Word Other small") and got[2].endswith("Place .") and got[3] == ("Word Other " * 30).strip()
