@@ -114,3 +114,9 @@ def test_items_get_page_texts_like_menus_without_markers(spark, tmp_path):
     written(spark, tmp_path, "pages", [(2, "http://a.example/2", MENU_LIKE), (3, "http://a.example/3", "Word Other " * 30)], PAGES)
     got = {r.page_id: r.description for r in queries_text.enrich_items(spark, str(tmp_path)).collect()}
     assert got[2].startswith("Word Other small") and got[2].endswith("Place .") and got[3] == ("Word Other " * 30).strip()
+
+
+def test_pages_like_menus_are_read_anew_without_markers(spark, tmp_path):
+    written(spark, tmp_path, "pages", [(1, "http://a.example/1", MENU_LIKE)], PAGES)
+    (row,) = queries_text.reprocess(spark, str(tmp_path)).collect()
+    assert row.raw_title == "T" and row.raw_description.endswith("Place .")
