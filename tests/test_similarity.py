@@ -375,3 +375,22 @@ def test_shortlist_bounds(spark):
             dedup.shortlist(frame, frame, limit=limit)
     full = dedup.shortlist(frame, frame, k=5, limit=30).collect()
     assert {r.place for r in full if r.new_id == 3} >= {1, 2, 3, 4, 5} and all(r.new_id != r.kept_id for r in full)
+
+
+def test_a_common_word_is_dealt_to_tasks(spark, monkeypatch):
+    """Titles that share a word are compared in chunks, and found all the same: each pair by its words in common."""
+    import random
+
+    monkeypatch.setattr(dedup, "CHUNK", 7)
+    monkeypatch.setattr(dedup, "MEETINGS", 500)
+    draw, words = random.Random(5), [f"word{i}" for i in range(40)]
+    titles = [" ".join(["common", *draw.sample(words, draw.randrange(1, 7))]) for _ in range(150)] + [" ".join(draw.sample(words, 40) * 2)]
+    frame = spark.createDataFrame([(i, t, None) for i, t in enumerate(titles)], "id long, raw_title string, ai_title string")
+    sets = [set(t.split()) for t in titles]
+    for bounds in (3, ((4, 0.55),), ((5, 0.0), (3, 0.35))):
+        rules = ((bounds, 0.0),) if isinstance(bounds, int) else bounds
+        close = lambda a, b: any(len(a & b) >= c and len(a & b) >= t * len(a | b) - 1e-9 for c, t in rules)  # noqa: E731,B023
+        found = dedup.candidate_pairs(frame, frame, bounds)
+        assert sorted((r.new_id, r.kept_id) for r in found.collect()) == [(i, j) for i in range(151) for j in range(151) if i != j and close(sets[i], sets[j])]
+    joined = dedup.candidate_pairs(frame, frame, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(word" in joined and "chunk" in joined
