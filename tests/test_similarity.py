@@ -394,3 +394,15 @@ def test_a_common_word_is_dealt_to_tasks(spark, monkeypatch):
         assert sorted((r.new_id, r.kept_id) for r in found.collect()) == [(i, j) for i in range(151) for j in range(151) if i != j and close(sets[i], sets[j])]
     joined = dedup.candidate_pairs(frame, frame, 3)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(word" in joined and "chunk" in joined
+
+
+@pytest.mark.parametrize("family", ["e5_base", "e5_large", "bge"])
+def test_likely_pairs_hold_every_duplicate(spark, family):
+    """Pairs that no similarity can make duplicates are not compared, and no duplicate is among them."""
+    frame = vector_posts(spark, 40)
+    t = dict(M.THRESHOLDS[family], full_strong=0.95, full_with_title=0.9, title=0.9, full_with_lexical=0.85, similar_full=0.8, similar_title=0.85, common=1, common_title=1, common_similar=1)
+    ids = frame.select(F.col("id").alias("new_id")).crossJoin(frame.select(F.col("id").alias("kept_id"))).where("new_id <> kept_id")
+    ids_of = lambda attached: {(r.new_id, r.kept_id, r.confidence) for r in dedup.semantic_edges(attached, family, t).where("is_duplicate").collect()}
+    likely = dedup._attach_likely(ids, frame, frame, family, t)
+    assert ids_of(likely) == ids_of(dedup._attach(ids, frame, frame, True, True)) != set()
+    assert likely.count() < ids.count()
